@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phaselens.llm import packing, piece_codec
+from phaselens.llm import near_embeddings, packing, piece_codec, topk
 
 
 def vocabulary(name: str) -> str:
@@ -24,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.token_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -32,12 +36,48 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op9_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_block_top_k": op3_block_top_k,
+        "op9_near_embeddings": op9_near_embeddings,
         "op7_piece_codec": op7_piece_codec,
         "op8_best_fit_packing": op8_best_fit_packing,
     }
 
 
+#: Inner products of all pairs; lists of doubles are exact for such whole numbers.
+TOP_K_SQL = """
+WITH q AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, max(list_inner_product(a.x, b.x))::BIGINT AS score
+  FROM q a JOIN q b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.vec_id % 50 = 0 GROUP BY 1, 2
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s
+) WHERE rank <= 5
+"""
+
+#: All pairs by cosine, then the least reachable vec_id.
+NEAR_EMBEDDINGS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.95
+), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.vec_id, coalesce(l.n, 0)::BIGINT AS n_links, least(d.vec_id, coalesce(m.c, d.vec_id)) AS component_id, d.vec_id <= coalesce(m.c, d.vec_id) AS kept
+FROM embeddings d LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY 1) l ON l.a = d.vec_id
+LEFT JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) m ON m.a = d.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_block_top_k": TOP_K_SQL, "op9_near_embeddings": NEAR_EMBEDDINGS_SQL}
