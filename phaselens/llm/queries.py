@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phaselens.llm import near_embeddings, packing, piece_codec, topk
+from phaselens.llm import license_scan, near_embeddings, packing, piece_codec, topk, url_filters
 
 
 def vocabulary(name: str) -> str:
@@ -24,10 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(table(spark, sf_dir, "pages"), url_filters.SITE_RULES + url_filters.PATTERN_RULES)
+
+
 def op3_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_labels(table(spark, sf_dir, "documents"))
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.token_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -42,7 +50,9 @@ def op9_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_url_filters": op2_url_filters,
         "op3_block_top_k": op3_block_top_k,
+        "op6_license_scan": op6_license_scan,
         "op9_near_embeddings": op9_near_embeddings,
         "op7_piece_codec": op7_piece_codec,
         "op8_best_fit_packing": op8_best_fit_packing,
@@ -80,4 +90,4 @@ LEFT JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) m ON m.a = d.vec_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_block_top_k": TOP_K_SQL, "op9_near_embeddings": NEAR_EMBEDDINGS_SQL}
+    return {"op2_url_filters": url_filters.SQL, "op3_block_top_k": TOP_K_SQL, "op9_near_embeddings": NEAR_EMBEDDINGS_SQL}
