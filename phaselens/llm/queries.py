@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phaselens.llm import license_scan, near_embeddings, packing, piece_codec, topk, url_filters
+from phaselens.llm import jaccard_join, license_scan, near_embeddings, packing, piece_codec, topk, url_filters
 
 
 def vocabulary(name: str) -> str:
@@ -24,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), url_filters.SITE_RULES + url_filters.PATTERN_RULES)
 
@@ -50,6 +54,7 @@ def op9_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_url_filters": op2_url_filters,
         "op3_block_top_k": op3_block_top_k,
         "op6_license_scan": op6_license_scan,
@@ -59,6 +64,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def jaccard_sql(size: int, percent: int, documents: str = "documents") -> str:
+    """Components by Jaccard similarity of word n-grams: ``WITH RECURSIVE`` parts that end in jc(doc_id, n_shingles, component_id)."""
+    gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(size))
+    return f"""
+jw AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM {documents}),
+js AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < {size} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {size - 2}), lambda i: {gram})) END AS s FROM jw
+), ju AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM js),
+jp AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM ju a JOIN ju b ON a.g = b.g AND a.doc_id <> b.doc_id
+  WHERE 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) GROUP BY 1, 2
+), je AS (SELECT a, b FROM jp WHERE 100 * shared >= {percent} * (na + nb - shared)),
+jr(a, b) AS (SELECT a, b FROM je UNION SELECT jr.a, je.b FROM jr JOIN je ON jr.b = je.a),
+jc AS (SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.c, d.doc_id)) AS component_id FROM js d LEFT JOIN (SELECT a, min(b) AS c FROM jr GROUP BY 1) m ON m.a = d.doc_id)"""
+
+
 #: Inner products of all pairs; lists of doubles are exact for such whole numbers.
 TOP_K_SQL = """
 WITH q AS (
@@ -90,4 +115,9 @@ LEFT JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) m ON m.a = d.vec_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": url_filters.SQL, "op3_block_top_k": TOP_K_SQL, "op9_near_embeddings": NEAR_EMBEDDINGS_SQL}
+    return {
+        "op1_ngram_jaccard_join": f"WITH RECURSIVE {jaccard_sql(3, 90)} SELECT * FROM jc",
+        "op2_url_filters": url_filters.SQL,
+        "op3_block_top_k": TOP_K_SQL,
+        "op9_near_embeddings": NEAR_EMBEDDINGS_SQL,
+    }
