@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from phaselens.llm import jaccard_join, license_scan, near_embeddings, packing, piece_codec, topk, url_filters
+from phaselens.llm import jaccard_join, license_scan, line_dedup, near_embeddings, packing, piece_codec, topk, url_filters
 
 
 def vocabulary(name: str) -> str:
@@ -36,6 +37,11 @@ def op3_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_labels(table(spark, sf_dir, "documents"))
 
@@ -57,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_url_filters": op2_url_filters,
         "op3_block_top_k": op3_block_top_k,
+        "op5_line_dedup": op5_line_dedup,
         "op6_license_scan": op6_license_scan,
         "op9_near_embeddings": op9_near_embeddings,
         "op7_piece_codec": op7_piece_codec,
@@ -84,6 +91,32 @@ jr(a, b) AS (SELECT a, b FROM je UNION SELECT jr.a, je.b FROM jr JOIN je ON jr.b
 jc AS (SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.c, d.doc_id)) AS component_id FROM js d LEFT JOIN (SELECT a, min(b) AS c FROM jr GROUP BY 1) m ON m.a = d.doc_id)"""
 
 
+def line_sql(documents: str = "documents") -> str:
+    """``WITH`` parts that end in lk(doc_id, n_lines, n_removed, text): texts without the lines that an earlier one matches."""
+    gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(5))
+    return f"""
+ll AS (
+  SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS no, unnest(string_split(text, chr(10))) AS line FROM {documents} WHERE text IS NOT NULL AND doc_id IS NOT NULL
+), lw AS (
+  SELECT *, regexp_extract_all(lower(line), '[^\\x20\\x09-\\x0D]+') AS w FROM ll
+), ls AS (
+  SELECT doc_id, no, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: {gram})) END AS s FROM lw WHERE len(w) > 0
+), lu AS (SELECT doc_id, no, len(s) AS n, unnest(s) AS g FROM ls),
+lp AS (
+  SELECT b.doc_id, b.no, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb, a.doc_id AS da, a.no AS la
+  FROM lu a JOIN lu b ON a.g = b.g AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.no < b.no)
+  WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY b.doc_id, b.no, a.doc_id, a.no
+), lg AS (SELECT DISTINCT doc_id, no FROM lp WHERE 100 * shared >= 80 * (na + nb - shared)),
+lt AS (
+  SELECT ll.doc_id, string_agg(line, chr(10) ORDER BY no) AS text, count(*) AS n FROM ll
+  WHERE NOT EXISTS (SELECT 1 FROM lg WHERE lg.doc_id = ll.doc_id AND lg.no = ll.no) GROUP BY 1
+), lk AS (
+  SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines,
+    (coalesce(len(string_split(d.text, chr(10))), 0) - coalesce(t.n, 0))::BIGINT AS n_removed,
+    CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text FROM {documents} d LEFT JOIN lt t ON t.doc_id = d.doc_id
+)"""
+
+
 #: Inner products of all pairs; lists of doubles are exact for such whole numbers.
 TOP_K_SQL = """
 WITH q AS (
@@ -119,5 +152,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_ngram_jaccard_join": f"WITH RECURSIVE {jaccard_sql(3, 90)} SELECT * FROM jc",
         "op2_url_filters": url_filters.SQL,
         "op3_block_top_k": TOP_K_SQL,
+        "op5_line_dedup": f"WITH {line_sql()} SELECT doc_id, n_lines, n_removed, sha256(coalesce(text, '')) AS text_sha256 FROM lk",
         "op9_near_embeddings": NEAR_EMBEDDINGS_SQL,
     }
