@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaselens.llm import jaccard_join, license_scan, line_dedup, near_embeddings, packing, piece_codec, topk, url_filters
+from phaselens.llm import jaccard_join, license_scan, line_dedup, near_embeddings, packing, pii, piece_codec, topk, url_filters
 
 
 def vocabulary(name: str) -> str:
@@ -37,6 +37,10 @@ def op3_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_url_filters": op2_url_filters,
         "op3_block_top_k": op3_block_top_k,
+        "op4_pii_spans": op4_pii_spans,
         "op5_line_dedup": op5_line_dedup,
         "op6_license_scan": op6_license_scan,
         "op9_near_embeddings": op9_near_embeddings,
