@@ -12,6 +12,7 @@ of near copies give a spanning forest of links and never a list of pairs.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -23,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phaselens.llm.components import components
-from phaselens.llm.runtime import settle, slices
+from phaselens.llm.runtime import settle, sieve, slices
 
 BITS, CHUNKS = 20, 64
 #: Posting lists up to this length are paired in SQL; documents of longer ones are compared in blocks of BLOCK.
-SHORT, BLOCK = 32, 192
+SHORT, BLOCK = 64, 192
 #: Columns of the 0/1 matrices that a block comparison holds at once.
 COLUMNS = 8192
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -214,14 +215,22 @@ def jaccard_components(df: DataFrame, size: int = 3, percent: int = 90, orders:
     names = settle(reps)
     first = some.join(names, [some.x == names.x, some.y == names.y, some.doc_id == names.rep], "left_semi").select(F.col("doc_id").alias("rep"), "n", "prefix").dropDuplicates(["rep"])
     posted = first.select("rep", "n", F.explode("prefix").alias("token")).repartition("token")
-    lists = posted.groupBy("token").agg(F.count("*").alias("size"), F.min("rep").alias("least")).where("size > 1")
-    met = settle(posted.join(lists, "token"))
+    lists = posted.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+    # similar sets have similar sizes: a list is cut by classes of size, each with the next smaller class, so pairs lie in one part
+    own = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)) if percent < 100 else F.col("n")
+    part = F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("part")
+    met = posted.join(lists.select("token"), "token").withColumn("own", own.cast("long")).select("token", "rep", "n", "own", part)
+    met = settle(met)
+    parts = met.groupBy("token", "part").agg(F.count("*").alias("size"), F.min("rep").alias("least"), F.max("own").alias("most")).where("size > 1 and most = part")
+    parts = settle(parts)
     # clusters of the documents that meet in long lists
-    hot = components(met.where(F.col("size") > SHORT).select(F.col("least").alias("a"), F.col("rep").alias("b")))
+    hot = components(met.join(parts.where(F.col("size") > SHORT), ["token", "part"]).select(F.col("least").alias("a"), F.col("rep").alias("b")))
     hot = settle(hot)
-    short = met.where(F.col("size") <= SHORT)
-    left, right = short.select("token", F.col("rep").alias("a"), F.col("n").alias("na")), short.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+    short = met.join(parts.where(F.col("size") <= SHORT).select("token", "part"), ["token", "part"])
+    left, right = (short.select("token", "part", F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("own").alias(f"own{k}")) for k in "ab")
+    pairs = left.join(right, ["token", "part"]).where(
+        (F.col("a") < F.col("b")) & (F.greatest("owna", "ownb") == F.col("part")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    )
     pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("shared"))
     beyond = lambda c: -F.floor(-percent * F.col(c) / 100) - 1  # noqa: E731  what a set has after its prefix
     enough = F.col("shared") + F.greatest(beyond("na"), beyond("nb")) >= F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
@@ -230,7 +239,8 @@ def jaccard_components(df: DataFrame, size: int = 3, percent: int = 90, orders:
     pairs = settle(pairs.join(ha, "a", "left").join(hb, "b", "left").where("ha is null or hb is null or ha <> hb").select("a", "b"))
     # whole sets and the other orders' prefixes, for candidates only
     wanted = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).unionAll(hot.select("node")).distinct()
-    chosen = docs.join(wanted, docs.doc_id == wanted.rep, "left_semi").dropDuplicates(["doc_id"])
+    wanted = settle(wanted)
+    chosen = docs.where(sieve(wanted, F.col("doc_id"))).join(wanted, docs.doc_id == wanted.rep, "left_semi").dropDuplicates(["doc_id"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
