@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaselens.llm import jaccard_join, license_scan, line_dedup, near_embeddings, packing, pii, piece_codec, topk, url_filters
+from phaselens.llm import jaccard_join, language_id, license_scan, line_dedup, near_embeddings, packing, pii, piece_codec, topk, url_filters
 
 
 def vocabulary(name: str) -> str:
@@ -62,6 +62,16 @@ def op9_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify_documents(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "lang", F.round("confidence", 6).alias("confidence"), "text_lang", F.col("accepted").alias("kept"))
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+    return found.select("page_id", "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "accepted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -71,6 +81,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": op5_line_dedup,
         "op6_license_scan": op6_license_scan,
         "op9_near_embeddings": op9_near_embeddings,
+        "op10_language_id": op10_language_id,
+        "language_of_pages": language_of_pages,
         "op7_piece_codec": op7_piece_codec,
         "op8_best_fit_packing": op8_best_fit_packing,
     }
