@@ -8,7 +8,10 @@ among the pieces of their length, which is dealt out in parallel.
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,41 +23,67 @@ from phaselens.llm.runtime import settle, slices
 
 #: Lengths of one rank group are numbered in so many shares, so that a length that a third of all rows have is no hot key.
 SHARES = 64
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 Pattern = tuple[tuple[int, int], ...]
 
 
 class WordTokens:
-    """Ids of texts by a ``tokenizers`` file whose pre-tokenizer never joins what ASCII white space separates."""
+    """Ids of texts by a ``tokenizers`` file of lower-cased words whose pre-tokenizer never joins what ASCII white space separates.
+
+    Texts whose characters beyond ASCII are Latin letters are cut into runs of letters (with an apostrophe before them),
+    of digits and of other characters, which are tokenised once each while they stay in the cache; other texts are cut at
+    white space only.
+    """
+
+    WORDS = re.compile(rb"'?[a-z\x80-\xff]+|[0-9]+|[^\sa-z0-9\x80-\xff]+")
+    #: Characters beyond ASCII other than U+00C0 to U+027F, and of these the signs and the letter whose lower case is two characters.
+    ODD = re.compile(rb"[\xc2\xca-\xff]|\xc3[\x97\xb7]|\xc4\xb0|<\|")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._young: dict[bytes, bytes] = {}
-        self._old: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self._young[w] = np.array(e.ids, "<u4").tobytes()
+        self.words = Words(self.tokenizer)
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split() for t in texts]
-        if len(self._young) >= CACHE_WORDS:
-            self._old, self._young = self._young, {}
-        new = set()
-        for words in split:
-            new.update(words)
-        new.difference_update(self._young.keys())
-        for w in [w for w in new if w in self._old]:
-            self._young[w] = self._old[w]
-            new.discard(w)
-        self._learn(sorted(new))
-        young = self._young
-        return [b"".join([young[w] for w in words]) for words in split]
+        if len(self.words) >= CACHE_WORDS:
+            aged, self.words = self.words, Words(self.tokenizer)
+            aged.old = {}
+            self.words.old = aged
+        get, words = self.words.__getitem__, self.WORDS.findall
+        return [b"".join(map(get, t.split() if self.ODD.search(t) else words(t.lower()))) for t in texts]
+
+
+class Words(dict):
+    """Ids of words, looked up in an older generation of itself or made where they are missing.
+
+    A word of Latin letters only is one pre-token, which the model takes as its lower case's bytes, each as the printable
+    character that byte-level vocabularies have for it.
+    """
+
+    LETTERS = re.compile(rb"(?:[a-z]|[\xc3-\xc9][\x80-\xbf])+")
+    PRINTED = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+    PRINTED |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if not 33 <= b <= 126 and not 161 <= b <= 172 and b < 174)}
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.old: dict[bytes, bytes] = {}
+        self.tokenizer, self.model = tokenizer, tokenizer.model.tokenize
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = dict.get(self.old, word)
+        if ids is None:
+            if self.LETTERS.fullmatch(word) and not WordTokens.ODD.search(word):
+                printed = word.decode() if word.isascii() else word.decode().lower().encode().decode("latin-1").translate(self.PRINTED)
+                ids = array("I", [t.id for t in self.model(printed)])
+            else:
+                ids = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            ids = ids.tobytes()
+        self[word] = ids
+        return ids
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -131,20 +160,14 @@ def best_fit(lengths: dict[int, int], capacity: int) -> list[tuple[Pattern, int]
     return [(tuple(p), n) for groups in open_.values() for p, n in groups]
 
 
-def fillings(size: np.ndarray, n: np.ndarray, room: int, most: int) -> list[list[int]]:
-    """Undominated ways to fill ``room``, the least waste first: lists of lengths, the largest first.
-
-    A filling is dominated if one of its lengths could be swapped for a longer one that still fits, or two
-    for one at least as long as both: the other then leaves no worse lengths behind. So the last length is
-    always the longest that fits, and more lengths count only if they waste less than fewer do.
-    """
-    ok = size <= room
-    size, n = size[ok], n[ok]
-    if not len(size):
-        return [[]]
-    found: list[tuple[int, list[int]]] = [(room - int(size[-1]), [int(size[-1])])]
+def _two(size: np.ndarray, n: np.ndarray, room: int, most: int) -> list[tuple[int, list[int]]]:
+    """(waste, lengths) of the longest length that fits and of pairs that waste less, each with the longest second one."""
+    top = int(np.searchsorted(size, room, "right")) - 1
+    if top < 0:
+        return [(room, [])]
+    size, n = size[: top + 1], n[: top + 1]
+    found = [(room - int(size[-1]), [int(size[-1])])]
     if found[0][0]:
-        # two lengths: for each first one the longest second one that fits
         at = np.searchsorted(size, np.minimum(size, room - size), "right") - 1
         at = np.where((at >= 0) & (size[np.maximum(at, 0)] == size) & (n < 2), at - 1, at)
         two = np.flatnonzero(at >= 0)
@@ -152,18 +175,38 @@ def fillings(size: np.ndarray, n: np.ndarray, room: int, most: int) -> list[list
         for k in np.argsort(waste, kind="stable")[:most].tolist():
             if waste[k] < found[0][0]:
                 found.append((int(waste[k]), [int(size[two[k]]), int(size[at[two[k]]])]))
-        if min(found)[0]:
-            # more: the longest, or one of a spread of lengths, and then again
-            for first in np.unique(np.linspace(0, len(size) - 1, 2 * most).astype(int))[::-1].tolist():
-                n[first] -= 1
-                keep = n > 0
-                rest = fillings(size[keep][: first + 1], n[keep][: first + 1].copy(), room - int(size[first]), 2)[0]
-                n[first] += 1
-                if len(rest) > 1:
-                    found.append((room - int(size[first]) - sum(rest), [int(size[first]), *rest]))
-                    if not found[-1][0]:
-                        break
-    return [f for _, f in sorted(found, key=lambda x: (x[0], [-s for s in x[1]]))[:most]]
+    return found
+
+
+def fillings(size: np.ndarray, n: np.ndarray, room: int, most: int) -> list[list[int]]:
+    """Undominated ways to fill ``room``, the least waste first: lists of lengths, the largest first.
+
+    A filling is dominated if one of its lengths could be swapped for a longer one that still fits, or two
+    for one at least as long as both: the other then leaves no worse lengths behind. So the last length is
+    always the longest that fits, and more lengths count only if they waste less than fewer do. While more than
+    three of the longest fit, those are taken; the last three are searched.
+    """
+    begun: list[int] = []
+    while len(size) and room >= 3 * int(size[-1]):
+        take = min(int(n[-1]), room // int(size[-1]) - 2)
+        begun += [int(size[-1])] * take
+        room -= take * int(size[-1])
+        n[-1] -= take
+        if not n[-1]:
+            size, n = size[:-1], n[:-1]
+    found = _two(size, n, room, most)
+    if len(size) and min(found)[0]:
+        top = int(np.searchsorted(size, room, "right"))
+        for first in np.unique(np.linspace(0, top - 1, 2 * most).astype(int))[::-1].tolist() if top else ():
+            n[first] -= 1
+            ok = n[: first + 1] > 0
+            for waste, rest in _two(size[: first + 1][ok], n[: first + 1][ok], room - int(size[first]), 1):
+                if len(rest) == 2:
+                    found.append((waste, [int(size[first]), *rest]))
+            n[first] += 1
+            if not found[-1][0]:
+                break
+    return [begun + f for _, f in sorted(found, key=lambda x: (x[0], [-s for s in x[1]]))[:most]]
 
 
 def bin_completion(lengths: dict[int, int], capacity: int, most: int = 8, nodes: int = 8_000) -> list[tuple[Pattern, int]]:

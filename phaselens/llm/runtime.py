@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 #: Rows handed to one vectorised step; bounds a Python worker's memory when documents are long.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
