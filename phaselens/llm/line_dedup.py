@@ -21,23 +21,27 @@ WORDS = 5
 PERCENT = 80
 
 
-def tokens(line: Column, words: int = WORDS) -> Column:
-    """Sorted distinct 64-bit hashes of a line's word shingles; empty for a line without words. A-Z count as a-z."""
+def words_of(line: Column) -> Column:
+    """Words of a line, between spaces and the control characters from tab to carriage return, A-Z as a-z."""
     odd = F.lit(False)
     for c in "\t\x0b\x0c\r":
         odd = odd | F.contains(line, F.lit(c))
     plain = F.lower(F.when(odd, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line))
-    split = F.filter(F.split(plain, " "), lambda w: w != "")
-    whole = F.when(F.size(split) > 0, F.array(F.xxhash64(split))).otherwise(F.array().cast("array<long>"))
-    grams = F.transform(F.sequence(F.lit(1), F.size(split) - (words - 1)), lambda i: F.xxhash64(F.slice(split, i, words)))
-    return F.sort_array(F.array_distinct(F.when(F.size(split) < words, whole).otherwise(grams)))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def lines_of(df: DataFrame, doc_id: str, text: str, words: int = WORDS) -> DataFrame:
-    """doc_id, no (from 0), grams for each line with words; rows with a null doc_id or text have none."""
+    """doc_id, no (from 0), grams (sorted distinct 64-bit hashes of word shingles) for each line with words.
+
+    Rows with a null doc_id or text have none.  Words are a column of their own: an expression inside a higher-order function
+    would be computed again for each element.
+    """
     rows = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_t"))
-    cut = rows.select("doc_id", F.posexplode(F.split("_t", "\n")).alias("no", "line"))
-    return cut.select("doc_id", "no", tokens(F.col("line"), words).alias("grams")).where(F.size("grams") > 0)
+    cut = rows.select("doc_id", F.posexplode(F.split("_t", "\n")).alias("no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    split = cut.select("doc_id", "no", words_of(F.col("line")).alias("w"))
+    at = F.sequence(F.lit(1), F.size("w") - (words - 1))
+    grams = F.when(F.size("w") < words, F.array(F.xxhash64("w"))).otherwise(F.transform(at, lambda i: F.xxhash64(F.slice("w", i, words))))
+    return split.select("doc_id", "no", F.sort_array(F.array_distinct(grams)).alias("grams"))
 
 
 def rarity(lines: DataFrame) -> bytes:
