@@ -112,11 +112,6 @@ def likelihoods(df: DataFrame, model: TextModel, text: Column, keep: list[Column
     return chosen.mapInArrow(run, f"{schema}, _n long, _ll array<double>")
 
 
-def _softmax(x: Column) -> Column:
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, w: a + w))
-
-
 @dataclass(frozen=True)
 class Evidence:
     """Expressions for what a row offers beside its text; None where there is nothing of the kind."""
@@ -158,14 +153,26 @@ def identify(df: DataFrame, model: TextModel, evidence: Evidence, keep: list[str
     for n, t in told.items():
         joined = joined.join(t, n, "left")
     own = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.when(F.col("_best") == k, 1.0).otherwise(0.0))
-    less = lambda c: F.transform(add(F.coalesce(F.col(c), none), own, -1.0), lambda v: F.greatest(v, F.lit(0.0)))
+    less = lambda c: F.transform(add(F.coalesce(F.col(c), none), F.col("_own"), -1.0), lambda v: F.greatest(v, F.lit(0.0)))
     sum_ = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    smooth = lambda counts, above: F.transform(add(counts, above, SMOOTHING), lambda v: v / (sum_(counts) + SMOOTHING))
-    prior = smooth(less("_hc"), smooth(less("_dc"), base))
-    # P(declaration | language) up to a factor: its share among the rows of the language, smoothed to say nothing
-    says = lambda c: F.when(F.col(c).isNotNull(), F.zip_with(smooth(less(c), base), base, lambda p, q: F.log(p / q))).otherwise(none)
-    score = add(add(add(F.col("_ll"), F.transform(prior, lambda p: F.log(p)), 1.0), says("_declared_c"), 1.0), says("_suffix_c"), 1.0)
-    fused = joined.withColumn("_p", _softmax(score))
+    log = lambda a: F.transform(a, lambda p: F.log(p))
+    fused = joined.withColumn("_own", own)
+
+    def smoothed(df: DataFrame, counts: str, above: Column, name: str) -> DataFrame:
+        """Shares of counts, drawn to those above; each step is a column, so nothing is computed again for each element."""
+        df = df.withColumn(name, less(counts)).withColumn(f"{name}_n", sum_(F.col(name)) + SMOOTHING)
+        return df.withColumn(name, F.zip_with(name, above, lambda v, p: (v + SMOOTHING * p) / F.col(f"{name}_n")))
+
+    fused = smoothed(fused, "_dc", base, "_ds")
+    fused = smoothed(fused, "_hc", F.col("_ds"), "_hs")
+    fused = fused.withColumn("_score", add(F.col("_ll"), log(F.col("_hs")), 1.0))
+    for c in ("_declared_c", "_suffix_c"):
+        # P(declaration | language) up to a factor: its share among the rows of the language, smoothed to say nothing
+        fused = smoothed(fused, c, base, f"{c}s")
+        said = F.when(F.col(c).isNotNull(), F.zip_with(f"{c}s", base, lambda p, q: F.log(p / q))).otherwise(none)
+        fused = fused.withColumn("_score", add(F.col("_score"), said, 1.0))
+    fused = fused.withColumn("_top", F.array_max("_score")).withColumn("_e", F.transform("_score", lambda v: F.exp(v - F.col("_top"))))
+    fused = fused.withColumn("_all", sum_(F.col("_e"))).withColumn("_p", F.transform("_e", lambda v: v / F.col("_all")))
     at = F.array_position("_p", F.array_max("_p")).cast("int")
     has = F.col("_best").isNotNull()
     return fused.select(
