@@ -401,11 +401,11 @@ def _(spark, sf_dir):
 @query(
     "thread_summary",
     sql("log", "s AS (SELECT worktype, count(*) AS items, sum(t_end - t_start) AS busy, sum(m0 + m1) AS waited, max(t_end) - min(t_start) AS wall FROM log GROUP BY GROUPING SETS ((worktype), ()))",
-        "SELECT coalesce(worktype, -1)::INTEGER AS worktype, items, round(busy, 4) AS busy, round(waited, 4) AS waited, round(wall, 4) AS wall, round(busy / wall, 8) AS parallelism FROM s"),
+        "SELECT coalesce(worktype, -1)::INTEGER AS worktype, items, round(busy, 6) AS busy, round(waited, 6) AS waited, round(wall, 6) AS wall, round(busy / wall, 8) AS parallelism FROM s"),
 )
 def _(spark, sf_dir):
     out = trace.summary(fx.thread_log(spark, sf_dir))
-    return out.withColumns({c: F.round(c, 4) for c in ("busy", "waited", "wall")} | {"parallelism": F.round("parallelism", 8)})
+    return out.withColumns({c: F.round(c, 6) for c in ("busy", "waited", "wall")} | {"parallelism": F.round("parallelism", 8)})
 
 
 @query("mutex_distance", "SELECT event_id, (user_id % 12)::BIGINT AS mutex, coalesce(event_id - lag(event_id) OVER (PARTITION BY user_id % 12 ORDER BY event_id), 0)::BIGINT AS distance FROM events")
@@ -501,14 +501,14 @@ def _(spark, sf_dir):
     return trace.compare_runs(log, slow).withColumns({c: F.round(c, 6) for c in ("left", "right", "ratio")})
 
 
-@query("run_span", sql("log", "SELECT worktype, (max(thread) + 1)::INTEGER AS threads, round(max(t_end) - min(t_start), 4) AS wall FROM log GROUP BY worktype"))
+@query("run_span", sql("log", "SELECT worktype, (max(thread) + 1)::INTEGER AS threads, round(max(t_end) - min(t_start), 6) AS wall FROM log GROUP BY worktype"))
 def _(spark, sf_dir):
-    return trace.span(fx.thread_log(spark, sf_dir), "worktype").withColumn("wall", F.round("wall", 4))
+    return trace.span(fx.thread_log(spark, sf_dir), "worktype").withColumn("wall", F.round("wall", 6))
 
 
-@query("thread_lanes", sql("log", "SELECT worktype, thread, count(*) AS items, round(sum(t_end - t_start), 4) AS busy, round(sum(CASE WHEN m0 + m1 > 5e-6 THEN m0 + m1 ELSE 0 END), 5) AS waited, count(DISTINCT dest) AS buffers FROM log GROUP BY ALL"))
+@query("thread_lanes", sql("log", "SELECT worktype, thread, count(*) AS items, round(sum(t_end - t_start), 6) AS busy, round(sum(CASE WHEN m0 + m1 > 5e-6 THEN m0 + m1 ELSE 0 END), 6) AS waited, count(DISTINCT dest) AS buffers FROM log GROUP BY ALL"))
 def _(spark, sf_dir):
-    return trace.thread_lanes(fx.thread_log(spark, sf_dir)).withColumns({"busy": F.round("busy", 4), "waited": F.round("waited", 5)})
+    return trace.thread_lanes(fx.thread_log(spark, sf_dir)).withColumns({"busy": F.round("busy", 6), "waited": F.round("waited", 6)})
 
 
 # Names and numbers
