@@ -28,7 +28,7 @@ PARTS = {
  WHERE f.v <> 0 AND f.y + q.dv BETWEEN 0 AND 29 AND f.x + q.du BETWEEN 0 AND 44 GROUP BY ALL)""",
     "m": "m AS (SELECT y::INTEGER AS y, x::INTEGER AS x, CASE WHEN y % 3 = 0 AND x % 3 = 0 THEN 0 ELSE 1 END AS m FROM range(30) b(y), range(45) c(x))",
     "log": """log AS (SELECT event_id::BIGINT AS item, (user_id % 4)::INTEGER AS thread, (event_id % 4)::INTEGER AS worktype, round(epoch_us(ts) / 1e6 - 1.7e9, 6) AS t_start,
- round(round(epoch_us(ts) / 1e6 - 1.7e9, 6) + value / 1000, 6) AS t_end, round(value / 1e5, 6) AS m0, round(round(value / 1e5, 6) / 2, 6) AS m1, round(value * 10)::BIGINT AS memory,
+ round(round(epoch_us(ts) / 1e6 - 1.7e9, 6) + value / 1000, 6) AS t_end, floor(value) / 1e5 AS m0, floor(value) / 1e5 * 2 AS m1, round(value * 10)::BIGINT AS memory,
  (event_id % 50)::BIGINT AS dest, (user_id % 40)::BIGINT AS src1, (event_id % 7)::BIGINT AS src2 FROM events)""",
     "tr": "tr AS (SELECT event_id::BIGINT AS iter, [floor(value / 20)::DOUBLE, floor(user_id / 3)::DOUBLE] AS shift, round(value, 6) AS score FROM events)",
     "sc": "sc(host, threads, wall) AS (VALUES " + ", ".join(f"('{h}', {n}, {w}::DOUBLE)" for h, n, w in fx.SCALING) + ")",
@@ -211,7 +211,7 @@ def _(spark, sf_dir):
     return images.maximum_projection(back(spark, sf_dir), "y")
 
 
-@query("neg_energy", sql("f", "SELECT t, round(-sum(CASE WHEN v - 500 < 1 THEN v - 500 ELSE 0 END) / (sum(v - 500) - sum(CASE WHEN v - 500 < 1 THEN v - 500 ELSE 0 END)), 9) AS share, min(v - 500) AS least, max(v - 500) AS most FROM f GROUP BY t"))
+@query("neg_energy", sql("f", "SELECT t, CASE WHEN sum(v - 500) - sum(CASE WHEN v - 500 < 1 THEN v - 500 ELSE 0 END) = 0 THEN 0 ELSE round(-sum(CASE WHEN v - 500 < 1 THEN v - 500 ELSE 0 END) / (sum(v - 500) - sum(CASE WHEN v - 500 < 1 THEN v - 500 ELSE 0 END)), 9) END AS share, min(v - 500) AS least, max(v - 500) AS most FROM f GROUP BY t"))
 def _(spark, sf_dir):
     return images.negative_energy(fx.frame(spark, sf_dir).withColumn("v", F.col("v") - 500), 1.0).withColumn("share", F.round("share", 9))
 

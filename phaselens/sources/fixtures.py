@@ -71,10 +71,10 @@ def thread_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A worker trace from events: one item of work per event; times in seconds rounded to 6 places."""
     e = table(spark, sf_dir, "events")
     start = F.round(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)") / 1e6 - 1.7e9, 6)
-    wait = F.round(F.col("value") / 1e5, 6)
+    wait = F.floor("value") / 1e5
     return e.select(
         F.col("event_id").cast("long").alias("item"), (F.col("user_id") % 4).cast("int").alias("thread"), (F.col("event_id") % 4).cast("int").alias("worktype"),
-        start.alias("t_start"), F.round(start + F.col("value") / 1000, 6).alias("t_end"), wait.alias("m0"), F.round(wait / 2, 6).alias("m1"),
+        start.alias("t_start"), F.round(start + F.col("value") / 1000, 6).alias("t_end"), wait.alias("m0"), (wait * 2).alias("m1"),
         F.round(F.col("value") * 10).cast("long").alias("memory"), (F.col("event_id") % 50).cast("long").alias("dest"),
         (F.col("user_id") % 40).cast("long").alias("src1"), (F.col("event_id") % 7).cast("long").alias("src2"),
     )
