@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaselens.functions import names, numbers
+from phaselens.functions import names, numbers, scanning
 from phaselens.operators import block, deconvolution, flow, images, projection, psf, rectify, synthesis, trace
 from phaselens.sources import fixtures as fx
 
@@ -540,9 +540,76 @@ def _(spark, sf_dir):
     return numbers.smooth_table(spark, 1000)
 
 
+@query(
+    "format_psf_name",
+    "SELECT path, regexp_replace(split_part(path, '/', -1), '^(?i)(fdnormPSFmatrix_|reducedPSFmatrix_|reducedBuggyPSFmatrix_)', 'fdnormPSFmatrix_') AS name FROM (VALUES " + ", ".join(f"('{n}')" for n in fx.PSF_NAMES) + ") v(path)",
+)
+def _(spark, sf_dir):
+    parsed = names.require_generated(names.parse_psf_names(fx.psf_names(spark)))
+    return parsed.select("path", names.psf_name(parsed).alias("name"))
+
+
+@query("output_names", "SELECT path, regexp_replace(path, '\\.[^./]*$', '') || '_deconvolved.tif' AS deconvolved, regexp_replace(path, '\\.[^./]*$', '') || '_N15' || regexp_extract(path, '(\\.[^.]*)$', 1) AS rectified FROM (VALUES " + ", ".join(f"('{n}')" for n in fx.PSF_NAMES) + ") v(path)")
+def _(spark, sf_dir):
+    path = F.col("path")
+    return fx.psf_names(spark).select("path", names.deconvolved_name(path).alias("deconvolved"), names.rectified_name(path, 15).alias("rectified"))
+
+
+@query("scanned_names", "SELECT c_custkey, try_cast(regexp_extract(c_name, '^Customer#([0-9]+)', 1) AS BIGINT) AS number FROM customer")
+def _(spark, sf_dir):
+    number = scanning.scan_columns(F.col("c_name"), "Customer#%d")[0]
+    return fx.table(spark, sf_dir, "customer").select("c_custkey", number.alias("number"))
+
+
+@query("traces_in_window", sql("log", "e AS (SELECT min(t_start) AS a FROM log)", "SELECT item, m0 + m1 > 1e-4 AS waited FROM log, e WHERE t_end >= a + 1000 AND t_start <= a + 500000"))
+def _(spark, sf_dir):
+    log = fx.thread_log(spark, sf_dir)
+    begin = log.agg(F.min("t_start")).first()[0]
+    return trace.in_window(log, begin + 1000, begin + 500000, 1e-4).select("item", "waited")
+
+
+@query("flow_repeat_last", sql("g AS (SELECT (i * 4 + j)::INTEGER AS k, (i * 9)::INTEGER AS cx, (j * 9)::INTEGER AS cy FROM range(4) a(i), range(4) b(j))", FLOW.replace("22.5", "13.5"), "n AS (SELECT ((k // 4) * 5 + k % 4)::INTEGER AS k, cx, cy, dx, dy FROM fl UNION ALL SELECT ((k // 4) * 5 + 4)::INTEGER, cx, cy, dx + 1, dy + 1 FROM fl WHERE k % 4 = 3)", "SELECT k, cx, cy, dx, round(dy, 9) AS dy FROM n"))
+def _(spark, sf_dir):
+    square = flow.parabolic_flow(flow.control_points(spark, 27, 27, 9), 27)
+    return flow.repeat_last(square, 4, 1.0).withColumn("dy", F.round("dy", 9))
+
+
+@query("zero_planes", sql("f", "p", "q", "bp", "SELECT z, t, y, x, CASE WHEN z BETWEEN 1 AND 1 THEN 0 ELSE v END AS v FROM bp"))
+def _(spark, sf_dir):
+    return images.zero_planes(back(spark, sf_dir), 1, 1)
+
+
+@query("camera_values", sql("f", "SELECT t, y, x, greatest(0, least(255, round_even(v / 4, 0)::INTEGER)) AS v FROM f"))
+def _(spark, sf_dir):
+    return rectify.quantise(fx.frame(spark, sf_dir).withColumn("v", F.col("v") / 4))
+
+
+@query("naive_ssd", sql("f", "c AS (SELECT f.y, f.x, coalesce(s.v, e.v) AS v FROM f LEFT JOIN f s ON f.t = 0 AND s.t = 0 AND s.y = f.y AND s.x = f.x - 1 LEFT JOIN f e ON f.t = 0 AND e.t = 0 AND e.y = f.y AND e.x = 0 WHERE f.t = 0)", "SELECT round(sum(pow(c.v - f.v, 2)), 3) AS ssd FROM c JOIN f ON f.t = 1 AND f.y = c.y AND f.x = c.x WHERE f.y BETWEEN 1 AND 28 AND f.x BETWEEN 1 AND 43"))
+def _(spark, sf_dir):
+    f = fx.frame(spark, sf_dir)
+    return flow.score(flow.naive_candidate(f, 0.0, 1.0, H, W), f, H, W).withColumn("ssd", F.round("ssd", 3))
+
+
 # Forms that SQL can't express
 
 
+@query("spot_object")
+def _(spark, sf_dir):
+    return fx.spots(spark, 100, H, W)
+
+
+@query("piecewise_warp")
+def _(spark, sf_dir):
+    moving = flow.parabolic_flow(flow.control_points(spark, H, W, 15), W)
+    return flow.warp_piecewise(fx.frame(spark, sf_dir), moving, 15, H, W)
+
+
+@query("pair_forward")
+def _(spark, sf_dir):
+    one = fx.frame(spark, sf_dir).where("t = 0").select(F.lit(0).alias("z"), "y", "x", "v")
+    return flow.pair_forward(one, fx.psf(spark), N, H, W, 1.0, 2.0)
+
+
 @query("block_projection")
 def _(spark, sf_dir):
     blocks = block.to_blocks(fx.frame(spark, sf_dir), H, W)

@@ -100,3 +100,13 @@ def batch_times(spark: SparkSession) -> DataFrame:
 def psf_names(spark: SparkSession) -> DataFrame:
     rows = ", ".join(f"('{n}')" for n in PSF_NAMES)
     return spark.sql(f"SELECT * FROM VALUES {rows} AS s(path)")
+
+
+def spots(spark: SparkSession, number: int, height: int, width: int, seed: int = 0, reach: int = 6, sigma: float = 2.0) -> DataFrame:
+    """A synthetic object (z, t, y, x, v): unit spots at seeded random places, blurred; edges cut what leaves."""
+    at = spark.range(number).select(F.floor(F.rand(seed) * height).cast("int").alias("y"), F.floor(F.rand(seed + 1) * width).cast("int").alias("x"))
+    steps = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
+    near = at.select("y", "x", steps.alias("i")).select("y", "x", "i", steps.alias("j"))
+    weight = F.exp(-(F.col("i") * F.col("i") + F.col("j") * F.col("j")) / (2 * sigma**2)) / (2 * 3.141592653589793 * sigma**2)
+    moved = near.select((F.col("y") + F.col("i")).alias("y"), (F.col("x") + F.col("j")).alias("x"), weight.alias("w")).where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
+    return moved.groupBy("y", "x").agg(F.sum("w").alias("v")).select(F.lit(0).alias("z"), F.lit(0).alias("t"), "y", "x", "v")
