@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from phaselens.llm import jaccard_join, language_id, line_dedup, packing, pii
 from phaselens.llm.queries import vocabulary
 from phaselens.llm.runtime import settle
+from phaselens.plans.shipping import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified stay."""
+    ship(spark)
     return language_id.keep_identified(docs).select(*COLUMNS)
 
 
@@ -28,6 +30,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8 the one with the smallest doc_id stays."""
+    ship(spark)
     return jaccard_join.keep_one(docs).select(*COLUMNS)
 
 
@@ -38,6 +41,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences of 4096 tokens."""
+    ship(spark)
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
