@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phaselens.llm.components import components
-from phaselens.llm.runtime import settle, sieve, slices
+from phaselens.llm.runtime import concluded, settle, sieve, slices
 
 BITS, CHUNKS = 20, 64
 #: Posting lists up to this length are paired in SQL; documents of longer ones are compared in blocks of BLOCK.
@@ -188,6 +188,10 @@ def jaccard_components(df: DataFrame, size: int = 3, percent: int = 90, orders:
     empty texts and those without words have no shingles and link with nothing.  Repeated rows are equal documents; a
     null doc_id stays null and links with nothing.  Further columns are ignored.
     """
+    return concluded(lambda: _components(df, size, percent, orders, doc_id, text))
+
+
+def _components(df: DataFrame, size: int, percent: int, orders: int, doc_id: str, text: str) -> DataFrame:
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_text"))
     sc = df.sparkSession.sparkContext
     shared = sc.broadcast(frequency_classes(docs, size))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phaselens.llm.components import components
-from phaselens.llm.runtime import settle
+from phaselens.llm.runtime import concluded, settle
 
 #: Rows of a bucket that one task compares with as many others; larger buckets are cut into such blocks.
 BLOCK = 512
@@ -81,6 +81,10 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     the classes linked with it.  Rows that repeat count as further vectors.  Rows with a null vec_id are kept, link
     with nothing and have a null component.  Further columns are ignored.
     """
+    return concluded(lambda: _near(df, vec_id, vector, cosine, tables, hashes, probes, seed))
+
+
+def _near(df: DataFrame, vec_id: str, vector: str, cosine: float, tables: int, hashes: int, probes: int, seed: int) -> DataFrame:
     v = F.col("_v")
     usable = F.coalesce(F.col("vec_id").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     all_rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("_v")).withColumn("_ok", usable)

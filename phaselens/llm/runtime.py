@@ -6,7 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,16 +32,33 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/phaselens/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    # shuffle files of plans that are done go when the driver collects their objects
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def concluded(make: Callable[[], DataFrame]) -> DataFrame:
+    """The settled result of ``make``, without the tables that it settled on the way."""
+    since = len(_written)
+    out = settle(make())
+    own = _written.pop()
+    for spark, path in _written[since:]:
+        _delete(spark, path)
+    _written[since:] = [own]
+    return out
+
+
 def sweep() -> None:
     """Delete the tables that ``settle`` wrote; runs at exit."""
     while _written:
         spark, path = _written.pop()
         try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(spark, path)
         except Exception:  # the session has ended
             return
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phaselens.llm.runtime import settle
+from phaselens.llm.runtime import concluded, settle
 
 #: Documents of a block, documents of a range on average, queries that visit a range together.
 BLOCK, RANGE, VISIT = 64, 8192, 4096
@@ -91,6 +91,10 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", ve
     length meet.  A row that repeats is one candidate and one query; of rows that share a vec_id with different vectors
     each is a query and a candidate, and the best scores of both count once.  Further columns are ignored.
     """
+    return concluded(lambda: _top(df, k, every, vec_id, vector, scale))
+
+
+def _top(df: DataFrame, k: int, every: int, vec_id: str, vector: str, scale: int) -> DataFrame:
     docs = quantised(df, vec_id, vector, scale).distinct().withColumn("d", F.size("x"))
     docs = settle(docs)
     ranges = docs.agg(F.count("*")).first()[0] // RANGE + 1
