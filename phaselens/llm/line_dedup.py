@@ -1,6 +1,6 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame operations only.
 
-A line's tokens are its distinct five-word shingles (one token for a shorter line).  They are ordered by rarity -
+A line's tokens are its distinct five-word shingles (one token, all its words, for a shorter line).  They are ordered by rarity -
 by counts over all lines in a table of fixed size, then by hash - and only the first few, the prefix, can start a
 match.  Prefix, length and positional filters leave candidate pairs, whose Jaccard similarity is then computed.
 A line goes if an earlier one, by document and line number, is similar enough to it.
@@ -13,94 +13,164 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phaselens.llm.runtime import settle, sieve
+from phaselens.llm.runtime import concluded, settle, sieve
 
 #: Entries of the table of counts.
 BUCKETS = 1 << 16
 WORDS = 5
 PERCENT = 80
+#: Lines of a token that are first compared with the earliest of them only; those that match it need no others.
+HOT = 64
 
 
 def words_of(line: Column) -> Column:
-    """Words of a line, between spaces and the control characters from tab to carriage return, A-Z as a-z."""
+    """64-bit hashes of a line's words, which stand between spaces and the control characters from tab to carriage return, A-Z as a-z."""
     odd = F.lit(False)
     for c in "\t\x0b\x0c\r":
         odd = odd | F.contains(line, F.lit(c))
     plain = F.lower(F.when(odd, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line))
-    return F.array_remove(F.split(plain, " "), "")
+    return F.array_remove(F.transform(F.split(plain, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
 
-def lines_of(df: DataFrame, doc_id: str, text: str, words: int = WORDS) -> DataFrame:
-    """doc_id, no (from 0), grams (sorted distinct 64-bit hashes of word shingles) for each line with words.
+def split_lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, no (from 0), line of each line that isn't just spaces; rows with a null doc_id or text have none."""
+    rows = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_t"))
+    return rows.select("doc_id", F.posexplode(F.split("_t", "\n")).alias("no", "line")).where(F.trim("line") != "")
+
+
+def shingled(lines: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, no, g: sorted distinct 64-bit hashes of a line's word shingles.
 
-    Rows with a null doc_id or text have none.  Words are a column of their own: an expression inside a higher-order function
-    would be computed again for each element.
+    Each step is a column of its own: an expression inside a higher-order function would be computed again for each element.
     """
-    rows = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_t"))
-    cut = rows.select("doc_id", F.posexplode(F.split("_t", "\n")).alias("no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    split = cut.select("doc_id", "no", words_of(F.col("line")).alias("w"))
-    at = F.sequence(F.lit(1), F.size("w") - (words - 1))
-    grams = F.when(F.size("w") < words, F.array(F.xxhash64("w"))).otherwise(F.transform(at, lambda i: F.xxhash64(F.slice("w", i, words))))
-    return split.select("doc_id", "no", F.sort_array(F.array_distinct(grams)).alias("grams"))
+    split = lines.select("doc_id", "no", words_of(F.col("line")).alias("w"))
+    at = F.sequence(F.lit(0), F.size("w") - words)
+    whole = F.when(F.size("w") > 0, F.array(F.xxhash64("w"))).otherwise(F.array().cast("array<long>"))
+    grams = F.when(F.size("w") < words, whole).otherwise(F.transform(at, lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(words)))))
+    return split.select("doc_id", "no", F.sort_array(F.array_distinct(grams)).alias("g"))
 
 
-def rarity(lines: DataFrame) -> bytes:
-    """For each of BUCKETS hash ranges 0 where tokens are as rare as most, then growing with the logarithm of their number, up to 127.
+def signed(lines: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, no, n, x, y, tokens: the number of a line's distinct shingles, hashes of their set, and 32 bits of each.
+
+    Tokens of 32 bits may agree by chance, which makes candidates only; sizes, equality and similarity go by 64 bits and more.
+    """
+    # of sorted longs the leading 32 bits are sorted, too
+    tokens = F.transform("g", lambda h: F.shiftright(h, 32).cast("int"))
+    return shingled(lines, words).select("doc_id", "no", F.size("g").alias("n"), F.xxhash64("g").alias("x"), F.hash("g").alias("y"), tokens.alias("tokens"))
+
+
+def rarity(lines: DataFrame) -> Column:
+    """An array of a class for each of BUCKETS hash ranges: 0 where tokens are as rare as most, then by the logarithm of their number.
 
     The counts are of all lines; one row per range comes to the driver, whatever the input.
     """
-    counts = lines.select(F.explode("grams").alias("g")).groupBy(F.col("g").bitwiseAND(BUCKETS - 1).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()
+    counts = lines.select(F.explode("tokens").alias("g")).groupBy(F.col("g").bitwiseAND(BUCKETS - 1).alias("k")).agg(F.count("*").alias("n")).collect()
     number = [0] * BUCKETS
     for r in counts:
         number[r["k"]] = r["n"]
     middle = sorted(number)[BUCKETS // 2]
     usual = middle + 5 * math.sqrt(middle + 1) + 1
-    return bytes(min(127, 1 + int(2 * math.log2(max(1, n - usual)))) if n > usual else 0 for n in number)
+    classes = [min(127, 1 + int(2 * math.log2(max(1, n - usual)))) if n > usual else 0 for n in number]
+    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<int>")
+
+
+def prefixes(lines: DataFrame, classes: Column, percent: int) -> Column:
+    """The first tokens by class and then hash, as many as a match needs to share one of: longs of class and token.
+
+    Most lines have enough tokens of class 0 among their first by hash; only others look at all of theirs.
+    """
+    take = (F.col("n") - least(F.col("n"), percent) + 1).cast("int")
+    level = lambda g: F.get(classes, g.bitwiseAND(BUCKETS - 1))
+    rare = F.filter(F.slice("tokens", F.lit(1), take + 4), lambda g: level(g) == 0)
+    key = lambda g: F.call_function("shiftleft", level(g).cast("long"), F.lit(40)) + g.cast("long")
+    return F.when(F.size(rare) >= take, F.transform(F.slice(rare, F.lit(1), take), lambda g: g.cast("long"))).otherwise(F.slice(F.sort_array(F.transform("tokens", key)), F.lit(1), take))
 
 
 def least(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100)
 
 
+def numbered(seen: DataFrame) -> tuple[DataFrame, int, int]:
+    """``seen`` with id, a long in the order of doc_id and no, and what undoes it: the smallest doc_id and the bits of no."""
+    ends = seen.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("no").alias("n")).first()
+    low, bits = ends["a"] or 0, int(ends["n"] or 0).bit_length()
+    return numbered_like(seen, low, bits), low, bits
+
+
+def numbered_like(lines: DataFrame, low: int, bits: int) -> DataFrame:
+    return lines.withColumn("id", F.call_function("shiftleft", F.col("doc_id") - F.lit(low).cast("long"), F.lit(bits)) + F.col("no"))
+
+
 def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, no of each line that an earlier one matches: |A and B| * 100 >= percent * |A or B|.
 
     Earlier means a smaller doc_id, or the same and a smaller line number (from 0).  Lines without words never match. Of
     rows that repeat a doc_id, lines with the same number are one line for this purpose.
     """
-    lines = settle(lines_of(df, doc_id, text, words))
-    classes = F.lit(rarity(lines))
-    level = lambda g: F.ascii(F.substring(classes, (g.bitwiseAND(BUCKETS - 1) + 1).cast("int"), 1).cast("string")).cast("long")
-    key = lambda g: F.call_function("shiftleft", level(g), F.lit(56)) + g.bitwiseAND((1 << 56) - 1)
-    n = F.size("grams").cast("long")
-    seen = lines.select(
-        F.struct("doc_id", "no").alias("at"), n.alias("n"), F.xxhash64("grams").alias("x"), F.hash("grams").alias("y"),
-        F.slice(F.sort_array(F.transform("grams", key)), F.lit(1), (n - least(n, percent) + 1).cast("int")).alias("prefix"),
-    )
+    key = F.col(doc_id).cast("long")
+    ends = df.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
+    if ends["a"] is None or ends["b"] - ends["a"] < 1 << 31:
+        return _matches(df, doc_id, text, percent, words)
+    # ids too far apart to be packed into a long with a line's number: go by their ranks, which keep the order
+    ranks = settle(df.select(key.alias("of")).where("of is not null").distinct().orderBy("of").withColumn("_rank", F.monotonically_increasing_id()))
+    by_rank = df.select(key.alias("of"), F.col(text).alias("_text")).join(ranks, "of").select("_rank", "_text")
+    found = _matches(by_rank, "_rank", "_text", percent, words)
+    return found.join(ranks, found["doc_id"] == ranks["_rank"]).select(F.col("of").alias("doc_id"), "no")
+
+
+def _matches(df: DataFrame, doc_id: str, text: str, percent: int, words: int) -> DataFrame:
+    """``later_matches`` for ids that are at most 2 ** 42 apart."""
+    seen, low, bits = numbered(settle(signed(split_lines(df, doc_id, text), words)).where("n > 0"))
+    picked = seen.select("id", "n", "x", "y", prefixes(seen, rarity(seen), percent).alias("prefix"))
     # one row for each set of tokens, the earliest line with it
-    sets = settle(seen.groupBy("x", "y", "n").agg(F.min("at").alias("at"), F.first("prefix").alias("prefix")).withColumn("id", F.monotonically_increasing_id()))
+    sets = settle(picked.groupBy("x", "y", "n").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"), F.count("*").alias("copies")))
     posted = sets.select("id", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
-    lists = posted.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
+    lists = posted.groupBy("token").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.min_by("n", "id").alias("nf")).where("size > 1")
     met = settle(posted.join(lists.hint("shuffle_hash"), "token"))
-    a, b = (met.select("token", F.col("id").alias(f"id{k}"), F.col("n").alias(f"n{k}"), F.col("pos").alias(f"p{k}")) for k in "ab")
-    need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
-    pairs = a.join(b, "token").where(
-        (F.col("ida") < F.col("idb"))
-        & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
-    ).select("ida", "idb", need.alias("need")).distinct()
-    pairs = settle(pairs)
-    # whole token sets of the candidates
-    wanted = settle(pairs.select(F.col("ida").alias("id")).unionAll(pairs.select("idb")).distinct().join(sets.select("id", "at"), "id"))
-    packed = lambda doc, no: F.xxhash64(doc, no)
-    near = lines.where(sieve(wanted.select(packed(F.col("at.doc_id"), F.col("at.no")).alias("h")), packed(F.col("doc_id"), F.col("no"))))
-    whole = settle(wanted.join(near.dropDuplicates(["doc_id", "no"]).withColumn("at", F.struct("doc_id", "no")).select("at", "grams"), "at").select("id", "at", "grams"))
-    wa, wb = (whole.select(F.col("id").alias(f"id{k}"), F.col("at").alias(f"at{k}"), F.col("grams").alias(f"g{k}")) for k in "ab")
-    true = pairs.join(wa, "ida").join(wb, "idb").where(F.size(F.array_intersect("ga", "gb")) >= F.col("need"))
-    gone = true.select(F.greatest("ata", "atb").alias("at")).distinct()
+    doc_of = lambda i: F.shiftright(i, bits) + F.lit(low).cast("long")
+
+    def matched(chosen: DataFrame) -> DataFrame:
+        """b of the pairs (a, b, need) that share as many shingles as they need; the sets are made again from the texts."""
+        wanted = settle(chosen.select(F.col("a").alias("id")).unionAll(chosen.select("b")).distinct())
+        some = split_lines(df.where(sieve(wanted.select(doc_of(F.col("id"))), F.col(doc_id).cast("long"))), doc_id, text)
+        near = numbered_like(some, low, bits)
+        near = shingled(near.where(sieve(wanted, F.col("id"))), words).select("doc_id", "no", F.col("g").alias("grams"))
+        whole = settle(numbered_like(near, low, bits).select("id", "grams").join(wanted, "id").dropDuplicates(["id"]))
+        a, b = (whole.select(F.col("id").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
+        return chosen.join(a, "a").join(b, "b").where(F.size(F.array_intersect("ga", "gb")) >= F.col("need")).select("b").distinct()
+
+    enough = lambda n, m: F.ceil((F.col(n) + F.col(m)) * percent / (100 + percent))
+    hot = met.where((F.col("size") > HOT) & (F.col("id") != F.col("first")) & (F.least("n", "nf") * 100 >= F.greatest("n", "nf") * percent))
+    hot = settle(hot.groupBy(F.col("first").alias("a"), F.col("id").alias("b")).agg(F.first(enough("n", "nf")).alias("need")))
+    early = settle(matched(hot)) if not hot.isEmpty() else hot.select("b")
+    met = met.select("token", "id", "n", "pos").join(early.select(F.col("b").alias("id"), F.lit(True).alias("done")), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    s, t = (met.select("token", F.col("id").alias(f"i{k}"), F.col("n").alias(f"n{k}"), F.col("pos").alias(f"p{k}"), F.col("done").alias(f"d{k}")) for k in "st")
+    # of two sets the smaller one needs a shared token among fewer, for it must share most of its own
+    need = enough("ns", "nt")
+    later_open = F.when(F.col("is") < F.col("it"), ~F.col("dt")).otherwise(~F.col("ds"))
+    short = F.col("ns") - F.ceil(F.col("ns") * 2 * percent / (100 + percent)) + 1
+    behind = F.least(F.col("ns") - F.col("ps"), F.col("nt") - F.col("pt"))
+    # a shared token at places ps and pt has at most min(ps, pt) shared ones before it and min(ns - ps, nt - pt) from it on
+    pairs = s.where(F.col("ps") < short).join(t, "token").where(
+        ((F.col("ns") < F.col("nt")) | ((F.col("ns") == F.col("nt")) & (F.col("is") < F.col("it"))))
+        & (F.col("ns") * 100 >= F.col("nt") * percent) & (behind + F.least("ps", "pt") >= need) & later_open
+    ).select(F.least("is", "it").alias("a"), F.greatest("is", "it").alias("b"), "ns", "nt", behind.alias("behind"))
+    # the first shared one leaves enough behind it, and what the prefixes share with all that comes after them is enough
+    pairs = pairs.groupBy("a", "b").agg(F.first("ns").alias("ns"), F.first("nt").alias("nt"), F.max("behind").alias("behind"), F.count("*").alias("shared"))
+    beyond = F.greatest(F.col("ns") - short, least(F.col("nt"), percent) - 1)
+    pairs = settle(pairs.where((F.col("behind") >= need) & (F.col("shared") + beyond >= need)).select("a", "b", need.alias("need"), "shared"))
+    # each line first with the earlier one that shares most of the prefix; only lines without a match then with all of theirs
+    likely = pairs.groupBy("b").agg(F.max_by(F.struct("a", "need"), F.struct("shared", -F.col("a"))).alias("m")).select("b", "m.a", "m.need")
+    gone = settle(matched(likely))
+    others = settle(pairs.join(gone, "b", "left_anti"))
+    gone = early.unionAll(gone).unionAll(matched(others)).select(F.col("b").alias("id"))
     # a set goes whole if its earliest line goes, else all but that line
-    copies = seen.select("x", "y", "n", "at").join(sets.select("x", "y", "n", F.col("at").alias("first")), ["x", "y", "n"]).where(F.col("at") != F.col("first")).select("at")
-    return copies.unionAll(gone).distinct().select("at.doc_id", "at.no")
+    several = settle(sets.where("copies > 1").select("x", "y", "n", F.col("id").alias("first")))
+    alike = seen.where(sieve(several.select("x"), F.col("x"))).select("x", "y", "n", "id")
+    copies = alike.join(several, ["x", "y", "n"]).where(F.col("id") != F.col("first")).select("id")
+    out = copies.unionAll(gone).distinct()
+    return out.select(doc_of(F.col("id")).alias("doc_id"), F.col("id").bitwiseAND((1 << bits) - 1).cast("int").alias("no"))
 
 
 def drop_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -108,13 +178,18 @@ def drop_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
 
     A null text stays null with no lines; a text all of whose lines go is empty.  Lines without words stay.
     """
-    gone = later_matches(df, doc_id, text, percent, words).groupBy(F.col("doc_id").alias("_gone_of")).agg(F.sort_array(F.collect_list("no")).alias("_gone"))
+    gone = concluded(lambda: later_matches(df, doc_id, text, percent, words).groupBy(F.col("doc_id").alias("_gone_of")).agg(F.sort_array(F.collect_list("no")).alias("_gone")))
     lines = F.split(F.col(text), "\n")
     stays = F.filter(F.zip_with(lines, F.sequence(F.lit(0), F.size(lines) - 1), lambda l, i: F.struct(l.alias("l"), i.alias("i"))), lambda z: ~F.array_contains(F.col("_gone"), z["i"]))
-    out = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stays, lambda z: z["l"]), "\n"))
-    return (
-        df.join(gone, df[doc_id] == gone["_gone_of"], "left")
-        .withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        .withColumn(text, out).drop("_gone_of", "_gone")
+    out = F.when(F.col("_gone").isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(F.transform(stays, lambda z: z["l"]), "\n"))
+    number = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")
+    # only texts that may lose lines are shuffled
+    hit = F.coalesce(sieve(gone.select("_gone_of"), F.col(doc_id).cast("long")), F.lit(False))
+    rest = df.where(~hit).withColumn("n_lines", number).withColumn("n_removed", F.lit(0).cast("long"))
+    cut = (
+        df.where(hit).join(gone, df[doc_id] == gone["_gone_of"], "left")
+        .withColumn("n_lines", number)
+        .withColumn("n_removed", F.when(F.col(text).isNull(), 0).otherwise(F.coalesce(F.size("_gone"), F.lit(0))).cast("long"))
+        .withColumn(text, out)
     )
+    return rest.unionByName(cut.select(*rest.columns))

@@ -189,7 +189,9 @@ def test_redaction(spark):
 # Lines
 
 
-def test_lines_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [64, 2])
+def test_lines_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     r = random.Random(5)
     words = [f"w{i}" for i in range(60)]
     lines = [" ".join(r.choice(words) for _ in range(r.randint(1, 60))) for _ in range(60)]
@@ -219,6 +221,8 @@ def test_lines_against_brute_force(spark):
         want = None if t is None else "\n".join(line for no, line in enumerate(t.split("\n")) if (d, no) not in gone)
         assert out[d]["text"] == want and out[d]["n_removed"] == sum(g[0] == d for g in gone)
     assert line_dedup.drop_lines(frame(spark, [])).count() == 0
+    far = df.withColumn("doc_id", (F.col("doc_id") - 30) * F.lit(1 << 57))
+    assert {(x[0] // (1 << 57) + 30, x[1]) for x in line_dedup.later_matches(far).collect()} == gone
 
 
 # Language
