@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def summary(log: DataFrame) -> DataFrame:
@@ -119,6 +120,13 @@ def work_order(items: DataFrame, threads: int, times: int) -> DataFrame:
     return items.orderBy("root_order", F.floor(F.col("root_plane") / k), "depth", F.floor(F.col("plane") / k), "seq")
 
 
+def work_places(items: DataFrame, threads: int, times: int) -> DataFrame:
+    """``items`` with their place (from 1) in ``work_order``: a range-partitioned sort, partitions' counts as offsets, and places within."""
+    ordered = work_order(items, threads, times)
+    placed = ordered.rdd.zipWithIndex().map(lambda row: (*row[0], row[1] + 1))
+    return items.sparkSession.createDataFrame(placed, StructType([*ordered.schema.fields, StructField("place", LongType(), False)]))
+
+
 def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Two runs of equal length item by item: both times and the ratio of their means by kind of work."""
     both = left.select("item", "worktype", (F.col("t_end") - F.col("t_start")).alias("l")).join(right.select("item", (F.col("t_end") - F.col("t_start")).alias("r")), "item")

@@ -487,11 +487,19 @@ def _(spark, sf_dir):
 
 @query("work_order", "SELECT seq, (row_number() OVER (ORDER BY root_order, root_plane // 3, depth, plane // 3, seq))::INTEGER AS place FROM (SELECT event_id::BIGINT AS seq, user_id % 3 AS root_order, event_id % 9 AS root_plane, event_id % 4 AS depth, event_id % 11 AS plane FROM events ORDER BY 1 LIMIT 500)")
 def _(spark, sf_dir):
-    items = fx.table(spark, sf_dir, "events").orderBy("event_id").limit(500).select(
+    return _places(fx.table(spark, sf_dir, "events").orderBy("event_id").limit(500))
+
+
+@query("work_order_all", "SELECT seq, (row_number() OVER (ORDER BY root_order, root_plane // 3, depth, plane // 3, seq))::INTEGER AS place FROM (SELECT event_id::BIGINT AS seq, user_id % 3 AS root_order, event_id % 9 AS root_plane, event_id % 4 AS depth, event_id % 11 AS plane FROM events)")
+def _(spark, sf_dir):
+    return _places(fx.table(spark, sf_dir, "events"))
+
+
+def _places(events):
+    items = events.select(
         F.col("event_id").cast("long").alias("seq"), (F.col("user_id") % 3).alias("root_order"), (F.col("event_id") % 9).alias("root_plane"), (F.col("event_id") % 4).alias("depth"), (F.col("event_id") % 11).alias("plane")
     )
-    ordered = trace.work_order(items, 4, 2).agg(F.collect_list("seq").alias("s"))  # a plan of bounded size
-    return ordered.select(F.posexplode("s").alias("i", "seq")).select("seq", (F.col("i") + 1).cast("int").alias("place"))
+    return trace.work_places(items, 4, 2).select("seq", F.col("place").cast("int").alias("place"))
 
 
 @query("compare_runs", sql("log", "SELECT worktype, round(avg(t_end - t_start), 6) AS left, round(avg((t_end - t_start) * 1.5), 6) AS right, round(avg((t_end - t_start) * 1.5) / avg(t_end - t_start), 6) AS ratio FROM log GROUP BY worktype"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from phaselens.functions import names, numbers, scanning
 from phaselens.operators import block, deconvolution, flow, images, projection, psf, rectify, synthesis, trace
+from phaselens.plans import catalog
 from phaselens.sources import files, fixtures as fx
 
 N, H, W = 3, 9, 12
@@ -219,3 +220,18 @@ def test_empty_trace(spark):
     empty = fx.thread_log(spark, "/root/testdata/sf0.001").limit(0)
     assert trace.high_water(empty).count() == 0 and trace.buffer_ids(empty).count() == 0
     assert trace.best_so_far(fx.trials(spark, "/root/testdata/sf0.001").limit(0)).count() == 0
+
+
+def test_work_is_numbered_whole_and_not_in_one_task(spark):
+    n = 3000
+    items = spark.range(0, n, 1, 6).select(F.col("id").alias("seq"), (F.col("id") * 7 % 3).alias("root_order"), (F.col("id") % 9).alias("root_plane"), (F.col("id") % 4).alias("depth"), (F.col("id") % 11).alias("plane"))
+    placed = trace.work_places(items, 4, 2)
+    want = sorted(range(n), key=lambda i: (i * 7 % 3, i % 9 // 3, i % 4, i % 11 // 3, i))
+    assert [r["seq"] for r in sorted(placed.collect(), key=lambda r: r["place"])] == want
+    assert sorted(r["place"] for r in placed.select("place").collect()) == list(range(1, n + 1))
+    assert "collect_list" not in placed._jdf.queryExecution().toString()
+
+
+def test_the_whole_table_has_its_places(spark):
+    whole = catalog.queries()["work_order_all"](spark, "/root/testdata/sf0.001")
+    assert whole.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count() > 500
