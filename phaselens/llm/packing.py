@@ -8,11 +8,16 @@ among the pieces of their length, which is dealt out in parallel.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import sys
 import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +29,22 @@ from phaselens.llm.runtime import settle, slices
 #: Lengths of one rank group are numbered in so many shares, so that a length that a third of all rows have is no hot key.
 SHARES = 64
 CACHE_WORDS = 150_000
+#: Steps towards a filling that count as one decision; the deepest levels whose place in the fillings is held, others look it up again.
+STEPS, OPEN = 64, 64
 Pattern = tuple[tuple[int, int], ...]
 
 
+@dataclass
+class Level:
+    """A decision of the search: where it is in the fillings, and how many sequences of which filling it takes."""
+
+    ways: Iterator[tuple[int, Pattern] | None] | None = None
+    drawn: int = 0
+    lost: int = 0
+    pattern: Pattern = ()
+    n: int = 0
+
+
 class WordTokens:
     """Ids of texts by a ``tokenizers`` file of lower-cased words whose pre-tokenizer never joins what ASCII white space separates.
 
@@ -160,60 +178,81 @@ def best_fit(lengths: dict[int, int], capacity: int) -> list[tuple[Pattern, int]
     return [(tuple(p), n) for groups in open_.values() for p, n in groups]
 
 
-def _two(size: np.ndarray, n: np.ndarray, room: int, most: int) -> list[tuple[int, list[int]]]:
-    """(waste, lengths) of the longest length that fits and of pairs that waste less, each with the longest second one."""
-    top = int(np.searchsorted(size, room, "right")) - 1
-    if top < 0:
-        return [(room, [])]
-    size, n = size[: top + 1], n[: top + 1]
-    found = [(room - int(size[-1]), [int(size[-1])])]
-    if found[0][0]:
-        at = np.searchsorted(size, np.minimum(size, room - size), "right") - 1
-        at = np.where((at >= 0) & (size[np.maximum(at, 0)] == size) & (n < 2), at - 1, at)
-        two = np.flatnonzero(at >= 0)
-        waste = room - size[two] - size[at[two]]
-        for k in np.argsort(waste, kind="stable")[:most].tolist():
-            if waste[k] < found[0][0]:
-                found.append((int(waste[k]), [int(size[two[k]]), int(size[at[two[k]]])]))
-    return found
-
-
-def fillings(size: np.ndarray, n: np.ndarray, room: int, most: int) -> list[list[int]]:
-    """Undominated ways to fill ``room``, the least waste first: lists of lengths, the largest first.
-
-    A filling is dominated if one of its lengths could be swapped for a longer one that still fits, or two
-    for one at least as long as both: the other then leaves no worse lengths behind. So the last length is
-    always the longest that fits, and more lengths count only if they waste less than fewer do. While more than
-    three of the longest fit, those are taken; the last three are searched.
+def _wider(bits: int, by: int) -> int:
+    """Bits and the ``by`` places above each."""
+    have = 1
+    while have <= by:
+        step = min(have, by + 1 - have)
+        bits |= bits << step
+        have += step
+    return bits
+
+
+def fillings(size: list[int], n: list[int], room: int, most: int) -> Iterator[tuple[int, Pattern] | None]:
+    """(waste, pattern) of each undominated way to fill ``room`` from ``n`` pieces of each ``size`` (descending), the least waste first, up to ``most``.
+
+    A filling is dominated if one of its pieces could be swapped for a longer one that is left and still fits, or several for one
+    at least as long as all of them: the other then leaves no worse pieces behind.  None is a step of the search without a filling.
     """
-    begun: list[int] = []
-    while len(size) and room >= 3 * int(size[-1]):
-        take = min(int(n[-1]), room // int(size[-1]) - 2)
-        begun += [int(size[-1])] * take
-        room -= take * int(size[-1])
-        n[-1] -= take
-        if not n[-1]:
-            size, n = size[:-1], n[:-1]
-    found = _two(size, n, room, most)
-    if len(size) and min(found)[0]:
-        top = int(np.searchsorted(size, room, "right"))
-        for first in np.unique(np.linspace(0, top - 1, 2 * most).astype(int))[::-1].tolist() if top else ():
-            n[first] -= 1
-            ok = n[: first + 1] > 0
-            for waste, rest in _two(size[: first + 1][ok], n[: first + 1][ok], room - int(size[first]), 1):
-                if len(rest) == 2:
-                    found.append((waste, [int(size[first]), *rest]))
-            n[first] += 1
-            if not found[-1][0]:
-                break
-    return [begun + f for _, f in sorted(found, key=lambda x: (x[0], [-s for s in x[1]]))[:most]]
+    end, whole = len(size), (2 << room) - 1
+    reach = [1] * (end + 1)  # as bits, the totals up to room that pieces of size[k:] can have
+    for k in range(end - 1, -1, -1):
+        bits, copies, step = reach[k + 1], min(n[k], room // size[k]), 1
+        while copies > 0 and bits != whole:
+            bits |= bits << min(step, copies) * size[k] & whole
+            copies, step = copies - step, 2 * step
+        reach[k] = whole if bits == whole else bits
+
+    def ways(at: int, rest: int, one: int, more: int, held: int, waste: int) -> Iterator[tuple | None]:
+        """Next lengths, how many of each, and the state after them; one, more, held: totals of one piece taken, of several, and lengths left, as bits."""
+        better = held >> rest & (2 << waste) - 1  # one piece that could stand for all that are still to come
+        for k in range(max(at, bisect_left(size, -rest, key=neg)), end):
+            if not reach[k] >> rest & 1 or better > 1 or better and size[k] != rest:
+                return
+            s, states = size[k], []
+            for copies in range(1, min(n[k], rest // s) + 1):
+                _, one_, more_, _ = states[-1] if states else (0, one, more, held)
+                one_, more_ = one_ | 1 << s, more_ | (more_ | one_) << s
+                held_ = held if copies < n[k] else held & ~(1 << s)
+                if held_ & (_wider(more_, waste) | (_wider(one_ << 1, waste - 1) if waste else 0)):
+                    break
+                states.append((copies, one_, more_, held_))
+            yield None
+            for copies, one_, more_, held_ in reversed(states):
+                if reach[k + 1] >> rest - copies * s & 1:
+                    yield (s, copies), (k + 1, rest - copies * s, one_, more_, held_, waste)
+
+    held = sum(1 << s for s in size)
+    for waste in range(min(most, room) + 1):
+        if not reach[0] >> room - waste & 1:
+            continue
+        if waste == room:
+            yield None if held & whole else (waste, ())
+            continue
+        stack, pattern = [ways(0, room - waste, 0, 0, held, waste)], []
+        while stack:
+            for way in stack[-1]:
+                if way is None:
+                    yield None
+                    continue
+                taken, state = way
+                if state[1]:
+                    pattern.append(taken)
+                    stack.append(ways(*state))
+                    break
+                yield None if state[4] & (2 << waste) - 1 else (waste, (*pattern, taken))
+            else:
+                stack.pop()
+                if pattern:
+                    pattern.pop()
 
 
-def bin_completion(lengths: dict[int, int], capacity: int, most: int = 8, nodes: int = 8_000) -> list[tuple[Pattern, int]]:
-    """Branch and bound over fillings around the longest length left.
+def bin_completion(lengths: dict[int, int], capacity: int, nodes: int = 8_000) -> list[tuple[Pattern, int]]:
+    """Branch and bound over the undominated fillings around the longest length left, each for as many sequences as it lasts, then for fewer.
 
     The incumbent is the best-fit packing. A branch is cut as soon as its waste is more than a packing with one
-    sequence less may have. The search ends when an incumbent meets the lower bound, or after ``nodes`` decisions:
+    sequence less may have, or where the same pieces were left before. The search ends when an incumbent meets the lower bound,
+    when all is searched, or after ``nodes`` decisions, STEPS steps towards a filling counting as one:
     the packing is then the best one found, not proven to be the least.
     """
     lengths = {s: n for s, n in lengths.items() if n > 0}
@@ -227,54 +266,69 @@ def bin_completion(lengths: dict[int, int], capacity: int, most: int = 8, nodes:
     left = np.zeros(capacity + 1, np.int64)
     for s, n in lengths.items():
         left[s] = n
-    bins = count(best)
-    waste, taken, todo, spent = 0, [], [], 0  # todo: for each level the fillings not tried yet
-    while bins > least and spent < nodes:
-        size = np.flatnonzero(left)
-        may = (bins - 1) * capacity - total
-        if not len(size):
-            if waste <= may:
-                best = [(p, n) for p, n, _ in taken]
+    bins, waste, steps, spent = count(best), 0, 0, 0
+    levels: list[Level] = []
+    seen: dict[bytes, int] = {}  # pieces left -> least waste they were left with
+
+    def put(level: Level, n: int) -> int:
+        """Take n sequences of the level's filling (back, if negative); their waste."""
+        for s, k in level.pattern:
+            left[s] -= n * k
+        level.n += n
+        return n * level.lost
+
+    while bins > least and spent + steps // STEPS < nodes:
+        may = (bins - 1) * capacity - total - waste
+        if may >= 0:
+            if left.any():
+                key = hashlib.blake2b(left.tobytes(), digest_size=16).digest()
+                if waste < seen.get(key, waste + 1):
+                    seen[key] = waste
+                    levels.append(Level())
+                    if len(levels) > OPEN:
+                        levels[-1 - OPEN].ways = None
+            else:
+                best = [(level.pattern, level.n) for level in levels]
                 bins = count(best)
-            down = False
-        else:
-            down = waste <= may
-        if down:
-            spent += 1
-            top = int(size[-1])
-            left[top] -= 1
-            rest = size[left[size] > 0]
-            options = [[top, *f] for f in fillings(rest, left[rest].copy(), capacity - top, most)]
-            left[top] += 1
-            todo.append(options[::-1])
-        else:
-            # back to the last level that has another filling
-            while todo and not todo[-1]:
-                todo.pop()
-                if taken and len(taken) > len(todo):
-                    pattern, n, lost = taken.pop()
-                    for s, k in pattern:
-                        left[s] += k * n
-                    waste -= lost
-            if not todo:
+        # the deepest level that has another way goes on: one sequence less, or else another filling
+        while levels and spent + steps // STEPS < nodes:
+            level, n = levels[-1], max(0, levels[-1].n - 1)
+            waste += put(level, -level.n)
+            may = (bins - 1) * capacity - total - waste
+            if not n:
+                top = int(np.flatnonzero(left)[-1])
+                if level.ways is None:
+                    left[top] -= 1
+                    size = np.flatnonzero(left[: capacity - top + 1])[::-1]
+                    level.ways = islice(fillings(size.tolist(), left[size].tolist(), capacity - top, may), level.drawn, None)
+                    left[top] += 1
+                found = None
+                for found in level.ways:
+                    level.drawn += 1
+                    if found or spent + steps // STEPS >= nodes:
+                        break
+                    steps += 1
+                if not found or found[0] > may:
+                    levels.pop()
+                    continue
+                level.lost, level.pattern = found[0], _joined(top, found[1])
+                n = int(min(left[s] // k for s, k in level.pattern))
+            if level.lost:
+                n = min(n, may // level.lost)
+            if n > 0:
+                waste += put(level, n)
+                spent += 1
                 break
-            if len(taken) == len(todo):
-                pattern, n, lost = taken.pop()
-                for s, k in pattern:
-                    left[s] += k * n
-                waste -= lost
-        filling = todo[-1].pop()
-        pattern = tuple((s, filling.count(s)) for s in dict.fromkeys(filling))
-        n = int(min(left[s] // k for s, k in pattern))
-        lost = n * (capacity - sum(filling))
-        for s, k in pattern:
-            left[s] -= k * n
-        waste += lost
-        taken.append((pattern, n, lost))
+        else:
+            break
     return whole + best
 
 
-def pack(cut: DataFrame, capacity: int = 4096, most: int = 8, nodes: int = 8_000) -> DataFrame:
+def _joined(top: int, rest: Pattern) -> Pattern:
+    return ((top, rest[0][1] + 1), *rest[1:]) if rest and rest[0][0] == top else ((top, 1), *rest)
+
+
+def pack(cut: DataFrame, capacity: int = 4096, nodes: int = 8_000) -> DataFrame:
     """Add sequence_id and offset (both long) to pieces with a length from 1 to ``capacity`` each.
 
     Places are gapless from 0. Equal rows are told apart by rank, so each gets a place of its own. An empty table stays empty.
@@ -282,7 +336,7 @@ def pack(cut: DataFrame, capacity: int = 4096, most: int = 8, nodes: int = 8_000
     share = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SHARES))
     cut = cut.withColumn("_share", share)
     counts = settle(cut.groupBy("length", "_share").agg(F.count("*").alias("_n")))
-    plan = bin_completion({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}, capacity, most, nodes)
+    plan = bin_completion({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}, capacity, nodes)
     places: dict[int, list[tuple[int, int, int, int]]] = {}
     used: dict[int, int] = {}
     first = 0

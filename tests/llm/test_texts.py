@@ -87,6 +87,21 @@ def test_few_items_are_packed_best(sizes):
     assert packing.least_bins({s: sizes.count(s) for s in sizes}, 20) <= sum(n for _, n in plan) or not sizes
 
 
+def test_planted_sequences_are_found():
+    planted = [[983, 942, 901, 819, 819, 778, 738, 738, 737, 737]]
+    for seed in range(12):
+        r, sizes = random.Random(seed), []
+        for _ in range(r.randint(2, 20)):
+            cuts = sorted(r.sample(range(200, 3896), r.randint(3, 5)))
+            sizes += [b - a for a, b in zip([0, *cuts], [*cuts, 4096], strict=True)]
+        planted.append(sizes)
+    for sizes in planted:
+        plan = packing.bin_completion({s: sizes.count(s) for s in sizes}, 4096)
+        assert sum(n for _, n in plan) * 4096 == sum(sizes)
+        assert sorted(s for pattern, n in plan for s, k in pattern for _ in range(n * k)) == sorted(sizes)
+        assert all(sum(s * k for s, k in pattern) == 4096 for pattern, _ in plan)
+
+
 def test_packed_places(spark):
     r = random.Random(1)
     texts = [" ".join(r.choice(["a", "bb", "THE", "été"]) for _ in range(r.choice([0, 3, 50, 100, 900]))) for _ in range(120)] + [None, "", "x y " * 3000] + ["same text"] * 40
