@@ -1,12 +1,14 @@
 """Licence notices in texts, whole or with a few errors.
 
 A notice with at most e errors is cut into e + 1 seeds: by the pigeonhole principle one of them stands in the
-text unchanged.  Exact seeds locate candidate windows, and there the regex library's bounded-error matching finds
-the notice and counts its errors.  Texts are compared as words (a-z, 0-9 and all beyond ASCII) with one space between.
+text unchanged.  Exact seeds locate the words where a notice can begin, and there the regex library's bounded-error
+matching finds it and counts its errors.  Texts are compared as words (a-z, 0-9 and all beyond ASCII) with one space between.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -73,25 +75,34 @@ class Scanner:
                 at = text.find(phrase, at + 1)
             if not fuzzy:
                 continue
-            # windows around exact seeds, joined where they meet
-            windows, near = [], len(notice.words) + 2 * notice.errors + 2
-            hits = set()
+            # a match begins at a word that is as far before an unchanged seed as in the notice, give or take the errors
+            starts, before = set(), 0
             for part in parts:
                 at = text.find(part)
                 while at >= 0:
-                    hits.add(at)
+                    for start in range(max(1, at - before - notice.errors), at - before + notice.errors + 1):
+                        if text[start - 1] == 32:
+                            starts.add(start)
                     at = text.find(part, at + 1)
-            for at in sorted(hits):
-                low, high = max(0, at - near), min(len(text), at + 2 * near)
-                if windows and low <= windows[-1][1]:
-                    windows[-1][1] = high
-                else:
-                    windows.append([low, high])
-            for low, high in windows:
-                for m in fuzzy.finditer(text, low, high):
-                    if not any(m.start() < e + len(notice.words) and e < m.end() for e in exact):
-                        start = text.count(b" ", 0, m.start()) - 1
-                        found.append((notice.label, notice.words, start, m[0].strip().count(b" ") + 1, sum(m.fuzzy_counts)))
+                before += len(part)
+            # the best match first, then the best beside it, and so on; a start that reaches into a better one gets its best before that
+            taken, most = sorted((e, e + len(notice.words)) for e in exact), len(notice.words) + notice.errors
+            heap = [(sum(m.fuzzy_counts), start, m.end()) for start in starts if (m := fuzzy.match(text, start, start + most + 1))]
+            heapq.heapify(heap)
+            places = []
+            while heap:
+                errors, start, end = heapq.heappop(heap)
+                k = bisect_right(taken, (start, len(text)))
+                if k and taken[k - 1][1] > start:
+                    continue
+                if k < len(taken) and taken[k][0] < end:
+                    if m := fuzzy.match(text, start, taken[k][0]):
+                        heapq.heappush(heap, (sum(m.fuzzy_counts), start, m.end()))
+                    continue
+                insort(taken, (start, end))
+                places.append((start, end, errors))
+            for start, end, errors in sorted(places):
+                found.append((notice.label, notice.words, text.count(b" ", 0, start) - 1, text.count(b" ", start, end) + 1, errors))
         return len(words), found
 
 

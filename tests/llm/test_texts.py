@@ -150,6 +150,20 @@ def test_base_places(words):
     assert n == len(words) and exact == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("under the genral public license or the general public license v2", {(2, 1), (7, 0)}),
+        ("genral public licnse a genaral public license b", {(0, 2), (4, 1)}),
+        ("genral public licnse or general public licens or genral public licnse", {(0, 2), (4, 1), (8, 2)}),
+        ("public license general public licence general license public", {(2, 1)}),
+    ],
+)
+def test_worse_notices_beside_better_ones(text, want):
+    found = license_scan.Scanner([license_scan.BASE[1]]).scan(text.encode())[1]
+    assert {(first, errors) for _, _, first, _, errors in found} == want and len(found) == len(want)
+
+
 # Personal data
 
 
