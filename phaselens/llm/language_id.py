@@ -8,6 +8,7 @@ declaration or a suffix says about a language is counted in the same way.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -125,7 +126,7 @@ def identify(df: DataFrame, model: TextModel, evidence: Evidence, keep: list[str
     """Columns ``keep``, then lang, confidence (its posterior), text_lang (by the text alone), accepted.
 
     Texts without letters, and all texts when the model has no language, have a null lang and aren't accepted; others are if the
-    posterior is ``least`` or more.  Null hosts, declarations and suffixes say nothing.  Repeated rows are each judged.
+    posterior is ``least`` or more and the text itself is likelier under its language than if all trigrams were alike.  Null hosts, declarations and suffixes say nothing.  Repeated rows are each judged.
     """
     text = F.col(text) if isinstance(text, str) else text
     blank = F.lit(None).cast("string")
@@ -175,10 +176,12 @@ def identify(df: DataFrame, model: TextModel, evidence: Evidence, keep: list[str
     fused = fused.withColumn("_all", sum_(F.col("_e"))).withColumn("_p", F.transform("_e", lambda v: v / F.col("_all")))
     at = F.array_position("_p", F.array_max("_p")).cast("int")
     has = F.col("_best").isNotNull()
+    # none of the languages: each hash of a trigram is as likely as any other
+    none_of_them = -math.log(TABLE) * F.least(F.col("_n").cast("double"), WEIGHT * F.sqrt("_n"))
     return fused.select(
         *(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), F.when(has, F.element_at(names, at)).alias("lang"),
         F.when(has, F.array_max("_p")).otherwise(0.0).alias("confidence"), F.when(has, F.element_at(names, F.col("_best") + 1)).alias("text_lang"),
-        (has & (F.array_max("_p") >= least)).alias("accepted"),
+        (has & (F.array_max("_p") >= least) & (F.element_at("_ll", at) > none_of_them)).alias("accepted"),
     )
 
 

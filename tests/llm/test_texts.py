@@ -277,6 +277,23 @@ def test_other_evidence_decides_where_the_text_does_not(spark):
     assert out[9003]["lang"] is None and not out[9003]["accepted"] and out[9004]["lang"] is None
 
 
+def test_texts_of_no_trained_language_are_not_accepted(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(docs)
+    r = random.Random(4)
+    texts = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+        " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(80)),
+        "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(600)),
+    ]
+    found = language_id.identify(frame(spark, texts), model, language_id.Evidence(), ["doc_id"]).collect()
+    assert [r["doc_id"] for r in found if r["accepted"]] == []
+    assert language_id.identify(docs, model, language_id.Evidence(), ["doc_id"]).where("not accepted").count() == docs.where("coalesce(text, '') = ''").count()
+
+
 def test_language_without_rows_or_labels(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert language_id.keep_identified(empty).count() == 0
