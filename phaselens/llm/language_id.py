@@ -187,8 +187,8 @@ def identify(df: DataFrame, model: TextModel, evidence: Evidence, keep: list[str
 
 def declared_in(markup: Column) -> Column:
     """Two-letter language of the first ``lang`` attribute of an html tag, or null."""
-    found = F.lower(F.regexp_extract(markup, r"(?i)<html[^>]{0,200}?\blang\s*=\s*[\"']?([a-z]{2})", 1))
-    return F.when(F.contains(markup, F.lit("<html")), F.nullif(found, F.lit("")))
+    found = F.lower(F.regexp_extract(markup, r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([a-z]{2})", 1))
+    return F.when(F.contains(F.lower(markup), F.lit("<html")), F.nullif(found, F.lit("")))
 
 
 def host_of(url: Column) -> Column:

@@ -307,3 +307,9 @@ def test_language_without_rows_or_labels(spark):
 def test_declared_host_suffix(spark, html, url, want):
     host = language_id.host_of(F.lit(url))
     assert tuple(spark.range(1).select(language_id.declared_in(F.lit(html)), host, language_id.suffix_of(host)).first()) == want
+
+
+@pytest.mark.parametrize("html", ['<HTML LANG="de">', "<!doctype html>\n<Html Lang=de>", f'<html prefix="{"og: https://ogp.example/ns# " * 40}" class="a b" lang="de">'])
+def test_declared_in_any_case_and_after_long_attributes(spark, html):
+    assert spark.range(1).select(language_id.declared_in(F.lit(html))).first()[0] == "de"
+    assert spark.range(1).select(language_id.declared_in(F.lit("<HTML " + "x" * 300 + '><p lang="de">'))).first()[0] is None
