@@ -56,13 +56,13 @@ def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h[inside].astype(np.int64), np.concatenate([[0], np.cumsum(count)])
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = 6000, most: int = 32) -> TextModel:
-    """Fit trigram models on at most ``rows`` labelled rows, those with the smallest hashes of their keys, of at most ``most`` languages.
+def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = 6000) -> TextModel:
+    """Fit trigram models on at most ``rows`` labelled rows, those with the smallest hashes of their keys, and of all their languages.
 
     Rows without text or label don't count.  Whole texts are read; what reaches the driver is a table of fixed size for each language.
     """
     some = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(label).cast("string").alias("l"))
-    sample = some.orderBy("h", "l").limit(rows).groupBy("l").agg(F.count("*").alias("n"), F.max("h").alias("top")).orderBy(F.desc("n"), "l").limit(most).collect()
+    sample = some.orderBy("h", "l").limit(rows).groupBy("l").agg(F.max("h").alias("top")).collect()
     languages = sorted(r["l"] for r in sample)
     if not languages:
         return TextModel([], np.zeros((TABLE, 0), np.float32))
@@ -70,13 +70,16 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str
     chosen = labelled.where((F.xxhash64(key) <= limit) & F.col(label).isin(languages) & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("l"), F.col(text).cast("binary").alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), TABLE), np.int64)
+        total: dict[int, np.ndarray] = {}
+        at = {x: k for k, x in enumerate(languages)}
         for b in slices(batches, "_text"):
             h, starts = _trigrams([t or b"" for t in b.column("_text").to_pylist()])
-            row = np.array([languages.index(x) for x in b.column("l").to_pylist()])
-            np.add.at(total, (np.repeat(row, np.diff(starts)), h), 1)
-        used = np.flatnonzero(total.any(1)).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([total[k].tobytes() for k in used], pa.binary())], names=["k", "counts"])
+            row = np.repeat(np.array([at[x] for x in b.column("l").to_pylist()]), np.diff(starts))
+            for k in np.unique(row).tolist():
+                counts = np.bincount(h[row == k], minlength=TABLE)
+                total[k] = total[k] + counts if k in total else counts
+        for k, counts in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["k", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(c.as_py(), np.int64) for c in group.column("counts"))

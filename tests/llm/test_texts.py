@@ -313,3 +313,14 @@ def test_declared_host_suffix(spark, html, url, want):
 def test_declared_in_any_case_and_after_long_attributes(spark, html):
     assert spark.range(1).select(language_id.declared_in(F.lit(html))).first()[0] == "de"
     assert spark.range(1).select(language_id.declared_in(F.lit("<HTML " + "x" * 300 + '><p lang="de">'))).first()[0] is None
+
+
+def test_all_languages_of_the_sample_are_known(spark):
+    r = random.Random(6)
+    words = {f"l{k:02}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(40)}
+    rows = [(i, " ".join(r.choice(words[lang]) for _ in range(40)), lang, "s") for i, lang in enumerate(sorted(words) * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language_id.train(df)
+    assert model.languages == sorted(words)
+    few = df.where("lang >= 'l30'")
+    assert language_id.likelihoods(few, model, F.col("text"), [F.col("lang")]).select("lang", F.array_position("_ll", F.array_max("_ll")).alias("k")).where("substr(lang, 2) <> k - 1").count() == 0
