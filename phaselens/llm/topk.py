@@ -54,7 +54,7 @@ class Blocks:
         self.long = None if self.exact else x[order]
 
     def search(self, query: int, q: np.ndarray, k: int, least: int | None) -> list[tuple[int, int]]:
-        """Up to k (score, vec_id) with a score of ``least`` or more, best first; ties to the smaller vec_id; without the query's own rows."""
+        """Up to k (score, vec_id) with a score of ``least`` or more, best first and each vec_id once; ties to the smaller vec_id; without the query's own rows."""
         w = q.astype(np.float64)
         up, down = np.maximum(w, 0), np.minimum(w, 0)
         bound = self.most @ up + self.least @ down
@@ -71,7 +71,12 @@ class Blocks:
             ids = self.ids[at]
             ok = ids != query if floor is None else (ids != query) & (score >= floor)
             if ok.any():
-                found = sorted([*found, *zip((-score[ok]).astype(np.int64).tolist(), ids[ok].tolist(), strict=True)])[:k]
+                best = {}
+                for s, i in sorted([*found, *zip((-score[ok]).astype(np.int64).tolist(), ids[ok].tolist(), strict=True)]):
+                    best.setdefault(i, s)
+                    if len(best) == k:
+                        break
+                found = [(s, i) for i, s in best.items()]
         return [(-s, i) for s, i in found]
 
 
@@ -114,7 +119,7 @@ def _top(df: DataFrame, k: int, every: int, vec_id: str, vector: str, scale: int
 
     near = settle(docs.groupBy("d", "home").applyInArrow(first, FOUND))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    least = near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == k).select("query_id", F.col("score").alias("least"))
+    least = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("_r", F.row_number().over(best)).where(F.col("_r") == k).select("query_id", F.col("score").alias("least"))
     asked = docs.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id").join(least, "query_id", "left")
     asked = settle(asked)
     parties = asked.count() // VISIT + 1

@@ -89,6 +89,23 @@ def test_top_k(spark, monkeypatch, ranges):
     assert sorted(map(tuple, found.collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("ranges", [8192, 20])
+def test_top_k_ids_of_many_vectors(spark, monkeypatch, ranges):
+    monkeypatch.setattr(topk, "RANGE", ranges)
+    r = np.random.default_rng(8)
+    rows = [(i, (np.ones(4) * (60 - i) + r.normal(0, 0.1, 4)).tolist()) for i in range(51) for _ in range(9)]
+    x = [(i, np.floor(256 * np.float32(v).astype(float)).astype(int)) for i, v in rows]
+    want = []
+    for q in (0, 50):
+        best = {}
+        for _, w in (y for y in x if y[0] == q):
+            for i, v in x:
+                if i != q:
+                    best[i] = max(int(w @ v), best.get(i, -(10**12)))
+        want += [(q, k + 1, i, s) for k, (i, s) in enumerate(sorted(best.items(), key=lambda b: (-b[1], b[0]))[:5])]
+    assert sorted(map(tuple, topk.top_k(frame(spark, rows)).collect())) == sorted(want)
+
+
 def test_top_k_of_nothing(spark):
     assert topk.top_k(frame(spark, [])).count() == 0
 
