@@ -1,9 +1,9 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame operations only.
 
-A line's tokens are its distinct five-word shingles (one token, all its words, for a shorter line).  They are ordered by rarity -
-by counts over all lines in a table of fixed size, then by hash - and only the first few, the prefix, can start a
-match.  Prefix, length and positional filters leave candidate pairs, whose Jaccard similarity is then computed.
-A line goes if an earlier one, by document and line number, is similar enough to it.
+A line's tokens are its distinct words.  They are ordered by rarity - by the numbers of words in the ranges of a table of
+counts over all lines, then by hash - and only the first few, the prefix, can start a match.  Prefix, length and
+positional filters, and a signature of 128 bits that tells how much two sets differ at least, leave candidate pairs,
+whose Jaccard similarity is then computed.  A line goes if an earlier one, by document and line number, is similar enough.
 """
 
 from __future__ import annotations
@@ -15,21 +15,27 @@ from pyspark.sql import functions as F
 
 from phaselens.llm.runtime import concluded, settle, sieve
 
-#: Entries of the table of counts.
-BUCKETS = 1 << 16
-WORDS = 5
 PERCENT = 80
+#: Bits of a token, and those of the number of ranges of the table of counts: it follows the number of lines between two bounds.
+TOKEN, LEAST_BITS, MOST_BITS, ROW = 56, 16, 22, 12
+#: Levels are bytes from FIRST, for a range without words, to LAST: 3 for each doubling of the number.
+FIRST, LAST = 33, 126
 #: Lines of a token that are first compared with the earliest of them only; those that match it need no others.
 HOT = 64
+#: Lines of a longer list that meet as many others at once.
+BLOCK = 256
 
 
 def words_of(line: Column) -> Column:
-    """64-bit hashes of a line's words, which stand between spaces and the control characters from tab to carriage return, A-Z as a-z."""
+    """A line's words, some of them empty: they stand between spaces and the control characters from tab to carriage return, in lower case."""
     odd = F.lit(False)
     for c in "\t\x0b\x0c\r":
         odd = odd | F.contains(line, F.lit(c))
-    plain = F.lower(F.when(odd, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line))
-    return F.array_remove(F.transform(F.split(plain, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    return F.split(F.lower(F.when(odd, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)), " ")
+
+
+def token(word: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(word), 64 - TOKEN)
 
 
 def split_lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -38,158 +44,176 @@ def split_lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.select("doc_id", F.posexplode(F.split("_t", "\n")).alias("no", "line")).where(F.trim("line") != "")
 
 
-def shingled(lines: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, no, g: sorted distinct 64-bit hashes of a line's word shingles.
-
-    Each step is a column of its own: an expression inside a higher-order function would be computed again for each element.
-    """
-    split = lines.select("doc_id", "no", words_of(F.col("line")).alias("w"))
-    at = F.sequence(F.lit(0), F.size("w") - words)
-    whole = F.when(F.size("w") > 0, F.array(F.xxhash64("w"))).otherwise(F.array().cast("array<long>"))
-    grams = F.when(F.size("w") < words, whole).otherwise(F.transform(at, lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(words)))))
-    return split.select("doc_id", "no", F.sort_array(F.array_distinct(grams)).alias("g"))
-
-
-def signed(lines: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, no, n, x, y, tokens: the number of a line's distinct shingles, hashes of their set, and 32 bits of each.
+def tokenised(lines: DataFrame, *others: str) -> DataFrame:
+    """``others`` and t: the distinct tokens of a line, hashes of its words."""
+    each = F.transform(words_of(F.col("line")), token)
+    return lines.select(*others, F.array_remove(F.array_distinct(each), token(F.lit(""))).alias("t"))
 
-    Tokens of 32 bits may agree by chance, which makes candidates only; sizes, equality and similarity go by 64 bits and more.
-    """
-    # of sorted longs the leading 32 bits are sorted, too
-    tokens = F.transform("g", lambda h: F.shiftright(h, 32).cast("int"))
-    return shingled(lines, words).select("doc_id", "no", F.size("g").alias("n"), F.xxhash64("g").alias("x"), F.hash("g").alias("y"), tokens.alias("tokens"))
 
+def rarity(lines: DataFrame, bits: int) -> Column:
+    """The levels of 2 ** bits ranges of tokens by the number of words in each, one byte a range.
 
-def rarity(lines: DataFrame) -> Column:
-    """An array of a class for each of BUCKETS hash ranges: 0 where tokens are as rare as most, then by the logarithm of their number.
-
-    The counts are of all lines; one row per range comes to the driver, whatever the input.
+    The counts are of all words of all lines; what reaches the driver has the size of the table, whatever the input.
     """
-    counts = lines.select(F.explode("tokens").alias("g")).groupBy(F.col("g").bitwiseAND(BUCKETS - 1).alias("k")).agg(F.count("*").alias("n")).collect()
-    number = [0] * BUCKETS
-    for r in counts:
-        number[r["k"]] = r["n"]
-    middle = sorted(number)[BUCKETS // 2]
-    usual = middle + 5 * math.sqrt(middle + 1) + 1
-    classes = [min(127, 1 + int(2 * math.log2(max(1, n - usual)))) if n > usual else 0 for n in number]
-    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<int>")
+    words = lines.select(F.explode(words_of(F.col("line"))).alias("w")).where("w <> ''").select(F.shiftright(token(F.col("w")), TOKEN - bits).alias("k"), F.lit(1).alias("one"))
+    every = lines.sparkSession.range(1 << bits).select(F.col("id").alias("k"), F.lit(0).alias("one"))
+    counts = words.unionAll(every).groupBy("k").agg(F.sum("one").alias("n"))
+    level = F.char(F.least(FIRST + F.floor(3 * F.log2(F.col("n") + 1)), F.lit(LAST)).cast("long"))
+    row = counts.select(F.shiftright("k", ROW).alias("row"), F.struct(F.col("k").bitwiseAND((1 << ROW) - 1).cast("int").alias("k"), level.alias("level")).alias("s"))
+    rows = settle(row.groupBy("row").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["level"]), "").alias("levels")))
+    return F.lit("".join(r["levels"] for r in rows.orderBy("row").collect()).encode())
 
 
-def prefixes(lines: DataFrame, classes: Column, percent: int) -> Column:
-    """The first tokens by class and then hash, as many as a match needs to share one of: longs of class and token.
-
-    Most lines have enough tokens of class 0 among their first by hash; only others look at all of theirs.
-    """
-    take = (F.col("n") - least(F.col("n"), percent) + 1).cast("int")
-    level = lambda g: F.get(classes, g.bitwiseAND(BUCKETS - 1))
-    rare = F.filter(F.slice("tokens", F.lit(1), take + 4), lambda g: level(g) == 0)
-    key = lambda g: F.call_function("shiftleft", level(g).cast("long"), F.lit(40)) + g.cast("long")
-    return F.when(F.size(rare) >= take, F.transform(F.slice(rare, F.lit(1), take), lambda g: g.cast("long"))).otherwise(F.slice(F.sort_array(F.transform("tokens", key)), F.lit(1), take))
+def level_of(number: int) -> int:
+    return min(LAST, FIRST + math.floor(3 * math.log2(1 + number)))
 
 
 def least(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100)
 
 
-def numbered(seen: DataFrame) -> tuple[DataFrame, int, int]:
-    """``seen`` with id, a long in the order of doc_id and no, and what undoes it: the smallest doc_id and the bits of no."""
-    ends = seen.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("no").alias("n")).first()
-    low, bits = ends["a"] or 0, int(ends["n"] or 0).bit_length()
-    return numbered_like(seen, low, bits), low, bits
+def enough(n: Column, m: Column, percent: int) -> Column:
+    """Tokens that sets of these sizes share at least if they are similar enough."""
+    return F.ceil((n + m) * percent / (100 + percent))
+
 
+def signed(lines: DataFrame, table: Column, bits: int, percent: int) -> DataFrame:
+    """doc_id, no, n, x, y, s, u, prefix: the number of a line's tokens, hashes of their set, its signature, and its rarest tokens.
 
-def numbered_like(lines: DataFrame, low: int, bits: int) -> DataFrame:
-    return lines.withColumn("id", F.call_function("shiftleft", F.col("doc_id") - F.lit(low).cast("long"), F.lit(bits)) + F.col("no"))
+    A prefix's tokens have their level in the table above their own bits, so that they sort by it.  The signature has, for
+    each of 128 values, whether the number of tokens with this value is odd; two sets differ in as many tokens as bits, or more.
+    Each step is a column of its own: an expression inside a higher-order function would be computed again for each element.
+    """
+    level = lambda t: F.ascii(F.substring(table, F.shiftright(t, TOKEN - bits).cast("int") + 1, F.lit(1)).cast("string"))
+    keys = F.sort_array(F.transform("t", lambda t: F.call_function("shiftleft", level(t).cast("long"), F.lit(TOKEN)).bitwiseOR(t)))
+    keyed = tokenised(lines, "doc_id", "no").select("doc_id", "no", keys.alias("k"))
+    half = lambda t: F.shiftright(t, 6).bitwiseAND(1)
+    bit = lambda value, t: F.call_function("shiftleft", value, t.bitwiseAND(63).cast("int"))
+    odd = lambda of: F.aggregate("k", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(of(t), t)))
+    n = F.size("k")
+    return keyed.where(n > 0).select(
+        "doc_id", "no", n.alias("n"), F.xxhash64("k").alias("x"), F.hash("k").alias("y"), odd(half).alias("s"), odd(lambda t: half(t).bitwiseXOR(F.lit(1).cast("long"))).alias("u"),
+        F.slice("k", F.lit(1), (n - least(n, percent) + 1).cast("int")).alias("prefix"),
+    )
 
 
-def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """doc_id, no of each line that an earlier one matches: |A and B| * 100 >= percent * |A or B|.
+def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, no of each line that an earlier one matches: |A and B| * 100 >= percent * |A or B| for their sets of words.
 
-    Earlier means a smaller doc_id, or the same and a smaller line number (from 0).  Lines without words never match. Of
-    rows that repeat a doc_id, lines with the same number are one line for this purpose.
+    Earlier means a smaller doc_id, or the same and a smaller line number (from 0).  Lines without words never match; rows with a
+    null doc_id or text have no lines.  Where rows repeat a doc_id, a place is one line, which is any of those that stand there.
     """
     key = F.col(doc_id).cast("long")
-    ends = df.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
-    if ends["a"] is None or ends["b"] - ends["a"] < 1 << 31:
-        return _matches(df, doc_id, text, percent, words)
+    ends = df.agg(F.min(key).alias("a"), F.max(key).alias("b"), F.max(F.size(F.split(text, "\n"))).alias("n"), F.sum(F.size(F.split(text, "\n"))).alias("lines")).first()
+    bits, lines = int(ends["n"] or 1).bit_length(), int(ends["lines"] or 1)
+    if ends["a"] is None or (ends["b"] - ends["a"]).bit_length() + bits < 63:
+        return _matches(df, doc_id, text, percent, ends["a"] or 0, bits, lines)
     # ids too far apart to be packed into a long with a line's number: go by their ranks, which keep the order
-    ranks = settle(df.select(key.alias("of")).where("of is not null").distinct().orderBy("of").withColumn("_rank", F.monotonically_increasing_id()))
+    ranks = settle(df.select(key.alias("of")).where("of is not null").distinct().orderBy("of").withColumn("_m", F.monotonically_increasing_id()))
+    sizes = {r["p"]: r["n"] for r in ranks.groupBy(F.shiftright("_m", 33).alias("p")).agg(F.count("*").alias("n")).collect()}
+    starts, total = {}, 0
+    for p in sorted(sizes):
+        starts[p], total = total, total + sizes[p]
+    if total.bit_length() + bits > 62:
+        raise ValueError("more lines than a long can number")
+    start = F.element_at(F.create_map(*(F.lit(v).cast("long") for kv in starts.items() for v in kv)), F.shiftright("_m", 33))
+    ranks = ranks.select("of", (start + F.col("_m").bitwiseAND((1 << 33) - 1)).alias("_rank"))
     by_rank = df.select(key.alias("of"), F.col(text).alias("_text")).join(ranks, "of").select("_rank", "_text")
-    found = _matches(by_rank, "_rank", "_text", percent, words)
+    found = _matches(by_rank, "_rank", "_text", percent, 0, bits, lines)
     return found.join(ranks, found["doc_id"] == ranks["_rank"]).select(F.col("of").alias("doc_id"), "no")
 
 
-def _matches(df: DataFrame, doc_id: str, text: str, percent: int, words: int) -> DataFrame:
-    """``later_matches`` for ids that are at most 2 ** 42 apart."""
-    seen, low, bits = numbered(settle(signed(split_lines(df, doc_id, text), words)).where("n > 0"))
-    picked = seen.select("id", "n", "x", "y", prefixes(seen, rarity(seen), percent).alias("prefix"))
-    # one row for each set of tokens, the earliest line with it
-    sets = settle(picked.groupBy("x", "y", "n").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"), F.count("*").alias("copies")))
-    posted = sets.select("id", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
-    lists = posted.groupBy("token").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.min_by("n", "id").alias("nf")).where("size > 1")
-    met = settle(posted.join(lists.hint("shuffle_hash"), "token"))
+def _matches(df: DataFrame, doc_id: str, text: str, percent: int, low: int, bits: int, lines: int) -> DataFrame:
+    """``later_matches`` for ids from ``low`` on that can be packed into a long with ``bits`` of a line's number."""
+    number = F.call_function("shiftleft", F.col("doc_id") - F.lit(low).cast("long"), F.lit(bits)) + F.col("no")
     doc_of = lambda i: F.shiftright(i, bits) + F.lit(low).cast("long")
+    every = split_lines(df, doc_id, text)
+    ranges = min(MOST_BITS, max(LEAST_BITS, lines.bit_length() + 1))
+    seen = settle(signed(every, rarity(every, ranges), ranges, percent).select(number.alias("id"), "n", "x", "y", "s", "u", "prefix"))
+    # one row for each set of tokens, the earliest line with it
+    sets = settle(seen.groupBy("x", "y", "n").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("s", "u", "prefix")), F.count("*").alias("copies")))
+    # a token whose range holds one word is in no other line, and a set too small to lose a token matches no other set
+    posted = sets.where(F.col("n") * 100 >= (F.col("n") + 1) * percent).select("id", "n", "s", "u", F.posexplode("prefix").alias("pos", "token"))
+    level = F.shiftright("token", TOKEN)
+    posted = posted.where(level > level_of(1))
 
     def matched(chosen: DataFrame) -> DataFrame:
-        """b of the pairs (a, b, need) that share as many shingles as they need; the sets are made again from the texts."""
+        """b of the pairs (a, b) of places that are similar enough; the sets are made again from the texts."""
         wanted = settle(chosen.select(F.col("a").alias("id")).unionAll(chosen.select("b")).distinct())
-        some = split_lines(df.where(sieve(wanted.select(doc_of(F.col("id"))), F.col(doc_id).cast("long"))), doc_id, text)
-        near = numbered_like(some, low, bits)
-        near = shingled(near.where(sieve(wanted, F.col("id"))), words).select("doc_id", "no", F.col("g").alias("grams"))
-        whole = settle(numbered_like(near, low, bits).select("id", "grams").join(wanted, "id").dropDuplicates(["id"]))
-        a, b = (whole.select(F.col("id").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
-        return chosen.join(a, "a").join(b, "b").where(F.size(F.array_intersect("ga", "gb")) >= F.col("need")).select("b").distinct()
-
-    enough = lambda n, m: F.ceil((F.col(n) + F.col(m)) * percent / (100 + percent))
-    hot = met.where((F.col("size") > HOT) & (F.col("id") != F.col("first")) & (F.least("n", "nf") * 100 >= F.greatest("n", "nf") * percent))
-    hot = settle(hot.groupBy(F.col("first").alias("a"), F.col("id").alias("b")).agg(F.first(enough("n", "nf")).alias("need")))
-    early = settle(matched(hot)) if not hot.isEmpty() else hot.select("b")
-    met = met.select("token", "id", "n", "pos").join(early.select(F.col("b").alias("id"), F.lit(True).alias("done")), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    s, t = (met.select("token", F.col("id").alias(f"i{k}"), F.col("n").alias(f"n{k}"), F.col("pos").alias(f"p{k}"), F.col("done").alias(f"d{k}")) for k in "st")
+        some = split_lines(df.where(sieve(wanted.select(doc_of(F.col("id"))), F.col(doc_id).cast("long"))), doc_id, text).withColumn("id", number)
+        near = tokenised(some.where(sieve(wanted, F.col("id"))), "id").join(wanted, "id")
+        whole = settle(near.dropDuplicates())
+        a, b = (whole.select(F.col("id").alias(k), F.col("t").alias(f"t{k}")) for k in "ab")
+        shared = F.size(F.array_intersect("ta", "tb"))
+        return chosen.join(a, "a").join(b, "b").where(shared >= enough(F.size("ta"), F.size("tb"), percent)).select("b").distinct()
+
+    def likely(n: Column, m: Column, s: Column, t: Column, u: Column, v: Column) -> Column:
+        """The length filter, and sizes and signatures that leave enough in common."""
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (n + m - F.bit_count(s.bitwiseXOR(t)) - F.bit_count(u.bitwiseXOR(v)) >= 2 * enough(n, m, percent))
+
+    c = F.col
+    # long lists, which only tokens of a well-filled range can have: their lines first meet the earliest one
+    lists = posted.where(level >= level_of(HOT)).groupBy("token").agg(F.count("*").alias("size"), F.min("id").alias("first"), *(F.min_by(k, "id").alias(f"f{k}") for k in "nsu"))
+    lists = settle(lists.where(c("size") > HOT))
+    early = None
+    entries = posted.select("token", "id", "n", "s", "u", (c("pos") * 8).alias("at"))
+    if not lists.isEmpty():
+        may = (level >= level_of(HOT)) & sieve(lists.select("token"), c("token"))
+        hot = settle(posted.where(may).join(lists, "token", "left"))
+        first = hot.where((c("id") != c("first")) & likely(c("n"), c("fn"), c("s"), c("fs"), c("u"), c("fu")))
+        early = settle(matched(settle(first.select(c("first").alias("a"), c("id").alias("b")).distinct())))
+        done = hot.join(early.select(c("b").alias("id"), F.lit(1).alias("done")), "id", "left").withColumn("done", F.coalesce("done", F.lit(0)))
+        # blocks of a long list meet each other: side tells the two of a meeting apart, 0 is a block by itself
+        blocks = F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("int")
+        dealt = done.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        i, j = F.least("own", "other"), F.greatest("own", "other")
+        side = F.when(i == j, 0).when(c("own") == i, 1).otherwise(2)
+        name = F.when(blocks == 1, c("token")).otherwise(F.xxhash64("token", i, j))
+        entries = entries.where(~may).unionAll(dealt.select(name.alias("token"), "id", "n", "s", "u", (c("pos") * 8 + side * 2 + c("done")).alias("at")))
+    l, r = (entries.select("token", *(c(k).alias(f"{k}{z}") for k in ("id", "n", "s", "u", "at"))) for z in "lr")
+    pl, pr = (F.shiftright(f"at{z}", 3) for z in "lr")
     # of two sets the smaller one needs a shared token among fewer, for it must share most of its own
-    need = enough("ns", "nt")
-    later_open = F.when(F.col("is") < F.col("it"), ~F.col("dt")).otherwise(~F.col("ds"))
-    short = F.col("ns") - F.ceil(F.col("ns") * 2 * percent / (100 + percent)) + 1
-    behind = F.least(F.col("ns") - F.col("ps"), F.col("nt") - F.col("pt"))
-    # a shared token at places ps and pt has at most min(ps, pt) shared ones before it and min(ns - ps, nt - pt) from it on
-    pairs = s.where(F.col("ps") < short).join(t, "token").where(
-        ((F.col("ns") < F.col("nt")) | ((F.col("ns") == F.col("nt")) & (F.col("is") < F.col("it"))))
-        & (F.col("ns") * 100 >= F.col("nt") * percent) & (behind + F.least("ps", "pt") >= need) & later_open
-    ).select(F.least("is", "it").alias("a"), F.greatest("is", "it").alias("b"), "ns", "nt", behind.alias("behind"))
-    # the first shared one leaves enough behind it, and what the prefixes share with all that comes after them is enough
-    pairs = pairs.groupBy("a", "b").agg(F.first("ns").alias("ns"), F.first("nt").alias("nt"), F.max("behind").alias("behind"), F.count("*").alias("shared"))
-    beyond = F.greatest(F.col("ns") - short, least(F.col("nt"), percent) - 1)
-    pairs = settle(pairs.where((F.col("behind") >= need) & (F.col("shared") + beyond >= need)).select("a", "b", need.alias("need"), "shared"))
-    # each line first with the earlier one that shares most of the prefix; only lines without a match then with all of theirs
-    likely = pairs.groupBy("b").agg(F.max_by(F.struct("a", "need"), F.struct("shared", -F.col("a"))).alias("m")).select("b", "m.a", "m.need")
-    gone = settle(matched(likely))
-    others = settle(pairs.join(gone, "b", "left_anti"))
-    gone = early.unionAll(gone).unionAll(matched(others)).select(F.col("b").alias("id"))
+    short = c("nl") - F.ceil(c("nl") * 2 * percent / (100 + percent)) + 1
+    # a shared token at places pl and pr has at most min(pl, pr) shared ones before it and the rest of the shorter one from it on
+    positional = F.least(c("nl") - pl, c("nr") - pr) + F.least(pl, pr) - enough(c("nl"), c("nr"), percent)
+    sides = c("atl").bitwiseAND(6)
+    later_is_open = F.when(c("idl") < c("idr"), c("atr")).otherwise(c("atl")).bitwiseAND(1) == 0
+    pairs = l.join(r, "token").where(
+        ((c("nl") < c("nr")) | ((c("nl") == c("nr")) & (c("idl") < c("idr")))) & (c("idl") != c("idr")) & (F.least(short - pl, positional + 1) > 0)
+        & likely(c("nl"), c("nr"), c("sl"), c("sr"), c("ul"), c("ur")) & ((sides == 0) | (sides != c("atr").bitwiseAND(6))) & later_is_open
+    )
+    apart = F.bit_count(c("sl").bitwiseXOR(c("sr"))) + F.bit_count(c("ul").bitwiseXOR(c("ur")))
+    pairs = settle(pairs.select(F.least("idl", "idr").alias("a"), F.greatest("idl", "idr").alias("b"), apart.alias("apart")))
+    # each line first with the earlier one that seems the most alike; only lines without a match then with all of theirs
+    gone = settle(matched(settle(pairs.groupBy("b").agg(F.min_by("a", "apart").alias("a")))))
+    others = settle(pairs.select("a", "b").join(gone, "b", "left_anti").distinct())
+    gone = gone.unionAll(matched(others))
+    gone = (gone if early is None else gone.unionAll(early)).select(c("b").alias("id"))
     # a set goes whole if its earliest line goes, else all but that line
-    several = settle(sets.where("copies > 1").select("x", "y", "n", F.col("id").alias("first")))
-    alike = seen.where(sieve(several.select("x"), F.col("x"))).select("x", "y", "n", "id")
-    copies = alike.join(several, ["x", "y", "n"]).where(F.col("id") != F.col("first")).select("id")
+    several = settle(sets.where("copies > 1").select("x", "y", "n", c("id").alias("first")))
+    alike = seen.where(sieve(several.select("x"), c("x"))).select("x", "y", "n", "id")
+    copies = alike.join(several, ["x", "y", "n"]).where(c("id") != c("first")).select("id")
     out = copies.unionAll(gone).distinct()
-    return out.select(doc_of(F.col("id")).alias("doc_id"), F.col("id").bitwiseAND((1 << bits) - 1).cast("int").alias("no"))
+    return out.select(doc_of(c("id")).alias("doc_id"), c("id").bitwiseAND((1 << bits) - 1).cast("int").alias("no"))
 
 
-def drop_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+def drop_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """All rows and columns of ``df``, with matched lines taken out of ``text``, and n_lines, n_removed (long).
 
-    A null text stays null with no lines; a text all of whose lines go is empty.  Lines without words stay.
+    A null text stays null with no lines; a text all of whose lines go is empty.  Lines without words stay, and so do rows with
+    a null doc_id.  Columns of ``df`` named n_lines or n_removed are replaced; others may have any names.
     """
-    gone = concluded(lambda: later_matches(df, doc_id, text, percent, words).groupBy(F.col("doc_id").alias("_gone_of")).agg(F.sort_array(F.collect_list("no")).alias("_gone")))
-    lines = F.split(F.col(text), "\n")
-    stays = F.filter(F.zip_with(lines, F.sequence(F.lit(0), F.size(lines) - 1), lambda l, i: F.struct(l.alias("l"), i.alias("i"))), lambda z: ~F.array_contains(F.col("_gone"), z["i"]))
-    out = F.when(F.col("_gone").isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(F.transform(stays, lambda z: z["l"]), "\n"))
-    number = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")
+    gone = concluded(lambda: later_matches(df, doc_id, text, percent).groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_list("no")).alias("gone")))
+    others = [x for x in df.columns if x not in ("n_lines", "n_removed")]
+    rows = df.select(F.struct(*others).alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    lines = F.split("text", "\n")
+    rows = rows.withColumn("number", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
+    told = lambda removed, out: [*((out if x == text else F.col(f"row.`{x}`")).alias(x) for x in others), F.col("number").alias("n_lines"), removed.cast("long").alias("n_removed")]
+    stays = F.filter(F.zip_with(lines, F.sequence(F.lit(0), F.size(lines) - 1), lambda l, i: F.struct(l.alias("l"), i.alias("i"))), lambda z: ~F.array_contains(F.col("gone"), z["i"]))
     # only texts that may lose lines are shuffled
-    hit = F.coalesce(sieve(gone.select("_gone_of"), F.col(doc_id).cast("long")), F.lit(False))
-    rest = df.where(~hit).withColumn("n_lines", number).withColumn("n_removed", F.lit(0).cast("long"))
-    cut = (
-        df.where(hit).join(gone, df[doc_id] == gone["_gone_of"], "left")
-        .withColumn("n_lines", number)
-        .withColumn("n_removed", F.when(F.col(text).isNull(), 0).otherwise(F.coalesce(F.size("_gone"), F.lit(0))).cast("long"))
-        .withColumn(text, out)
-    )
-    return rest.unionByName(cut.select(*rest.columns))
+    hit = F.coalesce(sieve(gone.select("of"), F.col("id")), F.lit(False))
+    cut = rows.where(hit).join(gone, F.col("id") == F.col("of"), "left")
+    loses = F.col("gone").isNotNull() & F.col("text").isNotNull()
+    out = F.when(loses, F.array_join(F.transform(stays, lambda z: z["l"]), "\n")).otherwise(F.col("text"))
+    removed = F.when(loses, F.size(F.filter("gone", lambda i: i < F.col("number")))).otherwise(F.lit(0))
+    return rows.where(~hit).select(*told(F.lit(0), F.col("text"))).unionByName(cut.select(*told(removed, out)))

@@ -110,14 +110,13 @@ jc AS (SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, least(d.doc_id, coalesce
 
 def line_sql(documents: str = "documents") -> str:
     """``WITH`` parts that end in lk(doc_id, n_lines, n_removed, text): texts without the lines that an earlier one matches."""
-    gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(5))
     return f"""
 ll AS (
   SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS no, unnest(string_split(text, chr(10))) AS line FROM {documents} WHERE text IS NOT NULL AND doc_id IS NOT NULL
 ), lw AS (
   SELECT *, regexp_extract_all(lower(line), '[^\\x20\\x09-\\x0D]+') AS w FROM ll
 ), ls AS (
-  SELECT doc_id, no, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: {gram})) END AS s FROM lw WHERE len(w) > 0
+  SELECT doc_id, no, list_distinct(w) AS s FROM lw WHERE len(w) > 0
 ), lu AS (SELECT doc_id, no, len(s) AS n, unnest(s) AS g FROM ls),
 lp AS (
   SELECT b.doc_id, b.no, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb, a.doc_id AS da, a.no AS la

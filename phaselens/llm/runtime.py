@@ -18,22 +18,37 @@ _written: list[tuple[SparkSession, str]] = []
 SLICE_CHARS = 1_000_000
 
 
+#: The setting by which a query's shuffle files go when it ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset in local mode (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), f"phaselens-{os.getpid()}")
     return where.rstrip("/")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor lose it with an executor."""
+    """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor lose it with an executor.
+
+    The shuffle files of the query that wrote it go with its end.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/phaselens/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
     _written.append((spark, path))
-    # shuffle files of plans that are done go when the driver collects their objects
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
