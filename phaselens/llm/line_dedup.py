@@ -10,20 +10,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phaselens.llm.runtime import concluded, settle, sieve
 
 PERCENT = 80
-#: Bits of a token, and those of the number of ranges of the table of counts: it follows the number of lines between two bounds.
-TOKEN, LEAST_BITS, MOST_BITS, ROW = 56, 16, 22, 12
-#: Levels are bytes from FIRST, for a range without words, to LAST: 3 for each doubling of the number.
-FIRST, LAST = 33, 126
+#: Bits of the number of ranges of the table of counts: it follows the number of lines between two bounds.
+LEAST_BITS, MOST_BITS = 16, 20
 #: Lines of a token that are first compared with the earliest of them only; those that match it need no others.
-HOT = 64
+HOT = 1024
 #: Lines of a longer list that meet as many others at once.
-BLOCK = 256
+BLOCK = 4096
 
 
 def words_of(line: Column) -> Column:
@@ -34,38 +33,44 @@ def words_of(line: Column) -> Column:
     return F.split(F.lower(F.when(odd, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)), " ")
 
 
-def token(word: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(word), 64 - TOKEN)
-
-
 def split_lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, no (from 0), line of each line that isn't just spaces; rows with a null doc_id or text have none."""
     rows = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_t"))
     return rows.select("doc_id", F.posexplode(F.split("_t", "\n")).alias("no", "line")).where(F.trim("line") != "")
 
 
-def tokenised(lines: DataFrame, *others: str) -> DataFrame:
-    """``others`` and t: the distinct tokens of a line, hashes of its words."""
-    each = F.transform(words_of(F.col("line")), token)
-    return lines.select(*others, F.array_remove(F.array_distinct(each), token(F.lit(""))).alias("t"))
+def hashed(lines: DataFrame, *others: str) -> DataFrame:
+    """``others`` and h: sorted distinct 64-bit hashes of a line's words."""
+    each = F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))
+    return lines.select(*others, F.sort_array(F.array_remove(F.array_distinct(each), F.xxhash64(F.lit("")))).alias("h"))
+
+
+def tokenised(lines: DataFrame) -> DataFrame:
+    """doc_id, no, n, x, y, t: the number of a line's distinct words, hashes of their set, and its tokens, 32 bits of each.
+
+    Tokens of 32 bits may agree by chance, which makes candidates only; sizes, equality and similarity go by 64 bits and more.
+    """
+    # of sorted longs the leading 32 bits are sorted, too
+    tokens = F.transform("h", lambda h: F.shiftright(h, 32).cast("int"))
+    return hashed(lines, "doc_id", "no").where(F.size("h") > 0).select("doc_id", "no", F.size("h").alias("n"), F.xxhash64("h").alias("x"), F.hash("h").alias("y"), tokens.alias("t"))
 
 
 def rarity(lines: DataFrame, bits: int) -> Column:
-    """The levels of 2 ** bits ranges of tokens by the number of words in each, one byte a range.
+    """``level_of`` the number of lines with a token of each of 2 ** bits ranges, as an array of bytes.
 
-    The counts are of all words of all lines; what reaches the driver has the size of the table, whatever the input.
+    The counts are of all lines; what reaches the driver has the size of the table, whatever the input.
     """
-    words = lines.select(F.explode(words_of(F.col("line"))).alias("w")).where("w <> ''").select(F.shiftright(token(F.col("w")), TOKEN - bits).alias("k"), F.lit(1).alias("one"))
-    every = lines.sparkSession.range(1 << bits).select(F.col("id").alias("k"), F.lit(0).alias("one"))
-    counts = words.unionAll(every).groupBy("k").agg(F.sum("one").alias("n"))
-    level = F.char(F.least(FIRST + F.floor(3 * F.log2(F.col("n") + 1)), F.lit(LAST)).cast("long"))
-    row = counts.select(F.shiftright("k", ROW).alias("row"), F.struct(F.col("k").bitwiseAND((1 << ROW) - 1).cast("int").alias("k"), level.alias("level")).alias("s"))
-    rows = settle(row.groupBy("row").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["level"]), "").alias("levels")))
-    return F.lit("".join(r["levels"] for r in rows.orderBy("row").collect()).encode())
+    counts = lines.select(F.explode("t").alias("t")).groupBy(F.col("t").bitwiseAND((1 << bits) - 1).alias("k")).agg(F.count("*").alias("n"))
+    level = F.least(F.floor(3 * F.log2(F.col("n") + 1)), F.lit(127)).cast("int")
+    found = settle(counts.select("k", level.alias("level"))).toArrow()
+    table = np.zeros(1 << bits, int)
+    table[found.column("k").to_numpy()] = found.column("level").to_numpy()
+    return F.split(F.lit(",".join(map(str, table.tolist()))), ",").cast("array<tinyint>")
 
 
 def level_of(number: int) -> int:
-    return min(LAST, FIRST + math.floor(3 * math.log2(1 + number)))
+    """3 levels for each doubling of a number."""
+    return min(127, math.floor(3 * math.log2(1 + number)))
 
 
 def least(n: Column, percent: int) -> Column:
@@ -78,23 +83,18 @@ def enough(n: Column, m: Column, percent: int) -> Column:
 
 
 def signed(lines: DataFrame, table: Column, bits: int, percent: int) -> DataFrame:
-    """doc_id, no, n, x, y, s, u, prefix: the number of a line's tokens, hashes of their set, its signature, and its rarest tokens.
+    """``lines`` with s, u, prefix in place of t: a set's signature, and its first tokens by level in the table and then by hash.
 
-    A prefix's tokens have their level in the table above their own bits, so that they sort by it.  The signature has, for
-    each of 128 values, whether the number of tokens with this value is odd; two sets differ in as many tokens as bits, or more.
+    A prefix's tokens are longs with their level above their own bits.  The signature has, for each of 128 values, whether the
+    number of tokens with this value is odd; two sets differ in as many tokens as signatures in bits, or more.
     Each step is a column of its own: an expression inside a higher-order function would be computed again for each element.
     """
-    level = lambda t: F.ascii(F.substring(table, F.shiftright(t, TOKEN - bits).cast("int") + 1, F.lit(1)).cast("string"))
-    keys = F.sort_array(F.transform("t", lambda t: F.call_function("shiftleft", level(t).cast("long"), F.lit(TOKEN)).bitwiseOR(t)))
-    keyed = tokenised(lines, "doc_id", "no").select("doc_id", "no", keys.alias("k"))
-    half = lambda t: F.shiftright(t, 6).bitwiseAND(1)
-    bit = lambda value, t: F.call_function("shiftleft", value, t.bitwiseAND(63).cast("int"))
-    odd = lambda of: F.aggregate("k", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(of(t), t)))
-    n = F.size("k")
-    return keyed.where(n > 0).select(
-        "doc_id", "no", n.alias("n"), F.xxhash64("k").alias("x"), F.hash("k").alias("y"), odd(half).alias("s"), odd(lambda t: half(t).bitwiseXOR(F.lit(1).cast("long"))).alias("u"),
-        F.slice("k", F.lit(1), (n - least(n, percent) + 1).cast("int")).alias("prefix"),
-    )
+    level = lambda t: F.coalesce(F.get(table, t.bitwiseAND((1 << bits) - 1)).cast("long"), F.lit(0).cast("long"))
+    keys = F.sort_array(F.transform("t", lambda t: F.call_function("shiftleft", level(t), F.lit(32)) + t.cast("long") + F.lit(1 << 31)))
+    one, half = F.lit(1).cast("long"), lambda t: F.shiftright(t, 6).bitwiseAND(1).cast("long")
+    odd = lambda value: F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", value(t), t.bitwiseAND(63))))
+    kept = [c for c in lines.columns if c != "t"]
+    return lines.select(*kept, odd(half).alias("s"), odd(lambda t: half(t).bitwiseXOR(one)).alias("u"), F.slice(keys, F.lit(1), (F.col("n") - least(F.col("n"), percent) + 1).cast("int")).alias("prefix"))
 
 
 def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -128,24 +128,25 @@ def _matches(df: DataFrame, doc_id: str, text: str, percent: int, low: int, bits
     number = F.call_function("shiftleft", F.col("doc_id") - F.lit(low).cast("long"), F.lit(bits)) + F.col("no")
     doc_of = lambda i: F.shiftright(i, bits) + F.lit(low).cast("long")
     every = split_lines(df, doc_id, text)
-    ranges = min(MOST_BITS, max(LEAST_BITS, lines.bit_length() + 1))
-    seen = settle(signed(every, rarity(every, ranges), ranges, percent).select(number.alias("id"), "n", "x", "y", "s", "u", "prefix"))
+    ranges = min(MOST_BITS, max(LEAST_BITS, lines.bit_length() - 4))
+    seen = settle(tokenised(every).withColumn("id", number).drop("doc_id", "no"))
     # one row for each set of tokens, the earliest line with it
-    sets = settle(seen.groupBy("x", "y", "n").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("s", "u", "prefix")), F.count("*").alias("copies")))
-    # a token whose range holds one word is in no other line, and a set too small to lose a token matches no other set
+    picked = signed(seen, rarity(seen, ranges), ranges, percent)
+    sets = settle(picked.groupBy("x", "y", "n").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("s", "u", "prefix")), F.count("*").alias("copies")))
+    # a token whose range has one line is in no other, and a set too small to lose a token matches no other set
     posted = sets.where(F.col("n") * 100 >= (F.col("n") + 1) * percent).select("id", "n", "s", "u", F.posexplode("prefix").alias("pos", "token"))
-    level = F.shiftright("token", TOKEN)
+    level = F.shiftright("token", 32)
     posted = posted.where(level > level_of(1))
 
     def matched(chosen: DataFrame) -> DataFrame:
         """b of the pairs (a, b) of places that are similar enough; the sets are made again from the texts."""
         wanted = settle(chosen.select(F.col("a").alias("id")).unionAll(chosen.select("b")).distinct())
         some = split_lines(df.where(sieve(wanted.select(doc_of(F.col("id"))), F.col(doc_id).cast("long"))), doc_id, text).withColumn("id", number)
-        near = tokenised(some.where(sieve(wanted, F.col("id"))), "id").join(wanted, "id")
+        near = hashed(some.where(sieve(wanted, F.col("id"))), "id").join(wanted, "id")
         whole = settle(near.dropDuplicates())
-        a, b = (whole.select(F.col("id").alias(k), F.col("t").alias(f"t{k}")) for k in "ab")
-        shared = F.size(F.array_intersect("ta", "tb"))
-        return chosen.join(a, "a").join(b, "b").where(shared >= enough(F.size("ta"), F.size("tb"), percent)).select("b").distinct()
+        a, b = (whole.select(F.col("id").alias(k), F.col("h").alias(f"h{k}")) for k in "ab")
+        shared = F.size(F.array_intersect("ha", "hb"))
+        return chosen.join(a, "a").join(b, "b").where(shared >= enough(F.size("ha"), F.size("hb"), percent)).select("b").distinct()
 
     def likely(n: Column, m: Column, s: Column, t: Column, u: Column, v: Column) -> Column:
         """The length filter, and sizes and signatures that leave enough in common."""
@@ -170,16 +171,18 @@ def _matches(df: DataFrame, doc_id: str, text: str, percent: int, low: int, bits
         side = F.when(i == j, 0).when(c("own") == i, 1).otherwise(2)
         name = F.when(blocks == 1, c("token")).otherwise(F.xxhash64("token", i, j))
         entries = entries.where(~may).unionAll(dealt.select(name.alias("token"), "id", "n", "s", "u", (c("pos") * 8 + side * 2 + c("done")).alias("at")))
-    l, r = (entries.select("token", *(c(k).alias(f"{k}{z}") for k in ("id", "n", "s", "u", "at"))) for z in "lr")
+    # dealt out once for both sides; the left one's filter holds for all of rand()'s values and only keeps Spark from taking it below the exchange
+    entries = entries.repartition("token")
+    held = F.when(F.rand() >= 0, F.shiftright("at", 3) < c("n") - F.ceil(c("n") * 2 * percent / (100 + percent)) + 1)
+    l, r = (side.select("token", *(c(k).alias(f"{k}{z}") for k in ("id", "n", "s", "u", "at"))) for z, side in (("l", entries.where(held)), ("r", entries)))
     pl, pr = (F.shiftright(f"at{z}", 3) for z in "lr")
-    # of two sets the smaller one needs a shared token among fewer, for it must share most of its own
-    short = c("nl") - F.ceil(c("nl") * 2 * percent / (100 + percent)) + 1
+    # of two sets the smaller, left one needs a shared token among fewer, for it must share most of its own
     # a shared token at places pl and pr has at most min(pl, pr) shared ones before it and the rest of the shorter one from it on
     positional = F.least(c("nl") - pl, c("nr") - pr) + F.least(pl, pr) - enough(c("nl"), c("nr"), percent)
     sides = c("atl").bitwiseAND(6)
     later_is_open = F.when(c("idl") < c("idr"), c("atr")).otherwise(c("atl")).bitwiseAND(1) == 0
     pairs = l.join(r, "token").where(
-        ((c("nl") < c("nr")) | ((c("nl") == c("nr")) & (c("idl") < c("idr")))) & (c("idl") != c("idr")) & (F.least(short - pl, positional + 1) > 0)
+        ((c("nl") < c("nr")) | ((c("nl") == c("nr")) & (c("idl") < c("idr")))) & (c("idl") != c("idr")) & (positional >= 0)
         & likely(c("nl"), c("nr"), c("sl"), c("sr"), c("ul"), c("ur")) & ((sides == 0) | (sides != c("atr").bitwiseAND(6))) & later_is_open
     )
     apart = F.bit_count(c("sl").bitwiseXOR(c("sr"))) + F.bit_count(c("ul").bitwiseXOR(c("ur")))

@@ -218,9 +218,10 @@ def test_redaction(spark):
 # Lines
 
 
-@pytest.mark.parametrize("hot", [64, 2])
-def test_lines_against_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "block"), [(1024, 4096), (2, 3)])
+def test_lines_against_brute_force(spark, monkeypatch, hot, block):
     monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
     r = random.Random(5)
     words = [f"w{i}" for i in range(60)]
     lines = [" ".join(r.choice(words) for _ in range(r.randint(1, 60))) for _ in range(60)]
@@ -250,10 +251,26 @@ def test_lines_against_brute_force(spark, monkeypatch, hot):
         want = None if t is None else "\n".join(line for no, line in enumerate(t.split("\n")) if (d, no) not in gone)
         assert out[d]["text"] == want and out[d]["n_removed"] == sum(g[0] == d for g in gone)
     assert line_dedup.drop_lines(frame(spark, [])).count() == 0
+    if hot == 2:
+        return
+    clash = df.select("*", *(F.lit(7).alias(c) for c in ("row", "id", "of", "gone", "number", "n_lines", "n_removed")))
+    again = line_dedup.drop_lines(clash)
+    assert again.columns == ["doc_id", "text", "no", "n", "row", "id", "of", "gone", "number", "n_lines", "n_removed"]
+    assert {(x["doc_id"], x["text"], x["n_removed"], x["gone"]) for x in again.collect()} == {(x["doc_id"], x["text"], x["n_removed"], 7) for x in out.values()}
+    repeated = line_dedup.drop_lines(df.unionAll(df)).groupBy("doc_id", "text").count()
+    assert {(x["doc_id"], x["text"], x["count"]) for x in repeated.collect()} == {(x["doc_id"], x["text"], 2) for x in out.values()}
     far = df.withColumn("doc_id", (F.col("doc_id") - 30) * F.lit(1 << 57))
     assert {(x[0] // (1 << 57) + 30, x[1]) for x in line_dedup.later_matches(far).collect()} == gone
 
 
+def test_one_changed_word_is_found_in_lines_of_ten_words_and_more(spark):
+    texts = []
+    for k, n in enumerate((10, 20, 30, 40)):
+        words = [f"w{k}x{i}" for i in range(n)]
+        texts += [" ".join(words), " ".join([*words[: n // 2], "other", *words[n // 2 + 1 :]])]
+    assert {tuple(x) for x in line_dedup.later_matches(frame(spark, texts)).collect()} == {(k, 0) for k in (1, 3, 5, 7)}
+
+
 # Language
 
 
