@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phaselens.llm.runtime import concluded, settle, sieve
+from phaselens.llm.runtime import concluded, release, settle, sieve
 
 PERCENT = 80
 #: Bits of the number of ranges of the table of counts: it follows the number of lines between two bounds.
@@ -133,6 +133,8 @@ def _matches(df: DataFrame, doc_id: str, text: str, percent: int, low: int, bits
     # one row for each set of tokens, the earliest line with it
     picked = signed(seen, rarity(seen, ranges), ranges, percent)
     sets = settle(picked.groupBy("x", "y", "n").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("s", "u", "prefix")), F.count("*").alias("copies")))
+    lines_ = settle(seen.select("id", "n", "x", "y"))
+    release(seen)
     # a token whose range has one line is in no other, and a set too small to lose a token matches no other set
     posted = sets.where(F.col("n") * 100 >= (F.col("n") + 1) * percent).select("id", "n", "s", "u", F.posexplode("prefix").alias("pos", "token"))
     level = F.shiftright("token", 32)
@@ -171,18 +173,17 @@ def _matches(df: DataFrame, doc_id: str, text: str, percent: int, low: int, bits
         side = F.when(i == j, 0).when(c("own") == i, 1).otherwise(2)
         name = F.when(blocks == 1, c("token")).otherwise(F.xxhash64("token", i, j))
         entries = entries.where(~may).unionAll(dealt.select(name.alias("token"), "id", "n", "s", "u", (c("pos") * 8 + side * 2 + c("done")).alias("at")))
-    # dealt out once for both sides; the left one's filter holds for all of rand()'s values and only keeps Spark from taking it below the exchange
-    entries = entries.repartition("token")
-    held = F.when(F.rand() >= 0, F.shiftright("at", 3) < c("n") - F.ceil(c("n") * 2 * percent / (100 + percent)) + 1)
-    l, r = (side.select("token", *(c(k).alias(f"{k}{z}") for k in ("id", "n", "s", "u", "at"))) for z, side in (("l", entries.where(held)), ("r", entries)))
+    l, r = (entries.select("token", *(c(k).alias(f"{k}{z}") for k in ("id", "n", "s", "u", "at"))) for z in "lr")
     pl, pr = (F.shiftright(f"at{z}", 3) for z in "lr")
-    # of two sets the smaller, left one needs a shared token among fewer, for it must share most of its own
+    # of two sets the smaller one needs a shared token among fewer, for it must share most of its own; told beside the
+    # other side's place, so that both sides stay one and the same exchange
+    short = c("nl") - F.ceil(c("nl") * 2 * percent / (100 + percent)) + 1
     # a shared token at places pl and pr has at most min(pl, pr) shared ones before it and the rest of the shorter one from it on
     positional = F.least(c("nl") - pl, c("nr") - pr) + F.least(pl, pr) - enough(c("nl"), c("nr"), percent)
     sides = c("atl").bitwiseAND(6)
     later_is_open = F.when(c("idl") < c("idr"), c("atr")).otherwise(c("atl")).bitwiseAND(1) == 0
     pairs = l.join(r, "token").where(
-        ((c("nl") < c("nr")) | ((c("nl") == c("nr")) & (c("idl") < c("idr")))) & (c("idl") != c("idr")) & (positional >= 0)
+        ((c("nl") < c("nr")) | ((c("nl") == c("nr")) & (c("idl") < c("idr")))) & (c("idl") != c("idr")) & (F.least(short - pl, positional + 1) > 0)
         & likely(c("nl"), c("nr"), c("sl"), c("sr"), c("ul"), c("ur")) & ((sides == 0) | (sides != c("atr").bitwiseAND(6))) & later_is_open
     )
     apart = F.bit_count(c("sl").bitwiseXOR(c("sr"))) + F.bit_count(c("ul").bitwiseXOR(c("ur")))
@@ -194,7 +195,7 @@ def _matches(df: DataFrame, doc_id: str, text: str, percent: int, low: int, bits
     gone = (gone if early is None else gone.unionAll(early)).select(c("b").alias("id"))
     # a set goes whole if its earliest line goes, else all but that line
     several = settle(sets.where("copies > 1").select("x", "y", "n", c("id").alias("first")))
-    alike = seen.where(sieve(several.select("x"), c("x"))).select("x", "y", "n", "id")
+    alike = lines_.where(sieve(several.select("x"), c("x")))
     copies = alike.join(several, ["x", "y", "n"]).where(c("id") != c("first")).select("id")
     out = copies.unionAll(gone).distinct()
     return out.select(doc_of(c("id")).alias("doc_id"), c("id").bitwiseAND((1 << bits) - 1).cast("int").alias("no"))

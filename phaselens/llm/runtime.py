@@ -49,7 +49,16 @@ def settle(df: DataFrame) -> DataFrame:
         else:
             spark.conf.set(TIDY, before)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete a settled table that nothing needs any more."""
+    path = df._settled_at
+    _written.remove((df.sparkSession, path))
+    _delete(df.sparkSession, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
