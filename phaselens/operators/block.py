@@ -1,32 +1,60 @@
 """Projection of whole frames by Fourier transforms: for point-spread functions too large to join tap by tap.
 
-Frames are rows of (z,) t, px (an array of height * width).  Each plane's taps meet its frames in a co-group; phases share
-one transform of the frame's own pixels of that phase.
+Frames are rows of (z,) t, px (an array of height * width), kernels rows of z, b, a, k (an array of rows * columns).  Where a
+pixel of one lenslet phase lands in another phase, its lenslet moves by a whole number.  So each pair of phases is a
+small convolution of lenslet images, and a plane's projection is a sum of products of their spectra: no transform is
+larger than the number of lenslets and the reach of the kernels.  A task holds one plane's kernels and a share of the frames.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from types import ModuleType
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phaselens.functions.numbers import next_smooth
+from phaselens.operators.projection import check_lenslet
+from phaselens.plans.lineage import cut
 
 #: Joined rows above which the block form is taken.
-RELATIONAL_ROWS = 2_000_000_000
+RELATIONAL_ROWS = 100_000_000
+#: Frames of one task, and planes that one task adds up.
+SHARE, ADD = 8, 8
+
+
+def prefer_block(psf: DataFrame, n: int, height: int, width: int) -> bool:
+    """Whether the join would make too many rows of a frame: each pixel meets the taps of its phase.
+
+    Taps are counted only for frames that could have as many.
+    """
+    pixels = height * width
+    return pixels * 4 * pixels > RELATIONAL_ROWS and pixels * psf.count() // n**2 > RELATIONAL_ROWS
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([r.ravel() for r in rows]) if rows else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(r.size for r in rows)]), pa.int32()), pa.array(flat, pa.float64()))
 
 
-def prefer_block(pixels: int, taps: int, phases: int) -> bool:
-    """Whether the join would make too many rows: each pixel meets the taps of its phase."""
-    return pixels * taps // max(1, phases) > RELATIONAL_ROWS
+def _stack(column: pa.ChunkedArray, height: int, width: int) -> np.ndarray:
+    return np.stack([np.asarray(c.values, float).reshape(height, width) for c in column]) if len(column) else np.zeros((0, height, width))
 
 
 def to_blocks(frame: DataFrame, height: int, width: int) -> DataFrame:
     """Frames or volumes of pixels as arrays in row order; missing pixels are 0. A frame is one group of height * width rows."""
     keys = [c for c in ("z", "t") if c in frame.columns]
-    filled = frame.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * width + F.col("x")).alias("i"), "v"))).alias("m"))
-    return filled.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("px"))
+
+    def fill(group: pa.Table) -> pa.Table:
+        px = np.zeros(height * width)
+        px[group.column("y").to_numpy() * width + group.column("x").to_numpy()] = group.column("v").to_numpy()
+        return pa.table({**{c: group.column(c)[:1] for c in keys}, "px": _lists([px])})
+
+    pixels = frame.select(*(F.col(c).cast("int").alias(c) for c in keys), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("v").cast("double").alias("v"))
+    return pixels.groupBy(*keys).applyInArrow(fill, ", ".join(f"{c} int" for c in keys) + ", px array<double>")
 
 
 def to_pixels(blocks: DataFrame, width: int) -> DataFrame:
@@ -34,39 +62,153 @@ def to_pixels(blocks: DataFrame, width: int) -> DataFrame:
     return blocks.select(*keys, F.posexplode("px").alias("i", "v")).select(*keys, F.floor(F.col("i") / width).cast("int").alias("y"), (F.col("i") % width).cast("int").alias("x"), "v")
 
 
-def _convolve(image: np.ndarray, taps: pd.DataFrame, n: int) -> np.ndarray:
-    """Sum over phases of the phase's pixels convolved with its taps, cropped to the image."""
-    height, width = image.shape
-    reach_v, reach_u = int(taps["dv"].abs().max()), int(taps["du"].abs().max())
-    shape = (next_smooth(height + 2 * reach_v, n), next_smooth(width + 2 * reach_u, n))
-    total = np.zeros((shape[0], shape[1] // 2 + 1), complex)
-    for (b, a), own in taps.groupby(["b", "a"]):
-        part = np.zeros(shape)
-        part[b:height:n, a:width:n] = image[b::n, a::n]
-        kernel = np.zeros(shape)
-        kernel[own["dv"].to_numpy() + reach_v, own["du"].to_numpy() + reach_u] = own["h"].to_numpy()
-        total += np.fft.rfft2(part) * np.fft.rfft2(kernel)
-    return np.fft.irfft2(total, shape)[reach_v : reach_v + height, reach_u : reach_u + width]
+def kernels(psf: DataFrame) -> DataFrame:
+    """(z, b, a, rv, ru, k): each phase's taps as an array that reaches rv rows and ru columns to either side. A phase is one group."""
+
+    def fill(group: pa.Table) -> pa.Table:
+        dv, du = group.column("dv").to_numpy(), group.column("du").to_numpy()
+        rv, ru = int(np.abs(dv).max()), int(np.abs(du).max())
+        k = np.zeros((2 * rv + 1, 2 * ru + 1))
+        k[dv + rv, du + ru] = group.column("h").to_numpy()
+        return pa.table({**{c: group.column(c)[:1] for c in ("z", "b", "a")}, "rv": pa.array([rv], pa.int32()), "ru": pa.array([ru], pa.int32()), "k": _lists([k])})
+
+    taps = psf.select(*(F.col(c).cast("int").alias(c) for c in ("z", "b", "a", "dv", "du")), F.col("h").cast("double").alias("h"))
+    return taps.groupBy("z", "b", "a").applyInArrow(fill, "z int, b int, a int, rv int, ru int, k array<double>")
+
+
+class Transforms:
+    """Spectra of lenslet images and kernels of one plane, by the transforms of ``fft``; ``reach`` is how many lenslets light can move."""
+
+    def __init__(self, n: int, height: int, width: int, reach_v: int, reach_u: int, fft: ModuleType = np.fft):
+        self.fft = fft
+        self.n, self.size = n, (height, width)
+        self.cells = -(-height // n), -(-width // n)
+        self.reach = -(-reach_v // n), -(-reach_u // n)
+        self.span = tuple(2 * r + 1 for r in self.reach)
+        self.shape = tuple(next_smooth(c + r) for c, r in zip(self.cells, self.reach, strict=True))
+
+    def images(self, frames: np.ndarray) -> np.ndarray:
+        """Spectra by phase of frames (t, y, x): (n, n, t, rows, columns)."""
+        n, (rows, cols) = self.n, self.cells
+        padded = np.zeros((len(frames), rows * n, cols * n))
+        padded[:, : self.size[0], : self.size[1]] = frames
+        return self.fft.rfft2(padded.reshape(-1, rows, n, cols, n).transpose(2, 4, 0, 1, 3), self.shape)
+
+    def kernel(self, b: int, a: int, k: np.ndarray) -> np.ndarray:
+        """Spectra by target phase of the kernel of phase (b, a): (n, n, rows, columns)."""
+        n, (dv, du) = self.n, self.span
+        whole = np.zeros((dv * n, du * n))
+        top, left = b + n * self.reach[0] - k.shape[0] // 2, a + n * self.reach[1] - k.shape[1] // 2
+        whole[top : top + k.shape[0], left : left + k.shape[1]] = k
+        return self.fft.rfft2(whole.reshape(dv, n, du, n).transpose(1, 3, 0, 2), self.shape)
+
+    def upside_down(self, spectra: np.ndarray) -> np.ndarray:
+        """Of the kernel of phase (n - 1 - b, a) that mirrors that of (b, a): frequencies run backwards and turn by the span."""
+        ramp = np.exp(-2j * np.pi * np.arange(self.shape[0]) * (self.span[0] - 1) / self.shape[0])
+        return np.roll(spectra[::-1, :, ::-1], 1, 2) * ramp[:, None]
+
+    def left_right(self, spectra: np.ndarray) -> np.ndarray:
+        """Of the kernel of phase (b, n - 1 - a) that mirrors that of (b, a)."""
+        ramp = np.exp(-2j * np.pi * np.arange(spectra.shape[-1]) * (self.span[1] - 1) / self.shape[1])
+        return np.roll(spectra[:, ::-1, ::-1], 1, 2).conj() * ramp
+
+    def frames(self, spectra: np.ndarray) -> np.ndarray:
+        """Frames (t, y, x) of spectra by target phase."""
+        (rows, cols), (rv, ru) = self.cells, self.reach
+        lenslets = self.fft.irfft2(spectra, self.shape)[..., rv : rv + rows, ru : ru + cols]
+        return lenslets.transpose(2, 3, 0, 4, 1).reshape(-1, rows * self.n, cols * self.n)[:, : self.size[0], : self.size[1]]
+
+
+def project(frames: np.ndarray, kernels_: dict[tuple[int, int], np.ndarray], n: int, fft: ModuleType = np.fft) -> np.ndarray:
+    """Frames (t, y, x) with each pixel spread by the kernel of its phase, cropped; kernels that mirror one another are transformed once."""
+    reach = (max(k.shape[i] // 2 for k in kernels_.values()) for i in (0, 1))
+    by = Transforms(n, *frames.shape[1:], *reach, fft)
+    seen = by.images(frames)
+    out = np.zeros_like(seen)
+    todo = dict(kernels_)
+    while todo:
+        (b, a), k = next(iter(todo.items()))
+        base = by.kernel(b, a, k)
+        forms = [(b, a, k, lambda: base), (n - 1 - b, a, k[::-1], lambda: by.upside_down(base)), (b, n - 1 - a, k[:, ::-1], lambda: by.left_right(base)), (n - 1 - b, n - 1 - a, k[::-1, ::-1], lambda: by.left_right(by.upside_down(base)))]
+        for p, q, mirrored, spectra in forms:
+            if (p, q) in todo and np.array_equal(todo[p, q], mirrored):
+                out += spectra()[:, :, None] * seen[p, q]
+                del todo[p, q]
+    shown = by.frames(out)
+    # what transforms leave where no light falls is 0
+    shown[np.abs(shown) < 1e-13 * np.abs(shown).max(initial=0.0)] = 0.0
+    return shown
+
+
+def _run(blocks: DataFrame, planes: DataFrame, n: int, height: int, width: int) -> DataFrame:
+    """(z, t, px): each plane's frames by its kernels, a share of the time points at once."""
+    check_lenslet(n)
+
+    def each(images: pa.Table, taps: pa.Table) -> pa.Table:
+        if not images.num_rows or not taps.num_rows:
+            return pa.table({"z": pa.array([], pa.int32()), "t": pa.array([], pa.int32()), "px": _lists([])})
+        own = {}
+        for b, a, rv, ru, k in zip(*(taps.column(c).to_pylist() for c in ("b", "a", "rv", "ru")), taps.column("k"), strict=True):
+            own[b, a] = np.asarray(k.values, float).reshape(2 * rv + 1, 2 * ru + 1)
+        done = project(_stack(images.column("px"), height, width), own, n)
+        return pa.table({"z": images.column("z"), "t": images.column("t"), "px": _lists(list(done))})
+
+    share = F.floor(F.col("t") / SHARE)
+    images = blocks.select(F.col("z").cast("int").alias("z"), F.col("t").cast("int").alias("t"), "px", share.alias("part"))
+    parts = blocks.select(F.col("z").cast("int").alias("z"), share.alias("part")).distinct()
+    return images.groupBy("z", "part").cogroup(planes.join(parts, "z").groupBy("z", "part")).applyInArrow(each, "z int, t int, px array<double>")
 
 
 def backward(blocks: DataFrame, transposed: DataFrame, n: int, height: int, width: int) -> DataFrame:
-    """(z, t, px) of frames (t, px): every plane sees every frame, so frames are repeated for each plane."""
+    """(z, t, px) of frames (t, px) by the kernels of the transposed function: every plane sees every frame, so frames are repeated for each plane."""
     planes = transposed.select("z").distinct()
     dealt = blocks.select("t", "px", F.explode(planes.agg(F.collect_list("z")).scalar()).alias("z"))
     return _run(dealt, transposed, n, height, width)
 
 
-def forward(blocks: DataFrame, psf: DataFrame, n: int, height: int, width: int) -> DataFrame:
-    """(t, px) of volumes (z, t, px): planes are projected and added up."""
-    each = _run(blocks, psf, n, height, width).select("t", F.posexplode("px").alias("i", "v"))
-    return each.groupBy("t", "i").agg(F.sum("v").alias("v")).groupBy("t").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("px"))
-
-
-def _run(blocks: DataFrame, psf: DataFrame, n: int, height: int, width: int) -> DataFrame:
-    def project(images: pd.DataFrame, taps: pd.DataFrame) -> pd.DataFrame:
-        if images.empty or taps.empty:
-            return pd.DataFrame({"z": [], "t": [], "px": []})
-        rows = [(z, t, _convolve(np.asarray(px, float).reshape(height, width), taps, n).ravel().tolist()) for z, t, px in zip(images["z"], images["t"], images["px"], strict=True)]
-        return pd.DataFrame(rows, columns=["z", "t", "px"])
-
-    return blocks.select("z", "t", "px").groupBy("z").cogroup(psf.groupBy("z")).applyInPandas(project, "z int, t int, px array<double>")
+def forward(blocks: DataFrame, planes: DataFrame, n: int, height: int, width: int) -> DataFrame:
+    """(t, px) of volumes (z, t, px): planes are projected and added up, a few in a task and then those sums."""
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(height * width)
+        for px in group.column("px"):
+            total += np.asarray(px.values, float)
+        return pa.table({"z": group.column("z")[:1], "t": group.column("t")[:1], "px": _lists([total])})
+
+    schema = "z int, t int, px array<double>"
+    some = _run(blocks, planes, n, height, width).withColumn("z", F.floor(F.col("z") / ADD).cast("int")).groupBy("z", "t").applyInArrow(add, schema)
+    return some.withColumn("z", F.lit(0)).groupBy("t").applyInArrow(add, schema).select("t", "px")
+
+
+def combined(left: DataFrame, right: DataFrame, keys: list[str], by: Callable[[Column, Column], Column]) -> DataFrame:
+    """keys and px: ``by`` of the two pixels at each place; frames that ``right`` lacks are 0 there."""
+    other = right.select(*keys, F.col("px").alias("_px"))
+    none = F.transform("px", lambda v: F.lit(0.0))
+    both = left.select(*keys, "px").join(other, keys, "left").withColumn("_px", F.coalesce("_px", none))
+    return both.select(*keys, F.zip_with("px", "_px", by).alias("px"))
+
+
+def deconvolve(
+    frame: DataFrame, psf: DataFrame, back: DataFrame, n: int, height: int, width: int, iterations: int, step: tuple[Callable[[Column, Column], Column], Callable[[Column, Column], Column]], standard: bool = False,
+    guess: DataFrame | None = None, each: Callable[[int, DataFrame], None] | None = None,
+) -> DataFrame:
+    """The block form of ``deconvolution.deconvolve`` without a mask, whose ratio and update are ``step``.
+
+    Volumes stay arrays, and kernels are made once and kept.  Transforms would spread infinities, so a ratio to nothing is 0 here.
+    """
+    ratio, updated = step
+    finite = lambda p, q: F.when(q == 0, 0.0).otherwise(ratio(p, q))
+    forth, back = cut(kernels(psf)), cut(kernels(back))
+    seen = cut(to_blocks(frame, height, width))
+    start = cut(backward(seen, back, n, height, width))
+    now = to_blocks(guess, height, width) if guess is not None else start
+    for k in range(iterations):
+        shown = forward(now, forth, n, height, width)
+        if standard:
+            factor = backward(combined(seen, shown, ["t"], finite), back, n, height, width)
+        else:
+            factor = combined(start, backward(shown, back, n, height, width), ["z", "t"], finite)
+        now = cut(combined(now, factor, ["z", "t"], updated))
+        if each:
+            each(k, to_pixels(now, width))
+    return to_pixels(now, width)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phaselens.operators import block as blocks
 from phaselens.operators.projection import backward, forward
 from phaselens.operators.psf import transpose
 from phaselens.plans.lineage import cut
@@ -29,18 +30,24 @@ def require_dark(frame: DataFrame, mask: DataFrame) -> None:
 
 
 def deconvolve(
-    frame: DataFrame, psf: DataFrame, n: int, height: int, width: int, iterations: int, standard: bool = False, mask: DataFrame | None = None, guess: DataFrame | None = None, each: Callable[[int, DataFrame], None] | None = None
+    frame: DataFrame, psf: DataFrame, n: int, height: int, width: int, iterations: int, standard: bool = False, mask: DataFrame | None = None, guess: DataFrame | None = None, each: Callable[[int, DataFrame], None] | None = None,
+    block: bool | None = None,
 ) -> DataFrame:
     """Volume (z, t, y, x, v) after ``iterations`` updates, from the back projection or ``guess``.
 
     The update of the default form is v * Htf / Ht(H v), where Htf is the frame's back projection; that of the standard
     form v * Ht(frame / H v), divided by the mask's back projection if there is one (a mask needs the standard form).  Each
     iteration is checkpointed, so plans don't grow.  ``each`` is told each iteration's volume.  Only touched pixels hold
-    infinities: the sums are exact and don't spread them.
+    infinities: the sums are exact and don't spread them.  ``block`` takes Fourier transforms of whole frames instead of the
+    join (without a mask only); by default it is taken where the join would make too many rows.
     """
     if mask is not None and not standard:
         raise ValueError("a mask needs the standard form")
     back = transpose(psf, n)
+    if block or (block is None and mask is None and blocks.prefer_block(psf, n, height, width)):
+        if mask is not None:
+            raise ValueError("the block form takes no mask")
+        return blocks.deconvolve(frame, psf, back, n, height, width, iterations, (ratio, updated), standard, guess, each)
     place = ["z", "t", "y", "x"]
     start = cut(backward(frame, back, n, height, width))
     now = guess if guess is not None else start
