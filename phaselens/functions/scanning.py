@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,17 +27,56 @@ class IncompleteCapture(ValueError):
     """A text that the format doesn't fit."""
 
 
-def compile_format(form: str) -> tuple[str, list[str]]:
-    """Regular expression and conversions: %d %i %x %o %f %s %c and %%, each with a width or a star (skip)."""
-    out, kinds, at = "", [], 0
+@dataclass(frozen=True)
+class Part:
+    """A piece of a format: a conversion, or text that must stand there (kind ""); white space before it is skipped if ``skips``."""
+
+    kind: str
+    text: str = ""
+    width: int = 0
+    star: bool = False
+    skips: bool = True
+
+    def regex(self) -> str:
+        """What it takes, once and for all: like a scanner, it gives nothing back to the next part."""
+        if not self.kind:
+            return self.text
+        if self.kind == "c":
+            return rf"[\s\S]{{{self.width or 1}}}"
+        return limited(self.kind, self.width) if self.width else CONVERSIONS[self.kind]
+
+
+def limited(kind: str, width: int) -> str:
+    """A conversion that takes ``width`` characters at most, signs, points and prefixes included; longer forms come first."""
+    if kind == "s":
+        return rf"\S{{1,{width}}}"
+    if kind == "o":
+        return rf"[0-7]{{1,{width}}}"
+    hexadecimal = lambda r: rf"0[xX][0-9a-fA-F]{{1,{r - 2}}}|" if r > 2 else ""
+    if kind == "x":
+        return hexadecimal(width) + rf"[0-9a-fA-F]{{1,{width}}}"
+    power = lambda r: (rf"(?:[eE][-+][0-9]{{1,{r - 2}}}|[eE][0-9]{{1,{r - 1}}})?" if r > 2 else rf"(?:[eE][0-9]{{1,{r - 1}}})?" if r > 1 else "")
+
+    def unsigned(r: int) -> list[str]:
+        if kind != "f":
+            return [(hexadecimal(r) if kind == "i" else "") + rf"[0-9]{{1,{r}}}"]
+        found = []
+        for whole in range(r, -1, -1):
+            rest = r - whole
+            found += [rf"[0-9]{{{whole}}}\.[0-9]{{{k}}}{power(rest - 1 - k)}" for k in range(rest - 1, -1, -1) if whole or k]
+            found += [rf"[0-9]{{{whole}}}{power(rest)}"] if whole else []
+        return found
+
+    return "|".join([rf"[-+](?:{x})" for x in (unsigned(width - 1) if width > 1 else [])] + unsigned(width))
+
+
+def compile_format(form: str) -> list[Part]:
+    """The parts of a format: %d %i %x %o %f %s %c and %%, each with a width or a star (skip)."""
+    out, at = [], 0
     while at < len(form):
         c = form[at]
-        if c.isspace():
-            out += r"\s*"
-            at += 1
-            continue
         if c != "%":
-            out += re.escape(c)
+            out.append(Part("", "" if c.isspace() else re.escape(c), skips=c.isspace()))
             at += 1
             continue
         m = re.compile(r"%(\*?)([0-9]*)([a-zA-Z%])").match(form, at)
@@ -45,21 +85,12 @@ def compile_format(form: str) -> tuple[str, list[str]]:
         star, width, kind = m.groups()
         at = m.end()
         if kind == "%":
-            out += r"\s*%"
-            continue
-        if kind == "c":
-            piece, lead = rf"[\s\S]{{{width or 1}}}", ""
-        elif kind in CONVERSIONS:
-            lead = r"\s*"
-            piece = CONVERSIONS[kind]
-            if width:
-                piece = {"d": rf"[-+]?[0-9]{{1,{width}}}", "s": rf"\S{{1,{width}}}", "x": rf"[0-9a-fA-F]{{1,{width}}}", "o": rf"[0-7]{{1,{width}}}"}.get(kind, piece)
+            out.append(Part("", "%"))
+        elif kind == "c" or kind in CONVERSIONS:
+            out.append(Part(kind, width=int(width or 0), star=bool(star), skips=kind != "c"))
         else:
             raise FormatError(f"%{kind}")
-        out += lead + (f"(?:{piece})" if star else f"({piece})")
-        if not star:
-            kinds.append(kind)
-    return out, kinds
+    return out
 
 
 def convert(kind: str, text: str) -> int | float | str:
@@ -75,18 +106,25 @@ def convert(kind: str, text: str) -> int | float | str:
     return float(text) if kind == "f" else text
 
 
+def pattern_of(parts: list[Part]) -> str:
+    """One regular expression with a group for each conversion that isn't skipped."""
+    return "".join((r"\s*" if p.skips else "") + (f"(?>{p.regex()})" if p.star or not p.kind else f"((?>{p.regex()}))") for p in parts)
+
+
 def sscanf(text: str, form: str) -> tuple:
     """Values from the start of a text; an error if it doesn't fit."""
-    pattern, kinds = compile_format(form)
-    m = re.match(pattern, text)
+    parts = compile_format(form)
+    m = re.match(pattern_of(parts), text)
     if not m:
         raise IncompleteCapture(f"{text!r} doesn't fit {form!r}")
+    kinds = [p.kind for p in parts if p.kind and not p.star]
     return tuple(convert(k, g) for k, g in zip(kinds, m.groups(), strict=True))
 
 
 def scan_columns(text: Column, form: str) -> list[Column]:
     """The same in columns: one for each conversion, null where a text doesn't fit."""
-    pattern, kinds = compile_format(form)
+    parts = compile_format(form)
+    pattern, kinds = pattern_of(parts), [p.kind for p in parts if p.kind and not p.star]
     out = []
     for k, kind in enumerate(kinds):
         got = F.when(text.rlike("^" + pattern), F.regexp_extract(text, "^" + pattern, k + 1))

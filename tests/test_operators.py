@@ -70,10 +70,10 @@ def test_batches_are_independent_and_linear(spark, frame):
 def test_block_form_agrees(spark, frame):
     back = psf.transpose(taps(spark), N)
     slow = dense(projection.backward(pixels(spark, frame), back, N, H, W), (2, 2, H, W), ("z", "t", "y", "x"))
-    fast = block.to_pixels(block.backward(block.to_blocks(pixels(spark, frame), H, W), back, N, H, W), W)
+    fast = block.to_pixels(block.backward(block.to_blocks(pixels(spark, frame), H, W), block.kernels(back), N, H, W), W)
     assert np.abs(dense(fast, (2, 2, H, W), ("z", "t", "y", "x")) - slow).max() < 1e-9
     again = dense(projection.forward(pixels(spark, slow, ("z", "t", "y", "x")), taps(spark), N, H, W), (2, H, W))
-    quick = block.to_pixels(block.forward(block.to_blocks(pixels(spark, slow, ("z", "t", "y", "x")), H, W), taps(spark), N, H, W), W)
+    quick = block.to_pixels(block.forward(block.to_blocks(pixels(spark, slow, ("z", "t", "y", "x")), H, W), block.kernels(taps(spark)), N, H, W), W)
     assert np.abs(dense(quick, (2, H, W)) - again).max() < 1e-6
 
 
@@ -144,7 +144,7 @@ def test_repeated_column(spark):
     assert flow.repeat_last(f, 3, 1.0).count() == 12
 
 
-@pytest.mark.parametrize("text, form, values", [("12 0x1F 17", "%d %x %o", (12, 31, 15)), ("a=1.5e3;b", "a=%f;%c", (1500.0, "b")), ("x  y", "%s%s", ("x", "y")), ("010 0x10 7", "%i%i%i", (8, 16, 7)), ("1234", "%2d%*1d%d", (12, 4))])
+@pytest.mark.parametrize("text, form, values", [("12 0x1F 17", "%d %x %o", (12, 31, 15)), ("a=1.5e3;b", "a=%f;%c", (1500.0, "b")), ("x  y", "%s%s", ("x", "y")), ("010 0x10 7", "%i%i%i", (8, 16, 7)), ("1234", "%2d%*1d%d", (12, 4)), ("123456", "%3f%3f", (123.0, 456.0)), ("-1234", "%3d%d", (-12, 34)), ("-1.25e-3,7", "%4f%s", (-1.2, "5e-3,7")), ("0x1Fz", "%3i%x%c", (1, 15, "z")), ("1e5", "%2f%s", (1.0, "e5"))])
 def test_scanning(spark, text, form, values):
     assert scanning.sscanf(text, form) == values
     got = spark.createDataFrame([(text,)], "t string").select(*scanning.scan_columns(F.col("t"), form)).first()
@@ -154,6 +154,8 @@ def test_scanning(spark, text, form, values):
 def test_scanning_errors():
     with pytest.raises(scanning.IncompleteCapture):
         scanning.sscanf("x", "%d")
+    with pytest.raises(scanning.IncompleteCapture):
+        scanning.sscanf("123", "%d%d")
     with pytest.raises(scanning.FormatError):
         scanning.compile_format("%q")
 
@@ -233,5 +235,5 @@ def test_work_is_numbered_whole_and_not_in_one_task(spark):
 
 
 def test_the_whole_table_has_its_places(spark):
-    whole = catalog.queries()["work_order_all"](spark, "/root/testdata/sf0.001")
+    whole = catalog.queries()["work_order"](spark, "/root/testdata/sf0.001")
     assert whole.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count() > 500
