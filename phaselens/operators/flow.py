@@ -99,13 +99,19 @@ def warp_uniform(pixels: DataFrame, dy: float, dx: float, height: int, width: in
 
 
 def warp_piecewise(pixels: DataFrame, flow: DataFrame, spacing: int, height: int, width: int) -> DataFrame:
-    """Warp by a regular mesh: each target pixel takes its cell's flow, interpolated between the four corners, then a bilinear sample."""
+    """Warp by a regular mesh of triangles, affine in each: a cell of four control points is cut by the diagonal from its right upper
+    to its left lower corner.  Each target pixel takes its triangle's flow - cells are found by an equi-join - and a bilinear sample there;
+    edges are continued outwards.
+    """
     keys = [c for c in pixels.columns if c not in ("y", "x", "v")]
     spark = pixels.sparkSession
     target = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("ty")).select("ty", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("tx"))
     part = lambda c: F.col(c) / spacing - F.floor(F.col(c) / spacing)
     corner = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)))).alias("c")
-    weight = F.when(F.col("c.i") == 1, part("ty")).otherwise(1 - part("ty")) * F.when(F.col("c.j") == 1, part("tx")).otherwise(1 - part("tx"))
+    p, q = part("ty"), part("tx")
+    before = F.when((F.col("c.i") == 0) & (F.col("c.j") == 0), 1 - p - q).when((F.col("c.i") == 1) & (F.col("c.j") == 1), 0.0).when(F.col("c.i") == 1, p).otherwise(q)
+    behind = F.when((F.col("c.i") == 1) & (F.col("c.j") == 1), p + q - 1).when((F.col("c.i") == 0) & (F.col("c.j") == 0), 0.0).when(F.col("c.i") == 1, 1 - q).otherwise(1 - p)
+    weight = F.when(p + q <= 1, before).otherwise(behind)
     near = target.select("ty", "tx", corner).withColumn("w", weight)
     near = near.withColumn("cy", (F.floor(F.col("ty") / spacing) + F.col("c.i")) * spacing).withColumn("cx", (F.floor(F.col("tx") / spacing) + F.col("c.j")) * spacing)
     moved = near.join(flow.select("cy", "cx", "dx", "dy"), ["cy", "cx"]).groupBy("ty", "tx").agg((F.sum(F.col("w") * F.col("dy")) / F.sum("w")).alias("my"), (F.sum(F.col("w") * F.col("dx")) / F.sum("w")).alias("mx"))
@@ -164,15 +170,111 @@ def naive_candidate(frame: DataFrame, dy: float, dx: float, height: int, width:
     return first.unionByName(warp_uniform(first, dy, dx, height, width).withColumn("t", F.lit(1)).select("t", "y", "x", "v"))
 
 
-def recover_shift(frame: DataFrame, height: int, width: int, candidates: Iterable[tuple[float, float]], rounds: int = 2, make: Callable[[float, float], DataFrame] | None = None) -> list[tuple[int, tuple[float, float], float]]:
-    """History (iter, (dy, dx), ssd) of a search: all candidates, then a finer grid around the best, ``rounds`` times; each score is one query."""
-    make = make or (lambda dy, dx: naive_candidate(frame, dy, dx, height, width))
-    history: list[tuple[int, tuple[float, float], float]] = []
+def joint_candidate(frame: DataFrame, psf: DataFrame, n: int, height: int, width: int, iterations: int, dy: float, dx: float) -> DataFrame:
+    """What both frames would show of the one object that fits them best, given the shift between them."""
+    return pair_forward(deconvolve_pair(frame, psf, n, height, width, iterations, dy, dx), psf, n, height, width, dy, dx)
+
+
+def point_psf(spark: SparkSession) -> DataFrame:
+    """A point-spread function that changes nothing (one plane, lenslets of one pixel): trivial projectors to test with."""
+    return spark.sql("SELECT 0 AS z, 0 AS b, 0 AS a, 0 AS dv, 0 AS du, 1.0D AS h")
+
+
+def naive_scores(frame: DataFrame, candidates: DataFrame, height: int, width: int, extend: int = 0) -> DataFrame:
+    """candidates (iter, dy, dx) with ssd: all of them in one query, each the first frame shifted against the second.
+
+    Of the two frames' differences only the second's counts, as the first is compared with itself.
+    """
+
+    def taps(size: int, shift: str, name: str) -> Column:
+        def corner(target: Column) -> Column:
+            at = F.greatest(F.lit(0.0), F.least(F.lit(size - 1.0), target - F.col(shift)))
+            low = F.least(F.floor(at), F.lit(size - 2)).cast("int")
+            return F.array(F.struct(target.alias("o"), low.alias("c"), (1 - (at - low)).alias("w")), F.struct(target.alias("o"), (low + 1).alias("c"), (at - low).alias("w")))
+
+        return F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(size - 2 - extend)), corner))).alias(name)
+
+    first, second = (frame.where(F.col("t") == t).select("y", "x", "v") for t in (0, 1))
+    rows = candidates.select("iter", "dy", "dx", taps(height, "dy", "p")).select("*", taps(width, "dx", "q")).where("p.w <> 0 and q.w <> 0")
+    sources = rows.select("iter", F.col("p.o").alias("oy"), F.col("q.o").alias("ox"), F.col("p.c").alias("y"), F.col("q.c").alias("x"), (F.col("p.w") * F.col("q.w")).alias("w"))
+    moved = sources.join(first, ["y", "x"]).groupBy("iter", "oy", "ox").agg(F.sum(F.col("v") * F.col("w")).alias("m"))
+    both = moved.join(second.select(F.col("y").alias("oy"), F.col("x").alias("ox"), "v"), ["oy", "ox"])
+    return candidates.join(both.groupBy("iter").agg(F.sum((F.col("m") - F.col("v")) * (F.col("m") - F.col("v"))).alias("ssd")), "iter").select("iter", "dy", "dx", "ssd")
+
+
+History = list[tuple[int, tuple[float, float], float]]
+
+
+def scorer(frame: DataFrame, height: int, width: int, make: Callable[[float, float], DataFrame] | None = None) -> Callable[[list[tuple[float, float]]], list[float]]:
+    """Scores of candidate shifts: by one query for all of them, or by one for each candidate that ``make`` makes (such as ``joint_candidate``)."""
+
+    def plain(candidates: list[tuple[float, float]]) -> list[float]:
+        rows = F.array(*(F.struct(F.lit(k).alias("iter"), F.lit(float(y)).alias("dy"), F.lit(float(x)).alias("dx")) for k, (y, x) in enumerate(candidates)))
+        table = frame.sparkSession.range(1).select(F.explode(rows).alias("r")).select("r.*")
+        found = {r["iter"]: r["ssd"] for r in naive_scores(frame, table, height, width).collect()}
+        return [float(found[k]) for k in range(len(candidates))]
+
+    def made(candidates: list[tuple[float, float]]) -> list[float]:
+        return [float(score(make(y, x), frame, height, width).first()["ssd"]) for y, x in candidates]
+
+    return made if make else plain
+
+
+def recover_shift(frame: DataFrame, height: int, width: int, candidates: Iterable[tuple[float, float]], rounds: int = 2, make: Callable[[float, float], DataFrame] | None = None) -> History:
+    """History (iter, (dy, dx), ssd) of a search: all candidates, then a finer grid around the best, ``rounds`` times."""
+    judge = scorer(frame, height, width, make)
+    history: History = []
     todo, step = list(candidates), 0.5
     for _ in range(rounds + 1):
-        for dy, dx in todo:
-            history.append((len(history), (dy, dx), float(score(make(dy, dx), frame, height, width).first()["ssd"])))
+        history += [(len(history) + k, c, s) for k, (c, s) in enumerate(zip(todo, judge(todo), strict=True))]
         y, x = min(history, key=lambda h: (h[2], h[0]))[1]
         todo = [(y + i * step, x + j * step) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
         step /= 2
     return history
+
+
+def minimise(
+    judge: Callable[[list[tuple[float, float]]], list[float]], start: tuple[float, float], bounds: tuple[tuple[float, float], tuple[float, float]], tolerance: float = 0.01, each: int = 9, rounds: int = 50, history: History | None = None
+) -> History:
+    """Searches along one axis after the other, inside ``bounds`` ((low, high) of dy and of dx), until neither moves by more than ``tolerance``.
+
+    A line search scores ``each`` places of an interval at once, and then of the interval around the best of them.  The
+    history that is given goes on, from its best trial.
+    """
+    history = history if history is not None else []
+    inside = lambda v, k: min(max(v, bounds[k][0]), bounds[k][1])
+    best = best_shift(history) if history else (inside(start[0], 0), inside(start[1], 1))
+    for _ in range(rounds):
+        before = best
+        for axis in (0, 1):
+            low, high = bounds[axis]
+            while True:
+                places = [low + (high - low) * k / (each - 1) for k in range(each)] + [best[axis]]
+                todo = [(p, best[1]) if axis == 0 else (best[0], p) for p in places]
+                scores = judge(todo)
+                history += [(len(history) + k, c, s) for k, (c, s) in enumerate(zip(todo, scores, strict=True))]
+                best = todo[min(range(len(todo)), key=lambda k: (scores[k], k))]
+                step = (high - low) / (each - 1)
+                if step <= tolerance:
+                    break
+                low, high = max(bounds[axis][0], best[axis] - step), min(bounds[axis][1], best[axis] + step)
+        if max(abs(a - b) for a, b in zip(best, before, strict=True)) <= tolerance:
+            break
+    return history
+
+
+def best_shift(history: History) -> tuple[float, float]:
+    return min(history, key=lambda h: (h[2], h[0]))[1]
+
+
+def better_nearby(judge: Callable[[list[tuple[float, float]]], list[float]], found: tuple[float, float], by: Iterable[float] = (-1.0, 1.0)) -> list[tuple[tuple[float, float], float]]:
+    """Shifts beside the one that was found that score better than it: none if the search has converged."""
+    todo = [found, *((found[0] + d, found[1]) for d in by), *((found[0], found[1] + d) for d in by)]
+    scores = judge(todo)
+    return [(c, s) for c, s in zip(todo[1:], scores[1:], strict=True) if s < scores[0]]
+
+
+def write_trials(spark: SparkSession, history: History, path: str) -> None:
+    """Append a history to a table trial (iter, shift, score)."""
+    rows = [(k, [float(y), float(x)], float(s)) for k, (y, x), s in history]
+    spark.createDataFrame(rows, "iter long, shift array<double>, score double").write.mode("append").parquet(path)

@@ -119,19 +119,14 @@ def fill_from_turns(pattern: DataFrame, size: int) -> DataFrame:
 
 
 def bin_pixels(frame: DataFrame, k: int, height: int, width: int) -> DataFrame:
-    """Sums of k by k pixels around the middle one (k odd); what doesn't fill cells evenly on both sides is cut."""
+    """Sums of k by k pixels (k odd): one cell has the middle pixel in its centre, and as many whole cells stand on either side of it as fit."""
     if k % 2 == 0:
         raise ValueError("the factor must be odd")
-
-    def first(size: int) -> tuple[int, int]:
-        centre = (size - 1) // 2 + 1  # 1-based
-        begin = centre - (k - 1) // 2
-        begin -= begin // k * k
-        begin += k if begin < 1 else 0
-        return begin - 1, 2 * (centre - begin) + 1
-
-    (y0, rows), (x0, cols) = first(height), first(width)
-    return crop(frame, y0, y0 + rows, x0, x0 + cols).groupBy("t", F.floor(F.col("y") / k).cast("int").alias("y"), F.floor(F.col("x") / k).cast("int").alias("x")).agg(F.sum("v").alias("v"))
+    beside = lambda size: ((size - 1) // 2 - k // 2) // k  # noqa: E731  cells on either side
+    start = lambda size: (size - 1) // 2 - k // 2 - beside(size) * k
+    y0, x0 = start(height), start(width)
+    inner = crop(frame, y0, y0 + (2 * beside(height) + 1) * k, x0, x0 + (2 * beside(width) + 1) * k)
+    return inner.groupBy("t", F.floor(F.col("y") / k).cast("int").alias("y"), F.floor(F.col("x") / k).cast("int").alias("x")).agg(F.sum("v").alias("v"))
 
 
 def zero_border(frame: DataFrame, border: int, height: int, width: int) -> DataFrame:

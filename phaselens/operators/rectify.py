@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,25 +17,16 @@ SLACK = 1e-10
 def positions(centre: int, period: float, n: int, size: int) -> list[float]:
     """Sample positions of one axis, 0-based, that are kept after trimming to whole lenslets.
 
-    Samples stand period / n apart through the pixel after the 1-based centre.  The leading ones up to the first whole
-    lenslet are cut; at the end as many samples are cut again as were at the start, and then what isn't a whole lenslet.
+    Samples stand period / n apart through the pixel after the 1-based centre: ``before`` of them in front of it, ``after``
+    behind.  ``lead`` samples up to a whole lenslet are cut in front, one more than that behind, and then what isn't a whole lenslet.
     """
     check_lenslet(n)
     step = period / n
-    below, k = [], 0
-    while centre + 1 - k * step > 1 - SLACK:
-        below.append(centre + 1 - k * step)
-        k += 1
-    above, k = [], 0
-    while centre + 1 + step + k * step < size + SLACK:
-        above.append(centre + 1 + step + k * step)
-        k += 1
-    samples = below[::-1] + above
-    first = len(below) - n // 2
-    first += n - n * (first // n)
-    kept = samples[first - 1 :]
-    whole = max(0, (len(kept) - first) // n * n)
-    return [p - 1 for p in kept[:whole]]
+    before = math.ceil((centre + SLACK) / step) - 1
+    after = max(0, math.ceil((size - centre - 1 + SLACK) / step) - 1)
+    lead = n - 1 + (before + 1 - n // 2) % n
+    whole = max(0, (before + after - 2 * lead) // n * n)
+    return [centre + (lead - before + k) * step for k in range(whole)]
 
 
 def rectify(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+
+from phaselens.plans.lineage import numbered
 
 
 def summary(log: DataFrame) -> DataFrame:
@@ -51,18 +54,23 @@ def runs(trials: DataFrame, least: int = 2) -> DataFrame:
     return marked.groupBy("k", "run").agg(F.first("value").alias("value"), F.min("iter").alias("first"), F.max("iter").alias("last"), F.count("*").alias("number")).where(F.col("number") > least).drop("run")
 
 
-def best_so_far(trials: DataFrame, parts: int = 64) -> DataFrame:
+def _ranges(rows: DataFrame, order: str, least: int = 64, each: int = 100_000) -> DataFrame:
+    """``rows`` with part: ranges of ``order`` of equal width, as many as the number of rows asks for."""
+    ends = rows.agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count("*").alias("n")).first()
+    parts = max(least, -(-ends["n"] // each))
+    width = ((ends["b"] - ends["a"]) / parts or 1) if ends["a"] is not None else 1
+    low = ends["a"] if ends["a"] is not None else 0
+    return rows.withColumn("part", F.least(F.floor((F.col(order) - low) / width), F.lit(parts)))
+
+
+def best_so_far(trials: DataFrame) -> DataFrame:
     """Running minimum of the score and how far it is below the first.
 
     Trials are cut into ranges of iterations; minima of whole earlier ranges are carried over, so no window spans the table.
     """
-    bounds = trials.agg(F.min("iter").alias("a"), F.max("iter").alias("b")).first()
-    if bounds["a"] is None:
-        return trials.select("iter", "score", F.col("score").alias("best"), F.col("score").alias("improvement"))
-    width = max(1, -(-(bounds["b"] - bounds["a"] + 1) // parts))
-    cut = trials.select("iter", "score", F.floor((F.col("iter") - bounds["a"]) / width).alias("part"))
+    cut = _ranges(trials.select("iter", "score"), "iter")
     ends = cut.groupBy("part").agg(F.min("score").alias("least"), F.min_by("score", "iter").alias("head"))
-    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most ``parts`` rows
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     before = ends.select("part", F.min("least").over(w).alias("before"), F.first("head").over(Window.orderBy("part")).alias("start"))
     own = F.min("score").over(Window.partitionBy("part").orderBy("iter"))
     out = cut.join(before, "part").select("iter", "score", F.least(own, F.col("before")).alias("best"), "start")
@@ -75,18 +83,22 @@ def best_trial(trials: DataFrame) -> DataFrame:
 
 
 def high_water(log: DataFrame) -> DataFrame:
-    """Largest memory so far, by start, within each thread."""
-    w = Window.partitionBy("thread").orderBy("t_start", "item").rowsBetween(Window.unboundedPreceding, 0)
-    return log.select("thread", "item", "t_start", F.max("memory").over(w).alias("high"))
+    """Largest memory so far, by start, within each thread; whole earlier ranges of time are carried over as one row each."""
+    cut = _ranges(log.select("thread", "item", "t_start", "memory"), "t_start")
+    ends = cut.groupBy("thread", "part").agg(F.max("memory").alias("most"))
+    earlier = F.max("most").over(Window.partitionBy("thread").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    own = F.max("memory").over(Window.partitionBy("thread", "part").orderBy("t_start", "item").rowsBetween(Window.unboundedPreceding, 0))
+    both = cut.join(ends.select("thread", "part", earlier.alias("before")), ["thread", "part"])
+    return both.select("thread", "item", "t_start", F.greatest(own, F.col("before")).alias("high"))
 
 
 def buffer_ids(log: DataFrame) -> DataFrame:
     """Dense numbers for the buffers that items touch, from 1 by address, without the null buffer 0; 0 stays 0."""
     used = log.select(F.explode(F.array("dest", "src1", "src2")).alias("address")).distinct().where("address <> 0")
-    numbered = used.withColumn("id", F.row_number().over(Window.orderBy("address")))  # one row for each buffer of a run
+    ids = numbered(used.orderBy("address"), "id", 1).withColumn("id", F.col("id").cast("int"))
     out = log.select("item", "dest", "src1", "src2")
     for c in ("dest", "src1", "src2"):
-        out = out.join(numbered.select(F.col("address").alias(c), F.col("id").alias(f"{c}_id")), c, "left").withColumn(f"{c}_id", F.coalesce(f"{c}_id", F.lit(0)))
+        out = out.join(ids.select(F.col("address").alias(c), F.col("id").alias(f"{c}_id")), c, "left").withColumn(f"{c}_id", F.coalesce(f"{c}_id", F.lit(0)))
     return out.select("item", "dest_id", "src1_id", "src2_id")
 
 
@@ -121,10 +133,8 @@ def work_order(items: DataFrame, threads: int, times: int) -> DataFrame:
 
 
 def work_places(items: DataFrame, threads: int, times: int) -> DataFrame:
-    """``items`` with their place (from 1) in ``work_order``: a range-partitioned sort, partitions' counts as offsets, and places within."""
-    ordered = work_order(items, threads, times)
-    placed = ordered.rdd.zipWithIndex().map(lambda row: (*row[0], row[1] + 1))
-    return items.sparkSession.createDataFrame(placed, StructType([*ordered.schema.fields, StructField("place", LongType(), False)]))
+    """``items`` with their place (from 1) in ``work_order``."""
+    return numbered(work_order(items, threads, times), "place", 1)
 
 
 def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -149,3 +159,85 @@ def thread_lanes(log: DataFrame, wait: float = 5e-6) -> DataFrame:
     return log.groupBy("worktype", "thread").agg(
         F.count("*").alias("items"), F.sum(F.col("t_end") - F.col("t_start")).alias("busy"), F.sum(F.when(waits > wait, waits).otherwise(0.0)).alias("waited"), F.count_distinct("dest").alias("buffers")
     )
+
+
+def compare_in_order(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two runs item by item as they started: place, both times and their ratio.  Runs of different length are an error."""
+    sides = [numbered(x.select("t_start", "item", (F.col("t_end") - F.col("t_start")).alias(n)).orderBy("t_start", "item"), "place").select("place", n) for x, n in ((left, "left"), (right, "right"))]
+    if sides[0].count() != sides[1].count():
+        raise ValueError("the runs have different numbers of items")
+    return sides[0].join(sides[1], "place").withColumn("ratio", F.col("right") / F.nullif("left", F.lit(0.0)))
+
+
+def work_ratio(stats: DataFrame) -> DataFrame:
+    """By host: work time over that of the fewest threads, and the shares of all threads' time that was idle, at all and before the start."""
+    w = Window.partitionBy("host").orderBy("threads")
+    room = F.col("threads") * F.col("wall")
+    dead = F.col("idle_start") + F.col("idle_between") + F.col("idle_end")
+    return stats.select("host", "threads", (F.col("work") / F.first("work").over(w)).alias("work_ratio"), (dead / room).alias("dead_time"), (F.col("idle_start") / room).alias("dead_start"))
+
+
+def cpu_time(stats: DataFrame) -> DataFrame:
+    """User and system time together."""
+    return stats.withColumn("cpu", F.col("user_s") + F.col("sys_s"))
+
+
+def throughput(runs_: DataFrame, by: str, amount: str, seconds: str) -> DataFrame:
+    """Mean amount a second of each kind, and the gradient of the averages."""
+    return runs_.groupBy(by).agg(F.avg(F.col(amount) / F.col(seconds)).alias("rate"), (F.avg(amount) / F.avg(seconds)).alias("gradient"))
+
+
+def best_setting(tries: DataFrame, setting: str, order: str, seconds: str, slack: float = 1.5) -> DataFrame:
+    """The setting with the least mean time.  A setting counts by its first try alone where that takes more than ``slack`` times the best mean.
+
+    tries holds several timings of each setting; ``order`` says which came first.
+    """
+    each = tries.groupBy(setting).agg(F.avg(seconds).alias("mean"), F.min_by(seconds, order).alias("once"))
+    best = each.agg(F.min("mean").alias("m")).scalar()
+    judged = each.select(setting, F.when(F.col("once") > slack * best, F.col("once")).otherwise(F.col("mean")).alias("seconds"))
+    return judged.agg(F.min_by(setting, F.struct("seconds", setting)).alias(setting), F.min("seconds").alias("seconds"))
+
+
+def tally(checks: DataFrame, by: str) -> DataFrame:
+    """How many checks of each group passed, and of all (group -1)."""
+    each = [F.sum(F.col("passed").cast("long")).alias("passed"), F.count("*").alias("total")]
+    return checks.groupBy(by).agg(*each).unionByName(checks.agg(*each).select(F.lit(-1).cast(checks.schema[by].dataType).alias(by), "passed", "total"))
+
+
+def earliest(log: DataFrame, number: int) -> DataFrame:
+    """The first accesses of buffers, in the order of their start."""
+    return log.orderBy("t_start", "item").limit(number)
+
+
+def costliest(log: DataFrame, by: str, number: int = 40) -> DataFrame:
+    """Kinds of work with the most time in all, most first."""
+    each = log.groupBy(by).agg(F.count("*").alias("calls"), F.sum(F.col("t_end") - F.col("t_start")).alias("cumulative"))
+    return each.orderBy(F.desc("cumulative"), by).limit(number)
+
+
+def argsort(values: DataFrame, value: str, key: str) -> DataFrame:
+    """Each row's place from 0 among all by value, equal ones by key."""
+    return numbered(values.select(key, value).orderBy(value, key), "place")
+
+
+def first_below(points: DataFrame, place: str, value: str, limit: float) -> int:
+    """The first place at which the value is below the limit; an error if there is none."""
+    found = points.agg(F.min(F.when(F.col(value) < limit, F.col(place))).alias("p")).first()["p"]
+    if found is None:
+        raise ValueError("no value is below the limit")
+    return found
+
+
+def above(points: DataFrame, value: str, tolerance: float) -> DataFrame:
+    """Points whose value counts."""
+    return points.where(F.col(value) > tolerance)
+
+
+def appended(parts: list[DataFrame]) -> DataFrame:
+    """Results of batches, one after the other."""
+    return reduce(DataFrame.unionByName, parts)
+
+
+def cache_key(*parts: Column) -> Column:
+    """What names a kept transform: its numbers with commas between."""
+    return F.concat_ws(",", *(p.cast("string") for p in parts))

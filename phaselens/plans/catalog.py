@@ -31,7 +31,7 @@ PARTS = {
  round(round(epoch_us(ts) / 1e6 - 1.7e9, 6) + value / 1000, 6) AS t_end, floor(value) / 1e5 AS m0, floor(value) / 1e5 * 2 AS m1, round(value * 10)::BIGINT AS memory,
  (event_id % 50)::BIGINT AS dest, (user_id % 40)::BIGINT AS src1, (event_id % 7)::BIGINT AS src2 FROM events)""",
     "tr": "tr AS (SELECT event_id::BIGINT AS iter, [floor(value / 20)::DOUBLE, floor(user_id / 3)::DOUBLE] AS shift, round(value, 6) AS score FROM events)",
-    "sc": "sc(host, threads, wall) AS (VALUES " + ", ".join(f"('{h}', {n}, {w}::DOUBLE)" for h, n, w in fx.SCALING) + ")",
+    "sc": "sc(host, threads, wall, user_s, sys_s) AS (VALUES " + ", ".join(f"('{h}', {n}, {w}::DOUBLE, {u}::DOUBLE, {k}::DOUBLE)" for h, n, w, u, k in fx.SCALING) + ")",
     "bt": "bt(kind, batch, seconds) AS (VALUES " + ", ".join(f"('{k}', {b}, {s}::DOUBLE)" for k, b, s in fx.BATCH_TIMES) + ")",
 }
 
@@ -390,9 +390,24 @@ def _(spark, sf_dir):
     return flow.pair_backward(fx.frame(spark, sf_dir), fx.psf(spark), N, H, W, 0.0, 0.0)
 
 
-@query("pair_deconvolve")
+def pair_sql(source: str, name: str) -> str:
+    """The two objects of one (z, y, x, v), the second moved by one row and two columns."""
+    moved = f"SELECT o.z, 1 AS t, o.y, o.x, a.v / 2 AS v FROM {source} o JOIN {source} a ON a.z = o.z AND a.y = greatest(o.y - 1, 0) AND a.x = greatest(o.x - 2, 0)"
+    return f"{name} AS (SELECT z, 0 AS t, y, x, v / 2 AS v FROM {source} UNION ALL {moved})"
+
+
+def pair_back_sql(source: str, name: str) -> list[str]:
+    """One object of a pair of frames: the second's projection is moved back, then the mean."""
+    moved = f"SELECT o.z, o.y, o.x, a.v FROM {name}_b o JOIN {name}_b a ON o.t = 1 AND a.t = 1 AND a.z = o.z AND a.y = least(o.y + 1, 29) AND a.x = least(o.x + 2, 44)"
+    return [backward_sql(source, f"{name}_b"), f"{name} AS (SELECT z, y, x, sum(v) / 2 AS v FROM (SELECT z, y, x, v FROM {name}_b WHERE t = 0 UNION ALL {moved}) GROUP BY ALL)"]
+
+
+@query(
+    "pair_deconvolve",
+    sql("f", "p", "q", *pair_back_sql("f", "ps"), pair_sql("ps", "pp"), forward_sql("pp", "pf"), *pair_back_sql("pf", "pd"), f"SELECT s.z, s.y, s.x, round(s.v * ({ratio_sql('s.v', 'd.v')}), 5) AS v FROM ps s JOIN pd d USING (z, y, x)"),
+)
 def _(spark, sf_dir):
-    return flow.deconvolve_pair(fx.frame(spark, sf_dir), fx.psf(spark), N, H, W, 1, 1.0, 2.0)
+    return flow.deconvolve_pair(fx.frame(spark, sf_dir), fx.psf(spark), N, H, W, 1, 1.0, 2.0).withColumn("v", F.round("v", 5))
 
 
 # Traces, scaling, histories
@@ -485,12 +500,7 @@ def _(spark, sf_dir):
     return trace.per_image(fx.batch_times(spark)).withColumn("each", F.round("each", 9))
 
 
-@query("work_order", "SELECT seq, (row_number() OVER (ORDER BY root_order, root_plane // 3, depth, plane // 3, seq))::INTEGER AS place FROM (SELECT event_id::BIGINT AS seq, user_id % 3 AS root_order, event_id % 9 AS root_plane, event_id % 4 AS depth, event_id % 11 AS plane FROM events ORDER BY 1 LIMIT 500)")
-def _(spark, sf_dir):
-    return _places(fx.table(spark, sf_dir, "events").orderBy("event_id").limit(500))
-
-
-@query("work_order_all", "SELECT seq, (row_number() OVER (ORDER BY root_order, root_plane // 3, depth, plane // 3, seq))::INTEGER AS place FROM (SELECT event_id::BIGINT AS seq, user_id % 3 AS root_order, event_id % 9 AS root_plane, event_id % 4 AS depth, event_id % 11 AS plane FROM events)")
+@query("work_order", "SELECT seq, row_number() OVER (ORDER BY root_order, root_plane // 3, depth, plane // 3, seq) AS place FROM (SELECT event_id::BIGINT AS seq, user_id % 3 AS root_order, event_id % 9 AS root_plane, event_id % 4 AS depth, event_id % 11 AS plane FROM events)")
 def _(spark, sf_dir):
     return _places(fx.table(spark, sf_dir, "events"))
 
@@ -499,7 +509,7 @@ def _places(events):
     items = events.select(
         F.col("event_id").cast("long").alias("seq"), (F.col("user_id") % 3).alias("root_order"), (F.col("event_id") % 9).alias("root_plane"), (F.col("event_id") % 4).alias("depth"), (F.col("event_id") % 11).alias("plane")
     )
-    return trace.work_places(items, 4, 2).select("seq", F.col("place").cast("int").alias("place"))
+    return trace.work_places(items, 4, 2).select("seq", "place")
 
 
 @query("compare_runs", sql("log", "SELECT worktype, round(avg(t_end - t_start), 6) AS left, round(avg((t_end - t_start) * 1.5), 6) AS right, round(avg((t_end - t_start) * 1.5) / avg(t_end - t_start), 6) AS ratio FROM log GROUP BY worktype"))
@@ -598,33 +608,187 @@ def _(spark, sf_dir):
     return flow.score(flow.naive_candidate(f, 0.0, 1.0, H, W), f, H, W).withColumn("ssd", F.round("ssd", 3))
 
 
-# Forms that SQL can't express
+@query(
+    "spot_object",
+    "WITH spot AS (SELECT floor((k * 0.7548776662466927 - floor(k * 0.7548776662466927)) * 30)::INTEGER AS y, floor((k * 0.5698402909980532 - floor(k * 0.5698402909980532)) * 45)::INTEGER AS x FROM (SELECT i::DOUBLE AS k FROM range(100) r(i)))"
+    " SELECT 0 AS z, 0 AS t, (y + i)::INTEGER AS y, (x + j)::INTEGER AS x, round(sum(exp(-(i * i + j * j) / 8.0) / (2 * 3.141592653589793 * 4)), 9) AS v FROM spot, range(-6, 7) p(i), range(-6, 7) q(j)"
+    " WHERE y + i BETWEEN 0 AND 29 AND x + j BETWEEN 0 AND 44 GROUP BY ALL",
+)
+def _(spark, sf_dir):
+    return fx.spots(spark, 100, H, W).withColumn("v", F.round("v", 9))
 
 
-@query("spot_object")
-def _(spark, sf_dir):
-    return fx.spots(spark, 100, H, W)
+def mesh_sql(c: str) -> str:
+    """A flow's component at a pixel: affine in the triangle of its cell of 15 by 15."""
+    corner = lambda i, j: {"dy": f"((22.5 * 22.5 - ((cx + {j}) * 15 - 22.5) * ((cx + {j}) * 15 - 22.5)) / (22.5 * 22.5) * 7.0::DOUBLE)", "dx": f"((cy + {i}) * 15 * (cx + {j}) * 15 / 450.0::DOUBLE)"}[c]
+    return (
+        f"CASE WHEN p + q <= 1 THEN (1 - p - q) * {corner(0, 0)} + p * {corner(1, 0)} + q * {corner(0, 1)} ELSE (p + q - 1) * {corner(1, 1)} + (1 - q) * {corner(1, 0)} + (1 - p) * {corner(0, 1)} END"
+    )
 
 
-@query("piecewise_warp")
+@query(
+    "piecewise_warp",
+    sql("f", "ce AS (SELECT y, x, y // 15 AS cy, x // 15 AS cx, y / 15.0::DOUBLE - y // 15 AS p, x / 15.0::DOUBLE - x // 15 AS q FROM f WHERE t = 0)",
+        f"pl AS (SELECT y, x, greatest(0.0, least(29.0, y - ({mesh_sql('dy')})))::DOUBLE AS py, greatest(0.0, least(44.0, x - ({mesh_sql('dx')})))::DOUBLE AS px FROM ce)",
+        "lo AS (SELECT *, least(floor(py), 28)::INTEGER AS ly, least(floor(px), 43)::INTEGER AS lx FROM pl)",
+        "SELECT f.t, lo.y, lo.x, round(sum(f.v * (CASE WHEN f.y = ly THEN 1 - (py - ly) ELSE py - ly END) * (CASE WHEN f.x = lx THEN 1 - (px - lx) ELSE px - lx END)), 6) AS v FROM lo JOIN f ON f.y BETWEEN ly AND ly + 1 AND f.x BETWEEN lx AND lx + 1 GROUP BY ALL"),
+)
 def _(spark, sf_dir):
-    moving = flow.parabolic_flow(flow.control_points(spark, H, W, 15), W)
-    return flow.warp_piecewise(fx.frame(spark, sf_dir), moving, 15, H, W)
+    moving = flow.parabolic_flow(flow.control_points(spark, H, W, 15), W).withColumn("dx", F.col("cx") * F.col("cy") / 450.0)
+    return flow.warp_piecewise(fx.frame(spark, sf_dir), moving, 15, H, W).select("t", "y", "x", F.round("v", 6).alias("v"))
+
+
+ONE = "f0 AS (SELECT 0 AS z, y, x, v FROM f WHERE t = 0)"
 
 
-@query("pair_forward")
+@query("pair_forward", sql("f", "p", ONE, pair_sql("f0", "pp"), forward_sql("pp", "pf"), "SELECT t, y, x, v FROM pf"))
 def _(spark, sf_dir):
     one = fx.frame(spark, sf_dir).where("t = 0").select(F.lit(0).alias("z"), "y", "x", "v")
     return flow.pair_forward(one, fx.psf(spark), N, H, W, 1.0, 2.0)
 
 
-@query("block_projection")
+VOLUME = "SELECT z::INTEGER AS z, f.t, f.y, f.x, coalesce(round(b.v, 6), 0.0) AS v FROM f CROSS JOIN range(3) r(z) LEFT JOIN {0} b USING (z, t, y, x)"
+
+
+@query("block_projection", sql("f", "p", "q", "bp", VOLUME.format("bp")))
 def _(spark, sf_dir):
     blocks = block.to_blocks(fx.frame(spark, sf_dir), H, W)
-    out = block.to_pixels(block.backward(blocks, psf.transpose(fx.psf(spark), N), N, H, W), W)
+    out = block.to_pixels(block.backward(blocks, block.kernels(psf.transpose(fx.psf(spark), N)), N, H, W), W)
     return out.withColumn("v", F.round("v", 6))
 
 
+@query("block_forward", sql("f", "p", "q", "bp", forward_sql("bp", "fp"), "SELECT f.t, f.y, f.x, coalesce(round(b.v, 4), 0.0) AS v FROM f LEFT JOIN fp b USING (t, y, x)"))
+def _(spark, sf_dir):
+    volume = block.to_blocks(back(spark, sf_dir), H, W)
+    return block.to_pixels(block.forward(volume, block.kernels(fx.psf(spark)), N, H, W), W).withColumn("v", F.round("v", 4))
+
+
+@query("block_rl", sql("f", "p", "q", "bp", *step_sql("bp", 1), VOLUME.format("x1")))
+def _(spark, sf_dir):
+    return deconvolution.deconvolve(fx.frame(spark, sf_dir), fx.psf(spark), N, H, W, 1, block=True).withColumn("v", F.round("v", 6))
+
+
+@query("naive_scores", sql("f", "ca AS (SELECT (i * 5 + j)::INTEGER AS iter, (i - 2)::DOUBLE AS dy, (j - 2)::DOUBLE AS dx FROM range(5) a(i), range(5) b(j))",
+    "SELECT iter, dy, dx, round(sum(pow(s.v - o.v, 2)), 3) AS ssd FROM ca JOIN f o ON o.t = 1 AND o.y BETWEEN 1 AND 28 AND o.x BETWEEN 1 AND 43 JOIN f s ON s.t = 0 AND s.y = greatest(0, least(29, o.y - dy)) AND s.x = greatest(0, least(44, o.x - dx)) GROUP BY ALL"))
+def _(spark, sf_dir):
+    candidates = fx.axis(spark, "iter", 0, 24).select("iter", (F.floor(F.col("iter") / 5) - 2).cast("double").alias("dy"), (F.col("iter") % 5 - 2).cast("double").alias("dx"))
+    return flow.naive_scores(fx.frame(spark, sf_dir), candidates, H, W).withColumn("ssd", F.round("ssd", 3))
+
+
+@query("joint_score", sql("f", "p", "q", *pair_back_sql("f", "ps"), pair_sql("ps", "pp"), forward_sql("pp", "pf"), *pair_back_sql("pf", "pd"),
+    f"x1 AS (SELECT s.z, s.y, s.x, s.v * ({ratio_sql('s.v', 'd.v')}) AS v FROM ps s JOIN pd d USING (z, y, x))", pair_sql("x1", "xp"), forward_sql("xp", "xf"),
+    "k AS (SELECT (SELECT avg(v) FROM xf WHERE t = 0) / (SELECT avg(v) FROM f WHERE t = 0) AS scale)",
+    "SELECT round(sum(pow(c.v / scale - f.v, 2)), 2) AS ssd FROM xf c JOIN f USING (t, y, x), k WHERE y BETWEEN 1 AND 28 AND x BETWEEN 1 AND 43"))
+def _(spark, sf_dir):
+    f = fx.frame(spark, sf_dir)
+    return flow.score(flow.joint_candidate(f, fx.psf(spark), N, H, W, 1, 1.0, 2.0), f, H, W).withColumn("ssd", F.round("ssd", 2))
+
+
+# Traces: the rest
+
+
+@query("cpu_time", sql("sc", "SELECT host, threads, wall, user_s, sys_s, user_s + sys_s AS cpu FROM sc"))
+def _(spark, sf_dir):
+    return trace.cpu_time(fx.scaling(spark))
+
+
+WORK = "wk AS (SELECT 'h' || (user_id % 5) AS host, event_id::BIGINT AS threads, 1 + value AS wall, 1 + floor(value * 7) AS work, value / 8 AS idle_start, value / 16 AS idle_between, value / 32 AS idle_end FROM events)"
+
+
+@query("work_ratio", sql(WORK, "SELECT host, threads, round(work / first_value(work) OVER w, 9) AS work_ratio, round((idle_start + idle_between + idle_end) / (threads * wall), 12) AS dead_time, round(idle_start / (threads * wall), 12) AS dead_start FROM wk WHERE threads > 0 WINDOW w AS (PARTITION BY host ORDER BY threads)"))
+def _(spark, sf_dir):
+    v = F.col("value")
+    stats = fx.table(spark, sf_dir, "events").where("event_id > 0").select(
+        F.concat(F.lit("h"), F.col("user_id") % 5).alias("host"), F.col("event_id").cast("long").alias("threads"), (1 + v).alias("wall"), (1 + F.floor(v * 7)).cast("double").alias("work"),
+        (v / 8).alias("idle_start"), (v / 16).alias("idle_between"), (v / 32).alias("idle_end"),
+    )
+    return trace.work_ratio(stats).withColumns({"work_ratio": F.round("work_ratio", 9), "dead_time": F.round("dead_time", 12), "dead_start": F.round("dead_start", 12)})
+
+
+@query("throughput", "SELECT (user_id % 5)::INTEGER AS kind, round(avg(event_id / (1 + floor(value))), 6) AS rate, round(avg(event_id) / avg(1 + floor(value)), 6) AS gradient FROM events GROUP BY 1")
+def _(spark, sf_dir):
+    each = fx.table(spark, sf_dir, "events").select((F.col("user_id") % 5).cast("int").alias("kind"), F.col("event_id").cast("double").alias("n"), (1 + F.floor("value")).cast("double").alias("s"))
+    return trace.throughput(each, "kind", "n", "s").withColumns({"rate": F.round("rate", 6), "gradient": F.round("gradient", 6)})
+
+
+@query(
+    "best_setting",
+    "WITH e AS (SELECT (user_id % 16)::INTEGER AS setting, avg(floor(value)) AS mean, arg_min(floor(value), event_id) AS once FROM events GROUP BY 1), b AS (SELECT min(mean) AS m FROM e),"
+    " j AS (SELECT setting, CASE WHEN once > 1.5 * m THEN once ELSE mean END AS seconds FROM e, b) SELECT setting, round(seconds, 9) AS seconds FROM j ORDER BY j.seconds, setting LIMIT 1",
+)
+def _(spark, sf_dir):
+    tries = fx.table(spark, sf_dir, "events").select((F.col("user_id") % 16).cast("int").alias("setting"), "event_id", F.floor("value").cast("double").alias("seconds"))
+    return trace.best_setting(tries, "setting", "event_id", "seconds").withColumn("seconds", F.round("seconds", 9))
+
+
+@query("tally", "SELECT coalesce(worktype, -1)::INTEGER AS worktype, sum(CASE WHEN value < 500 THEN 1 ELSE 0 END)::BIGINT AS passed, count(*) AS total FROM (SELECT (event_id % 4)::INTEGER AS worktype, value FROM events) GROUP BY GROUPING SETS ((worktype), ())")
+def _(spark, sf_dir):
+    return trace.tally(fx.table(spark, sf_dir, "events").select((F.col("event_id") % 4).cast("int").alias("worktype"), (F.col("value") < 500).alias("passed")), "worktype")
+
+
+@query("earliest_accesses", sql("log", "SELECT item, dest, t_start FROM log ORDER BY t_start, item LIMIT 100"))
+def _(spark, sf_dir):
+    return trace.earliest(fx.thread_log(spark, sf_dir), 100).select("item", "dest", "t_start")
+
+
+@query("costliest", sql("log", "SELECT dest, count(*) AS calls, round(sum(t_end - t_start), 4) AS cumulative FROM log GROUP BY dest ORDER BY sum(t_end - t_start) DESC, dest LIMIT 40"))
+def _(spark, sf_dir):
+    return trace.costliest(fx.thread_log(spark, sf_dir), "dest").withColumn("cumulative", F.round("cumulative", 4))
+
+
+@query("argsort", "SELECT event_id, row_number() OVER (ORDER BY value, event_id) - 1 AS place FROM events")
+def _(spark, sf_dir):
+    return trace.argsort(fx.table(spark, sf_dir, "events"), "value", "event_id").select("event_id", "place")
+
+
+@query("compare_in_order", sql("log", "o AS (SELECT row_number() OVER (ORDER BY t_start, item) - 1 AS place, t_end - t_start AS d FROM log)", "SELECT place, round(d, 6) AS left, round(d * 1.5, 6) AS right, CASE WHEN d <> 0 THEN 1.5::DOUBLE END AS ratio FROM o"))
+def _(spark, sf_dir):
+    log = fx.thread_log(spark, sf_dir)
+    slow = log.withColumn("t_end", F.col("t_start") + (F.col("t_end") - F.col("t_start")) * 1.5)
+    return trace.compare_in_order(log, slow).withColumns({"left": F.round("left", 6), "right": F.round("right", 6), "ratio": F.round("ratio", 2)})
+
+
+@query("bright_points", sql("f", "SELECT t, y, x, v FROM f WHERE v > 100"))
+def _(spark, sf_dir):
+    return trace.above(fx.frame(spark, sf_dir), "v", 100.0)
+
+
+@query("cache_keys", sql("p", "SELECT DISTINCT z || ',' || b || ',' || a AS key FROM p"))
+def _(spark, sf_dir):
+    return fx.psf(spark).select(trace.cache_key(F.col("z"), F.col("b"), F.col("a")).alias("key")).distinct()
+
+
+@query("appended_batches", sql("f", "p", "q", "bp", "SELECT z, t, y, x, v FROM bp"))
+def _(spark, sf_dir):
+    frame, turned = fx.frame(spark, sf_dir), psf.transpose(fx.psf(spark), N)
+    return trace.appended([projection.backward(frame.where(F.col("t") == t), turned, N, H, W) for t in range(fx.TIMES)])
+
+
+DIVISOR = "list_max(list_filter(range(1, {0}), lambda k: n % k = 0))"
+
+
+@query("block_factors", f"SELECT n, CASE WHEN {DIVISOR.format(9)} > 1 THEN {DIVISOR.format(9)} ELSE {DIVISOR.format(65)} END::BIGINT AS first, {DIVISOR.format(5)}::BIGINT AS second FROM (SELECT p_partkey::BIGINT + 1 AS n FROM part)")
+def _(spark, sf_dir):
+    parts = fx.table(spark, sf_dir, "part").select((F.col("p_partkey") + 1).cast("long").alias("n"))
+    first, _ = numbers.best_divisors([F.col("n"), F.col("n")], [8, 1], [64, 64])
+    _, second = numbers.best_divisors([F.col("n"), F.col("n")], [8, 4])
+    return parts.select("n", first.alias("first"), second.alias("second"))
+
+
+@query("padded_sizes", "WITH s AS (SELECT DISTINCT (pow(2, a) * pow(3, b) * pow(5, c) * pow(7, d))::BIGINT * 15 AS s FROM range(9) q(a), range(6) r(b), range(4) t(c), range(4) u(d) WHERE pow(2, a) * pow(3, b) * pow(5, c) * pow(7, d) <= 200) SELECT n::BIGINT AS n, (SELECT min(s) FROM s WHERE s >= n) AS size FROM range(1, 1001) r(n)")
+def _(spark, sf_dir):
+    return numbers.padded_sizes(spark, 1000, 15)
+
+
+@query("scanned_widths", "SELECT c_custkey, try_cast(substr(c_name, 10, 3) AS DOUBLE) AS first, try_cast(substr(c_name, 13, 4) AS BIGINT) AS second, try_cast(substr(c_name, 17) AS BIGINT) AS third FROM customer WHERE regexp_matches(c_name, '^Customer#[0-9]{9}$')")
+def _(spark, sf_dir):
+    names_ = fx.table(spark, sf_dir, "customer").where(F.col("c_name").rlike("^Customer#[0-9]{9}$"))
+    return names_.select("c_custkey", *(c.alias(n) for c, n in zip(scanning.scan_columns(F.col("c_name"), "Customer#%3f%4d%d"), ("first", "second", "third"), strict=True)))
+
+
+# A form that SQL can't express
+
+
 @query("psf_synthesis")
 def _(spark, sf_dir):
     optics = synthesis.Optics(m=40, na=0.95, pitch=150e-6, n=3, osr=3, index=1.0, fml=3000e-6, lam=520e-9, zmin=-2e-6, zmax=2e-6, spacing=2e-6)

@@ -5,13 +5,33 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a reliable checkpoint: in ``spark.checkpoint.dir`` where that is set, else in a temporary folder (tests)."""
+    """``df`` from a reliable checkpoint: in ``spark.checkpoint.dir`` where that is set, else in a temporary folder in local mode (tests)."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = context.getConf().get("spark.checkpoint.dir") or "file://" + os.path.join(tempfile.gettempdir(), f"phaselens-{os.getpid()}")
+        where = context.getConf().get("spark.checkpoint.dir")
+        if not where:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            where = "file://" + os.path.join(tempfile.gettempdir(), f"phaselens-{os.getpid()}")
         context.setCheckpointDir(where)
     return df.checkpoint(eager=True)
+
+
+def numbered(ordered: DataFrame, name: str, first: int = 0) -> DataFrame:
+    """``ordered`` (sorted rows) with their places in a column ``name`` (long) from ``first`` on.
+
+    Rows keep the partitions that the sort made; numbers of earlier partitions' rows, one for each partition, are added to
+    places within them.  No task gets all rows.
+    """
+    marked = cut(ordered.withColumn(name, F.monotonically_increasing_id()))
+    part, within = F.shiftright(name, 33), F.col(name).bitwiseAND((1 << 33) - 1)
+    sizes = marked.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    placed = marked.join(F.broadcast(starts), part == F.col("_part"))  # one row for each partition
+    return placed.withColumn(name, F.col("_start") + within + first).select(*marked.columns)

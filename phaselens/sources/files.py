@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 import struct
+import uuid
+import warnings
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaselens.functions.names import base_name, plane_name, without_comment
+from phaselens.functions.names import base_name, parse_psf_names, plane_name, require_generated, without_comment
+from phaselens.operators.projection import backward, forward
+from phaselens.operators.psf import transpose
+from phaselens.operators.synthesis import Optics, synthesise
+from phaselens.plans.lineage import cut, numbered
 
 FRAME = "path string, h int, w int, dtype string, px array<float>"
 #: Columns of a worker trace, in order (fixed values).
@@ -18,7 +27,7 @@ TRACE = "thread int, worktype int, t_start double, t_end double, m0s double, m0e
 
 
 def decode_tiff(raw: bytes) -> tuple[int, int, str, np.ndarray] | None:
-    """Height, width, type and pixels of an uncompressed grey image with one page; None for anything else."""
+    """Height, width, type and pixels of a grey image in strips or tiles, plain or deflated; None for anything else."""
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
     if not order or len(raw) < 8 or struct.unpack(order + "H", raw[2:4])[0] != 42:
         return None
@@ -33,21 +42,33 @@ def decode_tiff(raw: bytes) -> tuple[int, int, str, np.ndarray] | None:
             place = struct.unpack(order + "I", raw[place : place + 4])[0] if size > 4 else place
             tags[tag] = list(struct.unpack(f"{order}{count}{letter}", raw[place : place + size]))
     width, height, bits = (tags.get(t, [0])[0] for t in (256, 257, 258))
-    if tags.get(259, [1])[0] != 1 or tags.get(277, [1])[0] != 1 or 273 not in tags or not width or not height:
+    packed = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress}.get(tags.get(259, [1])[0])
+    kind = {(8, 1): "u1", (16, 1): "u2", (32, 1): "u4", (8, 2): "i1", (16, 2): "i2", (32, 2): "i4", (16, 3): "f2", (32, 3): "f4", (64, 3): "f8"}.get((bits, tags.get(339, [1])[0]))
+    if not packed or not kind or tags.get(277, [1])[0] != 1 or tags.get(317, [1])[0] != 1 or not width or not height:
         return None
-    kind = {(8, 1): "u1", (16, 1): "u2", (32, 1): "u4", (32, 3): "f4"}.get((bits, tags.get(339, [1])[0]))
-    if not kind:
+    if 324 in tags:
+        px = _untiled([packed(raw[o : o + n]) for o, n in zip(tags[324], tags[325], strict=True)], order + kind, height, width, tags[323][0], tags[322][0])
+    elif 273 in tags:
+        lengths = tags.get(279, [height * width * bits // 8])
+        px = np.frombuffer(b"".join(packed(raw[o : o + n]) for o, n in zip(tags[273], lengths, strict=True)), order + kind)
+    else:
         return None
-    lengths = tags.get(279, [height * width * bits // 8])
-    data = b"".join(raw[o : o + n] for o, n in zip(tags[273], lengths, strict=True))
-    px = np.frombuffer(data, order + kind)
     return (height, width, np.dtype(kind).name, px.astype(np.float32)) if len(px) == height * width else None
 
 
+def _untiled(tiles: list[bytes], kind: str, height: int, width: int, rows: int, cols: int) -> np.ndarray:
+    across = -(-width // cols)
+    whole = np.zeros((-(-height // rows) * rows, across * cols), kind)
+    for k, tile in enumerate(tiles):
+        y, x = k // across * rows, k % across * cols
+        whole[y : y + rows, x : x + cols] = np.frombuffer(tile, kind).reshape(rows, cols)
+    return whole[:height, :width].ravel()
+
+
 def encode_tiff(pixels: np.ndarray) -> bytes:
     """An uncompressed grey image of one strip."""
     pixels = np.ascontiguousarray(pixels)
-    kind = {"uint8": (8, 1), "uint16": (16, 1), "float32": (32, 3)}[pixels.dtype.name]
+    kind = {"uint8": (8, 1), "uint16": (16, 1), "uint32": (32, 1), "int16": (16, 2), "float32": (32, 3), "float64": (64, 3)}[pixels.dtype.name]
     tags = [(256, 4, pixels.shape[1]), (257, 4, pixels.shape[0]), (258, 3, kind[0]), (259, 3, 1), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, pixels.shape[0]), (279, 4, pixels.nbytes), (339, 3, kind[1])]
     data = pixels.astype(pixels.dtype.newbyteorder("<")).tobytes()
     pad = b"\0" * (len(data) % 2)
@@ -56,7 +77,7 @@ def encode_tiff(pixels: np.ndarray) -> bytes:
 
 
 def read_images(spark: SparkSession, folder: str, pattern: str = "*.tif") -> DataFrame:
-    """frame blocks (path, h, w, dtype, px) of the images of a folder; files that aren't two-dimensional images are left out."""
+    """frame blocks (path, h, w, dtype, px) of the images of a folder; files that aren't two-dimensional images are left out, with a warning if none is there."""
 
     def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -64,6 +85,8 @@ def read_images(spark: SparkSession, folder: str, pattern: str = "*.tif") -> Dat
             yield pd.DataFrame(rows, columns=["path", "h", "w", "dtype", "px"])
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    if raw.select("path").isEmpty():
+        warnings.warn(f"no file found matching {pattern}", stacklevel=2)
     return raw.select("path", "content").mapInPandas(decode, FRAME)
 
 
@@ -72,16 +95,68 @@ def time_points(frames: DataFrame) -> DataFrame:
     sizes = frames.select("h", "w").distinct().limit(2).collect()
     if len(sizes) > 1:
         raise ValueError("images have different sizes")
-    names = frames.select("path").distinct().agg(F.sort_array(F.collect_list("path")).alias("p"))
-    t = frames.withColumn("t", F.array_position(names.scalar(), F.col("path")).cast("int") - 1)
-    flat = t.select("t", "w", F.posexplode("px").alias("i", "v"))
+    names = numbered(frames.select("path").distinct().orderBy("path"), "t")
+    flat = frames.join(names, "path").select(F.col("t").cast("int").alias("t"), "w", F.posexplode("px").alias("i", "v"))
     return flat.select("t", F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), (F.col("i") % F.col("w")).cast("int").alias("x"), F.col("v").cast("double").alias("v"))
 
 
-def write_psf(psf: DataFrame, meta: DataFrame, folder: str) -> None:
-    """Planes as partitions, beside a catalogue of their sizes and windows."""
+def write_images(frame: DataFrame, folder: str, height: int, width: int, kind: str = "float32") -> DataFrame:
+    """(path, bytes) of the files that frames (name, y, x, v), or volumes with z, are written to: grey images, planes one below the other.
+
+    A file is written under a name of its own and then renamed, so a task that runs again leaves nothing half done.
+    """
+    keys = ["name", "z"] if "z" in frame.columns else ["name"]
+
+    def write(group: pa.Table) -> pa.Table:
+        planes = np.unique(group.column("z").to_numpy()) if "z" in keys else np.zeros(1, int)
+        px = np.zeros((len(planes) * height, width))
+        at = np.searchsorted(planes, group.column("z").to_numpy()) if "z" in keys else 0
+        px[at * height + group.column("y").to_numpy(), group.column("x").to_numpy()] = group.column("v").to_numpy()
+        system, place = FileSystem.from_uri(folder)
+        system.create_dir(place, recursive=True)
+        target = f"{place}/{group.column('name')[0].as_py()}"
+        draft = f"{target}.{uuid.uuid4().hex}"
+        raw = encode_tiff(px.astype(kind))
+        with system.open_output_stream(draft) as out:
+            out.write(raw)
+        system.move(draft, target)
+        return pa.table({"path": [target], "bytes": pa.array([len(raw)], pa.int64())})
+
+    return frame.select("name", *(F.col(c).cast("int").alias(c) for c in (*keys[1:], "y", "x")), F.col("v").cast("double").alias("v")).groupBy("name").applyInArrow(write, "path string, bytes long")
+
+
+def write_psf(psf: DataFrame, meta: DataFrame, folder: str, optics: DataFrame | None = None) -> None:
+    """Planes as partitions, beside a catalogue of their sizes and windows and, if given, the optics' parameters (one row)."""
     psf.write.mode("overwrite").partitionBy("z").parquet(f"{folder}/taps")
     meta.write.mode("overwrite").parquet(f"{folder}/meta")
+    if optics is not None:
+        optics.write.mode("overwrite").parquet(f"{folder}/optics")
+
+
+def read_optics(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/optics")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def load_psf(spark: SparkSession, path: str, first: int = 0, number: int | None = None, again: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Taps, catalogue and optics of the point-spread function that a path names; it is synthesised and kept there if it isn't there yet, or ``again``.
+
+    Of names with the prefix of plain functions those aren't normalised by flux.
+    """
+    if again or not exists(spark, f"{path}/optics"):
+        named = spark.sql("SELECT :p AS path", args={"p": path})
+        told = require_generated(parse_psf_names(named)).first().asDict()
+        optics = Optics(m=told["m"], na=told["na"], pitch=told["ml_pitch"], n=told["nnum"], osr=3, index=told["n"], fml=told["fml"], lam=told["lam"], zmin=told["zmin"], zmax=told["zmax"], spacing=told["zspacing"])
+        taps = cut(synthesise(spark, optics, told["normalised"]))
+        size = 2 * F.max(F.greatest(F.abs("dv"), F.abs("du"))) + 1
+        meta = taps.groupBy("z").agg(size.cast("int").alias("s")).select("z", "s", F.lit(1).alias("ca_lo"), F.col("s").alias("ca_hi"))
+        write_psf(taps, meta, path, parse_psf_names(named).withColumn("osr", F.lit(3)))
+    taps, meta = read_psf(spark, path, first, number)
+    return taps, meta, read_optics(spark, path)
 
 
 def read_psf(spark: SparkSession, folder: str, first: int = 0, number: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -121,16 +196,52 @@ def read_trace(spark: SparkSession, path: str) -> DataFrame:
     return log.withColumn("dt", F.col("t_end") - F.col("t_start")).withColumn("waited", F.col("m0e") - F.col("m0s") + F.col("m1e") - F.col("m1s"))
 
 
-def from_flat(spark: SparkSession, values: list[float], reversed_shape: tuple[int, ...]) -> DataFrame:
+def from_flat(spark: SparkSession, values: list[float] | np.ndarray, reversed_shape: tuple[int, ...]) -> DataFrame:
     """Pixels of a column-major array given flat with its shape, as other tools pass them: the axes in reverse are (..., y, x)."""
     names = ["z", "t", "y", "x"][4 - len(reversed_shape) :]
-    shape = tuple(reversed_shape[::-1])
-    rows = spark.range(1).select(F.posexplode(F.array(*map(F.lit, map(float, values)))).alias("i", "v"))
-    place, step = [], 1
-    for name, size in zip(names[::-1], shape[::-1], strict=True):
-        place.append((F.floor(F.col("i") / step) % size).cast("int").alias(name))
-        step *= size
-    return rows.select(*place[::-1], "v")
+    values = np.asarray(values, float)
+    places = np.unravel_index(np.arange(len(values)), reversed_shape[::-1])
+    return spark.createDataFrame(pa.table({**{n: pa.array(p, pa.int32()) for n, p in zip(names, places, strict=True)}, "v": values}))
+
+
+def to_flat(pixels: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
+    """The same back again: a flat array over (..., y, x) of ``shape``, missing pixels 0; for results that the caller's memory holds."""
+    names = ["z", "t", "y", "x"][4 - len(shape) :]
+    table = pixels.select(*names, "v").toArrow()
+    out = np.zeros(shape)
+    out[tuple(table.column(n).to_numpy() for n in names)] = table.column("v").to_numpy()
+    return out.ravel()
+
+
+def project_flat(spark: SparkSession, folder: str, planes: list[int], values: list[float] | np.ndarray, reversed_shape: tuple[int, ...], back: bool) -> np.ndarray:
+    """Back projection of a flat frame (t, y, x) into ``planes``, counted from 1, as a flat volume (z, t, y, x); or a flat volume's forward projection."""
+    chosen = zero_based(planes)
+    height, width = reversed_shape[1], reversed_shape[0]
+    n = lenslet_size(spark, folder)
+    taps, _ = read_psf(spark, folder)
+    taps = taps.where(F.col("z").isin(chosen))
+    numbers = F.create_map(*(F.lit(v) for k, z in enumerate(chosen) for v in (z, k)))
+    taps = taps.withColumn("z", numbers[F.col("z")])
+    times = reversed_shape[2] if len(reversed_shape) > 2 else 1
+    pixels = from_flat(spark, values, reversed_shape)
+    if "t" not in pixels.columns:
+        pixels = pixels.withColumn("t", F.lit(0))
+    if back:
+        return to_flat(backward(pixels, transpose(taps, n), n, height, width), (len(chosen), times, height, width))
+    return to_flat(forward(pixels, taps, n, height, width), (times, height, width))
+
+
+def plane_count(spark: SparkSession, folder: str) -> int:
+    return spark.read.parquet(f"{folder}/meta").count()
+
+
+def lenslet_size(spark: SparkSession, folder: str) -> int:
+    return read_optics(spark, folder).first()["nnum"]
+
+
+def write_trace(log: DataFrame, path: str, begin: bool = True) -> None:
+    """A worker trace as tab-separated text, in the order of its columns; later parts of a run go behind the first."""
+    append_log(log.select(*(c.split()[0] for c in TRACE.split(", "))), path, "overwrite" if begin else "append")
 
 
 def zero_based(planes: list[int]) -> list[int]:

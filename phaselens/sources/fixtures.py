@@ -10,8 +10,22 @@ HEIGHT, WIDTH, LENSLET, TIMES = 30, 45, 3, 2
 
 #: Published thread scaling: host, threads, wall, user and system seconds (fixed values).
 SCALING = [
-    ("host16", 1, 766.75), ("host16", 2, 506.30), ("host16", 16, 62.91),
-    ("host8", 1, 976.73), ("host8", 8, 170.44), ("host8-small", 1, 20.41), ("host8-small", 8, 3.90),
+    ("host16", 1, 766.746883, 747.881477, 19.109868), ("host16", 2, 506.295789, 862.752871, 133.015392),
+    ("host16", 3, 280.002952, 807.831459, 20.736173), ("host16", 4, 222.021581, 821.603846, 45.185196),
+    ("host16", 5, 175.572547, 821.201887, 33.639043), ("host16", 6, 146.024464, 821.158136, 28.464987),
+    ("host16", 7, 126.294555, 827.765492, 25.714729), ("host16", 8, 110.645629, 829.255786, 22.974344),
+    ("host16", 9, 99.960404, 840.49019, 21.244982), ("host16", 10, 91.412795, 847.183269, 24.308798),
+    ("host16", 11, 85.266437, 862.495211, 25.894695), ("host16", 12, 78.842479, 866.98994, 24.816764),
+    ("host16", 13, 73.4886, 873.675263, 24.810415), ("host16", 14, 69.877708, 888.104668, 28.008839),
+    ("host16", 15, 66.154512, 894.176687, 28.357786), ("host16", 16, 62.908969, 910.738637, 26.039534),
+    ("host8", 1, 976.729804, 972.613175, 5.557526), ("host8", 2, 526.683309, 1044.056437, 5.856808),
+    ("host8", 3, 370.188558, 1097.233988, 6.097489), ("host8", 4, 288.136374, 1135.609358, 6.168274),
+    ("host8", 5, 241.202575, 1185.196197, 6.320825), ("host8", 6, 208.8712, 1227.546092, 6.860821),
+    ("host8", 7, 185.774276, 1269.592924, 7.007391), ("host8", 8, 170.438344, 1328.397888, 7.811467),
+    ("host8-small", 1, 20.41163, 20.267965, 0.12355), ("host8-small", 2, 11.256225, 21.861463, 0.072073),
+    ("host8-small", 3, 8.004049, 22.833651, 0.045547), ("host8-small", 4, 6.39701, 23.78068, 0.053633),
+    ("host8-small", 5, 5.434677, 24.803715, 0.067902), ("host8-small", 6, 4.768711, 25.555338, 0.059184),
+    ("host8-small", 7, 4.324696, 26.543372, 0.080254), ("host8-small", 8, 3.899127, 26.973893, 0.085763),
 ]
 #: Published run times by batch size: kind, batch, seconds (fixed values).
 BATCH_TIMES = [
@@ -43,12 +57,12 @@ def grid(spark: SparkSession, height: int = HEIGHT, width: int = WIDTH, times: i
     )
 
 
-def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frame(spark: SparkSession, sf_dir: str, height: int = HEIGHT, width: int = WIDTH) -> DataFrame:
     """frame_px (t, y, x, v): quantities of lineitem by order, part and line, with empty pixels as 0."""
     summed = table(spark, sf_dir, "lineitem").groupBy(
-        (F.col("l_linenumber") % TIMES).cast("int").alias("t"), (F.col("l_orderkey") % HEIGHT).cast("int").alias("y"), (F.col("l_partkey") % WIDTH).cast("int").alias("x")
+        (F.col("l_linenumber") % TIMES).cast("int").alias("t"), (F.col("l_orderkey") % height).cast("int").alias("y"), (F.col("l_partkey") % width).cast("int").alias("x")
     ).agg(F.sum(F.col("l_quantity").cast("double")).alias("v"))
-    return grid(spark).join(summed, ["t", "y", "x"], "left").select("t", "y", "x", F.coalesce("v", F.lit(0.0)).alias("v"))
+    return grid(spark, height, width).join(summed, ["t", "y", "x"], "left").select("t", "y", "x", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
 def psf(spark: SparkSession, n: int = LENSLET, reach: int = 3, planes: int = 3) -> DataFrame:
@@ -88,8 +102,8 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scaling(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"('{h}', {n}, {w}D)" for h, n, w in SCALING)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS s(host, threads, wall)")
+    rows = ", ".join(f"('{h}', {n}, {w}D, {u}D, {s}D)" for h, n, w, u, s in SCALING)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS s(host, threads, wall, user_s, sys_s)")
 
 
 def batch_times(spark: SparkSession) -> DataFrame:
@@ -102,9 +116,10 @@ def psf_names(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS s(path)")
 
 
-def spots(spark: SparkSession, number: int, height: int, width: int, seed: int = 0, reach: int = 6, sigma: float = 2.0) -> DataFrame:
-    """A synthetic object (z, t, y, x, v): unit spots at seeded random places, blurred; edges cut what leaves."""
-    at = spark.range(number).select(F.floor(F.rand(seed) * height).cast("int").alias("y"), F.floor(F.rand(seed + 1) * width).cast("int").alias("x"))
+def spots(spark: SparkSession, number: int, height: int, width: int, reach: int = 6, sigma: float = 2.0) -> DataFrame:
+    """A synthetic object (z, t, y, x, v): unit spots at places of an even sequence, blurred; edges cut what leaves."""
+    part = lambda step: F.col("id") * step - F.floor(F.col("id") * step)
+    at = spark.range(number).select(F.floor(part(0.7548776662466927) * height).cast("int").alias("y"), F.floor(part(0.5698402909980532) * width).cast("int").alias("x"))
     steps = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
     near = at.select("y", "x", steps.alias("i")).select("y", "x", "i", steps.alias("j"))
     weight = F.exp(-(F.col("i") * F.col("i") + F.col("j") * F.col("j")) / (2 * sigma**2)) / (2 * 3.141592653589793 * sigma**2)
