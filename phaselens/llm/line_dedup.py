@@ -20,7 +20,7 @@ PERCENT = 80
 #: Bits of the number of ranges of the table of counts: it follows the number of lines between two bounds.
 LEAST_BITS, MOST_BITS = 16, 20
 #: Lines of a token that are first compared with the earliest of them only; those that match it need no others.
-HOT = 1024
+HOT = 256
 #: Lines of a longer list that meet as many others at once.
 BLOCK = 4096
 
@@ -144,8 +144,7 @@ def _matches(df: DataFrame, doc_id: str, text: str, percent: int, low: int, bits
         """b of the pairs (a, b) of places that are similar enough; the sets are made again from the texts."""
         wanted = settle(chosen.select(F.col("a").alias("id")).unionAll(chosen.select("b")).distinct())
         some = split_lines(df.where(sieve(wanted.select(doc_of(F.col("id"))), F.col(doc_id).cast("long"))), doc_id, text).withColumn("id", number)
-        near = hashed(some.where(sieve(wanted, F.col("id"))), "id").join(wanted, "id")
-        whole = settle(near.dropDuplicates())
+        whole = settle(hashed(some.where(sieve(wanted, F.col("id"))), "id"))
         a, b = (whole.select(F.col("id").alias(k), F.col("h").alias(f"h{k}")) for k in "ab")
         shared = F.size(F.array_intersect("ha", "hb"))
         return chosen.join(a, "a").join(b, "b").where(shared >= enough(F.size("ha"), F.size("hb"), percent)).select("b").distinct()
@@ -189,8 +188,10 @@ def _matches(df: DataFrame, doc_id: str, text: str, percent: int, low: int, bits
     apart = F.bit_count(c("sl").bitwiseXOR(c("sr"))) + F.bit_count(c("ul").bitwiseXOR(c("ur")))
     pairs = settle(pairs.select(F.least("idl", "idr").alias("a"), F.greatest("idl", "idr").alias("b"), apart.alias("apart")))
     # each line first with the earlier one that seems the most alike; only lines without a match then with all of theirs
-    gone = settle(matched(settle(pairs.groupBy("b").agg(F.min_by("a", "apart").alias("a")))))
-    others = settle(pairs.select("a", "b").join(gone, "b", "left_anti").distinct())
+    first = settle(pairs.groupBy("b").agg(F.min_by("a", "apart").alias("a")))
+    gone = settle(matched(first))
+    still = settle(first.select("b").join(gone, "b", "left_anti"))
+    others = settle(pairs.where(sieve(still, c("b"))).select("a", "b").join(still, "b", "left_semi").distinct())
     gone = gone.unionAll(matched(others))
     gone = (gone if early is None else gone.unionAll(early)).select(c("b").alias("id"))
     # a set goes whole if its earliest line goes, else all but that line
