@@ -1,13 +1,14 @@
 """Exact n-gram Jaccard join of documents by prefixes under several global orders of the shingles.
 
 If two sets of shingles are similar enough, their rarest shingles - the prefix under any global order - must
-share some, and, for sets of given sizes, at least a certain number.  Each order gives such a filter; candidates
-pass all of them before whole sets are compared.  All orders put frequent shingles last, by counts over
-the whole corpus in a table of fixed size; they differ in how they order shingles of one class of frequency.
-
-Equal sets are joined first.  Posting lists of a first order's prefix shingles up to ``SHORT`` long give candidate
-pairs; documents that meet in longer lists form clusters, which are compared block by block, so that large groups
-of near copies give a spanning forest of links and never a list of pairs.
+share some, and, for sets of given sizes, at least a certain number.  Each order gives such a filter: prefixes under
+the first give candidate pairs, those under the others leave the pairs that pass all of them, and only then are whole
+sets fetched and compared.  All orders put frequent shingles last, by counts over the whole corpus in a table of bounded
+size; they differ in how they order shingles of one class of frequency.
+
+Equal sets are joined first.  Short posting lists of the first order's prefixes give candidate pairs; documents that
+meet in longer lists form clusters, which are compared block by block, so that large groups of near copies give a
+spanning forest of links and never a list of pairs.
 """
 
 from __future__ import annotations
@@ -26,16 +27,17 @@ from pyspark.sql import functions as F
 from phaselens.llm.components import components
 from phaselens.llm.runtime import concluded, settle, sieve, slices
 
-BITS, CHUNKS = 20, 64
-#: Posting lists up to this length are paired in SQL; documents of longer ones are compared in blocks of BLOCK.
-SHORT, BLOCK = 64, 192
+#: Bits of the table of counts, which follows the input's bytes between two bounds, and the parts it is summed in.
+LEAST_BITS, MOST_BITS, CHUNKS = 20, 24, 64
+#: Posting lists up to this length, or twice what the table of counts can't tell from rare, are paired in SQL.
+SHORT = 64
+#: Documents of a block of a cluster, and shingles of their sets.
+BLOCK, BLOCK_GRAMS = 192, 2_000_000
 #: Columns of the 0/1 matrices that a block comparison holds at once.
 COLUMNS = 8192
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_rng = np.random.default_rng(20)
-_LETTER = _rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = int(_rng.integers(1, 2**62)) * 2 + 1
-_power = np.ones(1, np.uint64)
+#: Bytes from which on a word's hash is made by a library call.
+LONG = 64
 #: Space and the control characters from tab to carriage return part words.
 _PARTS = np.zeros(256, bool)
 _PARTS[[9, 10, 11, 12, 13, 32]] = True
@@ -47,14 +49,25 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _powers(n: int) -> np.ndarray:
-    global _power
-    if len(_power) < n:
-        size = max(n, 2 * len(_power))
-        steps = np.full(size, _STEP, np.uint64)
-        steps[0] = 1
-        _power = np.cumprod(steps, dtype=np.uint64)
-    return _power
+def _word_hashes(raw: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, eight bytes at a time; ``raw`` has eight bytes more than its last word.
+
+    Each step is a bijection of the eight bytes, so no structure of letters in the word cancels out.
+    """
+    eight = np.lib.stride_tricks.as_strided(raw[:8].view("<u8"), (len(raw) - 7,), (1,))
+    h = length.astype(np.uint64) * ODD[3]
+    short = np.flatnonzero(length < LONG)
+    k = 0
+    while len(short):
+        rest = length[short] - 8 * k
+        part = eight[begin[short] + 8 * k]
+        part = np.where(rest < 8, part & ((np.uint64(1) << (8 * np.minimum(rest, 7)).astype(np.uint64)) - np.uint64(1)), part)
+        h[short] = _mix(h[short] ^ part)
+        k += 1
+        short = short[rest > 8]
+    for i in np.flatnonzero(length >= LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[begin[i] : begin[i] + length[i]])
+    return h
 
 
 def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +75,7 @@ def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
 
     A-Z are lower-cased.  A text of fewer words gives its whole sequence as one; one without words gives none.
     """
-    raw = np.frombuffer(b" ".join(t.lower() for t in texts) + b" ", np.uint8)
+    raw = np.frombuffer(b" ".join(t.lower() for t in texts) + b" " * 9, np.uint8)
     gap = _PARTS[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap]).astype(np.int8)))
     begin, end = edge[::2], edge[1::2]
@@ -70,11 +83,7 @@ def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     first = np.searchsorted(begin, bounds)  # of words, by text
     if not len(begin):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    length = end - begin
-    at = np.flatnonzero(~gap)
-    within = at - np.repeat(begin, length)
-    value = _LETTER[raw[at]] * _powers(int(length.max()) + 1)[within]
-    word = _mix(np.add.reduceat(value, np.concatenate([[0], np.cumsum(length)[:-1]])))
+    word = _word_hashes(raw, begin, end - begin)
     count = np.diff(first)
     grams = word[: max(0, len(word) - size + 1)] * ODD[0]
     for k in range(1, size):
@@ -100,18 +109,21 @@ def prefix_length(n: int | np.ndarray, percent: int) -> int | np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
-def frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
-    """A small class of frequency for each hash range: 0 for what can't be told from the mean, then by the logarithm.
+def frequency_classes(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """A small class of frequency for each hash range: 0 for what can't be told from the mean, then by the logarithm; and the length of short posting lists.
 
-    Counts of all documents' shingles are summed by the hash's leading bits, in steps of bounded groups; the result has 2 ** BITS entries.
+    Counts of all documents' shingles are summed by the hash's leading bits, in steps of bounded groups.  The table has 2 ** LEAST_BITS
+    entries or more, as the input has bytes, but 2 ** MOST_BITS at most.
     """
-    per = (1 << BITS) // CHUNKS
+    octets = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, int(octets).bit_length() - 10))
+    per = (1 << bits) // CHUNKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BITS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for b in slices(batches, "_text"):
             h, _ = shingles([t or b"" for t in b.column("_text").to_pylist()], size)
-            total += np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+            total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         if total.any():
             parts = [zlib.compress(total[k * per : (k + 1) * per].tobytes(), 1) for k in range(CHUNKS)]
             salt = TaskContext.get().partitionId() % 256
@@ -125,17 +137,18 @@ def frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
 
     schema = "chunk int, salt int, counts binary"
     parts = docs.select("_text").mapInArrow(count, schema).groupBy("chunk", "salt").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema).collect()
-    total = np.zeros(1 << BITS, np.int64)
+    total = np.zeros(1 << bits, np.int64)
     for r in parts:
         total[r["chunk"] * per : (r["chunk"] + 1) * per] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
     mean = np.median(total)
-    extra = total - mean - 5 * np.sqrt(mean + 1) - 1
-    return np.where(extra > 0, 1 + np.floor(2 * np.log2(np.maximum(extra, 1))), 0).astype(np.uint8)
+    noise = 5 * np.sqrt(mean + 1) + 1
+    extra = total - mean - noise
+    return np.where(extra > 0, 1 + np.floor(2 * np.log2(np.maximum(extra, 1))), 0).astype(np.uint8), max(SHORT, int(2 * noise))
 
 
 def _ordered(u: np.ndarray, classes: np.ndarray, order: int, take: int) -> np.ndarray:
     """The first ``take`` of sorted distinct hashes under an order."""
-    own = classes[(u >> np.uint64(64 - BITS)).astype(np.int64)]
+    own = classes[(u >> np.uint64(65 - len(classes).bit_length())).astype(np.int64)]
     if order == 0:
         return u[np.argsort(own, kind="stable")[:take]]
     return u[np.lexsort((_mix(u * ODD[order % len(ODD)] + np.uint64(order)), own))[:take]]
@@ -194,7 +207,8 @@ def jaccard_components(df: DataFrame, size: int = 3, percent: int = 90, orders:
 def _components(df: DataFrame, size: int, percent: int, orders: int, doc_id: str, text: str) -> DataFrame:
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_text"))
     sc = df.sparkSession.sparkContext
-    shared = sc.broadcast(frequency_classes(docs, size))
+    classes, short_list = frequency_classes(docs, size)
+    shared = sc.broadcast(classes)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = shared.value
@@ -228,9 +242,9 @@ def _components(df: DataFrame, size: int, percent: int, orders: int, doc_id: str
     parts = met.groupBy("token", "part").agg(F.count("*").alias("size"), F.min("rep").alias("least"), F.max("own").alias("most")).where("size > 1 and most = part")
     parts = settle(parts)
     # clusters of the documents that meet in long lists
-    hot = components(met.join(parts.where(F.col("size") > SHORT), ["token", "part"]).select(F.col("least").alias("a"), F.col("rep").alias("b")))
+    hot = components(met.join(parts.where(F.col("size") > short_list), ["token", "part"]).select(F.col("least").alias("a"), F.col("rep").alias("b")))
     hot = settle(hot)
-    short = met.join(parts.where(F.col("size") <= SHORT).select("token", "part"), ["token", "part"])
+    short = met.join(parts.where(F.col("size") <= short_list).select("token", "part"), ["token", "part"])
     left, right = (short.select("token", "part", F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("own").alias(f"own{k}")) for k in "ab")
     pairs = left.join(right, ["token", "part"]).where(
         (F.col("a") < F.col("b")) & (F.greatest("owna", "ownb") == F.col("part")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
@@ -238,20 +252,25 @@ def _components(df: DataFrame, size: int, percent: int, orders: int, doc_id: str
     pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("shared"))
     beyond = lambda c: -F.floor(-percent * F.col(c) / 100) - 1  # noqa: E731  what a set has after its prefix
     enough = F.col("shared") + F.greatest(beyond("na"), beyond("nb")) >= F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    pairs = pairs.where(enough).select("a", "b")
+    pairs = pairs.where(enough).select("a", "b", "na", "nb")
     ha, hb = (hot.select(F.col("node").alias(c), F.col("component").alias(f"h{c}")) for c in ("a", "b"))
-    pairs = settle(pairs.join(ha, "a", "left").join(hb, "b", "left").where("ha is null or hb is null or ha <> hb").select("a", "b"))
+    pairs = settle(pairs.join(ha, "a", "left").join(hb, "b", "left").where("ha is null or hb is null or ha <> hb").select("a", "b", "na", "nb"))
     # whole sets and the other orders' prefixes, for candidates only
     wanted = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).unionAll(hot.select("node")).distinct()
     wanted = settle(wanted)
     chosen = docs.where(sieve(wanted, F.col("doc_id"))).join(wanted, docs.doc_id == wanted.rep, "left_semi").dropDuplicates(["doc_id"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = shared.value
         for b in slices(batches, "_text"):
             h, starts = shingles([t or b"" for t in b.column("_text").to_pylist()], size)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([np.unique(h[a:z]).tobytes() for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary())], names=["rep", "grams"])
+            rows = [np.unique(h[a:z]) for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            others = [[_ordered(u, classes, k, prefix_length(len(u), percent)).view(np.int64) for k in range(1, orders)] for u in rows]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(map(len, rows), pa.int64()), pa.array([u.tobytes() for u in rows], pa.binary()), pa.array(others, pa.list_(pa.list_(pa.int64())))], names=["rep", "n", "grams", "others"]
+            )
 
-    sets = settle(chosen.mapInArrow(expand, "rep long, grams binary"))
+    sets = settle(chosen.mapInArrow(expand, "rep long, n long, grams binary, others array<array<long>>"))
 
     def pass_all(rows: list[np.ndarray], half: int, square: bool, classes: np.ndarray) -> np.ndarray:
         """Pairs that pass the length filter and every order's filter."""
@@ -272,23 +291,27 @@ def _components(df: DataFrame, size: int, percent: int, orders: int, doc_id: str
         return ok
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = shared.value
         for b in batches:
             out = []
             for a, c, ga, gc in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("ga"), b.column("gc"), strict=True):
                 u, v = np.frombuffer(ga.as_buffer(), np.uint64), np.frombuffer(gc.as_buffer(), np.uint64)
-                need = int(least_shared(len(u), len(v), percent))
-                p, q = int(prefix_length(len(u), percent)), int(prefix_length(len(v), percent))
-                few = max(1, need - max(len(u) - p, len(v) - q))
-                if all(len(np.intersect1d(_ordered(u, classes, k, p), _ordered(v, classes, k, q), True)) >= few for k in range(orders)) and len(np.intersect1d(u, v, True)) >= need:
+                if len(np.intersect1d(u, v, True)) >= int(least_shared(len(u), len(v), percent)):
                     out.append((a, c))
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
+    # pairs must share enough of their prefixes under all other orders before whole sets are fetched
+    oa, ob = sets.select(F.col("rep").alias("a"), F.col("others").alias("oa")), sets.select(F.col("rep").alias("b"), F.col("others").alias("ob"))
+    few = F.greatest(F.lit(1), F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)) - F.greatest(beyond("na"), beyond("nb")))
+    alike = F.lit(True)
+    for k in range(orders - 1):
+        alike &= F.size(F.array_intersect(F.get("oa", F.lit(k)), F.get("ob", F.lit(k)))) >= few
+    passed = settle(pairs.join(oa, "a").join(ob, "b").where(alike).select("a", "b"))
     ga, gc = sets.select(F.col("rep").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("rep").alias("b"), F.col("grams").alias("gc"))
-    links = pairs.join(ga, "a").join(gc, "b").select("a", "b", "ga", "gc").mapInArrow(verify, EDGES)
+    links = passed.join(ga, "a").join(gc, "b").select("a", "b", "ga", "gc").mapInArrow(verify, EDGES)
 
     # blocks of a cluster with each other
-    sizes = hot.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    weighed = hot.join(sets.select(F.col("rep").alias("node"), "n"), "node")
+    sizes = weighed.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_GRAMS)).alias("blocks"))
     member = hot.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     member = member.select(F.col("node").alias("rep"), "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -314,7 +337,7 @@ def _components(df: DataFrame, size: int, percent: int, orders: int, doc_id: str
                         edges.append((rep[p], rep[q]))
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
-    within = member.join(sets, "rep").groupBy("component", "i", "j").applyInArrow(compare, EDGES)
+    within = member.join(sets.select("rep", "grams"), "rep").groupBy("component", "i", "j").applyInArrow(compare, EDGES)
     roots = components(links.unionAll(within))
     named = names.join(roots, names.rep == roots.node, "left").select("x", "y", F.coalesce("component", "rep").alias("component"))
     linked = some.select("doc_id", "n", "x", "y").join(named, ["x", "y"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -95,3 +95,43 @@ def test_very_long_text(spark):
     rows = [(1, long, "", 0), (2, long + " end", "", 0), (3, "x" * 3_000_000, "", 0)]
     found = jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA))
     assert answer(found) == [("1", 199_998, "1"), ("2", 199_999, "1"), ("3", 1, "3")]
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_of_one_structure_have_their_own_hashes():
+    import numpy as np
+
+    texts = [thue_morse(n, letters).encode() for n in (8, 16, 32, 63, 64, 65, 512, 1024, 4096) for letters in ("ab", "ba")]
+    texts += [b"a" * n for n in range(1, 80)] + [b"\x00" * n for n in range(1, 20)] + [b"abcdefgh" + b"\x00" * n for n in range(1, 9)]
+    for size in (1, 3):
+        h, starts = jaccard_join.shingles(texts, size)
+        assert len(h) == len(texts) == len(np.unique(h)) and starts.tolist() == list(range(len(texts) + 1))
+    alone = [jaccard_join.shingles([t], 1)[0][0] for t in texts]
+    assert alone == jaccard_join.shingles(texts, 1)[0].tolist()
+
+
+def test_texts_of_one_structured_word_each_are_not_linked(spark):
+    rows = [(1, thue_morse(1024, "ab")), (2, thue_morse(1024, "ba")), (3, thue_morse(1024, "AB"))]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_long_chains_of_links(spark):
+    words = [f"w{i}" for i in range(700)]
+    rows = [(1000 - k, " ".join(words[3 * k : 3 * k + 130])) for k in range(150)]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in found.collect()) == brute(rows, 3, 90)
+
+
+def test_frequent_passages_of_unlike_texts_make_no_pairs(spark, monkeypatch):
+    r = random.Random(8)
+    common = [" ".join(f"c{k}x{i}" for i in range(12)) for k in range(5)]
+    rows = [(d, " ".join([*(f"u{d}x{i}" for i in range(60)), *common])) for d in range(400)]
+    asked = []
+    old = jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda edges, *a: (asked.append(edges.count()), old(edges, *a))[1])
+    found = jaccard_join.jaccard_components(spark.createDataFrame(r.sample(rows, len(rows)), "doc_id long, text string"))
+    assert all(x["doc_id"] == x["component_id"] for x in found.collect()) and asked == [0, 0]
