@@ -21,13 +21,18 @@ TOKEN = re.compile(r"[a-z0-9]+")
 LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
 
 
+def folded(text: str) -> str:
+    """A-Z as a-z, all else as it is: the index and the expressions must agree on what is a letter."""
+    return text.lower() if text.isascii() else text.translate(LOWER)
+
+
 @dataclass(frozen=True)
 class Rule:
     """kind "site": ``text`` is host + path prefix, and fits the host and all its subdomains.
 
     kind "pattern": ``text`` is looked for in host + path; ``*`` stands for anything, ``|`` at an end for the start or
-    the end, ``^`` for one character other than letters, digits, ``_ - . %`` (or the end).  Letters of a pattern are
-    compared without case.
+    the end, ``^`` for one character other than a-z, A-Z, digits, ``_ - . %`` (or the end).  A-Z and a-z of a pattern are
+    compared without case; other letters as they are.
     """
 
     text: str
@@ -41,16 +46,16 @@ class Rule:
         body = self.text
         start, end = body.startswith("|"), body.endswith("|")
         body = re.escape(body.removeprefix("|").removesuffix("|")).replace(r"\*", ".*").replace(r"\^", r"(?:[^A-Za-z0-9_.%-]|$)")
-        return "(?i)" + "^" * start + body + "$" * end
+        return "(?ai)" + "^" * start + body + "$" * end
 
     def tokens(self) -> set[str]:
         """Tokens that must stand between other characters in any URL that fits."""
         if self.kind == "site":
             host, slash, path = self.text.partition("/")
-            found = TOKEN.findall(host)
-            inner = (slash + path).lower()
+            found = TOKEN.findall(folded(host))
+            inner = folded(slash + path)
             return set(found) | {m[0] for m in TOKEN.finditer(inner) if m.end() < len(inner)}
-        body, start, end = self.text.lower(), self.text.startswith("|"), self.text.endswith("|")
+        body, start, end = folded(self.text), self.text.startswith("|"), self.text.endswith("|")
         body = body.removeprefix("|").removesuffix("|")
         edge = lambda at, whole: whole if at in (-1, len(body)) else body[at] != "*"
         return {m[0] for m in TOKEN.finditer(body) if edge(m.start() - 1, start) and edge(m.end(), end)}
@@ -78,7 +83,7 @@ class Filter:
             (self.loose if key is None else self.under[key]).append((r, re.compile(r.regex(), re.DOTALL)))
 
     def candidates(self, target: str) -> list[tuple[Rule, re.Pattern]]:
-        return [x for t in set(TOKEN.findall(target.lower())) if t in self.under for x in self.under[t]] + self.loose
+        return [x for t in set(TOKEN.findall(folded(target))) if t in self.under for x in self.under[t]] + self.loose
 
     def judge(self, host: str, path: str, default: str) -> tuple[str | None, str, str | None]:
         """Rule, verdict and pattern: the longest site rule wins; without one, patterns decide, allowing ones first."""
@@ -103,7 +108,7 @@ def filter_urls(df: DataFrame, rules: Iterable[Rule], default: str = "allow", ke
     """
     rules = list(rules)
     tokens = sorted({t for r in rules for t in r.tokens()})
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(url)), F.lit("([a-z0-9]+)"), 1))
+    words = F.array_distinct(F.regexp_extract_all(F.translate(F.col(url), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("([a-z0-9]+)"), 1))
     held = df.select(F.explode(F.array_intersect(words, F.array(*map(F.lit, tokens)))).alias("t")) if tokens else None
     seen = {r["t"]: r["count"] for r in held.groupBy("t").count().collect()} if tokens else {}
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict", "pattern"))])
@@ -151,6 +156,8 @@ WITH p AS (
 ), u AS (
   SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h
+), f AS (
+  SELECT *, translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded FROM u
 ), r AS (
   SELECT *, CASE
     WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
@@ -159,17 +166,17 @@ WITH p AS (
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
     WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule,
     CASE
-    WHEN regexp_matches(host || path, '(?i)\\.edu/') THEN '.edu/'
-    WHEN regexp_matches(host || path, '(?i)\\.gov/') THEN '.gov/'
-    WHEN regexp_matches(host || path, '(?i)\\.casino\\.') THEN '.casino.'
-    WHEN regexp_matches(host || path, '(?i)\\.xxx/') THEN '.xxx/'
-    WHEN regexp_matches(host || path, '(?i)/ads/') THEN '/ads/'
-    WHEN regexp_matches(host || path, '(?i)/banner([^A-Za-z0-9_.%-]|$)') THEN '/banner^'
-    WHEN regexp_matches(host || path, '(?i)/casino/') THEN '/casino/'
-    WHEN regexp_matches(host || path, '(?i)/login([^A-Za-z0-9_.%-]|$)') THEN '/login^'
-    WHEN regexp_matches(host || path, '(?i)cheap-pills\\.') THEN 'cheap-pills.'
-    WHEN regexp_matches(host || path, '(?is)free-download.*\\.exe$') THEN 'free-download*.exe|' END AS pattern0
-  FROM u
+    WHEN regexp_matches(folded, '\\.edu/') THEN '.edu/'
+    WHEN regexp_matches(folded, '\\.gov/') THEN '.gov/'
+    WHEN regexp_matches(folded, '\\.casino\\.') THEN '.casino.'
+    WHEN regexp_matches(folded, '\\.xxx/') THEN '.xxx/'
+    WHEN regexp_matches(folded, '/ads/') THEN '/ads/'
+    WHEN regexp_matches(folded, '/banner([^a-z0-9_.%-]|$)') THEN '/banner^'
+    WHEN regexp_matches(folded, '/casino/') THEN '/casino/'
+    WHEN regexp_matches(folded, '/login([^a-z0-9_.%-]|$)') THEN '/login^'
+    WHEN regexp_matches(folded, 'cheap-pills\\.') THEN 'cheap-pills.'
+    WHEN regexp_matches(folded, '(?s)free-download.*\\.exe$') THEN 'free-download*.exe|' END AS pattern0
+  FROM f
 )
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'

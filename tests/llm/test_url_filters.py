@@ -51,3 +51,15 @@ def test_empty_table_and_repeats(spark):
     assert uf.filter_urls(df, RULES).count() == 0
     df = spark.createDataFrame([(1, "http://a.com/"), (1, "http://a.com/")], "page_id long, url string")
     assert uf.filter_urls(df, RULES).count() == 2
+
+
+def test_letters_beyond_ascii_are_themselves_for_index_and_expressions(spark):
+    urls = ["http://x.org/ad\u017f/1", "http://x.org/ca\u017fino/", "http://x.org/ban\u0144er/", "http://x.org/\u212aasino/", "http://x.org/ADS/1", "http://x.org/Cas\u0130no/", "http://x.org/CASINO/", "http://x.GOV/a", "http://x.org/login\u00e9"]
+    own = uf.Filter(uf.PATTERN_RULES, {})
+    for u in urls:
+        host, path = uf.split(u)
+        fit = [r for r in uf.PATTERN_RULES if uf.re.compile(r.regex(), uf.re.DOTALL).search(host + path)]
+        best = min(fit, key=lambda r: (r.verdict != "allow", r.text), default=None)
+        assert own.judge(host, path, "allow")[2] == (best.text if best else None), u
+    out = {r["url"]: r["verdict"] for r in uf.filter_urls(spark.createDataFrame([(u,) for u in urls], "url string"), RULES, key="url").withColumnRenamed("page_id", "url").collect()}
+    assert [out[u] for u in urls] == ["allow", "allow", "allow", "allow", "block", "allow", "block", "allow", "block"]
