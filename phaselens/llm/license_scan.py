@@ -8,9 +8,10 @@ matching finds it and counts its errors.  Texts are compared as words (a-z, 0-9
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -65,13 +66,20 @@ class Scanner:
         """Number of words, and (label, notice, first word, words, errors) of each place found, exact places first."""
         words = raw.translate(FOLD).split()
         text = b" " + b" ".join(words) + b" "
-        found = []
+        found, begins = [], []
+
+        def word_at(at: int) -> int:
+            """The number of the word that begins at a byte of ``text`` or, within a word, of the next one."""
+            if not begins:
+                begins.extend(accumulate((len(w) + 1 for w in words[:-1]), initial=1))
+            return bisect_left(begins, at)
+
         for notice, parts, fuzzy in self.notices:
             phrase, exact = b" " + notice.words.encode() + b" ", set()
             at = text.find(phrase)
             while at >= 0:
                 exact.add(at + 1)
-                found.append((notice.label, notice.words, text.count(b" ", 0, at), notice.words.count(" ") + 1, 0))
+                found.append((notice.label, notice.words, word_at(at + 1), notice.words.count(" ") + 1, 0))
                 at = text.find(phrase, at + 1)
             if not fuzzy:
                 continue
@@ -102,7 +110,7 @@ class Scanner:
                 insort(taken, (start, end))
                 places.append((start, end, errors))
             for start, end, errors in sorted(places):
-                found.append((notice.label, notice.words, text.count(b" ", 0, start) - 1, text.count(b" ", start, end) + 1, errors))
+                found.append((notice.label, notice.words, word_at(start), text.count(b" ", start, end) + 1, errors))
         return len(words), found
 
 
