@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from phaselens.llm.runtime import settle, slices
 
-#: Lengths of one rank group are numbered in so many shares, so that a length that a third of all rows have is no hot key.
-SHARES = 64
+#: Pieces of one length are numbered in so many shares, or in one for each EACH pieces of all, so that a length that a third of all rows have is no hot key.
+SHARES, EACH = 64, 1_000_000
 CACHE_WORDS = 150_000
 #: Steps towards a filling that count as one decision; the deepest levels whose place in the fillings is held, others look it up again.
 STEPS, OPEN = 64, 64
@@ -248,19 +248,26 @@ def fillings(size: list[int], n: list[int], room: int, most: int) -> Iterator[tu
 
 
 def bin_completion(lengths: dict[int, int], capacity: int, nodes: int = 8_000) -> list[tuple[Pattern, int]]:
-    """Branch and bound over the undominated fillings around the longest length left, each for as many sequences as it lasts, then for fewer.
+    """The best packing that ``search`` finds: kinds of sequence and how many of each."""
+    return search(lengths, capacity, nodes)[0]
+
+
+def search(lengths: dict[int, int], capacity: int, nodes: int = 8_000) -> tuple[list[tuple[Pattern, int]], bool]:
+    """A packing, and whether it is proven that none has fewer sequences.
+
+    Branch and bound over the undominated fillings around the longest length left, each for as many sequences as it lasts, then for fewer.
 
     The incumbent is the best-fit packing. A branch is cut as soon as its waste is more than a packing with one
     sequence less may have, or where the same pieces were left before. The search ends when an incumbent meets the lower bound,
     when all is searched, or after ``nodes`` decisions, STEPS steps towards a filling counting as one:
-    the packing is then the best one found, not proven to be the least.
+    only then the packing is just the best one found.
     """
     lengths = {s: n for s, n in lengths.items() if n > 0}
     if any(not 0 < s <= capacity for s in lengths):
         raise ValueError("lengths must be from 1 to the capacity")
     whole = [(((capacity, 1),), lengths.pop(capacity))] if capacity in lengths else []
     if not lengths:
-        return whole
+        return whole, True
     count = lambda plan: sum(n for _, n in plan)
     best, least, total = best_fit(lengths, capacity), least_bins(lengths, capacity), sum(s * n for s, n in lengths.items())
     left = np.zeros(capacity + 1, np.int64)
@@ -321,7 +328,7 @@ def bin_completion(lengths: dict[int, int], capacity: int, nodes: int = 8_000) -
                 break
         else:
             break
-    return whole + best
+    return whole + best, bins <= least or (not levels and spent + steps // STEPS < nodes)
 
 
 def _joined(top: int, rest: Pattern) -> Pattern:
@@ -329,14 +336,20 @@ def _joined(top: int, rest: Pattern) -> Pattern:
 
 
 def pack(cut: DataFrame, capacity: int = 4096, nodes: int = 8_000) -> DataFrame:
-    """Add sequence_id and offset (both long) to pieces with a length from 1 to ``capacity`` each.
+    """Add sequence_id, offset (both long) and proven (whether no packing has fewer sequences) to pieces with a length from 1 to ``capacity`` each.
 
-    Places are gapless from 0. Equal rows are told apart by rank, so each gets a place of its own. An empty table stays empty.
+    Places are gapless from 0. Equal rows are told apart by rank, so each gets a place of its own; which of several pieces of one length
+    gets which place goes by doc_id and piece.  Other columns are kept, whatever their names; those named like the new ones are
+    replaced. An empty table stays empty.
     """
-    share = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SHARES))
-    cut = cut.withColumn("_share", share)
-    counts = settle(cut.groupBy("length", "_share").agg(F.count("*").alias("_n")))
-    plan = bin_completion({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}, capacity, nodes)
+    cut = cut.drop("sequence_id", "offset", "proven")
+    fresh = lambda name: name if name not in cut.columns else fresh(f"_{name}")
+    share_, n_, before_, rank_ = (fresh(name) for name in ("_share", "_n", "_before", "_rank"))
+    kept = cut.columns
+    share = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(SHARES, cut.count() // EACH)))
+    cut = cut.withColumn(share_, share)
+    counts = settle(cut.groupBy("length", share_).agg(F.count("*").alias(n_)))
+    plan, proven = search({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum(n_).alias("n")).collect()}, capacity, nodes)
     places: dict[int, list[tuple[int, int, int, int]]] = {}
     used: dict[int, int] = {}
     first = 0
@@ -348,14 +361,13 @@ def pack(cut: DataFrame, capacity: int = 4096, nodes: int = 8_000) -> DataFrame:
             offset += s * k
         first += n
     table = {s: np.array(rows, np.int64).T for s, rows in places.items()}
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)))
-    rank = F.row_number().over(Window.partitionBy("length", "_share").orderBy("doc_id", "piece")) - 1
-    ranked = cut.join(before.select("length", "_share", F.coalesce("_before", F.lit(0)).alias("_before")), ["length", "_share"]).withColumn("_rank", rank + F.col("_before"))
-    kept = [c for c in cut.columns if c != "_share"]
+    before = counts.withColumn(before_, F.sum(n_).over(Window.partitionBy("length").orderBy(share_).rowsBetween(Window.unboundedPreceding, -1)))
+    rank = F.row_number().over(Window.partitionBy("length", share_).orderBy("doc_id", "piece")) - 1
+    ranked = cut.join(before.select("length", share_, F.coalesce(before_, F.lit(0)).alias(before_)), ["length", share_]).withColumn(rank_, rank + F.col(before_))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, rank = b.column("length").to_numpy(zero_copy_only=False), b.column("_rank").to_numpy(zero_copy_only=False)
+            length, rank = b.column("length").to_numpy(zero_copy_only=False), b.column(rank_).to_numpy(zero_copy_only=False)
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for s in np.unique(length).tolist():
                 own = np.flatnonzero(length == s)
@@ -366,8 +378,8 @@ def pack(cut: DataFrame, capacity: int = 4096, nodes: int = 8_000) -> DataFrame:
                 offset[own] = off[at] + step % k[at] * s
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields if f.name != "_share")
-    return ranked.select(*kept, "_rank").mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields if f.name != share_)
+    return ranked.select(*kept, rank_).mapInArrow(run, f"{schema}, sequence_id long, offset long").withColumn("proven", F.lit(proven))
 
 
 def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
