@@ -24,6 +24,8 @@ TABLE = 1 << 16
 WEIGHT = 3.0
 #: Rows of a level that count as much as the level above.
 SMOOTHING = 5.0
+#: Shares that a host's rows are dealt into, as one host may have a third of all.
+SHARES = 32
 
 
 @dataclass
@@ -61,13 +63,17 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str
 
     Rows without text or label don't count.  Whole texts are read; what reaches the driver is a table of fixed size for each language.
     """
-    some = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(label).cast("string").alias("l"))
+    rank = F.xxhash64(key)
+    usable = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull())
+    some = usable.select(rank.alias("h"), F.col(label).cast("string").alias("l"))
     sample = some.orderBy("h", "l").limit(rows).groupBy("l").agg(F.max("h").alias("top")).collect()
     languages = sorted(r["l"] for r in sample)
     if not languages:
         return TextModel([], np.zeros((TABLE, 0), np.float32))
     limit = max(r["top"] for r in sample)
-    chosen = labelled.where((F.xxhash64(key) <= limit) & F.col(label).isin(languages) & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("l"), F.col(text).cast("binary").alias("_text"))
+    chosen = usable.where((rank <= limit) & F.col(label).isin(languages)).select(F.col(label).cast("string").alias("l"), F.col(text).cast("binary").alias("_text"))
+    # equal keys have one rank: where they are more than the bound leaves room for, any of them will do
+    chosen = chosen.limit(rows) if usable.where(rank <= limit).count() > rows else chosen
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -153,7 +159,9 @@ def identify(df: DataFrame, model: TextModel, evidence: Evidence, keep: list[str
     hosts = sure.where("_host is not null").groupBy("_host").agg(tally.alias("_hc"))
     domains = sure.where("_domain is not null").groupBy("_domain").agg(tally.alias("_dc"))
     told = {n: sure.where(f"{n} is not null").groupBy(n).agg(tally.alias(f"{n}_c")) for n in ("_declared", "_suffix")}
-    joined = rows.join(hosts, "_host", "left").join(domains, "_domain", "left")
+    share = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_share")
+    rows = rows.withColumn("_share", F.pmod(F.xxhash64("_ll", *(f"_k{i}" for i in range(len(keep)))), F.lit(SHARES)).cast("int"))
+    joined = rows.join(hosts.select("*", share), ["_host", "_share"], "left").join(domains.select("*", share), ["_domain", "_share"], "left")
     for n, t in told.items():
         joined = joined.join(t, n, "left")
     own = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.when(F.col("_best") == k, 1.0).otherwise(0.0))
@@ -208,10 +216,13 @@ def plain(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
 
 
-def identify_documents(df: DataFrame, keep: list[str], least: float = 0.4) -> DataFrame:
-    """For tables like ``documents``: the text, markup in it, and the source as host; trained on a bounded sample of its own labels."""
-    model = train(df)
-    return identify(df, model, Evidence(host=F.col("source").cast("string"), declared=declared_in(F.col("text"))), keep, least=least)
+def identify_documents(df: DataFrame, keep: list[str], least: float = 0.4, text: str = "text", source: str = "source", label: str = "lang", key: str = "doc_id") -> DataFrame:
+    """For tables like ``documents``: the text, markup in it, and the source as host, with its suffix where it is an address.
+
+    Trained on a bounded sample of the table's own labels; rows are judged by the text and not by their label.
+    """
+    host = F.col(source).cast("string")
+    return identify(df, train(df, text, label, key), Evidence(host, declared_in(F.col(text)), suffix_of(host)), keep, text, least)
 
 
 def identify_pages(pages: DataFrame, documents: DataFrame) -> DataFrame:
@@ -221,6 +232,13 @@ def identify_pages(pages: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def keep_identified(df: DataFrame, least: float = 0.4, doc_id: str = "doc_id") -> DataFrame:
-    """Rows of ``df`` whose language is identified, with all their columns; rows with a null doc_id go with rejected ones."""
-    gone = identify_documents(df, [doc_id], least).groupBy(doc_id).agg(F.max("accepted").alias("_ok")).where("_ok").select(F.col(doc_id).alias("_kept"))
-    return df.join(gone, df[doc_id] == gone["_kept"], "left_semi")
+    """Rows of ``df`` (with text, source and lang) whose language is identified, with all their columns, whatever their names.
+
+    Rows are judged each by its own text, those that repeat a doc_id or have none too; equal rows stay or go together.
+    """
+    name = F.xxhash64(doc_id, "text", "source")
+    judged = df.select(F.col(doc_id).alias("id"), name.alias("name"), "text", "source", "lang")
+    kept = identify_documents(judged, ["id", "name"], least, key="name").where("accepted").select("id", "name").distinct()
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(doc_id).alias("of"), name.alias("by"))
+    found = rows.join(kept, F.col("of").eqNullSafe(F.col("id")) & (F.col("by") == F.col("name")), "left_semi")
+    return found.select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns))
