@@ -67,6 +67,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", F.round("confidence", 6).alias("confidence"), "text_lang", F.col("accepted").alias("kept"))
 
 
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of ``op4_pii_spans``: the numbers of base spans."""
+    return op4_pii_spans(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of ``op6_license_scan``: exact places of the base phrases, -1 where there is none."""
+    places = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("first_word", "last_word")]
+    return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", *places, "base_labels")
+
+
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
     return found.select("page_id", "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "accepted")
@@ -83,6 +94,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_embeddings": op9_near_embeddings,
         "op10_language_id": op10_language_id,
         "language_of_pages": language_of_pages,
+        "pii_base_counts": pii_base_counts,
+        "license_base_places": license_base_places,
         "op7_piece_codec": op7_piece_codec,
         "op8_best_fit_packing": op8_best_fit_packing,
     }
@@ -163,8 +176,39 @@ LEFT JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) m ON m.a = d.vec_id
 """
 
 
+#: The base patterns as they stand, with their conditions on each match.
+PII_BASE_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (
+  SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS emails,
+    regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
+    list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS cards,
+    list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phones FROM t
+)
+SELECT doc_id, len(emails)::BIGINT AS n_email,
+  len(list_filter(ips, lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR right(p, 3)::INTEGER > 255)) = 0))::BIGINT AS n_ip,
+  len(list_filter(cards, lambda x: length(x) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(x)), lambda i:
+    CASE WHEN i % 2 = 0 THEN substr(x, length(x) - i, 1)::INTEGER ELSE 2 * substr(x, length(x) - i, 1)::INTEGER // 10 + 2 * substr(x, length(x) - i, 1)::INTEGER % 10 END)) % 10 = 0))::BIGINT AS n_card,
+  len(list_filter(phones, lambda x: length(x) BETWEEN 10 AND 15))::BIGINT AS n_phone
+FROM m
+"""
+
+#: Words and the places where the base phrases' words stand one after the other.
+LICENSE_BASE_SQL = rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents), p AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'cc' AND w[i + 1] = 'by') AS c,
+    list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS g,
+    list_filter(range(1, len(w) + 1), lambda i: w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved') AS r FROM t
+)
+SELECT doc_id, n_words, (len(c) + len(g) + len(r))::BIGINT AS n_base, coalesce(list_min(list_concat(c, g, r)) - 1, -1)::BIGINT AS first_word, coalesce(list_max(list_concat(c, g, r)) - 1, -1)::BIGINT AS last_word,
+  concat_ws(',', CASE WHEN len(c) > 0 THEN 'cc-by' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(r) > 0 THEN 'reserved' END) AS base_labels
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "pii_base_counts": PII_BASE_SQL,
+        "license_base_places": LICENSE_BASE_SQL,
         "op1_ngram_jaccard_join": f"WITH RECURSIVE {jaccard_sql(3, 90)} SELECT * FROM jc",
         "op2_url_filters": url_filters.SQL,
         "op3_block_top_k": TOP_K_SQL,

@@ -5,7 +5,8 @@ its negated component.  Documents are dealt into ranges of similar ones, and the
 maximum of each term.  A block's bound for a query is the sum of its term maxima by the query's weights.
 A range's blocks are scored through their forward indexes (the documents' whole vectors) from the highest bound
 down, until the bound falls below the query's k-th score so far.  Queries first search the range they lie in;
-what they find there is the threshold that they bring to all the others.
+what they find there is the threshold that they bring to the others.  Bounds of whole ranges, from their term maxima alone,
+say which of those a query must visit; only there go its vector and the range's documents.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from phaselens.llm.runtime import concluded, settle
 
 #: Documents of a block, documents of a range on average, queries that visit a range together.
 BLOCK, RANGE, VISIT = 64, 8192, 4096
+#: Ranges whose bounds are looked at together.
+SPAN = 256
 #: Random directions that name a range; similar vectors get similar names, so blocks have tight maxima.
 SIGNS = 16
 
@@ -115,17 +118,45 @@ def _top(df: DataFrame, k: int, every: int, vec_id: str, vector: str, scale: int
         blocks, out = Blocks(ids, x), []
         for row in np.flatnonzero(ids % every == 0).tolist():
             out += [(int(ids[row]), v, s) for s, v in blocks.search(int(ids[row]), x[row], k, None)]
-        return answers(out)
-
-    near = settle(docs.groupBy("d", "home").applyInArrow(first, FOUND))
+        found = answers(out)
+        ends = [pa.array([None] * found.num_rows + [e.tolist()], pa.list_(pa.int64())) for e in (x.max(0), x.min(0))]
+        place = [pa.array([None] * found.num_rows + [group.column(c)[0].as_py()], kind) for c, kind in (("d", pa.int32()), ("home", pa.int64()))]
+        columns = [pa.concat_arrays([*found.column(c).chunks, pa.nulls(1, pa.int64())]) for c in found.column_names]
+        return pa.Table.from_arrays([*columns, *place, *ends], names=[*found.column_names, "d", "home", "most", "fewest"])
+
+    # what queries find at home, and a row for each range with its term maxima and minima
+    both = settle(docs.groupBy("d", "home").applyInArrow(first, FOUND + ", d int, home long, most array<long>, fewest array<long>"))
+    near = both.where("query_id is not null").select("query_id", "vec_id", "score")
+    ranged = both.where("query_id is null").select("d", "home", "most", "fewest")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     least = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("_r", F.row_number().over(best)).where(F.col("_r") == k).select("query_id", F.col("score").alias("least"))
     asked = docs.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id").join(least, "query_id", "left")
     asked = settle(asked)
     parties = asked.count() // VISIT + 1
     party = F.pmod(F.xxhash64("query_id"), F.lit(parties))
-    visits = asked.withColumn("party", party).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ranges - 1).cast("long")))).where("to <> home")
-    hosts = docs.withColumn("party", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parties - 1).cast("long"))))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = asked.withColumn("party", party)
+
+    def may(queries: pa.Table, ranges_: pa.Table) -> pa.Table:
+        """Pairs of a query and a range whose bound reaches the query's threshold."""
+        if not queries.num_rows or not ranges_.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "to": pa.array([], pa.int64())})
+        w = matrix(queries.column("x"), queries.num_rows).astype(np.float64)
+        most, fewest = (matrix(ranges_.column(c), ranges_.num_rows).astype(np.float64) for c in ("most", "fewest"))
+        bound = np.maximum(w, 0) @ most.T + np.minimum(w, 0) @ fewest.T
+        bound += np.abs(bound) * 1e-9 + 1  # more than sums of doubles can be wrong by
+        least = np.array([-np.inf if v is None else v for v in queries.column("least").to_pylist()], np.float64)
+        home, to = queries.column("home").to_numpy(), ranges_.column("home").to_numpy()
+        q, r = np.nonzero((bound >= least[:, None]) & (home[:, None] != to[None]))
+        return pa.table({"query_id": queries.column("query_id").take(pa.array(q)), "to": pa.array(to[r])})
+
+    spans = -(-ranges // SPAN)
+    looking = asked.withColumn("span", upto(spans)).groupBy("d", "party", "span")
+    looked_at = ranged.withColumn("span", F.floor(F.col("home") / SPAN)).withColumn("party", upto(parties)).groupBy("d", "party", "span")
+    pairs = settle(looking.cogroup(looked_at).applyInArrow(may, "query_id long, to long").distinct())
+    visits = settle(asked.join(pairs, "query_id"))
+    called = settle(visits.select("d", F.col("to").alias("home"), "party").distinct())
+    hosts = docs.join(called, ["d", "home"])
 
     def second(queries: pa.Table, range_: pa.Table) -> pa.Table:
         if not queries.num_rows or not range_.num_rows:

@@ -44,6 +44,12 @@ def test_codec_round_trip_in_columns(spark):
     assert [rows[i]["decoded"] for i in range(len(texts))] == [t or "" for t in texts]
     assert rows[1]["ids"] == [] and coded.columns[:4] == ["doc_id", "text", "no", "n"]
     assert piece_codec.token_digests(frame(spark, []), PIECES).count() == 0
+    long = frame(spark, ["ab cde " * 300_000, "ab", None])
+    twice = piece_codec.token_digests(long.unionAll(long), PIECES).collect()
+    library = test_codec_is_the_library.own.encode("ab cde " * 300_000)
+    want = {0: (len(library), hashlib.sha256(",".join(map(str, library)).encode()).hexdigest()), 1: None, 2: (0, hashlib.sha256(b"").hexdigest())}
+    assert sorted(r["doc_id"] for r in twice) == [0, 0, 1, 1, 2, 2]
+    assert all(want[r["doc_id"]] in (None, (r["n_tokens"], r["ids_sha256"])) for r in twice)
 
 
 # Packing
@@ -102,6 +108,20 @@ def test_planted_sequences_are_found():
         assert all(sum(s * k for s, k in pattern) == 4096 for pattern, _ in plan)
 
 
+def test_bins_that_fill_exactly_are_found():
+    missed = 0
+    for seed in range(400):
+        r, sizes = random.Random(seed), []
+        while len(sizes) < 9:
+            cuts = sorted(r.sample(range(1, 100), r.randint(2, 5)))
+            sizes += [b - a for a, b in zip([0, *cuts], [*cuts, 100], strict=True)]
+        plan = packing.bin_completion({s: sizes.count(s) for s in sizes}, 100)
+        missed += sum(n for _, n in plan) * 100 != sum(sizes)
+    assert missed == 0
+    hard = [2, 5, 5, 5, 8, 9, 12, 13, 16, 17, 18, 18, 21, 24, 34, 35, 35, 36, 36, 51]
+    assert sum(n for _, n in packing.bin_completion({s: hard.count(s) for s in hard}, 100)) == 4
+
+
 def test_packed_places(spark):
     r = random.Random(1)
     texts = [" ".join(r.choice(["a", "bb", "THE", "été"]) for _ in range(r.choice([0, 3, 50, 100, 900]))) for _ in range(120)] + [None, "", "x y " * 3000] + ["same text"] * 40
@@ -119,6 +139,16 @@ def test_packed_places(spark):
         assert at <= 256
     assert sum(r["length"] for r in out) == sum(len(packing.WordTokens(WORDS).ids([(t or "").encode()])[0]) // 4 + 1 for t in texts + texts[:5])
     assert packing.pack_documents(frame(spark, []), WORDS).count() == 0
+    pieces = packing.pieces(df, WORDS, 256).select("*", *(F.lit(5).alias(c) for c in ("_share", "_n", "_before", "_rank", "offset")))
+    again = packing.pack(pieces, 256)
+    assert again.columns == [*pieces.columns[:-1], "sequence_id", "offset", "proven"]
+    assert sorted((r["doc_id"], r["piece"], r["sequence_id"], r["offset"]) for r in again.collect()) == sorted((r["doc_id"], r["piece"], r["sequence_id"], r["offset"]) for r in out)
+
+
+def test_what_is_proven():
+    assert packing.search({60: 2, 40: 2}, 100) == (packing.bin_completion({60: 2, 40: 2}, 100), True)
+    assert packing.search({34: 4, 33: 2}, 100)[1] and not packing.search({k: 3 for k in range(700, 1250, 7)}, 4096, nodes=1)[1]
+    assert packing.search({}, 10) == ([], True)
 
 
 # Licences
@@ -164,6 +194,56 @@ def test_worse_notices_beside_better_ones(text, want):
     assert {(first, errors) for _, _, first, _, errors in found} == want and len(found) == len(want)
 
 
+def test_many_notices_take_time_in_proportion():
+    import time
+
+    scanner, took = license_scan.Scanner(license_scan.BASE + license_scan.OWN), []
+    for n in (5_000, 20_000):
+        text = b"all rights reserved all rihgts reserved general public licens x " * n
+        began = time.perf_counter()
+        words, found = scanner.scan(text)
+        took.append(time.perf_counter() - began)
+        assert words == 10 * n and len(found) == 3 * n
+        assert sorted(s[2] for s in found)[-3:] == [10 * n - 10, 10 * n - 7, 10 * n - 4]
+    assert took[1] < 8 * took[0]
+
+
+def errors_between(a, b):
+    """Fewest characters added, lost or changed."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 10_000)), min_size=1, max_size=4))
+def test_altered_notices_against_edit_distances(changes):
+    notice = license_scan.Notice("all rights reserved", "reserved", 2, True)
+    parts, filler = [], "zzzz qqqq zzzz qqqq"
+    for number, seed in changes:
+        r, chars = random.Random(seed), list(notice.words)
+        for _ in range(number):
+            at = r.randrange(len(chars))
+            chars[at : at + r.randint(0, 1)] = r.choice(["", "x", "k", "r", "kx"])[:1]
+        parts += [filler, " ".join("".join(chars).split())]
+    words = " ".join([*parts, filler]).split()
+    best = {}
+    for i in range(len(words)):
+        for j in range(i + 1, min(len(words), i + 6) + 1):
+            e = errors_between(notice.words, " ".join(words[i:j]))
+            if e <= notice.errors:
+                best[i] = min(e, best.get(i, e))
+    found = license_scan.Scanner([notice]).scan(" ".join(words).encode())[1]
+    own = {first: errors for _, _, first, _, errors in found}
+    # each place that fits is found, or a better one that it overlaps; the errors that are told are the fewest
+    assert all(best[i] == e for i, e in own.items())
+    for i, e in best.items():
+        assert i in own or any(abs(i - k) <= 5 and own[k] <= e for k in own), (words, i)
+
+
 # Personal data
 
 
@@ -207,6 +287,19 @@ def test_secrets_are_found_and_clean_texts_are_left(spark):
     assert all(not row["spans"] or row["base"] for row in rows[60:])
 
 
+def test_digest_of_spans_against_brute_force(spark):
+    r = random.Random(17)
+    parts = ["a@b.c", "x.y@z-1.co.uk", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (988) 555-2485", "+12", "word", "é😀"]
+    texts = [" ".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(300)] + [None, ""]
+    rows = {x["doc_id"]: x for x in pii.span_digest(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        spans = base(t or "")
+        assert [rows[i][c] for c in ("n_email", "n_ip", "n_card", "n_phone")] == [sum(s[1] == k for s in spans) for k in range(4)], t
+        told = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        assert rows[i]["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+        assert set(told.split(",")) - {""} <= set(rows[i]["spans"].split(","))
+
+
 def test_redaction(spark):
     df = frame(spark, ["mail a@b.co now", None, "clean", "1.2.3.4 and +1 (988) 555-2485"])
     out = pii.redact(df)
@@ -218,7 +311,7 @@ def test_redaction(spark):
 # Lines
 
 
-@pytest.mark.parametrize(("hot", "block"), [(1024, 4096), (2, 3)])
+@pytest.mark.parametrize(("hot", "block"), [(256, 4096), (2, 3)])
 def test_lines_against_brute_force(spark, monkeypatch, hot, block):
     monkeypatch.setattr(line_dedup, "HOT", hot)
     monkeypatch.setattr(line_dedup, "BLOCK", block)
@@ -341,3 +434,170 @@ def test_all_languages_of_the_sample_are_known(spark):
     assert model.languages == sorted(words)
     few = df.where("lang >= 'l30'")
     assert language_id.likelihoods(few, model, F.col("text"), [F.col("lang")]).select("lang", F.array_position("_ll", F.array_max("_ll")).alias("k")).where("substr(lang, 2) <> k - 1").count() == 0
+
+
+def posterior_by_force(rows, model, base_smoothing):
+    """Fused posteriors of (text, host, declared, suffix) rows, each count taken row by row."""
+    import numpy as np
+
+    ll, best, n = [], [], []
+    for text, *_ in rows:
+        h, _ = language_id._trigrams([(text or "").encode()])
+        total = model.logp[h].astype(float).sum(0) if len(h) else np.zeros(len(model.languages))
+        ll.append(total * (min(len(h), language_id.WEIGHT * len(h) ** 0.5) / max(1, len(h))))
+        best.append(int(np.argmax(ll[-1])) if len(h) else None)
+        n.append(len(h))
+    width = len(model.languages)
+    one = np.eye(width)
+    tally = lambda keep: sum((one[b] for b, r in zip(best, rows, strict=True) if b is not None and keep(r)), np.zeros(width))
+    everywhere = (tally(lambda r: True) + 1) / (tally(lambda r: True).sum() + width)
+    domain = lambda host: ".".join(host.split(".")[-2:]) if host and "." in host else host
+
+    def smoothed(counts, own, above):
+        counts = np.maximum(counts - own, 0)
+        return (counts + base_smoothing * above) / (counts.sum() + base_smoothing)
+
+    out = []
+    for (text, host, declared, suffix), l, b in zip(rows, ll, best, strict=True):
+        if b is None:
+            out.append(None)
+            continue
+        d = smoothed(tally(lambda r: host is not None and domain(r[1]) == domain(host)), one[b], everywhere)
+        h = smoothed(tally(lambda r: host is not None and r[1] == host), one[b], d)
+        score = l + np.log(h)
+        for k, value in ((2, declared), (3, suffix)):
+            if value is not None:
+                score = score + np.log(smoothed(tally(lambda r: r[k] == value), one[b], everywhere) / everywhere)
+        p = np.exp(score - score.max())
+        out.append(p / p.sum())
+    return out, best, n
+
+
+def fused(spark, rows, model):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, text string, host string, declared string, suffix string")
+    found = language_id.identify(df, model, language_id.Evidence(F.col("host"), F.col("declared"), F.col("suffix")), ["id"])
+    return {r["id"]: r for r in found.collect()}
+
+
+def test_fused_posteriors_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.train(docs)
+    r = random.Random(11)
+    texts = [x["text"] for x in docs.select("text").limit(120).collect()]
+    rows = []
+    for t in texts:
+        cut = " ".join((t or "").split()[: r.choice([1, 2, 3, 40])])
+        host = r.choice([None, "a.org", "b.org", "x.a.org", "plain", "de.site.de"])
+        rows.append((r.choice([cut, cut, None, "", "12 34"]), host, r.choice([None, "en", "fr", "xx"]), r.choice([None, "de", "fr"])))
+    want, best, n = posterior_by_force(rows, model, language_id.SMOOTHING)
+    got = fused(spark, rows, model)
+    for i, p in enumerate(want):
+        if p is None:
+            assert got[i]["lang"] is None and got[i]["confidence"] == 0.0 and not got[i]["accepted"]
+        else:
+            assert abs(got[i]["confidence"] - p.max()) < 1e-5 and got[i]["text_lang"] == model.languages[best[i]]
+            assert p[model.languages.index(got[i]["lang"])] > p.max() - 1e-5
+
+
+def test_pages_are_judged_by_text_host_suffix_and_declaration(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    extra = [(90_001, "http://www.x.fr/a?b", '<HTML LANG="FR"><script>the of and</script><p>la les des une</p></HTML>'), (90_002, None, None), (90_003, "no address", ""), (90_003, "no address", "")]
+    pages = pages.unionByName(spark.createDataFrame(extra, pages.schema)).withColumn("_host", F.lit(1)).withColumn("_n", F.lit(2))
+    model = language_id.train(docs)
+    plain = lambda html: re.sub(r"<[^>]*>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1>", " ", html)) if html is not None else None
+    rows = []
+    table = pages.orderBy("page_id").collect()
+    for x in table:
+        m = re.match(r"[^:/?#]+://([^/?#]*)", x["url"] or "")
+        host = m[1].lower() or None if m else None
+        d = re.search(r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([a-z]{2})", x["html"] or "")
+        s = re.search(r"\.([a-z]{2})$", host or "")
+        rows.append((plain(x["html"]), host, d[1].lower() if d else None, s[1] if s else None))
+    want, best, _ = posterior_by_force(rows, model, language_id.SMOOTHING)
+    got = language_id.identify_pages(pages, docs).orderBy("page_id").collect()
+    assert [g["page_id"] for g in got] == [x["page_id"] for x in table]
+    for g, p, b in zip(got, want, best, strict=True):
+        if p is None:
+            assert g["lang"] is None and not g["accepted"]
+        else:
+            assert abs(g["confidence"] - p.max()) < 1e-5 and g["text_lang"] == model.languages[b]
+    assert [g["lang"] for g in got if g["page_id"] == 90_001] == ["fr"]
+
+
+def test_kept_documents_keep_all_columns_and_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = docs.where("lang = 'fr'").first()["text"]
+    own = [(None, text, "fr", "s", 1), (None, text, "fr", "s", 1), (None, None, None, None, None), (70_001, "zzzz qqqq xxxx " * 50, None, None, 1), (70_002, text * 200, "fr", None, 1), (70_003, "", "fr", "s", 0)]
+    df = docs.unionByName(spark.createDataFrame(own, docs.schema))
+    df = df.select("*", *(F.lit(3).alias(c) for c in ("_host", "_n", "_ll", "id", "name", "row", "of", "by")))
+    out = language_id.keep_identified(df)
+    assert out.columns == df.columns
+    kept = [r["doc_id"] for r in out.collect()]
+    assert kept.count(None) == 2 and 70_002 in kept and 70_001 not in kept and 70_003 not in kept
+    assert len(kept) == docs.count() + 3
+    assert language_id.keep_identified(df.limit(0)).count() == 0
+
+
+def test_the_training_sample_is_bounded_by_rows_even_with_equal_keys(spark):
+    rows = [(None, f"la les des une {i}", "fr") for i in range(300)] + [(None, "the of and to", "en")] * 300
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=50)
+    assert set(model.languages) <= {"en", "fr"} and model.languages
+
+
+# Personal data: the method's own spans
+
+
+def test_reliabilities_against_expectation_maximisation_row_by_row():
+    import numpy as np
+
+    r = random.Random(5)
+    rows = [(1, 0, 1, 0) if r.random() < 0.4 else tuple(r.choice([-1, 0, 0, 1]) for _ in range(4)) for _ in range(400)]
+    counted = {v: rows.count(v) for v in set(rows)}
+    got = pii.reliabilities([(4, v, float(n)) for v, n in counted.items()], rounds=30)
+    v = np.array(rows)
+    p = np.where(v.sum(1) > 0, 0.9, 0.1)
+    told = []
+    for _ in range(30):
+        prior = (1 + p.sum()) / (2 + len(p))
+        score = np.full(len(p), np.log(prior / (1 - prior)))
+        for j in range(4):
+            share = {(t, x): ((4 if x == 2 * t - 1 else 1) + (w * (v[:, j] == x)).sum()) / (6 + w.sum()) for t, w in ((1, p), (0, 1 - p)) for x in (-1, 0, 1)}
+            score += np.array([np.log(share[1, x] / share[0, x]) if x else 0.0 for x in v[:, j]])
+        p = 1 / (1 + np.exp(-np.clip(score, -50, 50)))
+        told.append(p.copy())
+    for row, belief in zip(rows, told[-1], strict=True):
+        assert abs(got[4, row] - (belief if any(row) else 0.0)) < 1e-9
+    assert got[4, (1, 0, 1, 0)] > 0.8
+
+
+ACCOUNT = "DE89 3704 0044 0532 0130 00"
+
+
+def test_kinds_of_the_method(spark):
+    good = [
+        ("contact: Dr. Maria Keller called", "name", "Dr. Maria Keller"), ("signed Thomas Miller.", "name", "Thomas Miller"), ("address: 221 Baker Street, London", "address", "221 Baker Street"),
+        ("lives at 12 Old Mill Road 90210", "address", "12 Old Mill Road"), (f"IBAN {ACCOUNT} please", "account", ACCOUNT), ("passport no: C12345678 issued", "passport", "C12345678"),
+        ("password = a8f3k29dkq01xz7", "secret", "a8f3k29dkq01xz7"), ("token: ghp_1a2B3c4D5e6F7g8H9", "secret", "ghp_1a2B3c4D5e6F7g8H9"), ("phone (212) 555-0187 now", "local_phone", "(212) 555-0187"),
+    ]
+    bad = ["the 12 Angry Men show", "version 123456789 is out", "DE89 3704 0044 0532 0130 01 is wrong", "in Paul Monday", "order 987654321", "commit 20240101120000", "a b c", "12 Main", "Will went"]
+    texts = [t for t, _, _ in good for _ in range(6)] + [t for t in bad for _ in range(6)]
+    found = {}
+    for row in pii.find_spans(frame(spark, texts)).collect():
+        found.setdefault(row["text"], [(pii.KINDS[s["kind"]], row["text"][s["start"] : s["end"]]) for s in row["spans"]])
+    for t, kind, span in good:
+        assert (kind, span) in found[t], (t, found[t])
+    for t in bad:
+        assert found[t] == [], (t, found[t])
+
+
+def test_clashing_columns_of_personal_data(spark):
+    names = ("_base", "_cand", "_b", "_spans", "row", "t", "base", "spans", "cand", "p")
+    df = frame(spark, ["mail a@b.co now", None, "", "clean"]).select("*", *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    df = df.unionAll(df)
+    out = pii.redact(df)
+    assert out.columns == df.columns
+    rows = out.collect()
+    assert sorted(str(r["text"]) for r in rows) == sorted(["mail <EMAIL> now", "None", "", "clean"] * 2)
+    assert all(r[c] == i for r in rows for i, c in enumerate(names))
+    assert pii.find_spans(df).columns == [c for c in df.columns if c not in ("base", "spans")] + ["base", "spans"]

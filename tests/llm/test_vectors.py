@@ -125,3 +125,16 @@ def test_blocks_are_skipped():
     blocks.ids = blocks.ids.view(Counted)
     blocks.search(0, x[1900], 5, None)
     assert scored < len(blocks.starts) / 2
+
+
+@pytest.mark.parametrize(("d", "least"), [(64, 0.99), (256, 0.98), (768, 0.95)])
+def test_recall_of_pairs_at_the_threshold_by_dimension(d, least):
+    r = np.random.default_rng(d)
+    x = r.normal(size=(1500, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside = r.normal(size=x.shape)
+    aside -= (aside * x).sum(1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    a, b = (near_embeddings.bucket_keys(v, 10, 3, 2, 7) for v in (x, y))
+    met = (a[:, :, None] == b[:, None, :]).any((1, 2)).mean()
+    assert met >= least, met
