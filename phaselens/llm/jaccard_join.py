@@ -232,12 +232,12 @@ def _components(df: DataFrame, size: int, percent: int, orders: int, doc_id: str
     reps = some.groupBy("x", "y").agg(F.min("doc_id").alias("rep"))
     names = settle(reps)
     first = some.join(names, [some.x == names.x, some.y == names.y, some.doc_id == names.rep], "left_semi").select(F.col("doc_id").alias("rep"), "n", "prefix").dropDuplicates(["rep"])
-    posted = first.select("rep", "n", F.explode("prefix").alias("token")).repartition("token")
+    posted = first.select("rep", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
     lists = posted.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
     # similar sets have similar sizes: a list is cut by classes of size, each with the next smaller class, so pairs lie in one part
     own = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)) if percent < 100 else F.col("n")
     part = F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("part")
-    met = posted.join(lists.select("token"), "token").withColumn("own", own.cast("long")).select("token", "rep", "n", "own", part)
+    met = posted.join(lists.select("token"), "token").withColumn("own", own.cast("long")).select("token", "rep", "n", "pos", "own", part)
     met = settle(met)
     parts = met.groupBy("token", "part").agg(F.count("*").alias("size"), F.min("rep").alias("least"), F.max("own").alias("most")).where("size > 1 and most = part")
     parts = settle(parts)
@@ -245,13 +245,17 @@ def _components(df: DataFrame, size: int, percent: int, orders: int, doc_id: str
     hot = components(met.join(parts.where(F.col("size") > short_list), ["token", "part"]).select(F.col("least").alias("a"), F.col("rep").alias("b")))
     hot = settle(hot)
     short = met.join(parts.where(F.col("size") <= short_list).select("token", "part"), ["token", "part"])
-    left, right = (short.select("token", "part", F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("own").alias(f"own{k}")) for k in "ab")
+    left, right = (short.select("token", "part", F.col("rep").alias(k), *(F.col(c).alias(f"{c}{k}") for c in ("n", "pos", "own"))) for k in "ab")
+    # a shared token at places posa and posb has at most the fewer of both before it in common, and the fewer of both from it on;
+    # this holds for every shared token of two similar sets, so their number stays whole
+    least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    positional = F.least("posa", "posb") + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= least
     pairs = left.join(right, ["token", "part"]).where(
-        (F.col("a") < F.col("b")) & (F.greatest("owna", "ownb") == F.col("part")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        (F.col("a") < F.col("b")) & (F.greatest("owna", "ownb") == F.col("part")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & positional
     )
     pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("shared"))
     beyond = lambda c: -F.floor(-percent * F.col(c) / 100) - 1  # noqa: E731  what a set has after its prefix
-    enough = F.col("shared") + F.greatest(beyond("na"), beyond("nb")) >= F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    enough = F.col("shared") + F.greatest(beyond("na"), beyond("nb")) >= least
     pairs = pairs.where(enough).select("a", "b", "na", "nb")
     ha, hb = (hot.select(F.col("node").alias(c), F.col("component").alias(f"h{c}")) for c in ("a", "b"))
     pairs = settle(pairs.join(ha, "a", "left").join(hb, "b", "left").where("ha is null or hb is null or ha <> hb").select("a", "b", "na", "nb"))
@@ -301,7 +305,7 @@ def _components(df: DataFrame, size: int, percent: int, orders: int, doc_id: str
 
     # pairs must share enough of their prefixes under all other orders before whole sets are fetched
     oa, ob = sets.select(F.col("rep").alias("a"), F.col("others").alias("oa")), sets.select(F.col("rep").alias("b"), F.col("others").alias("ob"))
-    few = F.greatest(F.lit(1), F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)) - F.greatest(beyond("na"), beyond("nb")))
+    few = F.greatest(F.lit(1), least - F.greatest(beyond("na"), beyond("nb")))
     alike = F.lit(True)
     for k in range(orders - 1):
         alike &= F.size(F.array_intersect(F.get("oa", F.lit(k)), F.get("ob", F.lit(k)))) >= few
