@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaselens.llm import jaccard_join, language_id, license_scan, line_dedup, near_embeddings, packing, pii, piece_codec, topk, url_filters
+from phaselens.llm import jaccard_join, language_id, license_scan, line_dedup, near_embeddings, packing, pii, piece_codec, prefix_trie, topk, url_filters, vector_codes
 
 
 def vocabulary(name: str) -> str:
@@ -67,6 +67,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", F.round("confidence", 6).alias("confidence"), "text_lang", F.col("accepted").alias("kept"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can tell of ``op4_pii_spans``: the numbers of base spans."""
     return op4_pii_spans(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
@@ -98,6 +106,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "license_base_places": license_base_places,
         "op7_piece_codec": op7_piece_codec,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op11_vector_codes": op11_vector_codes,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -214,4 +224,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_block_top_k": TOP_K_SQL,
         "op5_line_dedup": f"WITH {line_sql()} SELECT doc_id, n_lines, n_removed, sha256(coalesce(text, '')) AS text_sha256 FROM lk",
         "op9_near_embeddings": NEAR_EMBEDDINGS_SQL,
+        "op11_vector_codes": vector_codes.code_sql(),
+        "op13_prefix_trie": prefix_trie.SQL,
     }
