@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaselens.llm import jaccard_join, language_id, license_scan, line_dedup, near_embeddings, packing, pii, piece_codec, prefix_trie, topk, url_filters, vector_codes
+from phaselens.llm import class_lm, jaccard_join, language_id, license_scan, line_dedup, near_embeddings, packing, pii, piece_codec, prefix_trie, topk, url_filters, vector_codes
 
 
 def vocabulary(name: str) -> str:
@@ -71,6 +71,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_digest(table(spark, sf_dir, "embeddings"))
 
 
+def op12_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.class_scores(table(spark, sf_dir, "documents"), class_lm.held_out())
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -107,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_piece_codec": op7_piece_codec,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op11_vector_codes": op11_vector_codes,
+        "op12_class_lm": op12_class_lm,
         "op13_prefix_trie": op13_prefix_trie,
     }
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,13 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset in local mode (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), f"phaselens-{os.getpid()}")
     return where.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor lose it with an executor.
 
     The shuffle files of the query that wrote it go with its end.
@@ -42,7 +43,7 @@ def settle(df: DataFrame) -> DataFrame:
     before = spark.conf.get(TIDY, None)
     spark.conf.set(TIDY, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(TIDY)
