@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phaselens.functions.names import base_name, deconvolved_name, rectified_name
-from phaselens.operators.deconvolution import batches, deconvolve
+from phaselens.operators.block import prefer_block
+from phaselens.operators.deconvolution import batches, deconvolve, spectra_pair
 from phaselens.operators.rectify import quantise, rectify
 from phaselens.plans.shipping import ship
 from phaselens.sources.files import lenslet_size, load_psf, read_images, time_points, write_images
@@ -39,11 +40,15 @@ def deconvolve_files(spark: SparkSession, folder: str, psf: str, out: str, patte
     paths = [r["path"] for r in images.select("path").distinct().orderBy("path").collect()]
     numbered = batches(frames, batch)
     done = []
+    # kernels are transformed once for all batches
+    kept = spectra_pair(taps, n, height, width) if block or (block is None and prefer_block(taps, n, height, width)) else None
     for k in range(-(-len(paths) // batch)):
-        volume = deconvolve(numbered.where(F.col("batch") == k).select("t", "y", "x", "v"), taps, n, height, width, iterations, block=block)
+        volume = deconvolve(numbered.where(F.col("batch") == k).select("t", "y", "x", "v"), taps, n, height, width, iterations, block=bool(kept), kept=kept)
         own = spark.createDataFrame([(t, p) for t, p in enumerate(paths) if t // batch == k], "t int, path string")
         named = volume.join(own.select("t", deconvolved_name(base_name(F.col("path"))).alias("name")), "t")
         done += [tuple(r) for r in write_images(named.select("name", "z", "y", "x", "v"), out, height, width).collect()]
+    for x in kept or ():
+        x.drop()
     return spark.createDataFrame(done, "path string, bytes long")
 
 

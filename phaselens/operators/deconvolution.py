@@ -29,31 +29,41 @@ def require_dark(frame: DataFrame, mask: DataFrame) -> None:
         raise ValueError("the frame has light where the mask is 0")
 
 
+def spectra_pair(psf: DataFrame, n: int, height: int, width: int, backend: str = "fft") -> tuple[blocks.Spectra, blocks.Spectra]:
+    """Kept spectra of a point-spread function and of the transposed one, to be dropped when they aren't needed any more."""
+    return blocks.spectra(psf, n, height, width, backend), blocks.spectra(transpose(psf, n), n, height, width, backend)
+
+
 def deconvolve(
     frame: DataFrame, psf: DataFrame, n: int, height: int, width: int, iterations: int, standard: bool = False, mask: DataFrame | None = None, guess: DataFrame | None = None, each: Callable[[int, DataFrame], None] | None = None,
-    block: bool | None = None,
+    block: bool | None = None, kept: tuple[blocks.Spectra, blocks.Spectra] | None = None, backend: str = "fft",
 ) -> DataFrame:
     """Volume (z, t, y, x, v) after ``iterations`` updates, from the back projection or ``guess``.
 
     The update of the default form is v * Htf / Ht(H v), where Htf is the frame's back projection; that of the standard
     form v * Ht(frame / H v), divided by the mask's back projection if there is one (a mask needs the standard form).  Each
     iteration is checkpointed, so plans don't grow.  ``each`` is told each iteration's volume.  Only touched pixels hold
-    infinities: the sums are exact and don't spread them.  ``block`` takes Fourier transforms of whole frames instead of the
-    join (without a mask only); by default it is taken where the join would make too many rows.
+    infinities: the sums are exact and don't spread them.  ``block`` takes Fourier transforms of whole frames (by ``backend``)
+    instead of the join; by default it is taken where the join would make too many rows.  Both give the same rows for light and taps
+    that aren't negative.  ``kept`` are spectra of ``spectra_pair``, for many calls with one point-spread function; else they are made here.
     """
     if mask is not None and not standard:
         raise ValueError("a mask needs the standard form")
+    if mask is not None:
+        require_dark(frame, mask)
+    if block or kept or (block is None and blocks.prefer_block(psf, n, height, width)):
+        own = kept or spectra_pair(psf, n, height, width, backend)
+        try:
+            return blocks.deconvolve(frame, own, height, width, iterations, standard, mask, guess, each)
+        finally:
+            for x in own if kept is None else ():
+                x.drop()
     back = transpose(psf, n)
-    if block or (block is None and mask is None and blocks.prefer_block(psf, n, height, width)):
-        if mask is not None:
-            raise ValueError("the block form takes no mask")
-        return blocks.deconvolve(frame, psf, back, n, height, width, iterations, (ratio, updated), standard, guess, each)
     place = ["z", "t", "y", "x"]
     start = cut(backward(frame, back, n, height, width))
     now = guess if guess is not None else start
     trust = None
     if mask is not None:
-        require_dark(frame, mask)
         lit = mask.where("m <> 0").select(F.lit(0).alias("t"), "y", "x", F.lit(1.0).alias("v"))
         trust = cut(backward(lit, back, n, height, width).select("z", "y", "x", F.col("v").alias("trust")))
     for k in range(iterations):

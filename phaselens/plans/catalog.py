@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phaselens.functions import names, numbers, scanning
-from phaselens.operators import block, deconvolution, flow, images, projection, psf, rectify, synthesis, trace
+from phaselens.operators import block, deconvolution, flow, images, motion, projection, psf, rectify, synthesis, trace
 from phaselens.sources import fixtures as fx
+from phaselens.sources import tasks
 
 H, W, N = fx.HEIGHT, fx.WIDTH, fx.LENSLET
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,10 +32,15 @@ PARTS = {
  round(round(epoch_us(ts) / 1e6 - 1.7e9, 6) + value / 1000, 6) AS t_end, floor(value) / 1e5 AS m0, floor(value) / 1e5 * 2 AS m1, round(value * 10)::BIGINT AS memory,
  (event_id % 50)::BIGINT AS dest, (user_id % 40)::BIGINT AS src1, (event_id % 7)::BIGINT AS src2 FROM events)""",
     "tr": "tr AS (SELECT event_id::BIGINT AS iter, [floor(value / 20)::DOUBLE, floor(user_id / 3)::DOUBLE] AS shift, round(value, 6) AS score FROM events)",
-    "sc": "sc(host, threads, wall, user_s, sys_s) AS (VALUES " + ", ".join(f"('{h}', {n}, {w}::DOUBLE, {u}::DOUBLE, {k}::DOUBLE)" for h, n, w, u, k in fx.SCALING) + ")",
-    "bt": "bt(kind, batch, seconds) AS (VALUES " + ", ".join(f"('{k}', {b}, {s}::DOUBLE)" for k, b, s in fx.BATCH_TIMES) + ")",
+    "sc": "sc AS (SELECT o_orderpriority AS host, (1 + o_custkey % 8)::INTEGER AS threads, sum(floor(o_totalprice))::DOUBLE AS wall, sum(o_custkey)::DOUBLE AS user_s, count(*)::DOUBLE AS sys_s FROM orders GROUP BY 1, 2)",
+    "bt": "bt AS (SELECT o_orderstatus AS kind, (1 << (o_custkey % 6)::INTEGER)::INTEGER AS batch, sum(o_custkey)::DOUBLE AS seconds FROM orders GROUP BY 1, 2)",
+    "na": """na AS (SELECT p_partkey, concat('PSFmatrix/', CASE p_partkey % 3 WHEN 0 THEN 'fdnormPSFmatrix_' WHEN 1 THEN 'reducedPSFmatrix_' ELSE 'reducedBuggyPSFmatrix_' END, 'M', p_size, 'NA0.', 1 + p_partkey % 9,
+ 'MLPitch', 100 + p_partkey % 50, 'fml', 3000 + p_partkey % 7, 'from-', 1 + p_size % 30, 'to', p_partkey % 60, 'zspacing', 1 + p_partkey % 4, 'Nnum', 15, 'lambda', 500 + p_size, 'n1.', 1 + p_partkey % 5, '.mat') AS path FROM part)""",
 }
 
+PARTS["wp"] = PARTS["p"].replace("p AS", "p0 AS") + """, p AS (SELECT p0.z, p0.b, p0.a, p0.dv, p0.du, p0.h * r.w AS h FROM p0 JOIN (SELECT p_partkey % 10 AS ring, sum(p_size)::DOUBLE AS w FROM part GROUP BY 1) r
+ ON r.ring = abs(p0.dv - (p0.b - 1)) + abs(p0.du - (p0.a - 1)))"""
+
 
 def forward_sql(source: str, name: str, shape: str = "p") -> str:
     return f"""{name} AS (SELECT s.t, s.y + p.dv AS y, s.x + p.du AS x, sum(s.v * p.h) AS v FROM {source} s JOIN {shape} p ON p.z = s.z AND p.b = s.y % 3 AND p.a = s.x % 3
@@ -87,44 +93,47 @@ def back(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Point-spread functions
 
 
-@query("psf_transpose", sql("p", "q", "SELECT z, b, a, dv, du, h FROM q"))
+@query("psf_transpose", sql("wp", "q", "SELECT z, b, a, dv, du, h FROM q"))
 def _(spark, sf_dir):
-    return psf.transpose(fx.psf(spark), N)
+    return psf.transpose(fx.part_psf(spark, sf_dir), N)
 
 
-@query("psf_quadrant_expand", sql("p", "SELECT z, b, a, dv, du, h FROM p"))
+@query("psf_quadrant_expand", sql("wp", "SELECT z, b, a, dv, du, h FROM p"))
 def _(spark, sf_dir):
-    return psf.expand(psf.quadrant(fx.psf(spark), N), N)
+    return psf.expand(psf.quadrant(fx.part_psf(spark, sf_dir), N), N)
 
 
-@query("psf_flux_normalise", sql("p", "SELECT z, b, a, dv, du, round(h / sum(h) OVER (PARTITION BY z, b, a), 12) AS h FROM p"))
+@query("psf_flux_normalise", sql("wp", "SELECT z, b, a, dv, du, round(h / sum(h) OVER (PARTITION BY z, b, a), 12) AS h FROM p"))
 def _(spark, sf_dir):
-    return psf.normalise_flux(fx.psf(spark)).withColumn("h", F.round("h", 12)).select("z", "b", "a", "dv", "du", "h")
+    return psf.normalise_flux(fx.part_psf(spark, sf_dir)).withColumn("h", F.round("h", 12)).select("z", "b", "a", "dv", "du", "h")
 
 
-@query("psf_max_normalise", sql("p", "SELECT z, b, a, dv, du, h / (SELECT max(h) FROM p) AS h, (SELECT max(h) FROM p) AS hmax FROM p"))
+@query("psf_max_normalise", sql("wp", "SELECT z, b, a, dv, du, h / (SELECT max(h) FROM p) AS h, (SELECT max(h) FROM p) AS hmax FROM p"))
 def _(spark, sf_dir):
-    return psf.normalise_max(fx.psf(spark))
+    return psf.normalise_max(fx.part_psf(spark, sf_dir))
 
 
-@query("psf_plane_clip", sql("p", "SELECT z, b, a, dv, du, h FROM (SELECT *, max(h) OVER (PARTITION BY z) AS top FROM p) WHERE h >= 0.4 * top"))
+@query("psf_plane_clip", sql("wp", "SELECT z, b, a, dv, du, h FROM (SELECT *, max(h) OVER (PARTITION BY z) AS top FROM p) WHERE h >= 0.4 * top"))
 def _(spark, sf_dir):
-    return psf.clip_planes(fx.psf(spark), 0.4)
+    return psf.clip_planes(fx.part_psf(spark, sf_dir), 0.4)
 
 
-WINDOW = "SELECT z::INTEGER AS z, greatest(4 - greatest(3 * ceil(1 * abs(z - 1.0) / 1.0), 6), 1)::INTEGER AS ca_lo, least(4 + greatest(3 * ceil(1 * abs(z - 1.0) / 1.0), 6), 7)::INTEGER AS ca_hi FROM range(3) r(z)"
+WINDOW = (
+    "WITH d AS (SELECT (s_suppkey % 5)::INTEGER AS z, (sum(s_nationkey) % 41 - 20) / 10.0::DOUBLE AS depth FROM supplier GROUP BY 1), e AS (SELECT z, greatest(3 * ceil(4 * abs(depth) / (SELECT max(abs(depth)) FROM d)), 6) AS half FROM d)"
+    " SELECT z, greatest(31 - half, 1)::INTEGER AS ca_lo, least(31 + half, 61)::INTEGER AS ca_hi FROM e"
+)
 
 
 @query("ca_index", WINDOW)
 def _(spark, sf_dir):
-    planes = fx.axis(spark, "z", 0, 2).withColumn("depth", F.col("z") - 1.0)
-    return psf.valid_window(planes, N, 7, 1, F.lit(1.0))
+    planes = fx.table(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") % 5).cast("int").alias("z")).agg(((F.sum("s_nationkey") % 41 - 20) / 10.0).alias("depth"))
+    return psf.valid_window(planes, N, 61, 4, planes.agg(F.max(F.abs("depth"))).scalar())
 
 
-@query("psf_window_crop", sql("p", "SELECT z, b, a, dv, du, h FROM p WHERE abs(dv) <= 2 - z % 2 AND abs(du) <= 2 - z % 2"))
+@query("psf_window_crop", sql("wp", "SELECT z, b, a, dv, du, h FROM p WHERE abs(dv) <= 2 - z % 2 AND abs(du) <= 2 - z % 2"))
 def _(spark, sf_dir):
     meta = fx.axis(spark, "z", 0, 2).select("z", F.lit(7).alias("s"), (2 + F.col("z") % 2).alias("ca_lo"), (6 - F.col("z") % 2).alias("ca_hi"))
-    return psf.crop(fx.psf(spark), meta)
+    return psf.crop(fx.part_psf(spark, sf_dir), meta)
 
 
 # Projection and deconvolution
@@ -325,6 +334,8 @@ def _(spark, sf_dir):
 # Flow
 
 
+CUSTOMERS = "g AS (SELECT c_custkey::INTEGER AS k, (c_custkey * 7 % 46)::INTEGER AS cx, c_nationkey::INTEGER AS cy FROM customer)"
+GIVEN = "fl AS (SELECT g.k, cx, cy, s.dx, s.dy FROM g JOIN (SELECT (c_custkey % 16)::INTEGER AS k, sum(c_nationkey)::DOUBLE AS dx, count(*)::DOUBLE AS dy FROM customer GROUP BY 1) s ON s.k = g.k)"
 GRID = "g AS (SELECT (row_number() OVER (ORDER BY i, j) - 1)::INTEGER AS k, (i * 9)::INTEGER AS cx, (j * 9)::INTEGER AS cy FROM range(1, 5) a(i), range(1, 4) b(j) WHERE i * 9 < 45 AND j * 9 < 30)"
 FLOW = "fl AS (SELECT k, cx, cy, 0.0::DOUBLE AS dx, ((22.5 * 22.5 - (cx - 22.5) * (cx - 22.5)) / (22.5 * 22.5) * 7.0)::DOUBLE AS dy FROM g)"
 
@@ -333,17 +344,24 @@ def points(spark: SparkSession) -> DataFrame:
     return flow.control_points(spark, H, W, 9, inner=True)
 
 
-@query("flow_profile", sql(GRID, FLOW, "SELECT k, cx, cy, dx, round(dy, 9) AS dy, round(sqrt(dx * dx + dy * dy), 9) AS speed FROM fl"))
+@query("flow_profile", sql(CUSTOMERS, FLOW, "SELECT k, cx, cy, dx, round(dy, 9) AS dy, round(sqrt(dx * dx + dy * dy), 9) AS speed FROM fl"))
 def _(spark, sf_dir):
-    return flow.speed(flow.parabolic_flow(points(spark), W)).withColumns({c: F.round(c, 9) for c in ("dy", "speed")})
+    at = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("k"), (F.col("c_custkey") * 7 % 46).cast("int").alias("cx"), F.col("c_nationkey").alias("cy"))
+    return flow.speed(flow.parabolic_flow(at, W)).withColumns({c: F.round(c, 9) for c in ("dy", "speed")})
+
+
+def given_flow(spark: SparkSession, sf_dir: str, at: DataFrame) -> DataFrame:
+    """Control points with the motion that customers say."""
+    moves = fx.table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 16).cast("int").alias("k")).agg(F.sum("c_nationkey").cast("double").alias("dx"), F.count("*").cast("double").alias("dy"))
+    return at.join(moves, "k").select("k", "cx", "cy", "dx", "dy")
 
 
 @query(
     "flow_zero_edges",
-    sql(GRID, FLOW, "al AS (SELECT (row_number() OVER (ORDER BY i, j) - 1)::INTEGER AS k, (i * 9)::INTEGER AS cx, (j * 9)::INTEGER AS cy FROM range(6) a(i), range(4) b(j))", "SELECT al.k, al.cx, al.cy, coalesce(fl.dx, 0.0::DOUBLE) AS dx, round(coalesce(fl.dy, 0.0::DOUBLE), 9) AS dy FROM al LEFT JOIN fl USING (cx, cy)"),
+    sql(GRID, GIVEN, "al AS (SELECT (row_number() OVER (ORDER BY i, j) - 1)::INTEGER AS k, (i * 9)::INTEGER AS cx, (j * 9)::INTEGER AS cy FROM range(6) a(i), range(4) b(j))", "SELECT al.k, al.cx, al.cy, coalesce(fl.dx, 0.0::DOUBLE) AS dx, coalesce(fl.dy, 0.0::DOUBLE) AS dy FROM al LEFT JOIN fl USING (cx, cy)"),
 )
 def _(spark, sf_dir):
-    return flow.pad_edges(flow.control_points(spark, H, W, 9), flow.parabolic_flow(points(spark), W)).withColumn("dy", F.round("dy", 9))
+    return flow.pad_edges(flow.control_points(spark, H, W, 9), given_flow(spark, sf_dir, points(spark)))
 
 
 @query("lit_vectors", sql("f", GRID, FLOW, "SELECT k, cx, cy, dx, round(dy, 9) AS dy, sum(v) AS light FROM fl JOIN f ON f.t = 0 AND f.y >= cy - 4 AND f.y < cy + 4 AND f.x >= cx - 4 AND f.x < cx + 4 GROUP BY ALL HAVING sum(v) > 100"))
@@ -431,12 +449,12 @@ def _(spark, sf_dir):
 
 @query("efficiency", sql("sc", "SELECT host, threads, wall, round(first_value(wall * threads) OVER w / (wall * threads), 9) AS efficiency, round(last_value(wall) OVER w / first_value(wall) OVER w, 9) AS fraction FROM sc WINDOW w AS (PARTITION BY host ORDER BY threads ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"))
 def _(spark, sf_dir):
-    return trace.efficiency(fx.scaling(spark)).withColumns({c: F.round(c, 9) for c in ("efficiency", "fraction")})
+    return trace.efficiency(fx.scaling(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("efficiency", "fraction")})
 
 
 @query("run_time_excess", sql("sc", "SELECT host, threads, round(wall / (first_value(wall) OVER w * first_value(threads) OVER w / threads), 9) AS excess FROM sc WINDOW w AS (PARTITION BY host ORDER BY threads)"))
 def _(spark, sf_dir):
-    return trace.excess(fx.scaling(spark)).withColumn("excess", F.round("excess", 9))
+    return trace.excess(fx.scaling(spark, sf_dir)).withColumn("excess", F.round("excess", 9))
 
 
 EACH = "ea AS (SELECT iter, k::INTEGER AS k, shift[k + 1] AS value FROM tr, range(2) r(k))"
@@ -492,12 +510,12 @@ def _(spark, sf_dir):
 
 @query("polyfit", sql("bt", "SELECT kind, round(regr_slope(seconds, batch), 6) AS gradient, round(regr_intercept(seconds, batch), 6) AS baseline FROM bt GROUP BY kind"))
 def _(spark, sf_dir):
-    return trace.fit_line(fx.batch_times(spark), "kind", "batch", "seconds").withColumns({c: F.round(c, 6) for c in ("gradient", "baseline")})
+    return trace.fit_line(fx.batch_times(spark, sf_dir), "kind", "batch", "seconds").withColumns({c: F.round(c, 6) for c in ("gradient", "baseline")})
 
 
 @query("time_per_image", sql("bt", "SELECT kind, batch, seconds, round(seconds / batch, 9) AS each FROM bt"))
 def _(spark, sf_dir):
-    return trace.per_image(fx.batch_times(spark)).withColumn("each", F.round("each", 9))
+    return trace.per_image(fx.batch_times(spark, sf_dir)).withColumn("each", F.round("each", 9))
 
 
 @query("work_order", "SELECT seq, row_number() OVER (ORDER BY root_order, root_plane // 3, depth, plane // 3, seq) AS place FROM (SELECT event_id::BIGINT AS seq, user_id % 3 AS root_order, event_id % 9 AS root_plane, event_id % 4 AS depth, event_id % 11 AS plane FROM events)")
@@ -539,12 +557,12 @@ def _pattern(k: int) -> str:
 
 @query(
     "parse_psf_name",
-    "SELECT path, regexp_matches(path, '(?i)(^|/)fdnormPSFmatrix_') AS normalised, regexp_matches(path, '(?i)(^|/)reducedBuggyPSFmatrix_') AS buggy, "
+    "WITH " + PARTS["na"] + " SELECT path, regexp_matches(path, '(?i)(^|/)fdnormPSFmatrix_') AS normalised, regexp_matches(path, '(?i)(^|/)reducedBuggyPSFmatrix_') AS buggy, "
     + ", ".join(f"round(regexp_extract(path, '{_pattern(k)}', 1)::DOUBLE * {unit!r}, 15) AS {column}" if column != "nnum" else f"regexp_extract(path, '{_pattern(k)}', 1)::INTEGER AS nnum" for k, (_, column, unit) in enumerate(names.PARTS))
-    + " FROM (VALUES " + ", ".join(f"('{n}')" for n in fx.PSF_NAMES) + ") v(path)",
+    + " FROM na",
 )
 def _(spark, sf_dir):
-    out = names.parse_psf_names(fx.psf_names(spark))
+    out = names.parse_psf_names(fx.psf_names(spark, sf_dir))
     return out.withColumns({c: F.round(c, 15) for _, c, _ in names.PARTS if c != "nnum"})
 
 
@@ -553,24 +571,25 @@ def _(spark, sf_dir):
     return fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"), numbers.largest_divisor(F.col("p_partkey").cast("long"), F.lit(64).cast("long")).alias("factor"))
 
 
-@query("smooth_sizes", "WITH s AS (SELECT DISTINCT (pow(2, a) * pow(3, b) * pow(5, c) * pow(7, d))::BIGINT AS s FROM range(12) q(a), range(8) r(b), range(6) t(c), range(5) u(d) WHERE pow(2, a) * pow(3, b) * pow(5, c) * pow(7, d) <= 2000) SELECT n::BIGINT AS n, (SELECT min(s) FROM s WHERE s >= n) AS size FROM range(1, 1001) r(n)")
+@query("smooth_sizes", "WITH s AS (SELECT DISTINCT (pow(2, a) * pow(3, b) * pow(5, c) * pow(7, d))::BIGINT AS s FROM range(12) q(a), range(8) r(b), range(6) t(c), range(5) u(d) WHERE pow(2, a) * pow(3, b) * pow(5, c) * pow(7, d) <= 2000) SELECT p_partkey, p_partkey % 1000 + 1 AS n, (SELECT min(s) FROM s WHERE s >= p_partkey % 1000 + 1) AS size FROM part")
 def _(spark, sf_dir):
-    return numbers.smooth_table(spark, 1000)
+    own = fx.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 1000 + 1).alias("n"))
+    return own.join(numbers.smooth_table(spark, 1000), "n").select("p_partkey", "n", "size")
 
 
 @query(
     "format_psf_name",
-    "SELECT path, regexp_replace(split_part(path, '/', -1), '^(?i)(fdnormPSFmatrix_|reducedPSFmatrix_|reducedBuggyPSFmatrix_)', 'fdnormPSFmatrix_') AS name FROM (VALUES " + ", ".join(f"('{n}')" for n in fx.PSF_NAMES) + ") v(path)",
+    "WITH " + PARTS["na"] + " SELECT path, regexp_replace(split_part(path, '/', -1), '^(?i)(fdnormPSFmatrix_|reducedPSFmatrix_|reducedBuggyPSFmatrix_)', 'fdnormPSFmatrix_') AS name FROM na",
 )
 def _(spark, sf_dir):
-    parsed = names.require_generated(names.parse_psf_names(fx.psf_names(spark)))
+    parsed = names.require_generated(names.parse_psf_names(fx.psf_names(spark, sf_dir)))
     return parsed.select("path", names.psf_name(parsed).alias("name"))
 
 
-@query("output_names", "SELECT path, regexp_replace(path, '\\.[^./]*$', '') || '_deconvolved.tif' AS deconvolved, regexp_replace(path, '\\.[^./]*$', '') || '_N15' || regexp_extract(path, '(\\.[^.]*)$', 1) AS rectified FROM (VALUES " + ", ".join(f"('{n}')" for n in fx.PSF_NAMES) + ") v(path)")
+@query("output_names", "WITH " + PARTS["na"] + " SELECT path, regexp_replace(path, '\\.[^./]*$', '') || '_deconvolved.tif' AS deconvolved, regexp_replace(path, '\\.[^./]*$', '') || '_N15' || regexp_extract(path, '(\\.[^.]*)$', 1) AS rectified FROM na")
 def _(spark, sf_dir):
     path = F.col("path")
-    return fx.psf_names(spark).select("path", names.deconvolved_name(path).alias("deconvolved"), names.rectified_name(path, 15).alias("rectified"))
+    return fx.psf_names(spark, sf_dir).select("path", names.deconvolved_name(path).alias("deconvolved"), names.rectified_name(path, 15).alias("rectified"))
 
 
 @query("scanned_names", "SELECT c_custkey, try_cast(regexp_extract(c_name, '^Customer#([0-9]+)', 1) AS BIGINT) AS number FROM customer")
@@ -586,10 +605,10 @@ def _(spark, sf_dir):
     return trace.in_window(log, begin + 1000, begin + 500000, 1e-4).select("item", "waited")
 
 
-@query("flow_repeat_last", sql("g AS (SELECT (i * 4 + j)::INTEGER AS k, (i * 9)::INTEGER AS cx, (j * 9)::INTEGER AS cy FROM range(4) a(i), range(4) b(j))", FLOW.replace("22.5", "13.5"), "n AS (SELECT ((k // 4) * 5 + k % 4)::INTEGER AS k, cx, cy, dx, dy FROM fl UNION ALL SELECT ((k // 4) * 5 + 4)::INTEGER, cx, cy, dx + 1, dy + 1 FROM fl WHERE k % 4 = 3)", "SELECT k, cx, cy, dx, round(dy, 9) AS dy FROM n"))
+@query("flow_repeat_last", sql("g AS (SELECT (i * 4 + j)::INTEGER AS k, (i * 9)::INTEGER AS cx, (j * 9)::INTEGER AS cy FROM range(4) a(i), range(4) b(j))", GIVEN, "n AS (SELECT ((k // 4) * 5 + k % 4)::INTEGER AS k, cx, cy, dx, dy FROM fl UNION ALL SELECT ((k // 4) * 5 + 4)::INTEGER, cx, cy, dx + 1, dy + 1 FROM fl WHERE k % 4 = 3)", "SELECT k, cx, cy, dx, dy FROM n"))
 def _(spark, sf_dir):
-    square = flow.parabolic_flow(flow.control_points(spark, 27, 27, 9), 27)
-    return flow.repeat_last(square, 4, 1.0).withColumn("dy", F.round("dy", 9))
+    square = given_flow(spark, sf_dir, flow.control_points(spark, 27, 27, 9))
+    return flow.repeat_last(square, 4, 1.0)
 
 
 @query("zero_planes", sql("f", "p", "q", "bp", "SELECT z, t, y, x, CASE WHEN z BETWEEN 1 AND 1 THEN 0 ELSE v END AS v FROM bp"))
@@ -610,12 +629,12 @@ def _(spark, sf_dir):
 
 @query(
     "spot_object",
-    "WITH spot AS (SELECT floor((k * 0.7548776662466927 - floor(k * 0.7548776662466927)) * 30)::INTEGER AS y, floor((k * 0.5698402909980532 - floor(k * 0.5698402909980532)) * 45)::INTEGER AS x FROM (SELECT i::DOUBLE AS k FROM range(100) r(i)))"
+    "WITH spot AS (SELECT floor((k * 0.7548776662466927 - floor(k * 0.7548776662466927)) * 30)::INTEGER AS y, floor((k * 0.5698402909980532 - floor(k * 0.5698402909980532)) * 45)::INTEGER AS x FROM (SELECT c_custkey::DOUBLE AS k FROM customer))"
     " SELECT 0 AS z, 0 AS t, (y + i)::INTEGER AS y, (x + j)::INTEGER AS x, round(sum(exp(-(i * i + j * j) / 8.0) / (2 * 3.141592653589793 * 4)), 9) AS v FROM spot, range(-6, 7) p(i), range(-6, 7) q(j)"
     " WHERE y + i BETWEEN 0 AND 29 AND x + j BETWEEN 0 AND 44 GROUP BY ALL",
 )
 def _(spark, sf_dir):
-    return fx.spots(spark, 100, H, W).withColumn("v", F.round("v", 9))
+    return fx.spots(fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), H, W).withColumn("v", F.round("v", 9))
 
 
 def mesh_sql(c: str) -> str:
@@ -653,14 +672,14 @@ VOLUME = "SELECT z::INTEGER AS z, f.t, f.y, f.x, coalesce(round(b.v, 6), 0.0) AS
 @query("block_projection", sql("f", "p", "q", "bp", VOLUME.format("bp")))
 def _(spark, sf_dir):
     blocks = block.to_blocks(fx.frame(spark, sf_dir), H, W)
-    out = block.to_pixels(block.backward(blocks, block.kernels(psf.transpose(fx.psf(spark), N)), N, H, W), W)
+    out = block.to_pixels(block.backward(blocks, block.spectra(psf.transpose(fx.psf(spark), N), N, H, W)), W)
     return out.withColumn("v", F.round("v", 6))
 
 
 @query("block_forward", sql("f", "p", "q", "bp", forward_sql("bp", "fp"), "SELECT f.t, f.y, f.x, coalesce(round(b.v, 4), 0.0) AS v FROM f LEFT JOIN fp b USING (t, y, x)"))
 def _(spark, sf_dir):
     volume = block.to_blocks(back(spark, sf_dir), H, W)
-    return block.to_pixels(block.forward(volume, block.kernels(fx.psf(spark)), N, H, W), W).withColumn("v", F.round("v", 4))
+    return block.to_pixels(block.forward(volume, block.spectra(fx.psf(spark), N, H, W)), W).withColumn("v", F.round("v", 4))
 
 
 @query("block_rl", sql("f", "p", "q", "bp", *step_sql("bp", 1), VOLUME.format("x1")))
@@ -668,6 +687,20 @@ def _(spark, sf_dir):
     return deconvolution.deconvolve(fx.frame(spark, sf_dir), fx.psf(spark), N, H, W, 1, block=True).withColumn("v", F.round("v", 6))
 
 
+@query(
+    "block_trust_mask",
+    sql(
+        PARTS["f"].replace("f AS", "f0 AS"), "m", "f AS (SELECT t, y, x, v * m AS v FROM f0 JOIN m USING (y, x))", "p", "q", "bp", forward_sql("bp", "hx"), ERROR, backward_sql("er", "eb"),
+        "lit AS (SELECT 0 AS t, y, x, 1.0::DOUBLE AS v FROM m WHERE m <> 0)", backward_sql("lit", "tb"),
+        "SELECT b.z, b.t, b.y, b.x, round(b.v * (coalesce(e.v, 0) / k.v), 4) AS v FROM bp b LEFT JOIN eb e USING (z, t, y, x) JOIN (SELECT z, y, x, v FROM tb) k USING (z, y, x)",
+    ),
+)
+def _(spark, sf_dir):
+    mask = fx.mask(spark)
+    frame = fx.frame(spark, sf_dir).join(mask, ["y", "x"]).select("t", "y", "x", (F.col("v") * F.col("m")).alias("v"))
+    return deconvolution.deconvolve(frame, fx.psf(spark), N, H, W, 1, standard=True, mask=mask, block=True, backend="products").withColumn("v", F.round("v", 4))
+
+
 @query("naive_scores", sql("f", "ca AS (SELECT (i * 5 + j)::INTEGER AS iter, (i - 2)::DOUBLE AS dy, (j - 2)::DOUBLE AS dx FROM range(5) a(i), range(5) b(j))",
     "SELECT iter, dy, dx, round(sum(pow(s.v - o.v, 2)), 3) AS ssd FROM ca JOIN f o ON o.t = 1 AND o.y BETWEEN 1 AND 28 AND o.x BETWEEN 1 AND 43 JOIN f s ON s.t = 0 AND s.y = greatest(0, least(29, o.y - dy)) AND s.x = greatest(0, least(44, o.x - dx)) GROUP BY ALL"))
 def _(spark, sf_dir):
@@ -684,12 +717,79 @@ def _(spark, sf_dir):
     return flow.score(flow.joint_candidate(f, fx.psf(spark), N, H, W, 1, 1.0, 2.0), f, H, W).withColumn("ssd", F.round("ssd", 2))
 
 
+# Flows of any mesh: four corners outside of the frame and one point inside, moved by what suppliers say
+
+MESH = (
+    "mv AS (SELECT (s_suppkey % 5)::INTEGER AS k, (sum(s_nationkey) % 9 - 4) / 4.0::DOUBLE AS dy, (count(*) % 9 - 4) / 4.0::DOUBLE AS dx FROM supplier GROUP BY 1)",
+    "pt AS (SELECT k::INTEGER AS k, cx::DOUBLE AS cx, cy::DOUBLE AS cy FROM (VALUES (0, -5, -5), (1, 50, -5), (2, 50, 35), (3, -5, 35), (4, 17, 11)) v(k, cx, cy))",
+    "me AS (SELECT tri, v.a, v.b, v.c, a.cx AS ax, a.cy AS ay, b.cx AS bx, b.cy AS by_, c.cx AS cx, c.cy AS cy, (b.cx - a.cx) * (c.cy - a.cy) - (c.cx - a.cx) * (b.cy - a.cy) AS whole"
+    " FROM (VALUES (0, 0, 1, 4), (1, 1, 2, 4), (2, 2, 3, 4), (3, 3, 0, 4)) v(tri, a, b, c) JOIN pt a ON a.k = v.a JOIN pt b ON b.k = v.b JOIN pt c ON c.k = v.c)",
+    "sh AS (SELECT y, x, tri, a, b, c, ((bx - x) * (cy - y) - (cx - x) * (by_ - y)) / whole AS wa, ((cx - x) * (ay - y) - (ax - x) * (cy - y)) / whole AS wb, ((ax - x) * (by_ - y) - (bx - x) * (ay - y)) / whole AS wc FROM f, me WHERE t = 0)",
+    "wh AS (SELECT * FROM sh WHERE least(wa, wb, wc) >= -1e-12 QUALIFY row_number() OVER (PARTITION BY y, x ORDER BY tri) = 1)",
+    "ai AS (SELECT m.iter, y, x, greatest(0.0, least(29.0, y - (wa * m.dy + wb * n.dy + wc * o.dy)))::DOUBLE AS py, greatest(0.0, least(44.0, x - (wa * m.dx + wb * n.dx + wc * o.dx)))::DOUBLE AS px"
+    " FROM wh JOIN mo m ON m.k = wh.a JOIN mo n ON n.k = wh.b AND n.iter = m.iter JOIN mo o ON o.k = wh.c AND o.iter = m.iter)",
+    "lo AS (SELECT *, least(floor(py), 28)::INTEGER AS ly, least(floor(px), 43)::INTEGER AS lx FROM ai)",
+    "sa AS (SELECT lo.iter, f.t, lo.y, lo.x, sum(f.v * (CASE WHEN f.y = ly THEN 1 - (py - ly) ELSE py - ly END) * (CASE WHEN f.x = lx THEN 1 - (px - lx) ELSE px - lx END)) AS v"
+    " FROM lo JOIN f ON f.y BETWEEN ly AND ly + 1 AND f.x BETWEEN lx AND lx + 1 GROUP BY ALL)",
+)
+
+
+def mesh_flow(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Control points with their motion, and triangles between them."""
+    moves = fx.table(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") % 5).cast("int").alias("k")).agg(((F.sum("s_nationkey") % 9 - 4) / 4.0).alias("dy"), ((F.count("*") % 9 - 4) / 4.0).alias("dx"))
+    points = spark.createDataFrame([(0, -5.0, -5.0), (1, 50.0, -5.0), (2, 50.0, 35.0), (3, -5.0, 35.0), (4, 17.0, 11.0)], "k int, cx double, cy double")
+    return points.join(moves, "k"), motion.triangle_table(spark, [(0, 1, 4), (1, 2, 4), (2, 3, 4), (3, 0, 4)])
+
+
+@query("mesh_warp", sql("f", MESH[0], "mo AS (SELECT 0 AS iter, * FROM mv)", *MESH[1:], "SELECT t, y, x, round(v, 6) AS v FROM sa"))
+def _(spark, sf_dir):
+    points, triangles = mesh_flow(spark, sf_dir)
+    return motion.warp_mesh(fx.frame(spark, sf_dir), points, triangles, H, W).select("t", "y", "x", F.round("v", 6).alias("v"))
+
+
+@query("flow_scores", sql("f", MESH[0], "mo AS (SELECT i::INTEGER AS iter, k, dy * i / 4 AS dy, dx * (i - 3) / 4 AS dx FROM mv, range(8) r(i))", *MESH[1:],
+    "SELECT iter, round(sum((sa.v - f.v) * (sa.v - f.v)), 3) AS ssd FROM sa JOIN f ON sa.t = 0 AND f.t = 1 AND f.y = sa.y AND f.x = sa.x WHERE sa.y BETWEEN 1 AND 28 AND sa.x BETWEEN 1 AND 43 GROUP BY iter"))
+def _(spark, sf_dir):
+    points, triangles = mesh_flow(spark, sf_dir)
+    tried = points.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(7)))).select("iter", "k", (F.col("dy") * F.col("iter") / 4).alias("dy"), (F.col("dx") * (F.col("iter") - 3) / 4).alias("dx"))
+    return motion.flow_scores(fx.frame(spark, sf_dir), motion.places(points, triangles, H, W), tried, H, W).withColumn("ssd", F.round("ssd", 3))
+
+
+def moved_by(text: str, dy: int, dx: int) -> str:
+    """The SQL of a pair that moves by one row and two columns, for another shift, with names of its own."""
+    for old, new in (("o.y - 1, 0", f"o.y - {dy}, 0"), ("o.x - 2, 0", f"o.x - {dx}, 0"), ("o.y + 1, 29", f"o.y + {dy}, 29"), ("o.x + 2, 44", f"o.x + {dx}, 44")):
+        text = text.replace(old, new)
+    return text
+
+
+def joint_parts(k: int, dy: int, dx: int) -> list[str]:
+    parts = [
+        *pair_back_sql("f", f"ps{k}"), pair_sql(f"ps{k}", f"pp{k}"), forward_sql(f"pp{k}", f"pf{k}"), *pair_back_sql(f"pf{k}", f"pd{k}"),
+        f"x{k} AS (SELECT s.z, s.y, s.x, s.v * ({ratio_sql('s.v', 'd.v')}) AS v FROM ps{k} s JOIN pd{k} d USING (z, y, x))", pair_sql(f"x{k}", f"xp{k}"), forward_sql(f"xp{k}", f"xf{k}"),
+        f"k{k} AS (SELECT (SELECT avg(v) FROM xf{k} WHERE t = 0) / (SELECT avg(v) FROM f WHERE t = 0) AS scale)",
+        f"e{k} AS (SELECT {k} AS iter, {dy}::DOUBLE AS dy, {dx}::DOUBLE AS dx, round(sum(pow(c.v / scale - f.v, 2)), 2) AS ssd FROM xf{k} c JOIN f USING (t, y, x), k{k} WHERE y BETWEEN 1 AND 28 AND x BETWEEN 1 AND 43)",
+    ]
+    return [moved_by(p, dy, dx) for p in parts]
+
+
+@query("joint_scores", sql("f", "p", "q", *joint_parts(0, 1, 2), *joint_parts(1, 0, 1), *joint_parts(2, 3, 0), "SELECT * FROM e0 UNION ALL SELECT * FROM e1 UNION ALL SELECT * FROM e2"))
+def _(spark, sf_dir):
+    tried = spark.createDataFrame([(0, 1.0, 2.0), (1, 0.0, 1.0), (2, 3.0, 0.0)], "iter int, dy double, dx double")
+    return motion.joint_scores(fx.frame(spark, sf_dir), fx.psf(spark), N, H, W, 1, tried).withColumn("ssd", F.round("ssd", 2))
+
+
 # Traces: the rest
 
 
+@query("scaling_by_file", sql("log", "SELECT 'events.parquet' AS file, (max(thread) + 1)::INTEGER AS threads, round(max(t_end) - min(t_start), 6) AS wall FROM log"))
+def _(spark, sf_dir):
+    own = tasks.file_rows(fx.table(spark, sf_dir, "events"), ["events.parquet"])
+    return trace.span(fx.thread_log_of(own), "file").withColumn("wall", F.round("wall", 6))
+
+
 @query("cpu_time", sql("sc", "SELECT host, threads, wall, user_s, sys_s, user_s + sys_s AS cpu FROM sc"))
 def _(spark, sf_dir):
-    return trace.cpu_time(fx.scaling(spark))
+    return trace.cpu_time(fx.scaling(spark, sf_dir))
 
 
 WORK = "wk AS (SELECT 'h' || (user_id % 5) AS host, event_id::BIGINT AS threads, 1 + value AS wall, 1 + floor(value * 7) AS work, value / 8 AS idle_start, value / 16 AS idle_between, value / 32 AS idle_end FROM events)"
@@ -753,9 +853,9 @@ def _(spark, sf_dir):
     return trace.above(fx.frame(spark, sf_dir), "v", 100.0)
 
 
-@query("cache_keys", sql("p", "SELECT DISTINCT z || ',' || b || ',' || a AS key FROM p"))
+@query("cache_keys", sql("wp", "SELECT DISTINCT z || ',' || b || ',' || a AS key FROM p"))
 def _(spark, sf_dir):
-    return fx.psf(spark).select(trace.cache_key(F.col("z"), F.col("b"), F.col("a")).alias("key")).distinct()
+    return fx.part_psf(spark, sf_dir).select(trace.cache_key(F.col("z"), F.col("b"), F.col("a")).alias("key")).distinct()
 
 
 @query("appended_batches", sql("f", "p", "q", "bp", "SELECT z, t, y, x, v FROM bp"))
@@ -775,9 +875,10 @@ def _(spark, sf_dir):
     return parts.select("n", first.alias("first"), second.alias("second"))
 
 
-@query("padded_sizes", "WITH s AS (SELECT DISTINCT (pow(2, a) * pow(3, b) * pow(5, c) * pow(7, d))::BIGINT * 15 AS s FROM range(9) q(a), range(6) r(b), range(4) t(c), range(4) u(d) WHERE pow(2, a) * pow(3, b) * pow(5, c) * pow(7, d) <= 200) SELECT n::BIGINT AS n, (SELECT min(s) FROM s WHERE s >= n) AS size FROM range(1, 1001) r(n)")
+@query("padded_sizes", "WITH s AS (SELECT DISTINCT (pow(2, a) * pow(3, b) * pow(5, c) * pow(7, d))::BIGINT * 15 AS s FROM range(9) q(a), range(6) r(b), range(4) t(c), range(4) u(d) WHERE pow(2, a) * pow(3, b) * pow(5, c) * pow(7, d) <= 200) SELECT p_partkey, p_partkey % 1000 + 1 AS n, (SELECT min(s) FROM s WHERE s >= p_partkey % 1000 + 1) AS size FROM part")
 def _(spark, sf_dir):
-    return numbers.padded_sizes(spark, 1000, 15)
+    own = fx.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 1000 + 1).alias("n"))
+    return own.join(numbers.padded_sizes(spark, 1000, 15), "n").select("p_partkey", "n", "size")
 
 
 @query("scanned_widths", "SELECT c_custkey, try_cast(substr(c_name, 10, 3) AS DOUBLE) AS first, try_cast(substr(c_name, 13, 4) AS BIGINT) AS second, try_cast(substr(c_name, 17) AS BIGINT) AS third FROM customer WHERE regexp_matches(c_name, '^Customer#[0-9]{9}$')")
@@ -791,5 +892,6 @@ def _(spark, sf_dir):
 
 @query("psf_synthesis")
 def _(spark, sf_dir):
-    optics = synthesis.Optics(m=40, na=0.95, pitch=150e-6, n=3, osr=3, index=1.0, fml=3000e-6, lam=520e-9, zmin=-2e-6, zmax=2e-6, spacing=2e-6)
+    green = fx.table(spark, sf_dir, "part").agg(F.max("p_size")).first()[0]  # nanometres above 480
+    optics = synthesis.Optics(m=40, na=0.95, pitch=150e-6, n=3, osr=3, index=1.0, fml=3000e-6, lam=(480 + green) * 1e-9, zmin=-2e-6, zmax=2e-6, spacing=2e-6)
     return synthesis.synthesise(spark, optics).withColumn("h", F.round("h", 9))

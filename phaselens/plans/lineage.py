@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset in local mode (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = "file://" + os.path.join(tempfile.gettempdir(), f"phaselens-{os.getpid()}")
+    return where.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a reliable checkpoint: in ``spark.checkpoint.dir`` where that is set, else in a temporary folder in local mode (tests)."""
+    """``df`` from a reliable checkpoint in the context's folder for them, else in the shared one."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = context.getConf().get("spark.checkpoint.dir")
-        if not where:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            where = "file://" + os.path.join(tempfile.gettempdir(), f"phaselens-{os.getpid()}")
-        context.setCheckpointDir(where)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

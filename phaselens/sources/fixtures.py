@@ -8,39 +8,6 @@ from pyspark.sql import functions as F
 #: Height, width, lenslet size and time points of the derived frames.
 HEIGHT, WIDTH, LENSLET, TIMES = 30, 45, 3, 2
 
-#: Published thread scaling: host, threads, wall, user and system seconds (fixed values).
-SCALING = [
-    ("host16", 1, 766.746883, 747.881477, 19.109868), ("host16", 2, 506.295789, 862.752871, 133.015392),
-    ("host16", 3, 280.002952, 807.831459, 20.736173), ("host16", 4, 222.021581, 821.603846, 45.185196),
-    ("host16", 5, 175.572547, 821.201887, 33.639043), ("host16", 6, 146.024464, 821.158136, 28.464987),
-    ("host16", 7, 126.294555, 827.765492, 25.714729), ("host16", 8, 110.645629, 829.255786, 22.974344),
-    ("host16", 9, 99.960404, 840.49019, 21.244982), ("host16", 10, 91.412795, 847.183269, 24.308798),
-    ("host16", 11, 85.266437, 862.495211, 25.894695), ("host16", 12, 78.842479, 866.98994, 24.816764),
-    ("host16", 13, 73.4886, 873.675263, 24.810415), ("host16", 14, 69.877708, 888.104668, 28.008839),
-    ("host16", 15, 66.154512, 894.176687, 28.357786), ("host16", 16, 62.908969, 910.738637, 26.039534),
-    ("host8", 1, 976.729804, 972.613175, 5.557526), ("host8", 2, 526.683309, 1044.056437, 5.856808),
-    ("host8", 3, 370.188558, 1097.233988, 6.097489), ("host8", 4, 288.136374, 1135.609358, 6.168274),
-    ("host8", 5, 241.202575, 1185.196197, 6.320825), ("host8", 6, 208.8712, 1227.546092, 6.860821),
-    ("host8", 7, 185.774276, 1269.592924, 7.007391), ("host8", 8, 170.438344, 1328.397888, 7.811467),
-    ("host8-small", 1, 20.41163, 20.267965, 0.12355), ("host8-small", 2, 11.256225, 21.861463, 0.072073),
-    ("host8-small", 3, 8.004049, 22.833651, 0.045547), ("host8-small", 4, 6.39701, 23.78068, 0.053633),
-    ("host8-small", 5, 5.434677, 24.803715, 0.067902), ("host8-small", 6, 4.768711, 25.555338, 0.059184),
-    ("host8-small", 7, 4.324696, 26.543372, 0.080254), ("host8-small", 8, 3.899127, 26.973893, 0.085763),
-]
-#: Published run times by batch size: kind, batch, seconds (fixed values).
-BATCH_TIMES = [
-    ("cpu", 1, 628.84), ("cpu", 2, 686.42), ("cpu", 4, 811.80), ("cpu", 8, 1050.56), ("cpu", 16, 1522.49), ("cpu", 32, 2508.48),
-    ("gpu", 1, 19.05), ("gpu", 2, 23.87), ("gpu", 4, 36.47), ("gpu", 8, 51.96), ("gpu", 16, 91.18), ("gpu", 24, 135.38),
-]
-#: File names of point-spread functions.
-PSF_NAMES = [
-    "PSFmatrix/fdnormPSFmatrix_M40NA0.95MLPitch150fml3000from-6to-5zspacing0.5Nnum15lambda520n1.mat",
-    "PSFmatrix/reducedPSFmatrix_M40NA0.95MLPitch150fml3000from-24to0zspacing3Nnum15lambda520n1.33.mat",
-    "fdnormPSFMatrix_M22.222NA0.5MLPitch125fml3125from-60to60zspacing5Nnum19lambda520n1.33.mat",
-    "reducedBuggyPSFmatrix_M22.222NA0.5MLPitch125fml3125from-56to56zspacing4Nnum19lambda520n1.33.mat",
-]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -83,14 +50,18 @@ def mask(spark: SparkSession) -> DataFrame:
 
 def thread_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A worker trace from events: one item of work per event; times in seconds rounded to 6 places."""
-    e = table(spark, sf_dir, "events")
+    return thread_log_of(table(spark, sf_dir, "events"))
+
+
+def thread_log_of(e: DataFrame) -> DataFrame:
+    """The trace that rows of events make; ``file`` is kept where they have it."""
     start = F.round(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)") / 1e6 - 1.7e9, 6)
     wait = F.floor("value") / 1e5
     return e.select(
         F.col("event_id").cast("long").alias("item"), (F.col("user_id") % 4).cast("int").alias("thread"), (F.col("event_id") % 4).cast("int").alias("worktype"),
         start.alias("t_start"), F.round(start + F.col("value") / 1000, 6).alias("t_end"), wait.alias("m0"), (wait * 2).alias("m1"),
         F.round(F.col("value") * 10).cast("long").alias("memory"), (F.col("event_id") % 50).cast("long").alias("dest"),
-        (F.col("user_id") % 40).cast("long").alias("src1"), (F.col("event_id") % 7).cast("long").alias("src2"),
+        (F.col("user_id") % 40).cast("long").alias("src1"), (F.col("event_id") % 7).cast("long").alias("src2"), *(c for c in ("file",) if c in e.columns),
     )
 
 
@@ -101,25 +72,38 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scaling(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"('{h}', {n}, {w}D, {u}D, {s}D)" for h, n, w, u, s in SCALING)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS s(host, threads, wall, user_s, sys_s)")
+def part_psf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pyramids of ``psf`` with each ring around the phase weighted by the sizes of a tenth of all parts; mirrored phases stay alike."""
+    rings = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 10).cast("int").alias("ring")).agg(F.sum("p_size").cast("double").alias("w"))
+    ring = F.abs(F.col("dv") - (F.col("b") - 1)) + F.abs(F.col("du") - (F.col("a") - 1))
+    return psf(spark).withColumn("ring", ring).join(rings, "ring").select("z", "b", "a", "dv", "du", (F.col("h") * F.col("w")).alias("h"))
+
+
+def scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(host, threads, wall, user_s, sys_s) of orders, with a priority as host."""
+    threads = (1 + F.col("o_custkey") % 8).cast("int").alias("threads")
+    sums = [F.sum(F.floor("o_totalprice")).cast("double").alias("wall"), F.sum("o_custkey").cast("double").alias("user_s"), F.count("*").cast("double").alias("sys_s")]
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("host"), threads).agg(*sums)
 
 
-def batch_times(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"('{k}', {b}, {s}D)" for k, b, s in BATCH_TIMES)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS s(kind, batch, seconds)")
+def batch_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, batch, seconds) of orders, with a status as kind."""
+    batch = F.call_function("shiftleft", F.lit(1), (F.col("o_custkey") % 6).cast("int")).alias("batch")
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("kind"), batch).agg(F.sum("o_custkey").cast("double").alias("seconds"))
 
 
-def psf_names(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"('{n}')" for n in PSF_NAMES)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS s(path)")
+def psf_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path: a file name of a point-spread function for each part."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    prefix = F.when(k % 3 == 0, "fdnormPSFmatrix_").when(k % 3 == 1, "reducedPSFmatrix_").otherwise("reducedBuggyPSFmatrix_")
+    said = ["M", size, "NA0.", 1 + k % 9, "MLPitch", 100 + k % 50, "fml", 3000 + k % 7, "from-", 1 + size % 30, "to", k % 60, "zspacing", 1 + k % 4, "Nnum", F.lit(15), "lambda", 500 + size, "n1.", 1 + k % 5, ".mat"]
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("PSFmatrix/"), prefix, *(F.lit(x) if isinstance(x, str) else x.cast("string") for x in said)).alias("path"))
 
 
-def spots(spark: SparkSession, number: int, height: int, width: int, reach: int = 6, sigma: float = 2.0) -> DataFrame:
-    """A synthetic object (z, t, y, x, v): unit spots at places of an even sequence, blurred; edges cut what leaves."""
+def spots(ids: DataFrame, height: int, width: int, reach: int = 6, sigma: float = 2.0) -> DataFrame:
+    """A synthetic object (z, t, y, x, v): a unit spot for each ``id`` at that place of an even sequence, blurred; edges cut what leaves."""
     part = lambda step: F.col("id") * step - F.floor(F.col("id") * step)
-    at = spark.range(number).select(F.floor(part(0.7548776662466927) * height).cast("int").alias("y"), F.floor(part(0.5698402909980532) * width).cast("int").alias("x"))
+    at = ids.select(F.floor(part(0.7548776662466927) * height).cast("int").alias("y"), F.floor(part(0.5698402909980532) * width).cast("int").alias("x"))
     steps = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
     near = at.select("y", "x", steps.alias("i")).select("y", "x", "i", steps.alias("j"))
     weight = F.exp(-(F.col("i") * F.col("i") + F.col("j") * F.col("j")) / (2 * sigma**2)) / (2 * 3.141592653589793 * sigma**2)

@@ -70,10 +70,10 @@ def test_batches_are_independent_and_linear(spark, frame):
 def test_block_form_agrees(spark, frame):
     back = psf.transpose(taps(spark), N)
     slow = dense(projection.backward(pixels(spark, frame), back, N, H, W), (2, 2, H, W), ("z", "t", "y", "x"))
-    fast = block.to_pixels(block.backward(block.to_blocks(pixels(spark, frame), H, W), block.kernels(back), N, H, W), W)
+    fast = block.to_pixels(block.backward(block.to_blocks(pixels(spark, frame), H, W), block.spectra(back, N, H, W)), W)
     assert np.abs(dense(fast, (2, 2, H, W), ("z", "t", "y", "x")) - slow).max() < 1e-9
     again = dense(projection.forward(pixels(spark, slow, ("z", "t", "y", "x")), taps(spark), N, H, W), (2, H, W))
-    quick = block.to_pixels(block.forward(block.to_blocks(pixels(spark, slow, ("z", "t", "y", "x")), H, W), block.kernels(taps(spark)), N, H, W), W)
+    quick = block.to_pixels(block.forward(block.to_blocks(pixels(spark, slow, ("z", "t", "y", "x")), H, W), block.spectra(taps(spark), N, H, W)), W)
     assert np.abs(dense(quick, (2, H, W)) - again).max() < 1e-6
 
 
@@ -161,7 +161,11 @@ def test_scanning_errors():
 
 
 def test_names(spark):
-    parsed = names.parse_psf_names(fx.psf_names(spark))
+    known = [
+        "PSFmatrix/fdnormPSFmatrix_M40NA0.95MLPitch150fml3000from-6to-5zspacing0.5Nnum15lambda520n1.mat", "PSFmatrix/reducedPSFmatrix_M40NA0.95MLPitch150fml3000from-24to0zspacing3Nnum15lambda520n1.33.mat",
+        "fdnormPSFMatrix_M22.222NA0.5MLPitch125fml3125from-60to60zspacing5Nnum19lambda520n1.33.mat", "reducedBuggyPSFmatrix_M22.222NA0.5MLPitch125fml3125from-56to56zspacing4Nnum19lambda520n1.33.mat",
+    ]
+    parsed = names.parse_psf_names(spark.createDataFrame([(k,) for k in known], "path string"))
     names.require_generated(parsed).collect()
     back = parsed.select("path", names.psf_name(parsed).alias("name")).collect()
     assert all(r["name"].split("_", 1)[1] == r["path"].split("_", 1)[1] for r in back)
