@@ -247,12 +247,12 @@ def fillings(size: list[int], n: list[int], room: int, most: int) -> Iterator[tu
                     pattern.pop()
 
 
-def bin_completion(lengths: dict[int, int], capacity: int, nodes: int = 8_000) -> list[tuple[Pattern, int]]:
+def bin_completion(lengths: dict[int, int], capacity: int, nodes: int | None = 8_000) -> list[tuple[Pattern, int]]:
     """The best packing that ``search`` finds: kinds of sequence and how many of each."""
     return search(lengths, capacity, nodes)[0]
 
 
-def search(lengths: dict[int, int], capacity: int, nodes: int = 8_000) -> tuple[list[tuple[Pattern, int]], bool]:
+def search(lengths: dict[int, int], capacity: int, nodes: int | None = 8_000) -> tuple[list[tuple[Pattern, int]], bool]:
     """A packing, and whether it is proven that none has fewer sequences.
 
     Branch and bound over the undominated fillings around the longest length left, each for as many sequences as it lasts, then for fewer.
@@ -260,8 +260,9 @@ def search(lengths: dict[int, int], capacity: int, nodes: int = 8_000) -> tuple[
     The incumbent is the best-fit packing. A branch is cut as soon as its waste is more than a packing with one
     sequence less may have, or where the same pieces were left before. The search ends when an incumbent meets the lower bound,
     when all is searched, or after ``nodes`` decisions, STEPS steps towards a filling counting as one:
-    only then the packing is just the best one found.
+    only then the packing is just the best one found.  With None the search goes on until all is searched, which may take very long.
     """
+    nodes = float("inf") if nodes is None else nodes
     lengths = {s: n for s, n in lengths.items() if n > 0}
     if any(not 0 < s <= capacity for s in lengths):
         raise ValueError("lengths must be from 1 to the capacity")
@@ -335,7 +336,7 @@ def _joined(top: int, rest: Pattern) -> Pattern:
     return ((top, rest[0][1] + 1), *rest[1:]) if rest and rest[0][0] == top else ((top, 1), *rest)
 
 
-def pack(cut: DataFrame, capacity: int = 4096, nodes: int = 8_000) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 4096, nodes: int | None = 8_000) -> DataFrame:
     """Add sequence_id, offset (both long) and proven (whether no packing has fewer sequences) to pieces with a length from 1 to ``capacity`` each.
 
     Places are gapless from 0. Equal rows are told apart by rank, so each gets a place of its own; which of several pieces of one length
@@ -382,6 +383,6 @@ def pack(cut: DataFrame, capacity: int = 4096, nodes: int = 8_000) -> DataFrame:
     return ranked.select(*kept, rank_).mapInArrow(run, f"{schema}, sequence_id long, offset long").withColumn("proven", F.lit(proven))
 
 
-def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """Tokenise, cut and pack documents; see ``pieces`` and ``pack``."""
-    return pack(settle(pieces(df, tokenizer, capacity, end_id, doc_id, text, with_ids)), capacity)
+def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, nodes: int | None = 8_000) -> DataFrame:
+    """Tokenise, cut and pack documents; see ``pieces`` and ``pack``. ``nodes`` bounds the search for fewer sequences, None searches all."""
+    return pack(settle(pieces(df, tokenizer, capacity, end_id, doc_id, text, with_ids)), capacity, nodes)

@@ -145,6 +145,21 @@ def test_packed_places(spark):
     assert sorted((r["doc_id"], r["piece"], r["sequence_id"], r["offset"]) for r in again.collect()) == sorted((r["doc_id"], r["piece"], r["sequence_id"], r["offset"]) for r in out)
 
 
+def test_the_search_goes_on_until_all_is_searched_without_a_bound(spark):
+    lengths = {34: 4, 33: 2, 51: 3, 26: 3, 23: 3}
+    plan, proven = packing.search(lengths, 100, nodes=None)
+    assert proven and sum(n for _, n in plan) <= sum(n for _, n in packing.search(lengths, 100, nodes=1)[0])
+    cut = spark.createDataFrame([(k, 0, s) for k, s in enumerate(s for s, n in lengths.items() for _ in range(n))], "doc_id long, piece int, length long")
+    found = packing.pack(cut, 100, nodes=None).collect()
+    assert all(r["proven"] for r in found) and len({r["sequence_id"] for r in found}) == sum(n for _, n in plan)
+
+
+def test_equal_keys_give_the_same_model_however_rows_are_dealt(spark):
+    rows = [(1, f"word{k} the and of {k}", "en") for k in range(40)] + [(1, f"mot{k} le et la {k}", "fr") for k in range(40)]
+    tables = [language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(n), rows=15).logp for n in (1, 7)]
+    assert (tables[0] == tables[1]).all()
+
+
 def test_what_is_proven():
     assert packing.search({60: 2, 40: 2}, 100) == (packing.bin_completion({60: 2, 40: 2}, 100), True)
     assert packing.search({34: 4, 33: 2}, 100)[1] and not packing.search({k: 3 for k in range(700, 1250, 7)}, 4096, nodes=1)[1]
