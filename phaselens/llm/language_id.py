@@ -72,8 +72,9 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str
         return TextModel([], np.zeros((TABLE, 0), np.float32))
     limit = max(r["top"] for r in sample)
     chosen = usable.where((rank <= limit) & F.col(label).isin(languages)).select(F.col(label).cast("string").alias("l"), F.col(text).cast("binary").alias("_text"))
-    # equal keys have one rank: where they are more than the bound leaves room for, any of them will do
-    chosen = chosen.limit(rows) if usable.where(rank <= limit).count() > rows else chosen
+    # equal keys have one rank: where they are more than the bound leaves room for, the texts' hashes say which are taken, in each run alike
+    if usable.where(rank <= limit).count() > rows:
+        chosen = usable.where((rank <= limit) & F.col(label).isin(languages)).orderBy(rank, F.xxhash64(text), F.col(label).cast("string")).limit(rows).select(F.col(label).cast("string").alias("l"), F.col(text).cast("binary").alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -163,7 +164,7 @@ def identify(df: DataFrame, model: TextModel, evidence: Evidence, keep: list[str
     rows = rows.withColumn("_share", F.pmod(F.xxhash64("_ll", *(f"_k{i}" for i in range(len(keep)))), F.lit(SHARES)).cast("int"))
     joined = rows.join(hosts.select("*", share), ["_host", "_share"], "left").join(domains.select("*", share), ["_domain", "_share"], "left")
     for n, t in told.items():
-        joined = joined.join(t, n, "left")
+        joined = joined.join(t.select("*", share), [n, "_share"], "left")
     own = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.when(F.col("_best") == k, 1.0).otherwise(0.0))
     less = lambda c: F.transform(add(F.coalesce(F.col(c), none), F.col("_own"), -1.0), lambda v: F.greatest(v, F.lit(0.0)))
     sum_ = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
