@@ -18,7 +18,7 @@ from phaselens.operators.block import prefer_block
 from phaselens.operators.deconvolution import batches, deconvolve, spectra_pair
 from phaselens.operators.rectify import quantise, rectify
 from phaselens.plans.shipping import ship
-from phaselens.sources.files import lenslet_size, load_psf, read_images, time_points, write_images
+from phaselens.sources.files import load_psf, read_images, time_points, write_images
 
 
 def deconvolve_files(spark: SparkSession, folder: str, psf: str, out: str, pattern: str = "*.tif", batch: int = 32, iterations: int = 8, block: bool | None = None) -> DataFrame:
@@ -29,8 +29,8 @@ def deconvolve_files(spark: SparkSession, folder: str, psf: str, out: str, patte
     if batch < 1 or iterations < 1:
         raise ValueError("the batch and the number of iterations must be 1 or more")
     ship(spark)
-    taps, _, _ = load_psf(spark, psf)
-    n = lenslet_size(spark, psf)
+    taps, _, optics = load_psf(spark, psf)
+    n = optics.first()["nnum"]
     images = read_images(spark, folder, pattern)
     size = images.select("h", "w").first()
     if size is None:

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from phaselens.functions.names import base_name, parse_psf_names, plane_name, require_generated, without_comment
 from phaselens.operators.projection import backward, forward
-from phaselens.operators.psf import transpose
+from phaselens.operators.psf import expand, transpose
 from phaselens.operators.synthesis import Optics, synthesise
 from phaselens.plans.lineage import cut, numbered
+from phaselens.sources.hdf5 import read_psf_file
 
 FRAME = "path string, h int, w int, dtype string, px array<float>"
 #: Columns of a worker trace, in order (fixed values).
@@ -142,11 +143,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.exists(place) and system.getFileStatus(place).isFile()
+
+
 def load_psf(spark: SparkSession, path: str, first: int = 0, number: int | None = None, again: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Taps, catalogue and optics of the point-spread function that a path names; it is synthesised and kept there if it isn't there yet, or ``again``.
 
-    Of names with the prefix of plain functions those aren't normalised by flux.
+    Of names with the prefix of plain functions those aren't normalised by flux.  A path that is a file is a container, read by ``hdf5.read_psf_file``;
+    its optics are what its name says, the lenslet's size is that in the file.
     """
+    if is_file(spark, path):
+        quarter, meta, n = read_psf_file(spark, path, first, number)
+        named = parse_psf_names(spark.sql("SELECT :p AS path", args={"p": path}))
+        return expand(quarter, n), meta, named.withColumn("nnum", F.lit(n))
     if again or not exists(spark, f"{path}/optics"):
         named = spark.sql("SELECT :p AS path", args={"p": path})
         told = require_generated(parse_psf_names(named)).first().asDict()
