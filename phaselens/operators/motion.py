@@ -8,12 +8,15 @@ the search, so there are a few for each unknown; pixels meet them as a list, and
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phaselens.operators.deconvolution import ratio, updated
+from phaselens.operators.flow import control_points, pad_edges, score, warp_uniform
+from phaselens.operators.images import roll
 from phaselens.operators.projection import backward, forward
 from phaselens.operators.psf import transpose
 from phaselens.plans.lineage import cut
@@ -202,6 +205,17 @@ def flow_judge(frame: DataFrame, points: DataFrame, triangles: DataFrame, height
     return judge
 
 
+def joint_judge(frame: DataFrame, psf: DataFrame, n: int, height: int, width: int, iterations: int, extend: int = 0) -> Judge:
+    """Scores of many shifts (dy, dx) by the objects that fit both frames best, all of them in one query."""
+
+    def judge(todo: list[list[float]]) -> list[float]:
+        tried = frame.sparkSession.createDataFrame([(k, float(y), float(x)) for k, (y, x) in enumerate(todo)], "iter int, dy double, dx double")
+        found = {r["iter"]: float(r["ssd"]) for r in joint_scores(frame, psf, n, height, width, iterations, tried, extend).collect()}
+        return [found[k] for k in range(len(todo))]
+
+    return judge
+
+
 def minimise_many(judge: Judge, start: Sequence[float], bounds: Sequence[tuple[float, float]], tolerance: float = 0.01, step: float = 0.5, rounds: int = 40) -> list[tuple[list[float], float]]:
     """History (place, score) of a quasi-Newton search inside bounds; the best of it is the result.
 
@@ -294,3 +308,74 @@ def better_beside(judge: Judge, place: Sequence[float], chosen: Sequence[int] |
     todo = [[float(v) + (d if i == k else 0.0) for i, v in enumerate(place)] for k, d in steps]
     own, *scores = judge([list(map(float, place)), *todo])
     return [(k, d, (own - s) / s if s else float("inf")) for (k, d), s in zip(steps, scores, strict=True) if s < own]
+
+
+@dataclass(frozen=True)
+class Shifter:
+    """How an object is moved, given the motion (dy, dx) of some control points: a plug-in for scores and searches.
+
+    Other ways to move are further classes with ``points`` and ``shifted``; ``SHIFTERS`` has those that are named.
+    """
+
+    height: int
+    width: int
+
+    def points(self, spark: SparkSession) -> DataFrame:
+        """(k, cx, cy) of the control points, where flow vectors are drawn."""
+        return spark.createDataFrame([(0, float(self.width // 2), float(self.height // 2))], "k int, cx double, cy double")
+
+    def shifted(self, pixels: DataFrame, moves: Sequence[tuple[float, float]]) -> DataFrame:
+        raise NotImplementedError
+
+
+class RolledShifter(Shifter):
+    """One motion for all pixels; what leaves at an edge comes in at the other one, parts of pixels are shared between neighbours."""
+
+    def shifted(self, pixels: DataFrame, moves: Sequence[tuple[float, float]]) -> DataFrame:
+        return roll(roll(pixels, moves[0][0], self.height, "y"), moves[0][1], self.width, "x")
+
+
+class UniformShifter(Shifter):
+    """One motion for all pixels, edges continued outwards."""
+
+    def shifted(self, pixels: DataFrame, moves: Sequence[tuple[float, float]]) -> DataFrame:
+        return warp_uniform(pixels, moves[0][0], moves[0][1], self.height, self.width)
+
+
+@dataclass(frozen=True)
+class MeshShifter(Shifter):
+    """A motion for each point of a grid ``spacing`` apart, affine between them; ``inner`` points only, the border is still then."""
+
+    spacing: int = 15
+    extend: int = 0
+    inner: bool = False
+
+    def points(self, spark: SparkSession) -> DataFrame:
+        return control_points(spark, self.height, self.width, self.spacing, self.inner, self.extend)
+
+    def shifted(self, pixels: DataFrame, moves: Sequence[tuple[float, float]]) -> DataFrame:
+        spark = pixels.sparkSession
+        told = spark.createDataFrame([(k, float(y), float(x)) for k, (y, x) in enumerate(moves)], "k int, dy double, dx double")
+        flow = self.points(spark).join(told, "k").select("k", "cx", "cy", "dx", "dy")
+        if self.inner:
+            flow = pad_edges(control_points(spark, self.height, self.width, self.spacing, False, self.extend), flow)
+        at = [(r["cx"], r["cy"]) for r in flow.orderBy("k").select("cx", "cy").collect()]  # control points
+        return warp_mesh(pixels, flow, triangle_table(spark, triangulate(at)), self.height, self.width)
+
+
+#: Ways to move by name.
+SHIFTERS: dict[str, type[Shifter]] = {"rolled": RolledShifter, "uniform": UniformShifter, "mesh": MeshShifter}
+
+
+def shift_judge(frame: DataFrame, shifter: Shifter, extend: int = 0) -> Judge:
+    """Scores of motions by any shifter, each its own query: the first frame moved, against the second."""
+
+    def judge(todo: list[list[float]]) -> list[float]:
+        first = frame.where("t = 0").select("t", "y", "x", "v")
+        out = []
+        for x in todo:
+            moved = shifter.shifted(first, list(zip(x[::2], x[1::2], strict=True))).withColumn("t", F.lit(1)).select("t", "y", "x", "v")
+            out.append(float(score(first.unionByName(moved), frame, shifter.height, shifter.width, extend).first()["ssd"]))
+        return out
+
+    return judge

@@ -21,8 +21,8 @@ def summary(log: DataFrame) -> DataFrame:
 
 def reuse_distance(sequence: DataFrame, order: str, mutex: str) -> DataFrame:
     """How many places ago the same mutex was taken; 0 if never."""
-    w = Window.partitionBy(mutex).orderBy(order)
-    return sequence.select(order, mutex, F.coalesce(F.col(order) - F.lag(order).over(w), F.lit(0)).alias("distance"))
+    last = previous(sequence.select(order, mutex), [mutex], order, order)
+    return last.select(order, mutex, F.coalesce(F.col(order) - F.col("before"), F.lit(0)).alias("distance"))
 
 
 def efficiency(scaling: DataFrame) -> DataFrame:
@@ -40,20 +40,41 @@ def excess(scaling: DataFrame) -> DataFrame:
 
 def changed(trials: DataFrame) -> DataFrame:
     """Elements of the shift that differ from the previous trial's: (iter, k, value)."""
-    each = trials.select("iter", F.posexplode("shift").alias("k", "value"))
-    w = Window.partitionBy("k").orderBy("iter")
-    return each.withColumn("before", F.lag("value").over(w)).where(F.col("before").isNotNull() & (F.col("value") != F.col("before"))).select("iter", "k", "value")
+    each = previous(trials.select("iter", F.posexplode("shift").alias("k", "value")), ["k"], "iter", "value")
+    return each.where(F.col("before").isNotNull() & (F.col("value") != F.col("before"))).select("iter", "k", "value")
 
 
 def runs(trials: DataFrame, least: int = 2) -> DataFrame:
     """Stretches of more than ``least`` trials in which an element keeps its value: (k, value, first, last, number)."""
-    each = trials.select("iter", F.posexplode("shift").alias("k", "value"))
-    w = Window.partitionBy("k").orderBy("iter")
-    fresh = F.when(F.col("value") == F.lag("value").over(w), 0).otherwise(1)
-    marked = each.withColumn("_fresh", fresh).withColumn("run", F.sum("_fresh").over(w))
+    each = previous(trials.select("iter", F.posexplode("shift").alias("k", "value")), ["k"], "iter", "value")
+    marked = running_sum(each.withColumn("_fresh", F.when(F.col("value") == F.col("before"), 0).otherwise(1)), ["k"], "iter", "_fresh", "run")
     return marked.groupBy("k", "run").agg(F.first("value").alias("value"), F.min("iter").alias("first"), F.max("iter").alias("last"), F.count("*").alias("number")).where(F.col("number") > least).drop("run")
 
 
+def previous(rows: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
+    """``rows`` with before: the value of the row before, by ``order``, among those of equal keys; null for the first.
+
+    Windows hold a range of ``order`` of one key.  A range's first row gets the last value of the key's range before, of which there is a
+    row for each range, so a key with most of the rows is no task of its own.
+    """
+    dealt = _ranges(rows, order)
+    w = Window.partitionBy(*key, "part").orderBy(order)
+    ends = dealt.groupBy(*key, "part").agg(F.max_by(F.struct(value), order).alias("_end"))
+    ends = ends.select(*key, "part", F.lag("_end").over(Window.partitionBy(*key).orderBy("part")).alias("_carried"))
+    own = dealt.withColumn("_own", F.lag(F.struct(value)).over(w)).join(ends, [*key, "part"])
+    return own.select(*rows.columns, F.coalesce("_own", "_carried")[value].alias("before"))
+
+
+def running_sum(rows: DataFrame, key: list[str], order: str, value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` up to each row, by ``order``, among those of equal keys; sums of whole earlier ranges are carried over."""
+    dealt = _ranges(rows, order)
+    own = F.sum(value).over(Window.partitionBy(*key, "part").orderBy(order))
+    ends = dealt.groupBy(*key, "part").agg(F.sum(value).alias("_sum"))
+    earlier = F.sum("_sum").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*key, "part", F.coalesce(earlier, F.lit(0)).alias("_carried"))
+    return dealt.withColumn("_own", own).join(ends, [*key, "part"]).select(*rows.columns, (F.col("_own") + F.col("_carried")).alias(name))
+
+
 def _ranges(rows: DataFrame, order: str, least: int = 64, each: int = 100_000) -> DataFrame:
     """``rows`` with part: ranges of ``order`` of equal width, as many as the number of rows asks for."""
     ends = rows.agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count("*").alias("n")).first()

@@ -173,3 +173,34 @@ def test_joint_scores_of_all_candidates_at_once(spark):
     for k, dy, dx in ((0, 1.0, 2.0), (1, 0.5, -1.25)):
         alone = flow.score(flow.joint_candidate(frame, fx.psf(spark), 3, 30, 45, 1, dy, dx), frame, 30, 45).first()["ssd"]
         assert abs(found[k] - alone) < 1e-6 * alone
+
+
+def test_shifters_move_alike_where_they_can(spark):
+    height, width = 18, 24
+    image = blobs(height, width)
+    pixels = frame_of(spark, image).drop("t")
+    moved = {n: image_of(kind(height, width).shifted(pixels, [(2.0, -3.0)] * (6 if n == "mesh" else 1)), height, width) for n, kind in motion.SHIFTERS.items() if n != "mesh"}
+    mesh = motion.MeshShifter(height, width, spacing=12)
+    number = mesh.points(spark).count()
+    moved["mesh"] = image_of(mesh.shifted(pixels, [(2.0, -3.0)] * number), height, width)
+    assert np.abs(moved["rolled"] - np.roll(image, (2, -3), (0, 1))).max() < 1e-9
+    edge = np.pad(image, 4, "edge")[2 : 2 + height, 7 : 7 + width]
+    assert np.abs(moved["uniform"] - edge).max() < 1e-9
+    inside = {(r["cx"], r["cy"]) for r in mesh.points(spark).collect()}
+    right, bottom = max(x for x, _ in inside), max(y for _, y in inside)
+    assert np.abs(moved["mesh"][: bottom + 1, : right + 1] - edge[: bottom + 1, : right + 1]).max() < 1e-9
+    still = motion.MeshShifter(height, width, spacing=6, inner=True)
+    kept = image_of(still.shifted(pixels, [(1.0, 1.0)] * still.points(spark).count()), height, width)
+    assert np.abs(kept[0] - image[0]).max() < 1e-9 and np.abs(kept - image).max() > 1
+
+
+def test_judges_of_plug_ins(spark):
+    height, width = 18, 24
+    image = blobs(height, width)
+    frame = frame_of(spark, image).unionByName(frame_of(spark, np.roll(image, (1, 2), (0, 1)), 1))
+    good, bad = motion.shift_judge(frame, motion.RolledShifter(height, width))([[1.0, 2.0], [0.0, 0.0]])
+    assert good < 1e-12 < bad
+    taps = fx.psf(spark)
+    frame = fx.frame(spark, "/root/testdata/sf0.001")
+    alone = motion.joint_scores(frame, taps, 3, 30, 45, 1, spark.createDataFrame([(0, 1.0, 2.0)], "iter int, dy double, dx double")).first()["ssd"]
+    assert abs(motion.joint_judge(frame, taps, 3, 30, 45, 1)([[0.0, 0.0], [1.0, 2.0]])[1] - alone) < 1e-9 * alone
