@@ -151,13 +151,21 @@ def pair_backward(frame: DataFrame, psf: DataFrame, n: int, height: int, width:
     return first.unionByName(second).groupBy("z", "y", "x").agg((F.sum("v") / 2).alias("v"))
 
 
-def deconvolve_pair(frame: DataFrame, psf: DataFrame, n: int, height: int, width: int, iterations: int, dy: float, dx: float) -> DataFrame:
-    """Richardson-Lucy of a pair of frames into one object, given the shift between them."""
+def deconvolve_pair(frame: DataFrame, psf: DataFrame, n: int, height: int, width: int, iterations: int, dy: float, dx: float, standard: bool = False, guess: DataFrame | None = None) -> DataFrame:
+    """Richardson-Lucy of a pair of frames into one object, given the shift between them, from their back projection or ``guess``.
+
+    The ``standard`` form multiplies by the back projection of what the frames show over what the object would.
+    """
     keys = ["z", "y", "x"]
     start = cut(pair_backward(frame, psf, n, height, width, dy, dx))
-    now = start
+    now = start if guess is None else guess.select(*keys, "v")
     for _ in range(iterations):
         seen = pair_forward(now, psf, n, height, width, dy, dx)
+        if standard:
+            blur = frame.join(seen.withColumnRenamed("v", "s"), ["t", "y", "x"], "left").select("t", "y", "x", ratio(F.col("v"), F.coalesce("s", F.lit(0.0))).alias("v"))
+            factor = pair_backward(blur, psf, n, height, width, dy, dx).withColumnRenamed("v", "f")
+            now = cut(now.join(factor, keys, "left").select(*keys, updated(F.col("v"), F.coalesce("f", F.lit(0.0))).alias("v")))
+            continue
         again = pair_backward(seen, psf, n, height, width, dy, dx).withColumnRenamed("v", "d")
         step = now.join(start.withColumnRenamed("v", "s"), keys, "left").join(again, keys, "left")
         now = cut(step.select(*keys, updated(F.col("v"), ratio(F.coalesce("s", F.lit(0.0)), F.coalesce("d", F.lit(0.0)))).alias("v")))
@@ -180,6 +188,18 @@ def point_psf(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT 0 AS z, 0 AS b, 0 AS a, 0 AS dv, 0 AS du, 1.0D AS h")
 
 
+def trivial_object(frame: DataFrame, dy: float, dx: float, height: int, width: int) -> DataFrame:
+    """The object (z, y, x, v) of a pair of frames that are seen as they are: the mean of the first and the second shifted back."""
+    first, second = (frame.where(F.col("t") == t).select("y", "x", "v") for t in (0, 1))
+    both = first.unionByName(warp_uniform(second, -dy, -dx, height, width))
+    return both.groupBy("y", "x").agg((F.sum("v") / 2).alias("v")).select(F.lit(0).alias("z"), "y", "x", "v")
+
+
+def trivial_candidate(frame: DataFrame, dy: float, dx: float, height: int, width: int) -> DataFrame:
+    """What both frames would show of ``trivial_object``."""
+    return pair(trivial_object(frame, dy, dx, height, width), dy, dx, height, width).select("t", "y", "x", "v")
+
+
 def naive_scores(frame: DataFrame, candidates: DataFrame, height: int, width: int, extend: int = 0) -> DataFrame:
     """candidates (iter, dy, dx) with ssd: all of them in one query, each the first frame shifted against the second.
 

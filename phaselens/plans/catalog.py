@@ -778,6 +778,40 @@ def _(spark, sf_dir):
     return motion.joint_scores(fx.frame(spark, sf_dir), fx.psf(spark), N, H, W, 1, tried).withColumn("ssd", F.round("ssd", 2))
 
 
+@query("pair_standard", sql("f", "p", "q", *pair_back_sql("f", "ps"), pair_sql("ps", "pp"), forward_sql("pp", "pf"), ERROR.replace("JOIN hx", "JOIN pf"), *pair_back_sql("er", "pd"), "SELECT s.z, s.y, s.x, round(s.v * d.v, 4) AS v FROM ps s JOIN pd d USING (z, y, x)"))
+def _(spark, sf_dir):
+    return flow.deconvolve_pair(fx.frame(spark, sf_dir), fx.psf(spark), N, H, W, 1, 1.0, 2.0, standard=True).withColumn("v", F.round("v", 4))
+
+
+@query("trivial_score", sql("f",
+    "o AS (SELECT 0 AS z, y, x, sum(v) / 2 AS v FROM (SELECT y, x, v FROM f WHERE t = 0 UNION ALL SELECT o.y, o.x, a.v FROM f o JOIN f a ON o.t = 0 AND a.t = 1 AND a.y = least(o.y + 1, 29) AND a.x = least(o.x + 2, 44)) GROUP BY ALL)", pair_sql("o", "c"),
+    "k AS (SELECT (SELECT avg(v) FROM c WHERE t = 0) / (SELECT avg(v) FROM f WHERE t = 0) AS scale)",
+    "SELECT round(sum(pow(c.v / scale - f.v, 2)), 2) AS ssd FROM c JOIN f USING (t, y, x), k WHERE y BETWEEN 1 AND 28 AND x BETWEEN 1 AND 43"))
+def _(spark, sf_dir):
+    f = fx.frame(spark, sf_dir)
+    return flow.score(flow.trivial_candidate(f, 1.0, 2.0, H, W), f, H, W).withColumn("ssd", F.round("ssd", 2))
+
+
+@query("perturbed_scores", sql("f", MESH[0], "mo AS (SELECT 0 AS iter, k, dy, dx FROM mv UNION ALL SELECT (1 + 4 * i + u)::INTEGER, k, dy + CASE WHEN u = 2 * k THEN d ELSE 0 END, dx + CASE WHEN u = 2 * k + 1 THEN d ELSE 0 END FROM mv, range(4) r(u), (VALUES (0, 7), (1, 8), (2, 12), (3, 13)) v(i, d))", *MESH[1:],
+    "sc AS (SELECT iter, sum((sa.v - f.v) * (sa.v - f.v)) AS ssd FROM sa JOIN f ON sa.t = 0 AND f.t = 1 AND f.y = sa.y AND f.x = sa.x WHERE sa.y BETWEEN 1 AND 28 AND sa.x BETWEEN 1 AND 43 GROUP BY iter)",
+    "SELECT ((iter - 1) % 4)::INTEGER AS unknown, [7.0::DOUBLE, 8.0, 12.0, 13.0][(iter - 1) // 4 + 1] AS step, round(((SELECT ssd FROM sc WHERE iter = 0) - ssd) / ssd, 9) AS gain FROM sc WHERE iter > 0 AND ssd < (SELECT ssd FROM sc WHERE iter = 0)"))
+def _(spark, sf_dir):
+    points, triangles = mesh_flow(spark, sf_dir)
+    place = [float(v) for r in points.orderBy("k").select("dy", "dx").collect() for v in r]  # five control points
+    found = motion.better_beside(motion.flow_judge(fx.frame(spark, sf_dir), points.select("k", "cx", "cy"), triangles, H, W), place)
+    return spark.createDataFrame([(k, d, round(g, 9)) for k, d, g in found], "unknown int, step double, gain double")
+
+
+@query("resource_report", sql("log",
+    "ta AS (SELECT worktype, t_start, t_end, m0, m1, memory, src2, item % 97 AS written, floor(m0 * 100000)::BIGINT AS spilled, (item % 10 = 3) AS failed, floor(m1 * 100000) / 1000 AS cpu FROM log)",
+    "SELECT worktype, count(*) AS tasks, count(*) FILTER (failed) AS failed, round(sum(t_end - t_start), 3) AS busy, round(sum(cpu), 3) AS cpu, round(sum(m0), 3) AS fetching, round(sum(m1), 3) AS writing, max(memory) AS memory, sum(src2)::BIGINT AS read, sum(written)::BIGINT AS written, sum(spilled)::BIGINT AS spilled FROM ta GROUP BY worktype"))
+def _(spark, sf_dir):
+    own = fx.thread_log(spark, sf_dir).withColumns({
+        "written": F.col("item") % 97, "spilled": F.floor(F.col("m0") * 100000).cast("bigint"), "failed": F.col("item") % 10 == 3, "cpu": F.floor(F.col("m1") * 100000) / 1000,
+    })
+    return tasks.resources(own).withColumns({c: F.round(c, 3) for c in ("busy", "cpu", "fetching", "writing")})
+
+
 # Traces: the rest
 
 
