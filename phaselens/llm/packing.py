@@ -31,6 +31,8 @@ SHARES, EACH = 64, 1_000_000
 CACHE_WORDS = 150_000
 #: Steps towards a filling that count as one decision; the deepest levels whose place in the fillings is held, others look it up again.
 STEPS, OPEN = 64, 64
+#: Fillings of the least waste among which dives for a first packing look.
+EVEN = (100, 400)
 Pattern = tuple[tuple[int, int], ...]
 
 
@@ -247,6 +249,40 @@ def fillings(size: list[int], n: list[int], room: int, most: int) -> Iterator[tu
                     pattern.pop()
 
 
+def even_dive(lengths: dict[int, int], capacity: int, look: int) -> list[tuple[Pattern, int]]:
+    """A packing without ways back: around the longest length left, of the first ``look`` fillings of the least waste, always the one whose pieces are the most alike, for as many sequences as it lasts.
+
+    So short pieces are kept for the end, where long ones alone would leave much room.
+    """
+    left, plan = dict(lengths), []
+    while left:
+        top = max(left)
+        size = sorted((s for s in left if s <= capacity - top and left[s] - (s == top) > 0), reverse=True)
+        best: tuple[tuple[int, int], Pattern] | None = None
+        found = 0
+        for steps, way in enumerate(fillings(size, [left[s] - (s == top) for s in size], capacity - top, capacity - top)):
+            if way is None:
+                if best and steps > 4 * look:
+                    break
+                continue
+            if best and way[0] > best[0][0]:
+                break
+            found += 1
+            key = (way[0], sum(s * s * k for s, k in way[1]))
+            if best is None or key < best[0]:
+                best = (key, way[1])
+            if found == look:
+                break
+        pattern = _joined(top, best[1])
+        n = min(left[s] // k for s, k in pattern)
+        plan.append((pattern, n))
+        for s, k in pattern:
+            left[s] -= n * k
+            if not left[s]:
+                del left[s]
+    return plan
+
+
 def bin_completion(lengths: dict[int, int], capacity: int, nodes: int | None = 8_000) -> list[tuple[Pattern, int]]:
     """The best packing that ``search`` finds: kinds of sequence and how many of each."""
     return search(lengths, capacity, nodes)[0]
@@ -257,7 +293,8 @@ def search(lengths: dict[int, int], capacity: int, nodes: int | None = 8_000) ->
 
     Branch and bound over the undominated fillings around the longest length left, each for as many sequences as it lasts, then for fewer.
 
-    The incumbent is the best-fit packing. A branch is cut as soon as its waste is more than a packing with one
+    The incumbent is the best-fit packing, or an even dive's if that has fewer sequences (dives look
+    at EVEN fillings, and are made if ``nodes`` is more than that). A branch is cut as soon as its waste is more than a packing with one
     sequence less may have, or where the same pieces were left before. The search ends when an incumbent meets the lower bound,
     when all is searched, or after ``nodes`` decisions, STEPS steps towards a filling counting as one:
     only then the packing is just the best one found.  With None the search goes on until all is searched, which may take very long.
@@ -271,6 +308,9 @@ def search(lengths: dict[int, int], capacity: int, nodes: int | None = 8_000) ->
         return whole, True
     count = lambda plan: sum(n for _, n in plan)
     best, least, total = best_fit(lengths, capacity), least_bins(lengths, capacity), sum(s * n for s, n in lengths.items())
+    for look in EVEN:
+        if count(best) > least and nodes > look:
+            best = min(best, even_dive(lengths, capacity, look), key=count)
     left = np.zeros(capacity + 1, np.int64)
     for s, n in lengths.items():
         left[s] = n

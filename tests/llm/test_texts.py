@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -154,6 +155,19 @@ def test_the_search_goes_on_until_all_is_searched_without_a_bound(spark):
     assert all(r["proven"] for r in found) and len({r["sequence_id"] for r in found}) == sum(n for _, n in plan)
 
 
+def test_even_dives_come_near_the_bound():
+    for seed, number, low, high, most in ((1, 5000, 700, 1250, 1200), (2, 2000, 700, 1250, 478)):
+        r = random.Random(seed)
+        lengths = Counter(r.randint(low, high) for _ in range(number))
+        plan, _ = packing.search(lengths, 4096, nodes=401)
+        used = Counter()
+        for pattern, n in plan:
+            assert sum(s * k for s, k in pattern) <= 4096
+            used.update({s: n * k for s, k in pattern})
+        bins = sum(n for _, n in plan)
+        assert used == lengths and bins <= most < sum(n for _, n in packing.best_fit(lengths, 4096)) - 30
+
+
 def test_equal_keys_give_the_same_model_however_rows_are_dealt(spark):
     rows = [(1, f"word{k} the and of {k}", "en") for k in range(40)] + [(1, f"mot{k} le et la {k}", "fr") for k in range(40)]
     tables = [language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(n), rows=15).logp for n in (1, 7)]
