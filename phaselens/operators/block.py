@@ -273,19 +273,26 @@ def _frames(column: pa.ChunkedArray, kept: Spectra) -> np.ndarray:
     return np.nan_to_num(_stack(column, kept.height, kept.width), nan=0.0, posinf=np.inf, neginf=-np.inf)
 
 
-def _run(images: DataFrame, kept: Spectra, each: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def _share(kept: Spectra) -> int:
+    """Time points that a task can hold at once."""
+    by = kept.transforms()
+    return max(1, SHARE_BYTES // (16 * kept.n**2 * by.shape[0] * (by.shape[1] // 2 + 1)))
+
+
+def fit_together(blocks: DataFrame, kept: Spectra) -> bool:
+    """Whether a task can hold all time points of frames or volumes at once."""
+    return len(blocks.select(F.floor(F.col("t") / _share(kept)).alias("part")).distinct().limit(2).collect()) < 2
+
+
+def _run(images: DataFrame, kept: Spectra, each: Callable[[pa.Table, pa.Table], pa.Table], schema: str, together: bool) -> DataFrame:
     """``each`` of the frames (t, cell, ...) and the kernels of a cell, for as many time points at once as a task can hold.
 
-    Where all time points fit, the kernels' table stays where it is and only frames move; else it is repeated for each share of them.
+    Where all time points fit ``together``, the kernels' table stays where it is and only frames move; else it is repeated for each share of them.
     """
-    by = kept.transforms()
-    share = max(1, SHARE_BYTES // (16 * kept.n**2 * by.shape[0] * (by.shape[1] // 2 + 1)))
-    images = images.withColumn("part", F.floor(F.col("t") / share))
-    parts = [r[0] for r in images.select("part").distinct().limit(2).collect()]
-    if len(parts) < 2:
+    if together:
         return kept.rows().groupBy("cell").cogroup(images.groupBy("cell")).applyInArrow(each, schema)
-    pairs = images.select("cell", "part").distinct()
-    taps = kept.rows().join(pairs, "cell")
+    images = images.withColumn("part", F.floor(F.col("t") / _share(kept)))
+    taps = kept.rows().join(images.select("cell", "part").distinct(), "cell")
     # names anew, as both sides come from the same images
     return taps.toDF(*taps.columns).groupBy("cell", "part").cogroup(images.groupBy("cell", "part")).applyInArrow(each, schema)
 
@@ -304,8 +311,12 @@ def _added(parts: DataFrame, keys: list[str]) -> DataFrame:
     return some.withColumn("part", F.lit(0)).groupBy(*keys).applyInArrow(add, schema).select(*keys, "px")
 
 
-def backward(blocks: DataFrame, kept: Spectra) -> DataFrame:
-    """(z, t, px) of frames (t, px) by the spectra of the transposed function.  A frame is sent once to each cell, which may hold many planes."""
+def backward(blocks: DataFrame, kept: Spectra, together: bool | None = None) -> DataFrame:
+    """(z, t, px) of frames (t, px) by the spectra of the transposed function.  A frame is sent once to each cell, which may hold many planes.
+
+    ``together`` is what ``fit_together`` says, where that is known; else it is asked.
+    """
+    together = fit_together(blocks, kept) if together is None else together
     cells = sorted({c for own in kept.cells.values() for c in own})
 
     def each(taps: pa.Table, images: pa.Table) -> pa.Table:
@@ -322,12 +333,13 @@ def backward(blocks: DataFrame, kept: Spectra) -> DataFrame:
 
     kept_ = _plain(kept)
     images = blocks.select(F.col("t").cast("int").alias("t"), "px", F.explode(F.array(*map(F.lit, cells)).cast("array<int>")).alias("cell"))
-    found = _run(images, kept, each, "part int, z int, t int, px array<double>")
+    found = _run(images, kept, each, "part int, z int, t int, px array<double>", together)
     return _added(found, ["z", "t"]) if any(len(c) > 1 for c in kept.cells.values()) else found.select("z", "t", "px")
 
 
-def forward(blocks: DataFrame, kept: Spectra) -> DataFrame:
+def forward(blocks: DataFrame, kept: Spectra, together: bool | None = None) -> DataFrame:
     """(t, px) of volumes (z, t, px): a cell's planes are added up before they are transformed back, and then the cells' sums."""
+    together = fit_together(blocks, kept) if together is None else together
 
     def each(taps: pa.Table, images: pa.Table) -> pa.Table:
         by, out, t_of = kept_.transforms(), [], []
@@ -348,7 +360,7 @@ def forward(blocks: DataFrame, kept: Spectra) -> DataFrame:
         return blocks.select("t", "px").where(F.lit(False))
     cells = F.element_at(F.create_map(*(x for z, own in kept.cells.items() for x in (F.lit(z), F.array(*map(F.lit, own)).cast("array<int>")))), F.col("z").cast("int"))
     images = blocks.where(F.col("z").isin(list(kept.cells))).select(F.col("z").cast("int").alias("z"), F.col("t").cast("int").alias("t"), "px", F.explode(cells).alias("cell"))
-    return _added(_run(images, kept, each, "part int, t int, px array<double>"), ["t"])
+    return _added(_run(images, kept, each, "part int, t int, px array<double>", together), ["t"])
 
 
 def _plain(kept: Spectra) -> Spectra:
@@ -392,19 +404,22 @@ def deconvolve(
     if {(x.height, x.width) for x in kept} != {(height, width)}:
         raise ValueError("these spectra are for frames of another size")
     seen = cut(to_blocks(frame, height, width))
-    start = cut(backward(seen, back))
+    # asked once, of frames that are there: what is still to be computed would be computed for it
+    together = fit_together(seen, forth) and fit_together(seen, back)
+    kept_there = (lambda df: df) if together else cut  # shares of time points are told of frames, too
+    start = cut(backward(seen, back, together))
     now = to_blocks(guess, height, width, np.nan) if guess is not None else merged(start, [], lambda p: np.where(p == 0, np.nan, p))
     trust = []
     if mask is not None:
         lit = mask.where("m <> 0").select(F.lit(0).alias("t"), "y", "x", F.lit(1.0).alias("v"))
-        trust = [(cut(backward(to_blocks(lit, height, width), back).drop("t")), ["z"])]
+        trust = [(cut(backward(to_blocks(lit, height, width), back, True).drop("t")), ["z"])]
     for k in range(iterations):
-        made = forward(now, forth)
+        made = kept_there(forward(now, forth, together))
         if standard:
-            factor = backward(merged(seen, [(made, ["t"])], quotient), back)
+            factor = backward(kept_there(merged(seen, [(made, ["t"])], quotient)), back, together)
             now = merged(now, [(factor, ["z", "t"]), *trust], lambda p, q, *r: p * (quotient(q, r[0]) if r else q))
         else:
-            now = merged(now, [(start, ["z", "t"]), (backward(made, back), ["z", "t"])], lambda p, q, r: p * quotient(q, r))
+            now = merged(now, [(start, ["z", "t"]), (backward(made, back, together), ["z", "t"])], lambda p, q, r: p * quotient(q, r))
         now = cut(now)
         if each:
             each(k, to_pixels(now, width))
