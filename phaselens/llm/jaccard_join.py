@@ -244,7 +244,8 @@ def _components(df: DataFrame, size: int, percent: int, orders: int, doc_id: str
     # clusters of the documents that meet in long lists
     hot = components(met.join(parts.where(F.col("size") > short_list), ["token", "part"]).select(F.col("least").alias("a"), F.col("rep").alias("b")))
     hot = settle(hot)
-    short = met.join(parts.where(F.col("size") <= short_list).select("token", "part"), ["token", "part"])
+    # both sides of the pairing read one table, so the postings are looked up once
+    short = settle(met.join(parts.where(F.col("size") <= short_list).select("token", "part"), ["token", "part"]))
     left, right = (short.select("token", "part", F.col("rep").alias(k), *(F.col(c).alias(f"{c}{k}") for c in ("n", "pos", "own"))) for k in "ab")
     # a shared token at places posa and posb has at most the fewer of both before it in common, and the fewer of both from it on;
     # this holds for every shared token of two similar sets, so their number stays whole
