@@ -30,28 +30,42 @@ CHUNK = 16_000_000
 END, LONG = "\n", 64
 #: Entries of words' contexts that are looked at together.
 ENTRIES = 50_000
+#: Tokens, or words and their contexts, that one vectorised step takes; a chunk has some millions.
+PIECE = 1 << 19
+#: Bytes in an Arrow batch sent to a worker, or one row: chunks go one by one.
+BATCH = 4_000_000
 
 
-def chunk_row(batches: list[pa.RecordBatch], name: int) -> pa.RecordBatch:
-    """One row of texts (doc_id, text, held): tokens are places in ``words``, which has the end first and then words by count; n counts training tokens."""
-    table = pa.Table.from_batches(batches).combine_chunks()
-    texts = pc.fill_null(table.column("text").combine_chunks(), "")
+def coded(piece: pa.RecordBatch) -> tuple:
+    """Of some texts (doc_id, text, held): ids, held, numbers of tokens, and the words' codes behind 0 for the ends, in a dictionary of their own."""
+    texts = pc.fill_null(piece.column("text"), "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     flat = lists.flatten()
     real = pc.greater(pc.binary_length(flat), 0)
-    doc, coded = doc[real.to_numpy(zero_copy_only=False)], flat.filter(real).dictionary_encode()
+    doc, words = doc[real.to_numpy(zero_copy_only=False)], flat.filter(real).dictionary_encode()
     sizes = np.bincount(doc, minlength=len(texts)) + 1
-    ends = np.cumsum(sizes)
-    tokens = np.zeros(int(ends[-1]), np.int64)
-    tokens[np.arange(len(doc)) + doc] = coded.indices.to_numpy(zero_copy_only=False) + 1
-    order = np.argsort(-np.bincount(tokens, minlength=len(coded.dictionary) + 1)[1:], kind="stable")
-    place = np.zeros(len(order) + 1, np.int64)
+    tokens = np.zeros(int(sizes.sum()), np.uint32)
+    tokens[np.arange(len(doc)) + doc] = words.indices.to_numpy(zero_copy_only=False) + 1
+    ids = piece.column("doc_id").take(pa.array(np.arange(len(texts))))  # a slice would keep its batch
+    return ids, piece.column("held").to_numpy(zero_copy_only=False), sizes, tokens, words.dictionary
+
+
+def chunk_row(pieces: list[tuple], name: int) -> pa.RecordBatch:
+    """One row of coded texts: tokens are places in ``words``, which has the end first and then words by count; n counts training tokens."""
+    ids, held, sizes, codes, dictionaries = zip(*pieces, strict=True)
+    # the dictionaries as one, in which each piece's words have these places
+    merged = pa.chunked_array([pa.DictionaryArray.from_arrays(pa.array(np.arange(len(d), dtype=np.int32)), d) for d in dictionaries]).unify_dictionaries()
+    words = merged.chunk(0).dictionary
+    codes = [np.append(np.uint32(0), c.indices.to_numpy().astype(np.uint32) + np.uint32(1))[t] for c, t in zip(merged.chunks, codes, strict=True)]
+    times = sum(np.bincount(t, minlength=len(words) + 1) for t in codes)
+    order = np.argsort(-times[1:], kind="stable")
+    place = np.zeros(len(order) + 1, "<u4")
     place[order + 1] = np.arange(1, len(order) + 1)
-    tokens = place[tokens]
-    held = table.column("held").to_numpy()
-    n = np.bincount(tokens[~np.repeat(held, sizes)], minlength=len(order) + 1)
-    words = coded.dictionary.take(pa.array(order))
+    codes = [place[t] for t in codes]
+    n = sum(np.bincount(t[~np.repeat(h.astype(bool), z)], minlength=len(order) + 1) for t, h, z in zip(codes, held, sizes, strict=True))
+    held, sizes, tokens = np.concatenate(held).astype(bool), np.concatenate(sizes), np.concatenate(codes)
+    words = words.take(pa.array(order))
     long = pc.greater(pc.binary_length(words), LONG)
     if pc.any(long).as_py():
         names = [END + hashlib.sha256(w.encode()).hexdigest() for w in words.filter(long).to_pylist()]
@@ -59,7 +73,7 @@ def chunk_row(batches: list[pa.RecordBatch], name: int) -> pa.RecordBatch:
     words = pa.concat_arrays([pa.array([END], words.type), words])
     one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
     return pa.RecordBatch.from_arrays(
-        [pa.array([name]), one(table.column("doc_id").combine_chunks()), one(pa.array(held)), one(pa.array(ends)), pa.array([tokens.astype("<u4").tobytes()], pa.binary()), one(words.cast(pa.string())), one(pa.array(n))],
+        [pa.array([name]), one(pa.concat_arrays(ids)), one(pa.array(held)), one(pa.array(np.cumsum(sizes))), pa.array([tokens.tobytes()], pa.binary()), one(words.cast(pa.string())), one(pa.array(n))],
         names=["chunk", "doc_ids", "held", "ends", "tokens", "words", "n"],
     )
 
@@ -68,28 +82,32 @@ def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of a task's texts, named by the task's number and theirs."""
     part, k, now, size = TaskContext.get().partitionId(), 0, [], 0
     for piece in slices(batches, "text"):
-        now.append(piece)
+        now.append(coded(piece))
         size += piece.column("text").nbytes
         if size >= CHUNK:
             yield chunk_row(now, part << 32 | k)
             k, now, size = k + 1, [], 0
+            pa.default_memory_pool().release_unused()
     if now:
         yield chunk_row(now, part << 32 | k)
 
 
-def bigrams(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Training tokens of a chunk, and those before them; the end comes before a text's first."""
-    tokens = np.frombuffer(row["tokens"].as_buffer(), "<u4").astype(np.int64)
-    before = np.concatenate([[0], tokens[:-1]])
+def bigrams(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Training tokens of a chunk, and those before them, piece by piece; the end comes before a text's first."""
+    tokens = np.frombuffer(row["tokens"].as_buffer(), "<u4")
     ends = row["ends"].values.to_numpy()
     known = np.repeat(~row["held"].values.to_numpy(zero_copy_only=False), np.diff(ends, prepend=0))
-    return tokens[known], before[known]
+    for i in range(0, len(tokens), PIECE):
+        some = known[i : i + PIECE]
+        token = tokens[i : i + PIECE].astype(np.int64)
+        yield token[some], np.append(tokens[i - 1] if i else 0, token[:-1])[some]
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield {c: batch.column(c)[i] for c in batch.schema.names}
+            pa.default_memory_pool().release_unused()
 
 
 def places(words: pa.Array, among: pa.Array) -> np.ndarray:
@@ -152,13 +170,13 @@ def exchange(chunks: DataFrame, words: list[str], classes: int, rounds: int) ->
                 own = np.append(now, classes)[at]
                 own[0] = 0
                 mover = np.where((at >= 0) & np.append(moving, False)[at], at, -1)
-                token, before = bigrams(row)
-                pairs += np.bincount(own[before] * k + own[token], minlength=k * k)
-                same = token == before
-                m = mover[token]
-                around += np.bincount((m * width + np.where(same, 2 * k, own[before]))[m >= 0], minlength=len(around))
-                m = np.where(same, -1, mover[before])
-                around += np.bincount((m * width + k + own[token])[m >= 0], minlength=len(around))
+                for token, before in bigrams(row):
+                    pairs += np.bincount(own[before] * k + own[token], minlength=k * k)
+                    same = token == before
+                    m = mover[token]
+                    around += np.bincount((m * width + np.where(same, 2 * k, own[before]))[m >= 0], minlength=len(around))
+                    m = np.where(same, -1, mover[before])
+                    around += np.bincount((m * width + k + own[token])[m >= 0], minlength=len(around))
             for word, of in ((-1, pairs), (0, around)):
                 at = np.flatnonzero(of)
                 for i in range(0, len(at), 100_000):
@@ -167,7 +185,7 @@ def exchange(chunks: DataFrame, words: list[str], classes: int, rounds: int) ->
                     yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(ctx.astype(np.int32)), pa.array(of[some])], names=["word", "ctx", "n"])
 
         counted = chunks.select("tokens", "words", "ends", "held").mapInArrow(count, "word int, ctx int, n long")
-        summed = settle(counted.groupBy("word", "ctx").agg(F.sum("n").alias("n")))
+        summed = settle(counted.groupBy("word", "ctx").agg(F.sum("n").alias("n")), batch=BATCH)
         counts = np.zeros(k * k, np.int64)
         for ctx, n in summed.where("word = -1").select("ctx", "n").collect():  # classes squared
             counts[ctx] = n
@@ -220,19 +238,29 @@ def word_rows(sent) -> callable:
             at = places(words, among)
             own = np.append(now, classes)[at]
             own[0] = 0
-            token, before = bigrams(row)
             rare = own == classes
-            left = (token * 2 * k + own[before])[rare[token]]
-            right = (before * 2 * k + k + own[token])[rare[before]]
-            key, times = np.unique(np.concatenate([left, right]), return_counts=True)
-            entries = np.empty(len(key), kind)
-            entries["ctx"], entries["n"] = key % (2 * k), times
-            stops = np.searchsorted(key, 2 * k * np.arange(len(words) + 1)) * kind.itemsize
-            packed = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(stops.astype(np.int32).tobytes()), pa.py_buffer(entries.tobytes())])
-            yield pa.RecordBatch.from_arrays(
-                [words, pa.array(np.full(len(words), row["chunk"].as_py())), pa.array(np.arange(len(words), dtype=np.int32)), n, pa.array(np.where(rare, -1, own).astype(np.int32)), packed],
-                names=["word", "chunk", "at", "n", "class", "around"],
-            )
+            number = np.uint32 if len(words) * 2 * k < 1 << 32 else np.int64
+            keys = []
+            for token, before in bigrams(row):
+                left, right = rare[token], rare[before]
+                keys += [(token[left] * 2 * k + own[before[left]]).astype(number), (before[right] * 2 * k + k + own[token[right]]).astype(number)]
+            keys = np.concatenate(keys or [np.zeros(0, number)])
+            keys.sort()
+            stops = np.searchsorted(keys, (2 * k * np.arange(len(words) + 1)).astype(number))
+            load, at = stops + np.arange(len(stops)), 0
+            while at < len(words):
+                to = max(at + 1, int(np.searchsorted(load, load[at] + PIECE, "right")) - 1)
+                some, each = slice(at, to), np.arange(at, to, dtype=np.int32)
+                key, times = np.unique(keys[stops[at] : stops[to]], return_counts=True)
+                entries = np.empty(len(key), kind)
+                entries["ctx"], entries["n"] = key % (2 * k), times
+                bounds = np.searchsorted(key.astype(np.int64), 2 * k * np.arange(at, to + 1)) * kind.itemsize
+                packed = pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(entries.tobytes())])
+                yield pa.RecordBatch.from_arrays(
+                    [words[some], pa.array(np.full(len(each), row["chunk"].as_py())), pa.array(each), n[some], pa.array(np.where(rare, -1, own)[some].astype(np.int32)), packed],
+                    names=["word", "chunk", "at", "n", "class", "around"],
+                )
+                at = to
 
     return run
 
@@ -314,8 +342,9 @@ def with_classes(classes: int) -> callable:
         own, n = np.full(found.num_rows, -1, np.int16), np.zeros(found.num_rows, np.int64)
         own[found.column("at").to_numpy()], n[found.column("at").to_numpy()] = found.column("class").to_numpy(), found.column("n").to_numpy()
         chunk = chunk.combine_chunks()
-        token, before = bigrams({c: chunk.column(c)[0] for c in ("tokens", "ends", "held")})
-        pairs = np.bincount(np.maximum(own[before], 0) * classes + np.maximum(own[token], 0), minlength=classes**2)
+        pairs = np.zeros(classes**2, np.int64)
+        for token, before in bigrams({c: chunk.column(c)[0] for c in ("tokens", "ends", "held")}):
+            pairs += np.bincount(np.maximum(own[before], 0).astype(np.int64) * classes + np.maximum(own[token], 0), minlength=classes**2)
         lists = pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pa.array(pairs))
         return pa.table([*(chunk.column(c) for c in ("chunk", "doc_ids", "held", "ends", "tokens")), pa.array([own.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), lists], names=["chunk", "doc_ids", "held", "ends", "tokens", "class", "n", "pairs"])
 
@@ -350,17 +379,27 @@ class Model:
         #: Tokens of a class, and those that unknown words count for.
         self.held = size + rare
 
-    def scores(self, own: np.ndarray, n: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probabilities of tokens, by the base and by classes; own and n are the words' classes and counts."""
+    def scores(self, own: np.ndarray, n: np.ndarray, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text, the number of known tokens and log10 probabilities by the base and by classes; own and n are the words' classes and counts."""
         k = len(self.counts)
         known = n > 0
         kind = np.where(known, own, k)
         emission = np.zeros(len(n))
         emission[known] = np.log10(n[known] / self.held[own[known]])
         base = np.log10((n + 1) / (self.tokens + self.words + 1))
-        before = np.concatenate([[0], kind[tokens[:-1]]])
-        before[np.concatenate([[True], tokens[:-1] == 0])] = 0  # texts begin behind the end, known or not
-        return base[tokens], self.step[before, kind[tokens]] + emission[tokens]
+        out, at = ([], [], []), 0
+        while at < len(ends):
+            start = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, start + PIECE, "right")))
+            some = tokens[start : ends[to - 1]]
+            starts = np.append(start, ends[at : to - 1]) - start
+            before = np.append(0, kind[some[:-1]])
+            before[starts] = 0  # texts begin behind the end, known or not
+            each = known[some].astype(np.int64), base[some], self.step[before, kind[some]] + emission[some]
+            for x, e in zip(out, each, strict=True):
+                x.append(np.add.reduceat(e, starts))
+            at = to
+        return tuple(map(np.concatenate, out))
 
 
 def fit(df: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "text", classes: int = 64, frequent: int = 16_384, rounds: int = 4) -> tuple[Model, DataFrame]:
@@ -369,7 +408,7 @@ def fit(df: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "text",
         raise ValueError("classes must be from 4 to 126")
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     schema = "chunk long, doc_ids array<long>, held array<boolean>, ends array<long>, tokens binary, words array<string>, n array<long>"
-    chunks = settle(rows.mapInArrow(encoded, schema), "zstd")
+    chunks = settle(rows.mapInArrow(encoded, schema), "zstd", BATCH)
     vocabulary = settle(chunks.select(F.explode(F.arrays_zip("words", "n")).alias("w")).where("w.n > 0").groupBy("w.words").agg(F.sum("w.n").alias("n")))
     tokens, words = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # sixteenths of octaves of counts, from the top while they hold no more than ``frequent`` words
@@ -389,13 +428,13 @@ def fit(df: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "text",
     told = context.broadcast((counts, classes))
     each = chunks.select("chunk", "words", "n", "tokens", "ends", "held").mapInArrow(word_rows(sent), "word string, chunk long, at int, n long, class int, around binary")
     met = each.repartition("word").sortWithinPartitions("word")
-    found = settle(met.mapInArrow(classified(told), "chunk long, at int, class int, n long, first boolean"), "zstd")
+    found = settle(met.mapInArrow(classified(told), "chunk long, at int, class int, n long, first boolean"), "zstd", BATCH)
     once = np.zeros(classes, np.int64)
     for c, n in found.where("first and n = 1").groupBy("class").count().collect():
         once[c] = n
     finish = with_classes(classes)
     left, right = chunks.select("chunk", "doc_ids", "held", "ends", "tokens"), found.select("chunk", "at", "class", "n")
-    done = settle(left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(finish, finish.schema), "zstd")
+    done = settle(left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(finish, finish.schema), "zstd", BATCH)
     release(chunks)
     release(found)
     pairs = np.zeros(classes**2, np.int64)
@@ -421,11 +460,9 @@ def class_scores(df: DataFrame, held: Column, doc_id: str = "doc_id", text: str
             model = sent.value
             for row in rows_of(batches):
                 own, n = (np.frombuffer(row[c].as_buffer(), k).astype(np.int64) for c, k in (("class", np.int16), ("n", np.int64)))
-                tokens = np.frombuffer(row["tokens"].as_buffer(), "<u4").astype(np.int64)
                 ends = row["ends"].values.to_numpy()
-                starts = np.concatenate([[0], ends[:-1]])
-                base, by_class = (np.add.reduceat(x, starts) for x in model.scores(own, n, tokens))
-                size, known = ends - starts, np.add.reduceat((n > 0)[tokens].astype(np.int64), starts)
+                known, base, by_class = model.scores(own, n, np.frombuffer(row["tokens"].as_buffer(), "<u4"), ends)
+                size = np.diff(ends, prepend=0)
                 yield pa.RecordBatch.from_arrays(
                     [row["doc_ids"].values, row["held"].values, pa.array(size), pa.array(known), pa.array(np.full(len(size), model.tokens)), pa.array(base), pa.array(by_class), pa.array(10 ** (-by_class / size))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
@@ -435,7 +472,7 @@ def class_scores(df: DataFrame, held: Column, doc_id: str = "doc_id", text: str
             score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
         )
 
-    return concluded(make)
+    return concluded(make, BATCH)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

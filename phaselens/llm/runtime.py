@@ -21,6 +21,8 @@ SLICE_CHARS = 1_000_000
 
 #: The setting by which a query's shuffle files go when it ends.
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The setting that bounds Arrow batches by bytes; Spark's own bound is 64 MB for each task.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,22 +35,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def settle(df: DataFrame, compression: str = "snappy") -> DataFrame:
+def settle(df: DataFrame, compression: str = "snappy", batch: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor lose it with an executor.
 
-    The shuffle files of the query that wrote it go with its end.
+    The shuffle files of the query that wrote it go with its end.  Arrow batches sent to workers have ``batch`` bytes or one row, if that is given.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/phaselens/{uuid.uuid4().hex}"
-    before = spark.conf.get(TIDY, None)
-    spark.conf.set(TIDY, "true")
+    settings = {TIDY: "true"} | ({BATCH_BYTES: f"{batch}b"} if batch else {})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", compression).parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(TIDY)
-        else:
-            spark.conf.set(TIDY, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
@@ -67,10 +72,10 @@ def _delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def concluded(make: Callable[[], DataFrame]) -> DataFrame:
+def concluded(make: Callable[[], DataFrame], batch: int = 0) -> DataFrame:
     """The settled result of ``make``, without the tables that it settled on the way."""
     since = len(_written)
-    out = settle(make())
+    out = settle(make(), batch=batch)
     own = _written.pop()
     for spark, path in _written[since:]:
         _delete(spark, path)

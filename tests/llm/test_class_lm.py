@@ -1,15 +1,19 @@
 """The class-based language model against plain Python, as a distribution, and on held-out texts."""
 
+import hashlib
 import math
 import random
 import re
+import tracemalloc
+import types
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from phaselens.llm import class_lm
+from phaselens.llm import class_lm, runtime
 
 SCHEMA = "doc_id long, text string, n long, words string, held boolean"
 
@@ -39,6 +43,16 @@ def corpus(seed, texts=400, names=60):
     return rows
 
 
+END = "\n"
+
+
+def named(token):
+    """As what a chunk knows a token."""
+    if token is None:
+        return END
+    return END + hashlib.sha256(token.encode()).hexdigest() if len(token.encode()) > class_lm.LONG else token
+
+
 ODD = [(1000, None), (1001, ""), (1002, " \t\n\x0b "), (None, "the noun1 sees"), (None, None), (5, "the noun1 sees"), (5, "the noun1 sees"), (1003, "Äpfel   a b \x01END \x1c"), (1004, "w" * 5000 + " " + "the noun2 likes " * 3000)]
 
 
@@ -142,3 +156,57 @@ def test_without_training_texts(spark):
     (r,) = class_lm.class_scores(frame(spark, [(held, "a b")]), class_lm.held_out()).collect()
     assert (r["n_known"], r["train_tokens"], r["base_score"]) == (0, 0, 0.0) and math.isfinite(r["score"])
     assert class_lm.class_scores(frame(spark, []), class_lm.held_out()).collect() == []
+
+
+def test_a_whole_chunk_takes_few_bytes_for_each_token(monkeypatch):
+    """Two workers share an executor's memory with the JVM, so steps over a chunk don't hold it in wide numbers or all at once."""
+    monkeypatch.setattr(class_lm, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    r, names = random.Random(0), [f"w{i}" for i in range(30_000)]
+    texts = [" ".join(r.choices(names, k=1000)) for _ in range(2400)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 100)), pa.array(texts[i : i + 100]), pa.array([False] * 100)], names=["doc_id", "text", "held"]) for i in range(0, 2400, 100)]
+    sent = types.SimpleNamespace(value=(pa.array(names[:1000]), np.arange(1000) % 63 + 1, 64))
+    tracemalloc.start()  # of numpy's arrays; Arrow's aren't counted
+    try:
+        rows = list(class_lm.encoded(iter(batches)))
+        first = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        contexts = sum(b.num_rows for b in class_lm.word_rows(sent)(iter(rows)))
+        second = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (len(rows), contexts) == (1, 30_001)
+    assert first < 22 * 2400 * 1001 and second < 30 * 2400 * 1001  # 28 and 67 formerly
+
+
+def test_pieces_give_the_same_rows(monkeypatch):
+    monkeypatch.setattr(class_lm, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    rows = [(i, t, i is not None and i % 7 == 2) for i, t in corpus(7, 80) + ODD]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("doc_id", "text", "held"), x, strict=True)) for x in rows], pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("held", pa.bool_())]))
+    model = class_lm.Model(np.arange(25).reshape(5, 5), np.arange(5), 900, 60)
+    sent = types.SimpleNamespace(value=(pa.array(["the", "a", "noun1"]), np.array([1, 2, 3]), 5))
+    (chunk,) = class_lm.encoded(iter([batch]))
+    (row,) = class_lm.rows_of([chunk])
+    ends, tokens = row["ends"].values.to_numpy(), np.frombuffer(row["tokens"].as_buffer(), "<u4")
+    n = row["n"].values.to_numpy()
+    own, found = np.where(n > 0, np.arange(len(n)) % 5, -1), []
+    for piece in (1 << 19, 7):
+        monkeypatch.setattr(class_lm, "PIECE", piece)
+        pairs = [np.concatenate(x).tolist() for x in zip(*class_lm.bigrams(row), strict=True)]
+        contexts = pa.Table.from_batches(class_lm.word_rows(sent)(iter([chunk]))).to_pylist()
+        found.append((pairs, contexts, [x.tolist() for x in model.scores(own, n, tokens, ends)]))
+    assert found[0] == found[1]
+    words, (token, before) = [END, *row["words"].values.to_pylist()[1:]], found[0][0]
+    expected = [(END, *map(named, tokens_of(t))) for _, t, held in rows if not held]
+    assert [(words[b], words[t]) for b, t in zip(before, token, strict=True)] == [p for x in expected for p in zip(x, x[1:])]
+    assert len(found[0][1]) == len(words) and len(found[0][2][0]) == len(rows)
+
+
+def test_settle_bounds_arrow_batches_by_bytes(spark):
+    def count(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    before = spark.conf.get(runtime.BATCH_BYTES)
+    rows = spark.createDataFrame([("x" * 100_000,)] * 20, "t string").coalesce(1)
+    assert [r["n"] for r in runtime.settle(rows.mapInArrow(count, "n long"), batch=1).collect()] == [1] * 20
+    assert spark.conf.get(runtime.BATCH_BYTES) == before
