@@ -34,9 +34,12 @@ def words_of(line: Column) -> Column:
 
 
 def split_lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, no (from 0), line of each line that isn't just spaces; rows with a null doc_id or text have none."""
+    """doc_id, no (from 0), line of each line that has words; rows with a null doc_id or text have none.
+
+    Told from the line, not from its words: Spark would compute the hashes of the words in a filter on them, and once more behind it.
+    """
     rows = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_t"))
-    return rows.select("doc_id", F.posexplode(F.split("_t", "\n")).alias("no", "line")).where(F.trim("line") != "")
+    return rows.select("doc_id", F.posexplode(F.split("_t", "\n")).alias("no", "line")).where(F.ltrim("line", F.lit(" \t\x0b\x0c\r")) != "")
 
 
 def hashed(lines: DataFrame, *others: str) -> DataFrame:
@@ -52,7 +55,7 @@ def tokenised(lines: DataFrame) -> DataFrame:
     """
     # of sorted longs the leading 32 bits are sorted, too
     tokens = F.transform("h", lambda h: F.shiftright(h, 32).cast("int"))
-    return hashed(lines, "doc_id", "no").where(F.size("h") > 0).select("doc_id", "no", F.size("h").alias("n"), F.xxhash64("h").alias("x"), F.hash("h").alias("y"), tokens.alias("t"))
+    return hashed(lines, "doc_id", "no").select("doc_id", "no", F.size("h").alias("n"), F.xxhash64("h").alias("x"), F.hash("h").alias("y"), tokens.alias("t"))
 
 
 def rarity(lines: DataFrame, bits: int) -> Column:

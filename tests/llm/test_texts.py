@@ -396,6 +396,16 @@ def test_one_changed_word_is_found_in_lines_of_ten_words_and_more(spark):
 # Language
 
 
+def test_words_are_hashed_once(spark):
+    """A filter on the hashes would have them computed twice."""
+    lines = ["", " ", "\t\x0b\x0c\r ", "  a \t b", "\r\n\x0b", "\x1c", "\u00a0", "A\x0b\x0bB", "b\ta\r"]
+    df = spark.createDataFrame([(7, "\n".join(lines)), (8, None), (None, "a")], "doc_id long, text string")
+    found = line_dedup.tokenised(line_dedup.split_lines(df, "doc_id", "text"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("xxhash64(lambda") == 1
+    words = [set(re.findall(r"[^\x20\x09-\x0D]+", x.lower())) for x in "\n".join(lines).split("\n")]
+    assert sorted((r["no"], r["n"]) for r in found.collect()) == [(i, len(w)) for i, w in enumerate(words) if w]
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.train(docs.where("doc_id % 2 = 0"), rows=400)
