@@ -23,6 +23,12 @@ LEAST_BITS, MOST_BITS = 16, 20
 HOT = 256
 #: Lines of a longer list that meet as many others at once.
 BLOCK = 4096
+#: Bytes of text whose prefixes share a partition of their join: its table of entries, at most one for each ten bytes, fits in a task's memory.
+SHARE = 10_000_000
+#: How much wider classes of sizes are than the ratio of sizes that may match, so that rounding can't set such sizes two classes apart.
+WIDTH = 1.001
+#: The setting by which tables dealt by one of the columns that they are joined on aren't dealt anew by all of them.
+CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def words_of(line: Column) -> Column:
@@ -42,6 +48,11 @@ def split_lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.select("doc_id", F.posexplode(F.split("_t", "\n")).alias("no", "line")).where(F.ltrim("line", F.lit(" \t\x0b\x0c\r")) != "")
 
 
+def line_count(text: Column) -> Column:
+    """The number of a text's lines, null for a null text; its line feeds are counted without splitting it."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+
+
 def hashed(lines: DataFrame, *others: str) -> DataFrame:
     """``others`` and h: sorted distinct 64-bit hashes of a line's words."""
     each = F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))
@@ -88,16 +99,18 @@ def enough(n: Column, m: Column, percent: int) -> Column:
 def signed(lines: DataFrame, table: Column, bits: int, percent: int) -> DataFrame:
     """``lines`` with s, u, prefix in place of t: a set's signature, and its first tokens by level in the table and then by hash.
 
-    A prefix's tokens are longs with their level above their own bits.  The signature has, for each of 128 values, whether the
-    number of tokens with this value is odd; two sets differ in as many tokens as signatures in bits, or more.
+    A prefix's tokens are longs with their level above their own bits.  The signature has, for each of 128 values (the sign and the
+    last 6 bits), whether the number of tokens with this value is odd; two sets differ in as many tokens as signatures in bits, or more.
     Each step is a column of its own: an expression inside a higher-order function would be computed again for each element.
     """
     level = lambda t: F.coalesce(F.get(table, t.bitwiseAND((1 << bits) - 1)).cast("long"), F.lit(0).cast("long"))
     keys = F.sort_array(F.transform("t", lambda t: F.call_function("shiftleft", level(t), F.lit(32)) + t.cast("long") + F.lit(1 << 31)))
-    one, half = F.lit(1).cast("long"), lambda t: F.shiftright(t, 6).bitwiseAND(1).cast("long")
-    odd = lambda value: F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", value(t), t.bitwiseAND(63))))
+    # a shift of a long goes by the last 6 bits of the distance
+    odd = lambda value: F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", value(t), t)))
     kept = [c for c in lines.columns if c != "t"]
-    return lines.select(*kept, odd(half).alias("s"), odd(lambda t: half(t).bitwiseXOR(one)).alias("u"), F.slice(keys, F.lit(1), (F.col("n") - least(F.col("n"), percent) + 1).cast("int")).alias("prefix"))
+    every = odd(lambda t: F.lit(1).cast("long"))
+    lines = lines.select(*kept, "t", odd(lambda t: F.shiftrightunsigned(t, 31).cast("long")).alias("s"), every.alias("every"))
+    return lines.select(*kept, "s", F.col("every").bitwiseXOR(F.col("s")).alias("u"), F.slice(keys, F.lit(1), (F.col("n") - least(F.col("n"), percent) + 1).cast("int")).alias("prefix"))
 
 
 def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -107,10 +120,11 @@ def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     null doc_id or text have no lines.  Where rows repeat a doc_id, a place is one line, which is any of those that stand there.
     """
     key = F.col(doc_id).cast("long")
-    ends = df.agg(F.min(key).alias("a"), F.max(key).alias("b"), F.max(F.size(F.split(text, "\n"))).alias("n"), F.sum(F.size(F.split(text, "\n"))).alias("lines")).first()
-    bits, lines = int(ends["n"] or 1).bit_length(), int(ends["lines"] or 1)
+    own = line_count(F.col(text))
+    ends = df.agg(F.min(key).alias("a"), F.max(key).alias("b"), F.max(own).alias("n"), F.sum(own).alias("lines"), F.sum(F.octet_length(text)).alias("size")).first()
+    bits, lines, shares = int(ends["n"] or 1).bit_length(), int(ends["lines"] or 1), 1 + int(ends["size"] or 0) // SHARE
     if ends["a"] is None or (ends["b"] - ends["a"]).bit_length() + bits < 63:
-        return _matches(df, doc_id, text, percent, ends["a"] or 0, bits, lines)
+        return _matches(df, doc_id, text, percent, ends["a"] or 0, bits, lines, shares)
     # ids too far apart to be packed into a long with a line's number: go by their ranks, which keep the order
     ranks = settle(df.select(key.alias("of")).where("of is not null").distinct().orderBy("of").withColumn("_m", F.monotonically_increasing_id()))
     sizes = {r["p"]: r["n"] for r in ranks.groupBy(F.shiftright("_m", 33).alias("p")).agg(F.count("*").alias("n")).collect()}
@@ -122,11 +136,11 @@ def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     start = F.element_at(F.create_map(*(F.lit(v).cast("long") for kv in starts.items() for v in kv)), F.shiftright("_m", 33))
     ranks = ranks.select("of", (start + F.col("_m").bitwiseAND((1 << 33) - 1)).alias("_rank"))
     by_rank = df.select(key.alias("of"), F.col(text).alias("_text")).join(ranks, "of").select("_rank", "_text")
-    found = _matches(by_rank, "_rank", "_text", percent, 0, bits, lines)
+    found = _matches(by_rank, "_rank", "_text", percent, 0, bits, lines, shares)
     return found.join(ranks, found["doc_id"] == ranks["_rank"]).select(F.col("of").alias("doc_id"), "no")
 
 
-def _matches(df: DataFrame, doc_id: str, text: str, percent: int, low: int, bits: int, lines: int) -> DataFrame:
+def _matches(df: DataFrame, doc_id: str, text: str, percent: int, low: int, bits: int, lines: int, shares: int) -> DataFrame:
     """``later_matches`` for ids from ``low`` on that can be packed into a long with ``bits`` of a line's number."""
     number = F.call_function("shiftleft", F.col("doc_id") - F.lit(low).cast("long"), F.lit(bits)) + F.col("no")
     doc_of = lambda i: F.shiftright(i, bits) + F.lit(low).cast("long")
@@ -175,21 +189,28 @@ def _matches(df: DataFrame, doc_id: str, text: str, percent: int, low: int, bits
         side = F.when(i == j, 0).when(c("own") == i, 1).otherwise(2)
         name = F.when(blocks == 1, c("token")).otherwise(F.xxhash64("token", i, j))
         entries = entries.where(~may).unionAll(dealt.select(name.alias("token"), "id", "n", "s", "u", (c("pos") * 8 + side * 2 + c("done")).alias("at")))
-    l, r = (entries.select("token", *(c(k).alias(f"{k}{z}") for k in ("id", "n", "s", "u", "at"))) for z in "lr")
+    # both sides are one and the same exchange; behind it sets meet those of their own class of sizes and, as the larger ones, those of the next lower.
+    # 32 bits of a token are all that a line's token has, and with a class they make one long, by which the table of a partition's entries is hashed
+    entries = entries.withColumn("token", c("token").bitwiseAND((1 << 32) - 1).bitwiseXOR(1 << 31) - F.lit(1 << 31)).withColumn("token", c("token").cast("int")).repartition(shares, "token")
+    size = F.coalesce(F.floor(F.ln("n") / math.log(WIDTH * 100 / percent)).cast("int"), F.lit(0))
+    smaller, larger = entries.withColumn("class", size), entries.withColumn("class", F.explode(F.array(size, size - 1)))
+    l, r = (x.select("token", "class", *(c(k).alias(f"{k}{z}") for k in ("id", "s", "u", "at")), c("n").cast("long").alias(f"n{z}")) for x, z in ((smaller, "l"), (larger, "r")))
     pl, pr = (F.shiftright(f"at{z}", 3) for z in "lr")
+    whole = c("nl") + c("nr")
+    # whole numbers throughout, and the cheapest and strictest first, as most pairs that share a token fail at their sizes
+    lengths = (c("nl") <= c("nr")) & (c("nr") * percent <= c("nl") * 100) & ((c("nl") < c("nr")) | (c("idl") < c("idr"))) & (c("idl") != c("idr"))
     # of two sets the smaller one needs a shared token among fewer, for it must share most of its own; told beside the
     # other side's place, so that both sides stay one and the same exchange
-    short = c("nl") - F.ceil(c("nl") * 2 * percent / (100 + percent)) + 1
+    short = F.least((c("nl") - pl) * (100 + percent) - c("nl") * (2 * percent), pr) >= 0
     # a shared token at places pl and pr has at most min(pl, pr) shared ones before it and the rest of the shorter one from it on
-    positional = F.least(c("nl") - pl, c("nr") - pr) + F.least(pl, pr) - enough(c("nl"), c("nr"), percent)
+    positional = (F.least(c("nl") - pl, c("nr") - pr) + F.least(pl, pr)) * (100 + percent) >= whole * percent
+    apart = F.bit_count(c("sl").bitwiseXOR(c("sr"))) + F.bit_count(c("ul").bitwiseXOR(c("ur")))
+    signatures = (whole - apart) * (100 + percent) >= whole * (2 * percent)
     sides = c("atl").bitwiseAND(6)
     later_is_open = F.when(c("idl") < c("idr"), c("atr")).otherwise(c("atl")).bitwiseAND(1) == 0
-    pairs = l.join(r, "token").where(
-        ((c("nl") < c("nr")) | ((c("nl") == c("nr")) & (c("idl") < c("idr")))) & (c("idl") != c("idr")) & (F.least(short - pl, positional + 1) > 0)
-        & likely(c("nl"), c("nr"), c("sl"), c("sr"), c("ul"), c("ur")) & ((sides == 0) | (sides != c("atr").bitwiseAND(6))) & later_is_open
-    )
-    apart = F.bit_count(c("sl").bitwiseXOR(c("sr"))) + F.bit_count(c("ul").bitwiseXOR(c("ur")))
-    pairs = settle(pairs.select(F.least("idl", "idr").alias("a"), F.greatest("idl", "idr").alias("b"), apart.alias("apart")))
+    met = (sides == 0) | (sides != c("atr").bitwiseAND(6))
+    pairs = l.hint("shuffle_hash").join(r, ["token", "class"]).where(lengths & short & signatures & positional & met & later_is_open)
+    pairs = settle(pairs.select(F.least("idl", "idr").alias("a"), F.greatest("idl", "idr").alias("b"), apart.alias("apart")), also={CO_PARTITION: "false"})
     # each line first with the earlier one that seems the most alike; only lines without a match then with all of theirs
     first = settle(pairs.groupBy("b").agg(F.min_by("a", "apart").alias("a")))
     gone = settle(matched(first))
@@ -215,7 +236,7 @@ def drop_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     others = [x for x in df.columns if x not in ("n_lines", "n_removed")]
     rows = df.select(F.struct(*others).alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     lines = F.split("text", "\n")
-    rows = rows.withColumn("number", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
+    rows = rows.withColumn("number", F.coalesce(line_count(F.col("text")), F.lit(0)).cast("long"))
     told = lambda removed, out: [*((out if x == text else F.col(f"row.`{x}`")).alias(x) for x in others), F.col("number").alias("n_lines"), removed.cast("long").alias("n_removed")]
     stays = F.filter(F.zip_with(lines, F.sequence(F.lit(0), F.size(lines) - 1), lambda l, i: F.struct(l.alias("l"), i.alias("i"))), lambda z: ~F.array_contains(F.col("gone"), z["i"]))
     # only texts that may lose lines are shuffled

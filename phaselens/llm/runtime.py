@@ -35,14 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def settle(df: DataFrame, compression: str = "snappy", batch: int = 0) -> DataFrame:
+def settle(df: DataFrame, compression: str = "snappy", batch: int = 0, also: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor lose it with an executor.
 
     The shuffle files of the query that wrote it go with its end.  Arrow batches sent to workers have ``batch`` bytes or one row, if that is given.
+    ``also`` has further settings for that query.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/phaselens/{uuid.uuid4().hex}"
-    settings = {TIDY: "true"} | ({BATCH_BYTES: f"{batch}b"} if batch else {})
+    settings = {TIDY: "true"} | ({BATCH_BYTES: f"{batch}b"} if batch else {}) | (also or {})
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)

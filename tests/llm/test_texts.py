@@ -393,6 +393,29 @@ def test_one_changed_word_is_found_in_lines_of_ten_words_and_more(spark):
     assert {tuple(x) for x in line_dedup.later_matches(frame(spark, texts)).collect()} == {(k, 0) for k in (1, 3, 5, 7)}
 
 
+def test_sets_meet_those_of_sizes_that_may_match(spark, monkeypatch):
+    """Lines at a similarity of just 80 % or one word below it, in classes of sizes and partitions of few entries."""
+    plans = []
+    settle = line_dedup.settle
+    monkeypatch.setattr(line_dedup, "settle", lambda df, *a, **k: (plans.append(df._jdf.queryExecution().executedPlan().toString()), settle(df, *a, **k))[1])
+    monkeypatch.setattr(line_dedup, "SHARE", 500)
+    texts, gone = [], set()
+    for k, n in enumerate([*range(4, 68, 4), 100, 128, 400]):
+        words = [f"w{k}x{i}" for i in range(n + n // 4 + 1)]
+        texts += [" ".join(words[:n]), " ".join(words[: n + n // 4])] if k % 2 else [" ".join(words[: n + n // 4]), " ".join(words[:n])]
+        texts += [" ".join(f"y{w}" for w in words[:n]), " ".join(f"y{w}" for w in words)]
+        gone.add((4 * k + 1, 0))
+    assert {tuple(x) for x in line_dedup.later_matches(frame(spark, texts)).collect()} == gone
+    joins = [x for p in plans for x in p.split("\n") if re.search(r"Join \[token#\d+, class#\d+\], \[token#\d+, class#\d+\]", x)]
+    assert len(joins) == 1 and "ShuffledHashJoin" in joins[0]
+
+
+def test_line_feeds_are_counted(spark):
+    texts = [None, "", "a", "\n", "a\n", "\n\n", "a\r\nb\u2028c", "\u00e9\n\U0001f600\n"]
+    df = frame(spark, texts).select("doc_id", "text", line_dedup.line_count(F.col("text")).alias("n"))
+    assert {r["n"] == (None if r["text"] is None else len(r["text"].split("\n"))) for r in df.collect()} == {True}
+
+
 # Language
 
 
