@@ -2,7 +2,7 @@
 
 A line's tokens are its distinct words.  They are ordered by rarity - by the numbers of words in the ranges of a table of
 counts over all lines, then by hash - and only the first few, the prefix, can start a match.  Prefix, length and
-positional filters, and a signature of 128 bits that tells how much two sets differ at least, leave candidate pairs,
+positional filters, and a signature of 64 or 128 bits that tells how much two sets differ at least, leave candidate pairs,
 whose Jaccard similarity is then computed.  A line goes if an earlier one, by document and line number, is similar enough.
 """
 
@@ -23,6 +23,8 @@ LEAST_BITS, MOST_BITS = 16, 20
 HOT = 256
 #: Lines of a longer list that meet as many others at once.
 BLOCK = 4096
+#: Words from which on a set's signature has 128 bits; 64 are enough to tell smaller ones apart.
+WIDE = 80
 #: Bytes of text whose prefixes share a partition of their join: its table of entries, at most one for each ten bytes, fits in a task's memory.
 SHARE = 10_000_000
 #: How much wider classes of sizes are than the ratio of sizes that may match, so that rounding can't set such sizes two classes apart.
@@ -99,18 +101,24 @@ def enough(n: Column, m: Column, percent: int) -> Column:
 def signed(lines: DataFrame, table: Column, bits: int, percent: int) -> DataFrame:
     """``lines`` with s, u, prefix in place of t: a set's signature, and its first tokens by level in the table and then by hash.
 
-    A prefix's tokens are longs with their level above their own bits.  The signature has, for each of 128 values (the sign and the
-    last 6 bits), whether the number of tokens with this value is odd; two sets differ in as many tokens as signatures in bits, or more.
-    Each step is a column of its own: an expression inside a higher-order function would be computed again for each element.
+    A prefix's tokens are longs with their level above their own bits.  The signature s has, for each value of the last 6 bits, whether
+    the number of tokens with this value is odd; u has the same for tokens with the sign bit alone, in sets of WIDE words or more (else 0).
+    Two sets differ in as many tokens as signatures in bits, or more.
     """
     level = lambda t: F.coalesce(F.get(table, t.bitwiseAND((1 << bits) - 1)).cast("long"), F.lit(0).cast("long"))
     keys = F.sort_array(F.transform("t", lambda t: F.call_function("shiftleft", level(t), F.lit(32)) + t.cast("long") + F.lit(1 << 31)))
     # a shift of a long goes by the last 6 bits of the distance
     odd = lambda value: F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", value(t), t)))
     kept = [c for c in lines.columns if c != "t"]
-    every = odd(lambda t: F.lit(1).cast("long"))
-    lines = lines.select(*kept, "t", odd(lambda t: F.shiftrightunsigned(t, 31).cast("long")).alias("s"), every.alias("every"))
-    return lines.select(*kept, "s", F.col("every").bitwiseXOR(F.col("s")).alias("u"), F.slice(keys, F.lit(1), (F.col("n") - least(F.col("n"), percent) + 1).cast("int")).alias("prefix"))
+    s = odd(lambda t: F.lit(1).cast("long"))
+    u = F.when(F.col("n") >= WIDE, odd(lambda t: F.shiftrightunsigned(t, 31).cast("long"))).otherwise(F.lit(0).cast("long"))
+    return lines.select(*kept, s.alias("s"), u.alias("u"), F.slice(keys, F.lit(1), (F.col("n") - least(F.col("n"), percent) + 1).cast("int")).alias("prefix"))
+
+
+def apart_at_least(small: Column, s: Column, t: Column, u: Column, v: Column) -> Column:
+    """In how many tokens two sets differ at least, by their signatures (s, u) and (t, v); ``small`` is the smaller one's number of words."""
+    every, signs = s.bitwiseXOR(t), u.bitwiseXOR(v)
+    return F.when(small >= WIDE, F.bit_count(every.bitwiseXOR(signs)) + F.bit_count(signs)).otherwise(F.bit_count(every))
 
 
 def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -147,20 +155,24 @@ def _matches(df: DataFrame, doc_id: str, text: str, percent: int, low: int, bits
     every = split_lines(df, doc_id, text)
     ranges = min(MOST_BITS, max(LEAST_BITS, lines.bit_length() - 4))
     seen = settle(tokenised(every).withColumn("id", number).drop("doc_id", "no"))
-    # one row for each set of tokens, the earliest line with it
-    picked = signed(seen, rarity(seen, ranges), ranges, percent)
-    sets = settle(picked.groupBy("x", "y", "n").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("s", "u", "prefix")), F.count("*").alias("copies")))
-    lines_ = settle(seen.select("id", "n", "x", "y"))
+    # sets that several lines have: all of those but the earliest go, whatever that one does
+    several = settle(seen.groupBy("x", "y", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
+    may_repeat = sieve(several.select("x"), F.col("x"))
+    repeated = settle(seen.where(may_repeat).join(several, ["x", "y", "n"], "left").select("id", "n", "t", (F.col("id") != F.coalesce("first", "id")).alias("copy")))
+    copies = repeated.where("copy").select("id")
+    once = seen.where(~may_repeat).select("id", "n", "t").unionAll(repeated.where("not copy").select("id", "n", "t"))
+    # a set too small to lose a token matches no other set
+    sets = settle(signed(once.where(F.col("n") * 100 >= (F.col("n") + 1) * percent), rarity(seen, ranges), ranges, percent))
     release(seen)
-    # a token whose range has one line is in no other, and a set too small to lose a token matches no other set
-    posted = sets.where(F.col("n") * 100 >= (F.col("n") + 1) * percent).select("id", "n", "s", "u", F.posexplode("prefix").alias("pos", "token"))
+    # a token whose range has one line is in no other
+    posted = sets.select("id", "n", "s", "u", F.posexplode("prefix").alias("pos", "token"))
     level = F.shiftright("token", 32)
     posted = posted.where(level > level_of(1))
 
     def matched(chosen: DataFrame) -> DataFrame:
         """b of the pairs (a, b) of places that are similar enough; the sets are made again from the texts."""
         wanted = settle(chosen.select(F.col("a").alias("id")).unionAll(chosen.select("b")).distinct())
-        some = split_lines(df.where(sieve(wanted.select(doc_of(F.col("id"))), F.col(doc_id).cast("long"))), doc_id, text).withColumn("id", number)
+        some = split_lines(df, doc_id, text).withColumn("id", number)
         whole = settle(hashed(some.where(sieve(wanted, F.col("id"))), "id"))
         a, b = (whole.select(F.col("id").alias(k), F.col("h").alias(f"h{k}")) for k in "ab")
         shared = F.size(F.array_intersect("ha", "hb"))
@@ -168,7 +180,7 @@ def _matches(df: DataFrame, doc_id: str, text: str, percent: int, low: int, bits
 
     def likely(n: Column, m: Column, s: Column, t: Column, u: Column, v: Column) -> Column:
         """The length filter, and sizes and signatures that leave enough in common."""
-        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (n + m - F.bit_count(s.bitwiseXOR(t)) - F.bit_count(u.bitwiseXOR(v)) >= 2 * enough(n, m, percent))
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (n + m - apart_at_least(F.least(n, m), s, t, u, v) >= 2 * enough(n, m, percent))
 
     c = F.col
     # long lists, which only tokens of a well-filled range can have: their lines first meet the earliest one
@@ -204,7 +216,7 @@ def _matches(df: DataFrame, doc_id: str, text: str, percent: int, low: int, bits
     short = F.least((c("nl") - pl) * (100 + percent) - c("nl") * (2 * percent), pr) >= 0
     # a shared token at places pl and pr has at most min(pl, pr) shared ones before it and the rest of the shorter one from it on
     positional = (F.least(c("nl") - pl, c("nr") - pr) + F.least(pl, pr)) * (100 + percent) >= whole * percent
-    apart = F.bit_count(c("sl").bitwiseXOR(c("sr"))) + F.bit_count(c("ul").bitwiseXOR(c("ur")))
+    apart = apart_at_least(c("nl"), c("sl"), c("sr"), c("ul"), c("ur"))
     signatures = (whole - apart) * (100 + percent) >= whole * (2 * percent)
     sides = c("atl").bitwiseAND(6)
     later_is_open = F.when(c("idl") < c("idr"), c("atr")).otherwise(c("atl")).bitwiseAND(1) == 0
@@ -218,10 +230,6 @@ def _matches(df: DataFrame, doc_id: str, text: str, percent: int, low: int, bits
     others = settle(pairs.where(sieve(still, c("b"))).select("a", "b").join(still, "b", "left_semi").distinct())
     gone = gone.unionAll(matched(others))
     gone = (gone if early is None else gone.unionAll(early)).select(c("b").alias("id"))
-    # a set goes whole if its earliest line goes, else all but that line
-    several = settle(sets.where("copies > 1").select("x", "y", "n", c("id").alias("first")))
-    alike = lines_.where(sieve(several.select("x"), c("x")))
-    copies = alike.join(several, ["x", "y", "n"]).where(c("id") != c("first")).select("id")
     out = copies.unionAll(gone).distinct()
     return out.select(doc_of(c("id")).alias("doc_id"), c("id").bitwiseAND((1 << bits) - 1).cast("int").alias("no"))
 
