@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import os
 import re
 import tempfile
@@ -15,12 +16,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+_settled = itertools.count(1)
 #: Rows handed to one vectorised step; bounds a Python worker's memory when documents are long.
 SLICE_CHARS = 1_000_000
 
 
 #: The setting by which a query's shuffle files go when it ends.
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables written from one collection of the driver's garbage to the next.
+COLLECT_EVERY = 6
+#: The setting that bounds the text of a plan, which the driver makes at each step of a query and keeps for each of the last thousand.
+PLAN_TEXT = "spark.sql.maxPlanStringLength"
 #: The setting that bounds Arrow batches by bytes; Spark's own bound is 64 MB for each task.
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -43,7 +49,7 @@ def settle(df: DataFrame, compression: str = "snappy", batch: int = 0, also: dic
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/phaselens/{uuid.uuid4().hex}"
-    settings = {TIDY: "true"} | ({BATCH_BYTES: f"{batch}b"} if batch else {}) | (also or {})
+    settings = {TIDY: "true", PLAN_TEXT: "20000"} | ({BATCH_BYTES: f"{batch}b"} if batch else {}) | (also or {})
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
@@ -56,11 +62,21 @@ def settle(df: DataFrame, compression: str = "snappy", batch: int = 0, also: dic
             else:
                 spark.conf.set(k, v)
     _written.append((spark, path))
+    if next(_settled) % COLLECT_EVERY == 0:
+        collect_garbage(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Spark lets go of the tasks and tables that it sent out for finished queries only when the driver's garbage is collected.
+
+    A long row of queries would else fill the driver's heap up to its bound; ``spark.cleaner.periodicGC.interval`` does the same by the clock.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(df: DataFrame) -> None:
     """Delete a settled table that nothing needs any more."""
     path = df._settled_at
@@ -127,7 +143,8 @@ def sieve(ids: DataFrame, key: Column) -> Column:
     word = lambda x: F.pmod(x, F.lit(SIEVE_WORDS))
     bit = lambda x: F.pmod(F.shiftright(x, 20), F.lit(64)).cast("int")
     spark = ids.sparkSession
-    held = ids.where(value.isNotNull()).select(word(h).alias("w"), bit(h).alias("b")).groupBy("w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))).alias("bits"))
-    full = spark.range(SIEVE_WORDS).withColumnRenamed("id", "w").join(held, "w", "left").select(F.struct("w", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("s"))
+    held = ids.where(value.isNotNull()).select(word(h).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(h)).alias("bits"))
+    # with a row of no bits for each word, so that none is missing in the one shuffle by word
+    full = spark.range(SIEVE_WORDS).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("bits")).unionAll(held).groupBy("w").agg(F.bit_or("bits").alias("bits")).select(F.struct("w", "bits").alias("s"))
     table = settle(full.agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["bits"]).alias("bits")))
     return F.call_function("getbit", F.element_at(table.scalar(), (word(k) + 1).cast("int")), bit(k)) == 1

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from phaselens.llm import language_id, license_scan, line_dedup, packing, pii, piece_codec
+from phaselens.llm import language_id, license_scan, line_dedup, packing, pii, piece_codec, runtime
 from phaselens.llm.queries import vocabulary
 
 PIECES, WORDS = vocabulary("piece_bpe_32k.model"), vocabulary("word_bpe_49k.json")
@@ -682,3 +682,27 @@ def test_signatures_of_narrow_and_wide_sets_never_exceed_the_difference(spark):
         n, wide, least = got[k]
         assert least <= len(set(a) ^ set(b)) and (least > 0) == (a != b)
         assert (wide != 0) == (n >= line_dedup.WIDE)  # 64 bits of an entry are spared where they tell nothing
+
+
+def test_sieve_holds_for_its_values_and_is_made_by_one_shuffle_of_words(spark, monkeypatch):
+    plans = []
+    settle = runtime.settle
+    monkeypatch.setattr(runtime, "settle", lambda df, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df, **k))
+    ids = settle(spark.createDataFrame([(k * 7919,) for k in range(500)] + [(None,)], "id long"))
+    held = spark.range(100_000).where(runtime.sieve(ids, F.col("id"))).collect()
+    assert {r["id"] for r in held} >= set(range(0, 100_000, 7919)) and len(held) < 40
+    assert plans[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_settle_collects_the_drivers_garbage_and_bounds_the_text_of_plans(spark, monkeypatch):
+    calls, bounds = [], []
+    monkeypatch.setattr(runtime, "collect_garbage", calls.append)
+    for _ in range(2 * runtime.COLLECT_EVERY):
+        runtime.settle(spark.range(3))
+    assert len(calls) == 2
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.range(1).write), "parquet", lambda self, path: bounds.append(spark.conf.get(runtime.PLAN_TEXT)))
+        m.setattr(type(spark.read), "parquet", lambda self, path: spark.range(1))
+        runtime.settle(spark.range(1))
+    assert bounds == ["20000"]
+    runtime._written.pop()
