@@ -2,7 +2,7 @@
 
 A line's tokens are its distinct words.  They are ordered by rarity - by the numbers of words in the ranges of a table of
 counts over all lines, then by hash - and only the first few, the prefix, can start a match.  Prefix, length and
-positional filters, and a signature of 64 or 128 bits that tells how much two sets differ at least, leave candidate pairs,
+positional filters, and a signature of 128 bits that tells how much two sets differ at least, leave candidate pairs,
 whose Jaccard similarity is then computed.  A line goes if an earlier one, by document and line number, is similar enough.
 """
 
@@ -23,8 +23,6 @@ LEAST_BITS, MOST_BITS = 16, 20
 HOT = 256
 #: Lines of a longer list that meet as many others at once.
 BLOCK = 4096
-#: Words from which on a set's signature has 128 bits; 64 are enough to tell smaller ones apart.
-WIDE = 80
 #: Bytes of text whose prefixes share a partition of their join: its table of entries, at most one for each ten bytes, fits in a task's memory.
 SHARE = 10_000_000
 #: How much wider classes of sizes are than the ratio of sizes that may match, so that rounding can't set such sizes two classes apart.
@@ -102,7 +100,7 @@ def signed(lines: DataFrame, table: Column, bits: int, percent: int) -> DataFram
     """``lines`` with s, u, prefix in place of t: a set's signature, and its first tokens by level in the table and then by hash.
 
     A prefix's tokens are longs with their level above their own bits.  The signature s has, for each value of the last 6 bits, whether
-    the number of tokens with this value is odd; u has the same for tokens with the sign bit alone, in sets of WIDE words or more (else 0).
+    the number of tokens with this value is odd; u has the same for tokens with the sign bit alone.
     Two sets differ in as many tokens as signatures in bits, or more.
     """
     level = lambda t: F.coalesce(F.get(table, t.bitwiseAND((1 << bits) - 1)).cast("long"), F.lit(0).cast("long"))
@@ -111,14 +109,14 @@ def signed(lines: DataFrame, table: Column, bits: int, percent: int) -> DataFram
     odd = lambda value: F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", value(t), t)))
     kept = [c for c in lines.columns if c != "t"]
     s = odd(lambda t: F.lit(1).cast("long"))
-    u = F.when(F.col("n") >= WIDE, odd(lambda t: F.shiftrightunsigned(t, 31).cast("long"))).otherwise(F.lit(0).cast("long"))
+    u = odd(lambda t: F.shiftrightunsigned(t, 31).cast("long"))
     return lines.select(*kept, s.alias("s"), u.alias("u"), F.slice(keys, F.lit(1), (F.col("n") - least(F.col("n"), percent) + 1).cast("int")).alias("prefix"))
 
 
-def apart_at_least(small: Column, s: Column, t: Column, u: Column, v: Column) -> Column:
-    """In how many tokens two sets differ at least, by their signatures (s, u) and (t, v); ``small`` is the smaller one's number of words."""
+def apart_at_least(s: Column, t: Column, u: Column, v: Column) -> Column:
+    """In how many tokens two sets differ at least, by their signatures (s, u) and (t, v)."""
     every, signs = s.bitwiseXOR(t), u.bitwiseXOR(v)
-    return F.when(small >= WIDE, F.bit_count(every.bitwiseXOR(signs)) + F.bit_count(signs)).otherwise(F.bit_count(every))
+    return F.bit_count(every.bitwiseXOR(signs)) + F.bit_count(signs)
 
 
 def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -180,7 +178,7 @@ def _matches(df: DataFrame, doc_id: str, text: str, percent: int, low: int, bits
 
     def likely(n: Column, m: Column, s: Column, t: Column, u: Column, v: Column) -> Column:
         """The length filter, and sizes and signatures that leave enough in common."""
-        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (n + m - apart_at_least(F.least(n, m), s, t, u, v) >= 2 * enough(n, m, percent))
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (n + m - apart_at_least(s, t, u, v) >= 2 * enough(n, m, percent))
 
     c = F.col
     # long lists, which only tokens of a well-filled range can have: their lines first meet the earliest one
@@ -216,7 +214,7 @@ def _matches(df: DataFrame, doc_id: str, text: str, percent: int, low: int, bits
     short = F.least((c("nl") - pl) * (100 + percent) - c("nl") * (2 * percent), pr) >= 0
     # a shared token at places pl and pr has at most min(pl, pr) shared ones before it and the rest of the shorter one from it on
     positional = (F.least(c("nl") - pl, c("nr") - pr) + F.least(pl, pr)) * (100 + percent) >= whole * percent
-    apart = apart_at_least(c("nl"), c("sl"), c("sr"), c("ul"), c("ur"))
+    apart = apart_at_least(c("sl"), c("sr"), c("ul"), c("ur"))
     signatures = (whole - apart) * (100 + percent) >= whole * (2 * percent)
     sides = c("atl").bitwiseAND(6)
     later_is_open = F.when(c("idl") < c("idr"), c("atr")).otherwise(c("atl")).bitwiseAND(1) == 0
