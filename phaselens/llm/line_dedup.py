@@ -25,6 +25,8 @@ HOT = 256
 BLOCK = 4096
 #: Bytes of text whose prefixes share a partition of their join: its table of entries, at most one for each ten bytes, fits in a task's memory.
 SHARE = 10_000_000
+#: Bytes of text that count as a line where the table of counts gets its size.
+LINE = 256
 #: How much wider classes of sizes are than the ratio of sizes that may match, so that rounding can't set such sizes two classes apart.
 WIDTH = 1.001
 #: The setting by which tables dealt by one of the columns that they are joined on aren't dealt anew by all of them.
@@ -72,9 +74,11 @@ def tokenised(lines: DataFrame) -> DataFrame:
 def rarity(lines: DataFrame, bits: int) -> Column:
     """``level_of`` the number of lines with a token of each of 2 ** bits ranges, as an array of bytes.
 
-    The counts are of all lines; what reaches the driver has the size of the table, whatever the input.
+    The counts are of all lines; what reaches the driver has the size of the table, whatever the input.  A task sends as many counts
+    as the table has ranges, so there are two tasks for each core and not one for each file.
     """
-    counts = lines.select(F.explode("t").alias("t")).groupBy(F.col("t").bitwiseAND((1 << bits) - 1).alias("k")).agg(F.count("*").alias("n"))
+    tasks = 2 * lines.sparkSession.sparkContext.defaultParallelism
+    counts = lines.coalesce(tasks).select(F.explode("t").alias("t")).groupBy(F.col("t").bitwiseAND((1 << bits) - 1).alias("k")).agg(F.count("*").alias("n"))
     level = F.least(F.floor(3 * F.log2(F.col("n") + 1)), F.lit(127)).cast("int")
     found = settle(counts.select("k", level.alias("level"))).toArrow()
     table = np.zeros(1 << bits, int)
@@ -99,12 +103,13 @@ def enough(n: Column, m: Column, percent: int) -> Column:
 def signed(lines: DataFrame, table: Column, bits: int, percent: int) -> DataFrame:
     """``lines`` with s, u, prefix in place of t: a set's signature, and its first tokens by level in the table and then by hash.
 
-    A prefix's tokens are longs with their level above their own bits.  The signature s has, for each value of the last 6 bits, whether
+    A prefix's tokens are longs: their level times 2 ** 32, plus their own signed bits.  The signature s has, for each value of the last 6 bits, whether
     the number of tokens with this value is odd; u has the same for tokens with the sign bit alone.
     Two sets differ in as many tokens as signatures in bits, or more.
     """
-    level = lambda t: F.coalesce(F.get(table, t.bitwiseAND((1 << bits) - 1)).cast("long"), F.lit(0).cast("long"))
-    keys = F.sort_array(F.transform("t", lambda t: F.call_function("shiftleft", level(t), F.lit(32)) + t.cast("long") + F.lit(1 << 31)))
+    level = lambda t: F.get(table, t.bitwiseAND((1 << bits) - 1)).cast("long")
+    # told to be never null, an array is sorted as one of numbers and not of objects
+    keys = F.sort_array(F.transform("t", lambda t: F.coalesce(F.call_function("shiftleft", level(t), F.lit(32)) + t.cast("long"), F.lit(0).cast("long"))))
     # a shift of a long goes by the last 6 bits of the distance
     odd = lambda value: F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", value(t), t)))
     kept = [c for c in lines.columns if c != "t"]
@@ -126,10 +131,15 @@ def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     null doc_id or text have no lines.  Where rows repeat a doc_id, a place is one line, which is any of those that stand there.
     """
     key = F.col(doc_id).cast("long")
-    own = line_count(F.col(text))
-    ends = df.agg(F.min(key).alias("a"), F.max(key).alias("b"), F.max(own).alias("n"), F.sum(own).alias("lines"), F.sum(F.octet_length(text)).alias("size")).first()
-    bits, lines, shares = int(ends["n"] or 1).bit_length(), int(ends["lines"] or 1), 1 + int(ends["size"] or 0) // SHARE
-    if ends["a"] is None or (ends["b"] - ends["a"]).bit_length() + bits < 63:
+    ends = df.agg(F.min(key).alias("a"), F.max(key).alias("b"), F.max(F.octet_length(text)).alias("n"), F.sum(F.octet_length(text)).alias("size")).first()
+    size = int(ends["size"] or 0)
+    lines, shares = size // LINE, 1 + size // SHARE
+    span = 0 if ends["a"] is None else (ends["b"] - ends["a"]).bit_length()
+    # a text has as many lines as bytes at most; they are counted only where that leaves too few bits
+    bits = int((ends["n"] or 0) + 1).bit_length()
+    if span + bits >= 63:
+        bits = int(df.agg(F.max(line_count(F.col(text)))).first()[0] or 1).bit_length()
+    if span + bits < 63:
         return _matches(df, doc_id, text, percent, ends["a"] or 0, bits, lines, shares)
     # ids too far apart to be packed into a long with a line's number: go by their ranks, which keep the order
     ranks = settle(df.select(key.alias("of")).where("of is not null").distinct().orderBy("of").withColumn("_m", F.monotonically_increasing_id()))
@@ -156,21 +166,24 @@ def _matches(df: DataFrame, doc_id: str, text: str, percent: int, low: int, bits
     # sets that several lines have: all of those but the earliest go, whatever that one does
     several = settle(seen.groupBy("x", "y", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
     may_repeat = sieve(several.select("x"), F.col("x"))
-    repeated = settle(seen.where(may_repeat).join(several, ["x", "y", "n"], "left").select("id", "n", "t", (F.col("id") != F.coalesce("first", "id")).alias("copy")))
-    copies = repeated.where("copy").select("id")
-    once = seen.where(~may_repeat).select("id", "n", "t").unionAll(repeated.where("not copy").select("id", "n", "t"))
+    told = settle(seen.where(may_repeat).select("id", "x", "y", "n").join(several, ["x", "y", "n"], "left").select("id", (F.col("id") != F.coalesce("first", "id")).alias("copy")))
+    copies, stay = (told.where(x).select("id") for x in ("copy", "not copy"))
+    # the tokens of copies are neither shuffled nor written again
+    kept = seen.where(may_repeat & sieve(stay, F.col("id"))).join(stay, "id", "left_semi")
+    once = seen.where(~may_repeat).select("id", "n", "t").unionAll(kept.select("id", "n", "t"))
     # a set too small to lose a token matches no other set
     sets = settle(signed(once.where(F.col("n") * 100 >= (F.col("n") + 1) * percent), rarity(seen, ranges), ranges, percent))
     release(seen)
     # a token whose range has one line is in no other
-    posted = sets.select("id", "n", "s", "u", F.posexplode("prefix").alias("pos", "token"))
+    posted = sets.select("id", "n", "s", "u", F.posexplode("prefix").alias("pos", "token")).withColumn("token", F.col("token") + F.lit(1 << 31))
     level = F.shiftright("token", 32)
     posted = posted.where(level > level_of(1))
 
-    def matched(chosen: DataFrame) -> DataFrame:
-        """b of the pairs (a, b) of places that are similar enough; the sets are made again from the texts."""
+    def matched(chosen: DataFrame, few: bool = False) -> DataFrame:
+        """b of the pairs (a, b) of places that are similar enough; the sets are made again from the texts, of which ``few`` may be needed."""
         wanted = settle(chosen.select(F.col("a").alias("id")).unionAll(chosen.select("b")).distinct())
-        some = split_lines(df, doc_id, text).withColumn("id", number)
+        texts = df.where(sieve(wanted.select(doc_of(F.col("id")).alias("id")).distinct(), F.col(doc_id).cast("long"))) if few else df
+        some = split_lines(texts, doc_id, text).withColumn("id", number)
         whole = settle(hashed(some.where(sieve(wanted, F.col("id"))), "id"))
         a, b = (whole.select(F.col("id").alias(k), F.col("h").alias(f"h{k}")) for k in "ab")
         shared = F.size(F.array_intersect("ha", "hb"))
@@ -185,48 +198,57 @@ def _matches(df: DataFrame, doc_id: str, text: str, percent: int, low: int, bits
     lists = posted.where(level >= level_of(HOT)).groupBy("token").agg(F.count("*").alias("size"), F.min("id").alias("first"), *(F.min_by(k, "id").alias(f"f{k}") for k in "nsu"))
     lists = settle(lists.where(c("size") > HOT))
     early = None
-    entries = posted.select("token", "id", "n", "s", "u", (c("pos") * 8).alias("at"))
+    both = lambda at: (F.call_function("shiftleft", c("n").cast("long"), F.lit(32)) + at).alias("both")
+    entries = posted.select("token", "id", "s", "u", both(c("pos") * 8))
     if not lists.isEmpty():
         may = (level >= level_of(HOT)) & sieve(lists.select("token"), c("token"))
         hot = settle(posted.where(may).join(lists, "token", "left"))
         first = hot.where((c("id") != c("first")) & likely(c("n"), c("fn"), c("s"), c("fs"), c("u"), c("fu")))
-        early = settle(matched(settle(first.select(c("first").alias("a"), c("id").alias("b")).distinct())))
-        done = hot.join(early.select(c("b").alias("id"), F.lit(1).alias("done")), "id", "left").withColumn("done", F.coalesce("done", F.lit(0)))
+        near = settle(first.select("token", c("first").alias("a"), c("id").alias("b")))
+        # a list with few lines that may match its earliest one is not shortened much by looking at their texts
+        crowded = settle(near.groupBy("token").agg(F.count("*").alias("size")).where(c("size") > HOT).select("token"))
+        done = hot.withColumn("done", F.lit(0))
+        if not crowded.isEmpty():
+            early = settle(matched(settle(near.join(crowded, "token", "left_semi").select("a", "b").distinct()), few=True))
+            done = hot.join(early.select(c("b").alias("id"), F.lit(1).alias("done")), "id", "left").withColumn("done", F.coalesce("done", F.lit(0)))
         # blocks of a long list meet each other: side tells the two of a meeting apart, 0 is a block by itself
         blocks = F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("int")
         dealt = done.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         i, j = F.least("own", "other"), F.greatest("own", "other")
         side = F.when(i == j, 0).when(c("own") == i, 1).otherwise(2)
         name = F.when(blocks == 1, c("token")).otherwise(F.xxhash64("token", i, j))
-        entries = entries.where(~may).unionAll(dealt.select(name.alias("token"), "id", "n", "s", "u", (c("pos") * 8 + side * 2 + c("done")).alias("at")))
+        entries = entries.where(~may).unionAll(dealt.select(name.alias("token"), "id", "s", "u", both(c("pos") * 8 + side * 2 + c("done"))))
     # both sides are one and the same exchange; behind it sets meet those of their own class of sizes and, as the larger ones, those of the next lower.
     # 32 bits of a token are all that a line's token has, and with a class they make one long, by which the table of a partition's entries is hashed
     entries = entries.withColumn("token", c("token").bitwiseAND((1 << 32) - 1).bitwiseXOR(1 << 31) - F.lit(1 << 31)).withColumn("token", c("token").cast("int")).repartition(shares, "token")
-    size = F.coalesce(F.floor(F.ln("n") / math.log(WIDTH * 100 / percent)).cast("int"), F.lit(0))
-    smaller, larger = entries.withColumn("class", size), entries.withColumn("class", F.explode(F.array(size, size - 1)))
+    entries = entries.select("token", "id", "s", "u", F.shiftright("both", 32).cast("int").alias("n"), c("both").bitwiseAND((1 << 32) - 1).cast("int").alias("at"))
+    size = lambda n: F.coalesce(F.floor(F.ln(n) / math.log(WIDTH * 100 / percent)).cast("int"), F.lit(0))
+    place = F.shiftright("at", 3)
+    # the first token that two sets share has what they share behind it in both.  Of two sets the smaller one thus needs it among fewer, and a
+    # late token of the larger one meets much smaller sets only.  Told by classes that are null, so that both sides stay one and the same exchange
+    early_enough = (c("n") - place) * (100 + percent) >= c("n").cast("long") * (2 * percent)
+    largest = F.floor((c("n") - place) * (100 + percent) / percent) - c("n") + 1
+    smaller = entries.withColumn("class", F.explode(F.array(F.when(early_enough, size(c("n"))))))
+    larger = entries.withColumn("class", F.explode(F.array(size(c("n")) - 1, F.when(size(largest) >= size(c("n")), size(c("n"))))))
     l, r = (x.select("token", "class", *(c(k).alias(f"{k}{z}") for k in ("id", "s", "u", "at")), c("n").cast("long").alias(f"n{z}")) for x, z in ((smaller, "l"), (larger, "r")))
     pl, pr = (F.shiftright(f"at{z}", 3) for z in "lr")
     whole = c("nl") + c("nr")
     # whole numbers throughout, and the cheapest and strictest first, as most pairs that share a token fail at their sizes
     lengths = (c("nl") <= c("nr")) & (c("nr") * percent <= c("nl") * 100) & ((c("nl") < c("nr")) | (c("idl") < c("idr"))) & (c("idl") != c("idr"))
-    # of two sets the smaller one needs a shared token among fewer, for it must share most of its own; told beside the
-    # other side's place, so that both sides stay one and the same exchange
-    short = F.least((c("nl") - pl) * (100 + percent) - c("nl") * (2 * percent), pr) >= 0
-    # a shared token at places pl and pr has at most min(pl, pr) shared ones before it and the rest of the shorter one from it on
-    positional = (F.least(c("nl") - pl, c("nr") - pr) + F.least(pl, pr)) * (100 + percent) >= whole * percent
+    positional = F.least(c("nl") - pl, c("nr") - pr) * (100 + percent) >= whole * percent
     apart = apart_at_least(c("sl"), c("sr"), c("ul"), c("ur"))
     signatures = (whole - apart) * (100 + percent) >= whole * (2 * percent)
     sides = c("atl").bitwiseAND(6)
     later_is_open = F.when(c("idl") < c("idr"), c("atr")).otherwise(c("atl")).bitwiseAND(1) == 0
     met = (sides == 0) | (sides != c("atr").bitwiseAND(6))
-    pairs = l.hint("shuffle_hash").join(r, ["token", "class"]).where(lengths & short & signatures & positional & met & later_is_open)
+    pairs = l.hint("shuffle_hash").join(r, ["token", "class"]).where(lengths & positional & signatures & met & later_is_open)
     pairs = settle(pairs.select(F.least("idl", "idr").alias("a"), F.greatest("idl", "idr").alias("b"), apart.alias("apart")), also={CO_PARTITION: "false"})
     # each line first with the earlier one that seems the most alike; only lines without a match then with all of theirs
     first = settle(pairs.groupBy("b").agg(F.min_by("a", "apart").alias("a")))
     gone = settle(matched(first))
     still = settle(first.select("b").join(gone, "b", "left_anti"))
     others = settle(pairs.where(sieve(still, c("b"))).select("a", "b").join(still, "b", "left_semi").distinct())
-    gone = gone.unionAll(matched(others))
+    gone = gone.unionAll(matched(others, few=True))
     gone = (gone if early is None else gone.unionAll(early)).select(c("b").alias("id"))
     out = copies.unionAll(gone).distinct()
     return out.select(doc_of(c("id")).alias("doc_id"), c("id").bitwiseAND((1 << bits) - 1).cast("int").alias("no"))

@@ -410,6 +410,30 @@ def test_sets_meet_those_of_sizes_that_may_match(spark, monkeypatch):
     assert len(joins) == 1 and "ShuffledHashJoin" in joins[0]
 
 
+def test_tokens_are_counted_in_few_tasks_and_late_ones_meet_no_larger_sets(spark, monkeypatch):
+    """A task for each file would send as many counts as the table has ranges; a set's late tokens aren't in the hash tables."""
+    plans, looks = [], []
+    settle, hashed, counted = line_dedup.settle, line_dedup.hashed, line_dedup.line_count
+    monkeypatch.setattr(line_dedup, "settle", lambda df, *a, **k: (plans.append(df._jdf.queryExecution().executedPlan().toString()), settle(df, *a, **k))[1])
+    monkeypatch.setattr(line_dedup, "hashed", lambda lines, *others: (looks.append(others), hashed(lines, *others))[1])
+    monkeypatch.setattr(line_dedup, "line_count", lambda text: (looks.append("count"), counted(text))[1])
+    monkeypatch.setattr(line_dedup, "HOT", 20)
+    words = [f"w{k}" for k in range(2000)]
+    rng = random.Random(3)
+    near = [" ".join([*words[:30], f"x{k}"]) for k in range(25)]
+    far = [" ".join([*rng.sample(words[100:], 30), "common"]) for _ in range(60)]
+    df = frame(spark, far)
+    assert line_dedup.later_matches(df).count() == 0
+    # no list has many lines that are like its earliest: two looks at the texts of candidates, after the first one at all
+    assert looks == [("doc_id", "no"), ("id",), ("id",)]
+    assert sum("Coalesce " in p for p in plans) == 1
+    joined = [p for p in plans if re.search(r"Join \[token#\d+, class#\d+\]", p)]
+    assert len(joined) == 1 and joined[0].count("explode(array(CASE WHEN") == 1
+    looks.clear()
+    assert {tuple(x) for x in line_dedup.later_matches(frame(spark, far + near)).collect()} == {(k, 0) for k in range(61, 85)}
+    assert looks == [("doc_id", "no"), ("id",), ("id",), ("id",)]
+
+
 def test_line_feeds_are_counted(spark):
     texts = [None, "", "a", "\n", "a\n", "\n\n", "a\r\nb\u2028c", "\u00e9\n\U0001f600\n"]
     df = frame(spark, texts).select("doc_id", "text", line_dedup.line_count(F.col("text")).alias("n"))
